@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Scratch
+from ._common import Scratch, sieve
 from .components import components
 
 MISS, ROWS = 1e-10, 3
@@ -267,7 +267,7 @@ def join(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_i
     rows = scratch.cut(signatures(texts, n=n, percent=percent))
     classes = rows.filter(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min("id").alias("id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
     keys = scratch.cut(classes.select("id", "size", F.posexplode("bands").alias("band", "key")))
-    buckets = keys.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("id").alias("least"), F.sum("size").alias("load"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("members > 1")
+    buckets = keys.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("id").alias("least"), F.sum("size").alias("load"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("members > 1")
     # one of the buckets with the same members
     buckets = buckets.groupBy("members", "least", "who").agg(F.min(F.struct("band", "key", "load")).alias("b")).select("b.*", "members")
     of = scratch.cut(keys.join(buckets, ["band", "key"]).select("id", "band", "key", F.least(F.col("members"), F.ceil(F.col("load") / (LOAD / 2))).cast("int").alias("chunks")))
@@ -276,18 +276,24 @@ def join(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_i
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("lo"), F.greatest(o, F.col("chunk")).alias("hi")))
     tasks = of.withColumn("chunk", chunk).select("id", "band", "key", "chunk", F.explode(pairs).alias("p"))
     tasks = tasks.select("id", F.xxhash64("band", "key", "p.lo", "p.hi").alias("task"), F.when(F.col("p.lo") == F.col("p.hi"), 0).when(F.col("chunk") == F.col("p.lo"), 1).otherwise(2).alias("side"))
-    wanted = of.select("id").distinct()
+    # the tasks of each member, and with them its text: so its set is sent once for each task and never before
+    wanted = tasks.groupBy("id").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("task", "side", "id", "shingles")
         for big in batches:
-            for at in range(0, big.num_rows, 256):
-                b = big.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), n).tobytes() for t in b.column(1)], pa.binary())], names=["id", "shingles"])
-
-    # repeated ids have one text here as well: of rows with an id, the first set counts for its class
-    chosen = texts.join(wanted, "id").select("id", "text")
-    sets = chosen.mapInArrow(make, T.StructType([texts.schema["id"], T.StructField("shingles", T.BinaryType())]))
-    edges = scratch.cut(links(tasks.join(sets, "id"), n=n, percent=percent))
+            for at in range(0, big.num_rows, 64):
+                b = big.slice(at, 64)
+                out = []
+                for i, text, tasks in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("tasks").to_pylist(), strict=True):
+                    raw = shingles(text, n).tobytes()
+                    out += [(t["task"], t["side"], i, raw) for t in tasks]
+                kinds = (pa.int64(), pa.int32(), b.schema.field("id").type, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    chosen = sieve(texts, of.select("id")).join(wanted, "id").select("id", "text", "tasks")
+    members = chosen.mapInArrow(make, T.StructType([T.StructField("task", T.LongType()), T.StructField("side", T.IntegerType()), texts.schema["id"], T.StructField("shingles", T.BinaryType())]))
+    edges = scratch.cut(links(members, n=n, percent=percent))
     found = components(edges, scratch)
     named = classes.select("set_hash", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
     out = rows.select("id", "n_shingles", "set_hash").join(named, "set_hash", "left")

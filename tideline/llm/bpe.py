@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LONG, KEEP = 96, 150_000
+LONG, KEEP = 96, 100_000
 PART = 1 << 21  # characters encoded at a time
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(46)
 _MARKS = frozenset(".,!?;:|")
@@ -216,6 +216,10 @@ class Memo(dict):
     def __init__(self):
         self._older: dict = {}
 
+    def forget(self) -> None:
+        self._older = {}
+        self.clear()
+
     def take_over(self, keys: set) -> None:
         if len(self) >= KEEP:
             self._older = dict(self)
@@ -245,13 +249,22 @@ def load(path: str) -> Bpe:
     return _loaded[path]
 
 
+def released(bpe: Bpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last, the worker, which other work may use next, no longer holds the words it met."""
+    try:
+        yield from batches
+    finally:
+        bpe.words.forget()
+        bpe.pieces.forget()
+
+
 def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds the ids (array of int) and the text decoded from them to every row; columns of these names are replaced."""
     docs = docs.drop(ids, decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for b in batches:
+        for b in released(bpe, batches):
             got = bpe.encode(b.column(text).to_pylist())
             numbers = [[int(i) for i in s.split()] for _, s, _ in got]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in numbers], pa.string())], names=[*b.schema.names, ids, decoded])
@@ -265,7 +278,7 @@ def digests(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = load(path), hashlib.sha256
-        for b in batches:
+        for b in released(bpe, batches):
             got = bpe.encode(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _, _ in got], pa.int64()), pa.array([sha(i.encode()).hexdigest() for _, i, _ in got], pa.string()), pa.array([sha(t.encode("utf-8")).hexdigest() for _, _, t in got], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -334,7 +334,7 @@ def e7_relative_volume(s, d):
 
 @query
 def e10_rolling_slope(s, d):
-    return B.rolling_slope(V.bars(s, d), 5).select("symbol", "d", *r("volume_slope", digits=8))
+    return B.rolling_slope(V.bars(s, d), 5).select("symbol", "d", *r("volume_slope", digits=11))
 
 
 @query

@@ -82,7 +82,7 @@ def all_sql() -> dict[str, str]:
     s["e5_realized_vol"] = f"with {BARS}, q as (select symbol, d, ln(close / lag(close) over {W}) as lr from bars) select symbol, d, round(case when count(lr) over {w('20 preceding', '1 preceding')} >= 2 then stddev_samp(lr) over {w('20 preceding', '1 preceding')} end * sqrt(252), 6) as vol_prior, round(case when count(lr) over {w('29 preceding', 'current row')} >= 30 then stddev_samp(lr) over {w('29 preceding', 'current row')} end * sqrt(365), 6) as vol from q"
     s["e6_atr"] = f"with {BARS}, q as (select symbol, d, close, greatest(high - low, abs(high - lag(close) over {W}), abs(low - lag(close) over {W})) as tr from bars) select symbol, d, round(tr, 8) as true_range, round(avg(tr) over {w('13 preceding', 'current row')} / close, 8) as atr_pct from q"
     s["e7_relative_volume"] = f"with {BARS}, q as (select symbol, d, volume, avg(volume) over {w('20 preceding', '1 preceding')} as m from bars) select symbol, d, round(case when m > 0 then least(10.0, volume / m) end, 6) as rel_volume from q"
-    s["e10_rolling_slope"] = f"with {BARS}, q as (select symbol, d, volume, row_number() over {W} as k from bars) select symbol, d, round(case when k >= 5 then regr_slope(volume, k) over {w('4 preceding', 'current row')} / nullif(avg(volume) over {w('4 preceding', 'current row')}, 0) end, 8) as volume_slope from q"
+    s["e10_rolling_slope"] = f"with {BARS}, q as (select symbol, d, volume, row_number() over {W} as k from bars) select symbol, d, round(case when k >= 5 then regr_slope(volume, k) over {w('4 preceding', 'current row')} / nullif(avg(volume) over {w('4 preceding', 'current row')}, 0) end, 11) as volume_slope from q"
     s["e11_rolling_beta"] = f"with {BARS}, r as (select symbol, d, {LAG(1)} as r from bars), q as (select a.symbol, a.d, a.r, b.r as b from r a join r b on b.symbol = 'S0' and b.d = a.d where a.r is not null and b.r is not null) select symbol, d, round(case when count(*) over {w('59 preceding', 'current row')} >= 55 then covar_pop(r, b) over {w('59 preceding', 'current row')} / nullif(var_pop(b) over {w('59 preceding', 'current row')}, 0) end, 4) as beta from q"
     s["e12_relative_return"] = f"with {BARS}, r as (select symbol, d, {LAG(5)} as r from bars) select a.symbol, a.d, round(a.r - b.r, 5) as rel_return from r a left join r b on b.symbol = 'S0' and b.d = a.d"
     s["e13_candle_shape"] = f"with {BARS} select symbol, d, round(abs(close - open) / nullif(high - low, 0), 5) as body, round((high - greatest(open, close)) / nullif(high - low, 0), 5) as upper_wick, round((least(open, close) - low) / nullif(high - low, 0), 5) as lower_wick, round(case when high = low then 0.5 else (close - low) / (high - low) end, 5) as close_in_range, round(open / lag(close) over {W} - 1, 5) as gap from bars"

@@ -84,16 +84,17 @@ def sampled(df: DataFrame, classes: str, per_class: int, id_col: str, seed: int
 SIEVE_BITS = 1 << 23
 
 
-def sieve(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
-    """The rows whose id may be among the ids: all that are, and few others, so that a join that follows shuffles little. The
-    sieve is a bitmap of SIEVE_BITS bits by a hash of the id, 1 MB whatever the number of ids, and is broadcast; with very
-    many ids it lets more through, and the join decides."""
-    at = F.pmod(F.xxhash64(id_col), F.lit(SIEVE_BITS))
-    maps = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("sieve_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("sieve_map"))
-    named = rows.withColumn("sieve_at", at)
-    found = named.join(F.broadcast(maps), F.bitmap_bucket_number("sieve_at") == F.col("sieve_bucket"))
+def sieve(rows: DataFrame, ids: DataFrame, id_col: str = "id", *, inside: bool = True) -> DataFrame:
+    """The rows whose id may be among the ids: all that are, and few others, so that a join that follows shuffles little;
+    or (inside=False) the rest, which are certainly not. The sieve is a bitmap of SIEVE_BITS bits by a hash of the id, 1 MB
+    whatever the number of ids, and is broadcast; with very many ids it lets more through, and the join decides."""
+    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
+    at = ids.select(hashed("id").alias("at"))
+    maps = at.groupBy(F.bitmap_bucket_number("at").alias("sieve_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("sieve_map"))
+    found = rows.withColumn("sieve_at", hashed(id_col)).join(F.broadcast(maps), F.bitmap_bucket_number("sieve_at") == F.col("sieve_bucket"), "inner" if inside else "left")
     byte = "cast(conv(hex(substring(sieve_map, cast(bitmap_bit_position(sieve_at) div 8 as int) + 1, 1)), 16, 10) as int)"
-    return found.filter(F.expr(f"getbit({byte}, cast(bitmap_bit_position(sieve_at) % 8 as int)) = 1")).select(*rows.columns)
+    hit = F.coalesce(F.expr(f"getbit({byte}, cast(bitmap_bit_position(sieve_at) % 8 as int)) = 1"), F.lit(False))
+    return found.filter(hit if inside else ~hit).select(*rows.columns)
 
 
 _MULTIPLIERS = {2: 2654435761, 3: 2246822519, 4: 3266489917}

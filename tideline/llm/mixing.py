@@ -98,9 +98,10 @@ def op1(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (5, 2, 1)) -> DataFrame:
-    """The mix itself: every document as often as the mix takes it, with its own columns."""
-    own = F.struct(*docs.columns).alias("own")
-    named = docs.select(own)
-    text = F.col("own.text")
-    mixed = mix(named.select("own", F.col("own.doc_id").alias("doc_id"), F.col("own.source").alias("source")), weights, size=n_words(text), quality=text_quality(text), tie=F.xxhash64(text), keep=["own"])
-    return mixed.filter("epochs > 0").select("own", F.explode(F.sequence(F.lit(1), F.col("epochs"))).alias("epoch")).select("own.*")
+    """The mix itself: every document as often as the mix takes it, with its own columns. Rows of equal id, source and text are
+    copies of one document, which is repeated as often as all of them are taken. Texts are shuffled once, by document."""
+    named = docs.withColumns({"_k1": F.xxhash64("doc_id", "source", "text"), "_k2": F.xxhash64(F.lit(1), "text", "source", "doc_id")})
+    text = F.col("text")
+    mixed = mix(named, weights, size=n_words(text), quality=text_quality(text), tie=F.col("_k1"), keep=["_k1", "_k2"])
+    taken = mixed.filter("epochs > 0").groupBy("_k1", "_k2").agg(F.sum("epochs").alias("_epochs"))
+    return named.dropDuplicates(["_k1", "_k2"]).join(taken, ["_k1", "_k2"]).withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select(*docs.columns)

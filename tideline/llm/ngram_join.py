@@ -307,7 +307,14 @@ def op3(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Keeps one document of each group of near copies: that with the smallest id, of repeated rows one. Documents without
     words or without an id stay."""
-    found = Scratch(spark).cut(join(docs).filter("id = component_id").groupBy("id").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("size")))
-    once, more = found.filter("rows = 1 or size = 0").select("id"), found.filter("rows > 1 and size > 0").select("id")
-    kept = docs.join(once, docs["doc_id"] == once["id"], "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
-    return kept.unionByName(docs.join(more, docs["doc_id"] == more["id"], "left_semi").dropDuplicates(["doc_id"]))
+    scratch = Scratch(spark)
+    found = scratch.cut(join(docs).groupBy("id").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("size"), F.min("component_id").alias("component")))
+    # ids of which rows go; only rows whose id may be one of them take part in a join
+    gone = found.filter("id <> component").select("id")
+    more = found.filter("id = component and rows > 1 and size > 0").select("id")
+    touched = scratch.cut(gone.union(more))
+    rest = sieve(docs, touched, "doc_id", inside=False)
+    maybe = sieve(docs, touched, "doc_id")
+    maybe = maybe.join(gone, maybe["doc_id"] == gone["id"], "left_anti")
+    once = maybe.join(more, maybe["doc_id"] == more["id"], "left_anti")
+    return rest.unionByName(once).unionByName(maybe.join(more, maybe["doc_id"] == more["id"], "left_semi").dropDuplicates(["doc_id"]))

@@ -310,11 +310,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     found = scratch.cut(join(docs).groupBy("id").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("size"), F.min("component_id").alias("component")))
     # ids of which rows go; only rows whose id may be one of them take part in a join
-    gone = found.filter("id <> component").select("id")
-    more = found.filter("id = component and rows > 1 and size > 0").select("id")
+    gone = found.filter("id <> component").select("id", F.lit(True).alias("goes"))
+    more = found.filter("id = component and rows > 1 and size > 0").select("id", F.lit(False).alias("goes"))
     touched = scratch.cut(gone.union(more))
-    rest = sieve(docs, touched, "doc_id", inside=False)
-    maybe = sieve(docs, touched, "doc_id")
-    maybe = maybe.join(gone, maybe["doc_id"] == gone["id"], "left_anti")
-    once = maybe.join(more, maybe["doc_id"] == more["id"], "left_anti")
-    return rest.unionByName(once).unionByName(maybe.join(more, maybe["doc_id"] == more["id"], "left_semi").dropDuplicates(["doc_id"]))
+    # an outer join stays above the sieve, while Spark would push a semi or anti join below it, to all texts
+    marks = touched.select(F.col("id").alias("_id"), F.col("goes").alias("_goes"))
+    maybe = sieve(docs, touched, "doc_id").join(marks, F.col("doc_id") == F.col("_id"), "left")
+    once = maybe.filter(F.col("_goes").isNull()).select(*docs.columns)
+    copies = maybe.filter(~F.col("_goes")).select(*docs.columns).dropDuplicates(["doc_id"])
+    return sieve(docs, touched, "doc_id", inside=False).unionByName(once).unionByName(copies)

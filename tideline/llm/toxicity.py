@@ -67,11 +67,14 @@ class LabelModel:
 
 def fit_labels(votes: np.ndarray, *, rounds: int = 25) -> tuple[LabelModel, np.ndarray]:
     """votes: rows x voters, 1 toxic, -1 clean, 0 abstains. Needs no labels: it starts from the sum of the votes."""
-    n, m = votes.shape
+    m = votes.shape[1]
     q = np.clip(0.5 + 0.45 * np.sign(votes.sum(1)), 0.05, 0.95)
     on, side, model = (votes != 0).astype(float), votes.max(0) > 0, None
+    some = on.any(1)  # rows without any vote say nothing about voters, and would only repeat the prior
+    # the balance of the labels is that of the votes: left free, it drifts, as who abstains counts for neither
+    prior = float(np.clip((votes.sum(1) > 0)[some].mean() if some.any() else 0.5, 0.02, 0.98))
     for _ in range(rounds):
-        weight = np.stack([1 - q, q])
+        weight = np.stack([1 - q, q]) * some
         total = weight.sum(1) + 1e-9
         voted = np.clip((weight @ on + 0.05) / (total[:, None] + 1), 1e-4, 1 - 1e-4)
         # a voter is never believed to vote against its own side
@@ -82,10 +85,10 @@ def fit_labels(votes: np.ndarray, *, rounds: int = 25) -> tuple[LabelModel, np.n
             d = (on - voted[y]) * np.sqrt(weight[y])[:, None]
             cov = d.T @ d / total[y]
             sd = np.sqrt(np.diag(cov)) + 1e-6
-            together += cov / np.outer(sd, sd) * total[y] / n
+            together += cov / np.outer(sd, sd) * total[y] / max(1, some.sum())
         np.fill_diagonal(together, 0)
         discount = np.maximum(0.5, 1 / (1 + np.where(together > 0.3, together, 0).sum(1)))
-        model = LabelModel(float(np.clip(q.mean(), 0.02, 0.98)), voted, discount)
+        model = LabelModel(prior, voted, discount)
         q = model.posterior(votes)
     return model, q
 

@@ -59,6 +59,10 @@ class Scratch:
                 path = jvm.org.apache.hadoop.fs.Path(found[1])
                 path.getFileSystem(conf).delete(path, True)
 
+    def drop_others(self, *tables: DataFrame) -> None:
+        """Deletes all tables of this scratch but these."""
+        self.drop(*(t for t, _ in list(self.paths.values()) if not any(t is kept for kept in tables)))
+
 
 def held_out(doc_id: Column) -> Column:
     """Rows with crc32 of the id's decimal text leaving 1 modulo 3 are never learned from; a null id isn't held out."""

@@ -63,10 +63,10 @@ def mix(docs: DataFrame, weights: Sequence[float], *, doc_id: str = "doc_id", so
     (size * epochs) for every row, and the columns of `keep`."""
     scratch = Scratch(docs.sparkSession)
     key = -F.log(unit(F.col(doc_id), F.lit(seed))) / F.greatest(quality, F.lit(1e-6))
-    rows = scratch.cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), key.alias("key"), tie.alias("tie"), *keep))
-    goals = scratch.cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget=budget, max_epochs=max_epochs))
+    sized = scratch.cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), key.alias("key"), tie.alias("tie"), *keep))
+    goals = scratch.cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget=budget, max_epochs=max_epochs))
     few = goals.count() <= BROADCAST_SOURCES  # beyond that, a shuffled join which Spark splits where it is skewed
-    rows = rows.withColumnRenamed("source", "s").join(F.broadcast(goals) if few else goals, F.col("s").eqNullSafe(F.col("source"))).drop("s")
+    rows = sized.withColumnRenamed("source", "s").join(F.broadcast(goals) if few else goals, F.col("s").eqNullSafe(F.col("source"))).drop("s")
     rows = rows.withColumn("range", F.floor(F.log2("key") * RANGES_PER_OCTAVE))
     by_range = rows.groupBy("source_rank", "range").agg(F.sum("size").alias("range_size"))
     ahead = F.sum("range_size").over(Window.partitionBy("source_rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
@@ -77,6 +77,7 @@ def mix(docs: DataFrame, weights: Sequence[float], *, doc_id: str = "doc_id", so
     rows = rows.withColumn("before", F.col("ahead") + F.coalesce(within, F.lit(0))).withColumn("full", full)
     rest = F.when(F.col("full") < max_epochs, F.col("target") - F.col("full") * F.col("source_size")).otherwise(F.lit(0.0))
     rows = scratch.cut(rows.withColumn("rest", rest).withColumn("chosen", F.col("before") + F.col("size") <= F.col("rest")))
+    scratch.drop(sized, goals)
     # one more document of the others closes most of the gap that is left: the largest that fits, or the smallest of all
     gaps = rows.groupBy("source_rank").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("chosen"), F.col("size"))), F.lit(0))).alias("gap"))
     gaps = F.broadcast(gaps) if few else gaps

@@ -260,9 +260,9 @@ def links(members: DataFrame, *, n: int, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def join(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """id, n_shingles and component_id (smallest id within reach of links, itself included) of every row of docs."""
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     rows = scratch.cut(signatures(texts, n=n, percent=percent))
     classes = rows.filter(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min("id").alias("id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
@@ -294,7 +294,9 @@ def join(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_i
     chosen = sieve(texts, of.select("id")).join(wanted, "id").select("id", "text", "tasks")
     members = chosen.mapInArrow(make, T.StructType([T.StructField("task", T.LongType()), T.StructField("side", T.IntegerType()), texts.schema["id"], T.StructField("shingles", T.BinaryType())]))
     edges = scratch.cut(links(members, n=n, percent=percent))
+    scratch.drop(keys, of)
     found = components(edges, scratch)
+    scratch.drop(edges)
     named = classes.select("set_hash", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
     out = rows.select("id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
@@ -308,11 +310,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Keeps one document of each group of near copies: that with the smallest id, of repeated rows one. Documents without
     words or without an id stay."""
     scratch = Scratch(spark)
-    found = scratch.cut(join(docs).groupBy("id").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("size"), F.min("component_id").alias("component")))
+    found = scratch.cut(join(docs, scratch=scratch).groupBy("id").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("size"), F.min("component_id").alias("component")))
+    scratch.drop_others(found)
     # ids of which rows go; only rows whose id may be one of them take part in a join
     gone = found.filter("id <> component").select("id", F.lit(True).alias("goes"))
     more = found.filter("id = component and rows > 1 and size > 0").select("id", F.lit(False).alias("goes"))
     touched = scratch.cut(gone.union(more))
+    scratch.drop(found)
     # an outer join stays above the sieve, while Spark would push a semi or anti join below it, to all texts
     marks = touched.select(F.col("id").alias("_id"), F.col("goes").alias("_goes"))
     maybe = sieve(docs, touched, "doc_id").join(marks, F.col("doc_id") == F.col("_id"), "left")

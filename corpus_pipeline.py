@@ -13,33 +13,44 @@ from tideline.llm._common import Scratch, ship
 from tideline.llm.queries import table, vocabulary
 
 
+BATCH = 1000  # rows of a batch between Spark and Python: texts are long, and a task holds a batch on both sides
+
+
+def ready(spark: SparkSession) -> None:
+    """Sends the code to the workers and bounds their batches, unless the session has a smaller bound."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, BATCH)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go."""
-    ship(spark)
+    ready(spark)
     return language_id.keep_known(spark, docs)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of rejected quality go."""
-    ship(spark)
+    ready(spark)
     return quality.keep_good(spark, docs, table(spark, sf_dir, "labels"))
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8) stays."""
-    ship(spark)
+    ready(spark)
     return ngram_join.one_of_each(spark, docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    ship(spark)
+    ready(spark)
     return mixing.mixed_documents(spark, docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number of tokens, and digests of ids and decoded text of every row."""
-    ship(spark)
+    ready(spark)
     return bpe.digests(docs, vocabulary())
 
 

@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LONG, KEEP = 96, 100_000
-PART = 1 << 21  # characters encoded at a time
+LONG, KEEP = 96, 60_000
+PART = 1 << 19  # characters encoded at a time
+ROWS = 256  # texts taken out of a batch at a time
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(46)
 _MARKS = frozenset(".,!?;:|")
 BITS = 20  # of an id
@@ -169,9 +170,9 @@ class Bpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # the library lowers each sigma alone
         return text.lower()
 
-    def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Of each text the number of tokens, the ids joined by spaces, and the text decoded from them."""
-        out, at = [], 0
+        at = 0
         while at < len(texts):  # so many texts at a time that their new words fit in memory
             chars, end = 0, at
             while end < len(texts) and (end == at or chars + len(texts[end] or "") < PART):
@@ -182,9 +183,8 @@ class Bpe:
             for words in split:
                 ids, tokens = zip(*[known[w] for w in words], strict=True)
                 joined = "".join(ids)
-                out.append((joined.count(" "), joined[1:], "".join(tokens)[1:]))
+                yield joined.count(" "), joined[1:], "".join(tokens)[1:]
             at = end
-        return out
 
     def _learn(self, words: set[str]) -> dict[str, tuple[str, str]]:
         """A dict that has the ids and the tokens, each behind a space, of all these words."""
@@ -258,15 +258,21 @@ def released(bpe: Bpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         bpe.pieces.forget()
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ROWS rows, so that a task holds the tokens of few texts at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds the ids (array of int) and the text decoded from them to every row; columns of these names are replaced."""
     docs = docs.drop(ids, decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for b in released(bpe, batches):
-            got = bpe.encode(b.column(text).to_pylist())
-            numbers = [[int(i) for i in s.split()] for _, s, _ in got]
+        for b in parts(released(bpe, batches)):
+            numbers = [[int(i) for i in s.split()] for _, s, _ in bpe.encode(b.column(text).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in numbers], pa.string())], names=[*b.schema.names, ids, decoded])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())]))
@@ -278,9 +284,9 @@ def digests(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = load(path), hashlib.sha256
-        for b in released(bpe, batches):
-            got = bpe.encode(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _, _ in got], pa.int64()), pa.array([sha(i.encode()).hexdigest() for _, i, _ in got], pa.string()), pa.array([sha(t.encode("utf-8")).hexdigest() for _, _, t in got], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for b in parts(released(bpe, batches)):
+            got = [(n, sha(i.encode()).hexdigest(), sha(t.encode("utf-8")).hexdigest()) for n, i, t in bpe.encode(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _, _ in got], pa.int64()), pa.array([i for _, i, _ in got], pa.string()), pa.array([t for _, _, t in got], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kinds = [chosen.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]

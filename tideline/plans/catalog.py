@@ -520,8 +520,13 @@ def l10_table_inventory(s, d):
 
 
 def queries() -> dict[str, Query]:
+    from . import decisions  # noqa: F401 (registers its queries)
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracle.all_sql().items() if k in _queries}
+    queries()
+    from . import oracle_paths
+
+    return {k: v for m in (oracle, oracle_paths) for k, v in m.all_sql().items() if k in _queries}

@@ -47,3 +47,26 @@ def preds(spark: SparkSession, d: str) -> DataFrame:
     num = F.substring("symbol", 2, 2).cast("int")
     w = Window.partitionBy("symbol").orderBy("d").rowsBetween(1, 5)
     return b.select("symbol", "d", "close", F.try_divide(F.max("close").over(w), F.col("close")).alias("peak"), (((day * 37 + num * 101) % 1000) / F.lit(1000.0)).alias("prob"), F.when((day + num) % 2 == 0, "5d").otherwise("10d").alias("horizon"), F.year("d").alias("model")).withColumn("hit", F.col("peak") >= 2.0).withColumn("ret", F.col("peak") - 1)
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Scored symbol-days: components from the day's volume, some missing; tier, window and evidence from its trades."""
+    b = bars(spark, d).withColumn("num", F.col("volume").cast("bigint"))
+    part = lambda m, k: F.when(F.col("num") % m != 0, (F.col("num") * k % 101).cast("double"))
+    parts = {"cheap": part(7, 3), "quality": part(5, 7), "catalyst": part(4, 11), "momentum": part(3, 13), "sentiment": part(2, 17), "risk": part(9, 19)}
+    return b.withColumns(parts).select("symbol", "d", "close", "trades", "num", *parts)
+
+
+def hours(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly bars of ticks, with a bid and an ask around the last price; hours without ticks are missing."""
+    key = F.struct("ts", "event_id")
+    return ticks(spark, d).groupBy("symbol", F.date_trunc("hour", "ts").alias("h")).agg(F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", key).alias("close"), F.sum("qty").alias("volume"), F.count("*").alias("trades"), F.sum(F.when(~F.col("maker"), F.col("qty")).otherwise(0.0)).alias("taker_buy"))
+
+
+def quotes(spark: SparkSession, d: str) -> DataFrame:
+    return ticks(spark, d).select("symbol", "ts", "event_id", (F.col("price") - 0.05).alias("bid"), (F.col("price") + 0.05 * (1 + F.col("event_id") % 3)).alias("ask"), F.col("qty").alias("bid_qty"), (1 + F.col("event_id") % 7).cast("double").alias("ask_qty"))
+
+
+def trades(spark: SparkSession, d: str) -> DataFrame:
+    """Entries at the close of days with a high probability."""
+    return preds(spark, d).filter("prob >= 0.9").select("symbol", "d", F.col("close").alias("entry"), "prob", "model", "horizon")

@@ -184,3 +184,77 @@ def cross_rank(df: DataFrame, value: str, *, at_least: int = 5) -> DataFrame:
     equal = F.count("*").over(Window.partitionBy("d", value))
     n = F.count("*").over(day)
     return df.withColumn("cross_rank", F.when(n >= at_least, (less + 0.5 * equal) / n))
+
+
+def smoothed(df: DataFrame, values: dict[str, Column], n: int) -> DataFrame:
+    """Exponential means of weight 1/n by the row number `_rn`. Sums run in blocks of 40 n rows with weights relative to the block's
+    start, and take the block before whole; what lies further back weighs less than 1e-17. So no row needs a loop or a list."""
+    q, size = 1 - 1 / n, 40 * n
+    out = df.withColumn("_block", F.floor(F.col("_rn") / size))
+    off = F.col("_rn") - F.col("_block") * size
+    inside = Window.partitionBy("symbol", "_block").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("symbol").orderBy("_block").rangeBetween(-1, -1)
+    out = out.withColumns({f"_t_{k}": F.coalesce(v, F.lit(0.0)) / n * F.pow(F.lit(q), -off) for k, v in values.items()})
+    mean = {k: F.pow(F.lit(q), off) * (F.sum(f"_t_{k}").over(inside) + F.pow(F.lit(q), F.lit(size)) * F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0.0))) for k in values}
+    return out.withColumns(mean).drop("_block", *(f"_t_{k}" for k in values))
+
+
+def rsi_ewm(df: DataFrame, n: int = 14) -> DataFrame:
+    """From exponential means of gains and losses of the close; NULL before n rows and without losses."""
+    step = F.col("close") - F.lag("close").over(by_key())
+    out = df.withColumns({"_rn": F.row_number().over(by_key()), "_g": F.greatest(step, F.lit(0.0)), "_l": F.greatest(-step, F.lit(0.0))})
+    out = smoothed(out, {"gain": F.when(step.isNotNull(), F.col("_g")), "loss": F.when(step.isNotNull(), F.col("_l"))}, n)
+    return out.withColumn("rsi", F.when((F.col("_rn") >= n) & (F.col("loss") > 0), 100 - 100 / (1 + F.col("gain") / F.col("loss"))))
+
+
+def rsi_seeded(df: DataFrame, n: int = 14) -> DataFrame:
+    """From log returns: the mean of the first n, then the recursion; 100 without losses, NULL before the seed."""
+    lr = F.ln(safe_ratio(F.col("close"), F.lag("close").over(by_key())))
+    out = df.withColumn("_lr", lr).withColumn("_rn", F.count("_lr").over(by_key().rowsBetween(Window.unboundedPreceding, 0)))
+    first = by_key().rowsBetween(-(n - 1), 0)
+    part = lambda c: F.when(F.col("_rn") > n, c).when((F.col("_rn") == n) & F.col("_lr").isNotNull(), F.avg(c).over(first) * n)
+    out = out.withColumns({"_g": F.greatest("_lr", F.lit(0.0)), "_l": F.greatest(-F.col("_lr"), F.lit(0.0))})
+    out = out.withColumns({"_pg": part(F.col("_g")), "_pl": part(F.col("_l"))})
+    out = smoothed(out, {"gain": F.col("_pg"), "loss": F.col("_pl")}, n)
+    return out.withColumn("rsi", F.when(F.col("_rn") >= n, F.when(F.col("loss") > 0, 100 - 100 / (1 + F.col("gain") / F.col("loss"))).otherwise(100.0)))
+
+
+def day_place(df: DataFrame, t: str, *, n: int = 8) -> DataFrame:
+    """Place within the whole day's range, and the range of the n bars before. Not causal within the day."""
+    day = Window.partitionBy("symbol", F.to_date(t))
+    before = by_key(t=t).rowsBetween(-n, -1)
+    hi, lo = F.max("high").over(day), F.min("low").over(day)
+    return df.withColumns({"day_place": safe_ratio(F.col("close") - lo, hi - lo), "prior_range": F.max("high").over(before) - F.min("low").over(before)})
+
+
+def forward_excursion(df: DataFrame, horizons: Sequence[int], unit: float) -> DataFrame:
+    """Highest, lowest and last of the next h bars from the close, in units; whole windows only, rows without the shortest go."""
+    out = df
+    for h in horizons:
+        w = by_key().rowsBetween(1, h)
+        whole = F.count("*").over(w) == h
+        out = out.withColumns({f"up_{h}": F.when(whole, (F.max("high").over(w) - F.col("close")) / unit), f"down_{h}": F.when(whole, (F.col("close") - F.min("low").over(w)) / unit), f"net_{h}": F.when(whole, (F.lead("close", h).over(by_key()) - F.col("close")) / unit)})
+    return out.filter(F.col(f"up_{min(horizons)}").isNotNull())
+
+
+def plausible(df: DataFrame, value: str, *, n: int = 20, ratio: float = 0.2) -> DataFrame:
+    """Whether a value is below a share of the median of the n rows before (a list of n at most); NULL without n rows."""
+    past = F.collect_list(value).over(by_key().rowsBetween(-n, -1))
+    mid = F.array_sort(past)
+    median = (F.element_at(mid, n // 2) + F.element_at(mid, n // 2 + 1)) / 2 if n % 2 == 0 else F.element_at(mid, n // 2 + 1)
+    return df.withColumn("median_before", F.when(F.size(past) == n, median)).withColumn("low", safe_ratio(F.col(value), F.col("median_before")) < ratio)
+
+
+def outcome_within(df: DataFrame, days: int, min_rows: int) -> DataFrame:
+    """Best and worst close in (t, t + days] where at least min_rows bars are there, else NULL. A range frame, no join."""
+    w = Window.partitionBy("symbol").orderBy(F.unix_date("d")).rangeBetween(1, days)
+    whole = F.count("*").over(w) >= min_rows
+    return df.withColumns({"best": F.when(whole, F.max("close").over(w) / F.col("close") - 1), "worst": F.when(whole, F.min("close").over(w) / F.col("close") - 1)})
+
+
+def folds(months: DataFrame, *, burn_months: int = 6) -> DataFrame:
+    """Expanding folds from one row a month (test_start, n_test): each month after the burn-in tests what all before it train."""
+    before = Window.orderBy("test_start").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.broadcast(months.agg(F.min("test_start").alias("_first")))
+    out = months.withColumn("n_train", F.coalesce(F.sum("n_test").over(before), F.lit(0))).crossJoin(first)
+    return out.filter(F.col("test_start") >= F.add_months("_first", burn_months)).drop("_first")

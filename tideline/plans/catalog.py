@@ -520,13 +520,13 @@ def l10_table_inventory(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import decisions  # noqa: F401 (registers its queries)
+    from . import decisions, intraday  # noqa: F401 (registers its queries)
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
     queries()
-    from . import oracle_paths
+    from . import oracle_intraday, oracle_paths
 
-    return {k: v for m in (oracle, oracle_paths) for k, v in m.all_sql().items() if k in _queries}
+    return {k: v for m in (oracle, oracle_paths, oracle_intraday) for k, v in m.all_sql().items() if k in _queries}

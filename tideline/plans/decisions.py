@@ -82,7 +82,7 @@ def b19_pct_move(s, d):
 def b20_catalyst_adjustment(s, d):
     pick = lambda m, *v: F.element_at(F.array(*(F.lit(x) for x in v)), (F.col("num") % m + 1).cast("int"))
     x = V.candidates(s, d).select("symbol", "d", pick(4, "merger_acquisition", "dividend", "guidance", "rumour").alias("kind"), pick(3, "high", "medium", "low").alias("materiality"), pick(5, "bullish", "bearish", "neutral", "bullish", "bearish").alias("sentiment"), (F.col("trades") % 13 / 10.0).alias("confidence"), pick(6, "valid", "weak", "valid", "valid", "invalid", "valid").alias("status"), (F.col("num") % 17 != 0).alias("quote_ok"), "risk", (F.col("num") % 120).cast("int").alias("days_since"), F.when(F.col("num") % 3 == 0, F.col("num") % 8 / 1.0).alias("spread"))
-    return D.scaled_adjustment(x).select("symbol", "d", *r("adjustment", digits=7), "impact")
+    return D.scaled_adjustment(x).select("symbol", "d", *r("adjustment", digits=11), "impact")
 
 
 @query

@@ -48,7 +48,7 @@ def all_sql() -> dict[str, str]:
     s["b18_market_clock"] = f"with {TICKS}, q as (select event_id, ts, cast(ts as date) as day, isodow(ts) as wd from ticks) select event_id, wd = 6 or (wd = 5 and hour(ts) >= 22) or (wd = 7 and hour(ts) < 22) as closed, cast(day - cast((wd + 2) % 7 as int) as timestamp) + interval 21 hour as close_floor, cast(day - case wd when 1 then 3 when 7 then 2 else 1 end as date) as prev_weekday, cast((select count(*) from range(0, 400) r(i) where date '2023-12-20' + cast(i as int) <= day and isodow(date '2023-12-20' + cast(i as int)) <= 5) as int) as weekdays from q"
     s["b19_pct_move"] = f"with {PREDS} select symbol, d, round(case when prob < 0.5 and ret is not null then ret * 100 when close > 0 then (arg_max(close, d) over (partition by symbol) / close - 1) * 100 end, 5) as move from preds"
     s["b20_catalyst_adjustment"] = f"""with {CANDS}, q as (select symbol, d, case num % 4 when 0 then 1.0 when 1 then 0.6 when 2 then 0.8 else 0.65 end as scope, case num % 3 when 0 then 5.0 when 1 then 3.0 else 1.5 end * case num % 5 when 0 then 1 when 1 then -1 when 2 then 0 when 3 then 1 else -1 end as st, least(1.0, trades % 13 / 10.0) as conf, num % 6 in (1, 4) or num % 17 = 0 as bad, case when risk is null then 1.0 else greatest(0.5, 1 - risk / 200.0) end as rk, case when num % 3 = 0 then case when num % 8 < 2 then 0.2 when num % 8 < 5 then 0.55 else 0.9 end else greatest(0.0, 1 - (num % 120) / 90.0) end as mk from cands),
-    a as (select symbol, d, case when bad then 0.0 else greatest(-5.0, least(5.0, cast(st as double) * conf * cast(scope as double) * mk * rk)) end as adj from q) select symbol, d, round(adj, 7) as adjustment, case when abs(adj) >= 3.5 then 'high' when abs(adj) >= 1.5 then 'medium' when abs(adj) > 0 then 'low' else 'none' end as impact from a"""
+    a as (select symbol, d, case when bad then 0.0 else greatest(-5.0, least(5.0, cast(st as double) * conf * cast(scope as double) * mk * rk)) end as adj from q) select symbol, d, round(adj, 11) as adjustment, case when abs(adj) >= 3.5 then 'high' when abs(adj) >= 1.5 then 'medium' when abs(adj) > 0 then 'low' else 'none' end as impact from a"""
     s["b23_confidence"] = f"with {CANDS}, q as (select symbol, d, round(cast(case when cheap is null then 0 else 0.3 end + case when quality is null then 0 else 0.25 end + case when catalyst is null then 0 else 0.25 end + case when momentum is null then 0 else 0.1 end + case when sentiment is null then 0 else 0.1 end as double), 6) as c from cands) select symbol, d, case when c >= 0.8 then 'high' when c >= 0.5 then 'medium' when c > 0 then 'low' else 'none' end as confidence from q"
     rank = f"(select symbol, 5 * rank() over (order by avg(close * volume) desc) as rk from bars where d <= date '2000-06-30' and d > date '2000-06-30' - 90 group by 1)"
     s["b24_cost_tier"] = f"with {BARS} select symbol, case when rk <= 10 then 1 when rk <= 30 then 2 else 3 end as tier, round(cast(0.0007 + 2 * case when rk <= 10 then 0.0002 when rk <= 30 then 0.0005 else 0.001 end as double), 6) as cost from {rank}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,53 @@ def adaptive_select(df: DataFrame, *, high: float = 0.6, low: float = 0.5, min_h
     many = F.count_if(F.col("prob") >= high).over(Window.partitionBy("d")) >= min_high
     out = df.withColumn("confident", many).filter(F.col("prob") >= F.when(F.col("confident"), high).otherwise(low))
     return top_n(out, cap)
+
+
+def leave_one_out(df: DataFrame, *, day: str = "d", value: str = "ret") -> DataFrame:
+    """Event-day Sharpe with each month's days removed, by its ratio to the whole. Sums per month are taken from the total, so no
+    day is copied per month."""
+    days = df.groupBy(day).agg(F.sum(value).alias("x")).groupBy(F.trunc(day, "month").alias("month")).agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    total = days.agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("q").alias("tq"))
+    sharpe = lambda n, s, q: F.when((n > 1) & (q - s * s / n > 0), s / n / F.sqrt((q - s * s / n) / (n - 1)) * 252**0.5)
+    out = days.crossJoin(F.broadcast(total))
+    part = sharpe(F.col("tn") - F.col("n"), F.col("ts") - F.col("s"), F.col("tq") - F.col("q"))
+    return out.select("month", part.alias("sharpe"), F.try_divide(part, sharpe(F.col("tn"), F.col("ts"), F.col("tq"))).alias("ratio"))
+
+
+def pooled_t(df: DataFrame, group: Column, value: str) -> DataFrame:
+    """t of the means of two samples (true and false of `group`) with pooled variance; one pass."""
+    a, b = F.when(group, F.col(value)), F.when(~group, F.col(value))
+    out = df.agg(F.count(a).alias("na"), F.count(b).alias("nb"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.var_samp(a).alias("va"), F.var_samp(b).alias("vb"))
+    pooled = ((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb")) / (F.col("na") + F.col("nb") - 2)
+    return out.withColumn("t", F.try_divide(F.col("ma") - F.col("mb"), F.sqrt(pooled * (1 / F.col("na") + 1 / F.col("nb")))))
+
+
+def quantile_bins(df: DataFrame, value: str, n: int) -> DataFrame:
+    """Bins 1..n by interior quantiles (linear), closed on the right. The edges are one row, broadcast."""
+    edges = df.agg(F.percentile(value, [i / n for i in range(1, n)]).alias("_e"))
+    out = df.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(edges))
+    return out.withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(value))) + 1).drop("_e")
+
+
+def calibration_runs(rel: DataFrame, *, min_n: int = 10, off: float = 10.0) -> DataFrame:
+    """Runs of adjacent buckets with min_n outcomes that are off by more than `off` points to one side. rel: one row a bucket."""
+    side = F.when((F.col("n") >= min_n) & (F.abs("dev_pp") > off), F.signum("dev_pp"))
+    x = rel.withColumn("side", side).filter("side is not null")
+    w = Window.orderBy("bucket")  # a handful of buckets
+    island = F.col("bucket") - F.row_number().over(Window.partitionBy("side").orderBy("bucket"))
+    return x.withColumn("g", island).groupBy("side", "g").agg(F.min("bucket").alias("first"), F.count("*").alias("length")).withColumn("place", F.row_number().over(w.orderBy(F.col("length").desc(), "first")))
+
+
+def coverage_ratio(df: DataFrame, *, day: str = "d", prior: int = 5) -> DataFrame:
+    """Rows of each day by the mean of the days before: ok from 0.9, warn from 0.7, else fail. The window runs over days, not rows."""
+    n = df.groupBy(day).agg(F.count("*").alias("n"))
+    mean = F.avg("n").over(Window.orderBy(day).rowsBetween(-prior, -1))
+    out = n.withColumn("ratio", F.try_divide(F.col("n").cast("double"), mean))
+    return out.withColumn("state", F.when(F.col("ratio") >= 0.9, "ok").when(F.col("ratio") >= 0.7, "warn").when(F.col("ratio").isNotNull(), "fail"))
+
+
+def impute_medians(train: DataFrame, test: DataFrame, cols: list[str]) -> DataFrame:
+    """Fills both slices with the medians of the training slice."""
+    med = F.broadcast(train.agg(*(F.percentile(c, 0.5).alias(f"_{c}") for c in cols)))
+    both = train.withColumn("slice", F.lit("train")).unionByName(test.withColumn("slice", F.lit("test")))
+    return both.crossJoin(med).withColumns({c: F.coalesce(c, f"_{c}") for c in cols}).drop(*(f"_{c}" for c in cols))

@@ -57,3 +57,34 @@ def hold_sum(trades: DataFrame, rates: DataFrame, *, days: int) -> DataFrame:
     daily = rates.groupBy("symbol", "day").agg(F.sum("rate").alias("rate"), F.count("*").alias("n"))
     found = a.join(daily, ["symbol", "day"], "left").groupBy("symbol", "d")
     return found.agg(F.coalesce(F.sum("rate"), F.lit(0.0)).alias("funding"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rates"))
+
+
+def near(left: DataFrame, right: DataFrame, *, days: int) -> DataFrame:
+    """Left rows with a right row of the symbol within `days` days either way: right days are spread once, then an equi semi join."""
+    spread = right.select("symbol", F.explode(F.sequence(F.date_sub("t", days), F.date_add("t", days))).alias("d")).distinct()
+    return left.join(spread, ["symbol", "d"], "left_semi")
+
+
+def clusters(events: DataFrame, *, days: int, others: int) -> DataFrame:
+    """Events with at least `others` rows of other symbols in the same group within `days` days. Counts per (group, symbol, day) are
+    spread over the days around, so the join has equal keys and no pairs of events."""
+    per_day = events.groupBy("grp", "symbol", "d").agg(F.count("*").alias("n"))
+    spread = per_day.select("grp", "symbol", "n", F.explode(F.sequence(F.date_sub("d", days), F.date_add("d", days))).alias("d"))
+    around = spread.groupBy("grp", "d").agg(F.sum("n").alias("all_n"))
+    own = spread.groupBy("grp", "symbol", "d").agg(F.sum("n").alias("own_n"))
+    out = events.join(around, ["grp", "d"]).join(own, ["grp", "symbol", "d"])
+    return out.withColumn("others", F.col("all_n") - F.col("own_n")).filter(F.col("others") >= others).drop("all_n", "own_n")
+
+
+def attach_series(df: DataFrame, series: DataFrame, *, values: list[str]) -> DataFrame:
+    """The last value at or before each day, and whether it is the day's own. One shared series: matched by distinct days."""
+    days = df.select("d").distinct().withColumn("_k", F.lit(0))
+    hit = asof_join(days, series.withColumn("_k", F.lit(0)), by="_k", left_t="d", right_t="t", values=values)
+    return df.join(hit.drop("_k").withColumn("exact", F.col("match_t") == F.col("d")), "d", "left")
+
+
+def last_seen(df: DataFrame, cols: list[str], *, by: str, t: str) -> DataFrame:
+    """Each column's last value so far; rows from the one on which all have been seen."""
+    w = Window.partitionBy(by).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumns({f"last_{c}": F.last(c, ignorenulls=True).over(w) for c in cols})
+    return out.dropna(subset=[f"last_{c}" for c in cols])

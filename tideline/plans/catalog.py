@@ -520,13 +520,13 @@ def l10_table_inventory(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import decisions, evaluation, intraday  # noqa: F401 (registers its queries)
+    from . import decisions, evaluation, intraday, upkeep  # noqa: F401 (registers its queries)
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
     queries()
-    from . import oracle_evaluation, oracle_intraday, oracle_paths
+    from . import oracle_evaluation, oracle_intraday, oracle_paths, oracle_upkeep
 
-    return {k: v for m in (oracle, oracle_paths, oracle_intraday, oracle_evaluation) for k, v in m.all_sql().items() if k in _queries}
+    return {k: v for m in (oracle, oracle_paths, oracle_intraday, oracle_evaluation, oracle_upkeep) for k, v in m.all_sql().items() if k in _queries}

@@ -13,7 +13,9 @@ from ..operators import tape as T
 from ..sources import views as V
 from .catalog import query, r
 
-BY = Window.partitionBy("symbol").orderBy("d")
+
+def by():
+    return Window.partitionBy("symbol").orderBy("d")
 
 
 @query
@@ -47,15 +49,15 @@ def e28_macro_trend(s, d):
 @query
 def e30_funding_stats(s, d):
     x = V.ticks(s, d).filter("event_type = 'view'").groupBy("symbol", F.to_date("ts").alias("d")).agg(F.avg("price").alias("rate"))
-    x = x.withColumns({"avg_3": F.avg("rate").over(BY.rowsBetween(-2, 0)), "avg_7": F.avg("rate").over(BY.rowsBetween(-6, 0)), "m": F.avg("rate").over(BY.rowsBetween(-29, 0)), "sd": F.stddev_samp("rate").over(BY.rowsBetween(-29, 0))})
+    x = x.withColumns({"avg_3": F.avg("rate").over(by().rowsBetween(-2, 0)), "avg_7": F.avg("rate").over(by().rowsBetween(-6, 0)), "m": F.avg("rate").over(by().rowsBetween(-29, 0)), "sd": F.stddev_samp("rate").over(by().rowsBetween(-29, 0))})
     return x.select("symbol", "d", *r("avg_3", "avg_7"), F.round(C.safe_ratio(F.col("rate") - F.col("m"), F.col("sd")), 6).alias("z"))
 
 
 @query
 def e31_oi_changes(s, d):
     x = B.lag_returns(V.bars(s, d), [1])
-    step = lambda k: F.round(C.safe_ratio(F.col("volume"), F.lag("volume", k).over(BY)) - 1, 6).alias(f"change_{k}")
-    return x.select("symbol", "d", step(1), step(3), step(7), F.round(C.safe_ratio(F.col("volume"), F.lag("volume").over(BY)) - 1 - F.col("ret_1"), 6).alias("divergence"))
+    step = lambda k: F.round(C.safe_ratio(F.col("volume"), F.lag("volume", k).over(by())) - 1, 6).alias(f"change_{k}")
+    return x.select("symbol", "d", step(1), step(3), step(7), F.round(C.safe_ratio(F.col("volume"), F.lag("volume").over(by())) - 1 - F.col("ret_1"), 6).alias("divergence"))
 
 
 @query
@@ -69,7 +71,7 @@ def e35_plausibility(s, d):
 
 @query
 def e39_accumulation_start(s, d):
-    x = V.bars(s, d).withColumn("gain", C.safe_ratio(F.lead("close", 4).over(BY), F.col("close")) - 1)
+    x = V.bars(s, d).withColumn("gain", C.safe_ratio(F.lead("close", 4).over(by()), F.col("close")) - 1)
     return x.filter("gain >= 0.05").groupBy("symbol", F.year("d").alias("year")).agg(F.min("d").alias("first_day"), F.round(F.min_by("gain", "d"), 6).alias("gain"))
 
 

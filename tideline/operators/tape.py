@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def trades_window(rows: DataFrame, *, cadence: str, watermark: str | None = None) -> DataFrame:
     """Per symbol and window: sides, notional, OHLC by (time, arrival), size statistics. A maker row is a taker's sale."""
     if watermark:
-        rows = rows.withWatermark("ts", watermark)
+        rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)  # no watermark on timestamp_ntz
     order = F.struct("ts", "event_id")
     sold = F.col("maker")
     side = lambda c, s: F.sum(F.when(s, c).otherwise(0.0))

@@ -74,15 +74,17 @@ def unit(*cols: Column) -> Column:
     return (F.xxhash64(*cols).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
 
 
-def sampled(df: DataFrame, classes: str, per_class: int, id_col: str, seed: int = 17) -> DataFrame:
+def sampled(df: DataFrame, classes: str, per_class: int, id_col: str, seed: int = 17, *, weight: str | None = None) -> DataFrame:
     """About per_class rows of each value of `classes` at most, chosen by a hash of the id; other values stay whole.
-    The counts by class are gathered to the driver, so `classes` must have few values (labels, languages)."""
+    The counts by class are gathered to the driver, so `classes` must have few values (labels, languages).
+    `weight` names a column to add: for how many rows of its class a row stands, so that weighted shares are the true ones."""
     counts = {r[0]: r[1] for r in df.groupBy(classes).count().collect()}
     share = F.lit(1.0)
     for value, n in counts.items():
         if n > per_class:
             share = F.when(F.col(classes) == F.lit(value), F.lit(per_class / n)).otherwise(share)
-    return df.filter(unit(F.col(id_col), F.lit(seed)) < share)
+    got = df.filter(unit(F.col(id_col), F.lit(seed)) < share)
+    return got if weight is None else got.withColumn(weight, 1.0 / share)
 
 
 SIEVE_BITS = 1 << 23

@@ -67,14 +67,16 @@ class Model:
         return float(self.grades[0] + np.diff(self.grades) @ over), float(over[-1])
 
 
-def fit(texts: list[str], grades: list[int], *, epochs: int = 12, rate: float = 2.0, l2: float = 1e-5, batch: int = 64, seed: int = 3) -> Model:
-    """Maximum likelihood by stochastic gradient descent (Adagrad); thresholds stay in order as their gaps are exponentials."""
+def fit(texts: list[str], grades: list[int], weights: list[float] | None = None, *, epochs: int = 12, rate: float = 2.0, l2: float = 1e-5, batch: int = 64, seed: int = 3) -> Model:
+    """Maximum likelihood by stochastic gradient descent (Adagrad); thresholds stay in order as their gaps are exponentials.
+    weights: for how many rows each one stands; the thresholds follow the weighted shares of the grades."""
     known = sorted({int(g) for g in grades})
     if len(known) < 2:
         return Model(known, np.zeros(SIZE), np.zeros(0))
     x = np.stack([features(t) if t else np.zeros(SIZE, np.float32) for t in texts])
     y, k = np.array([known.index(int(g)) for g in grades]), len(known)
-    share = np.cumsum(np.bincount(y, minlength=k))[:-1] / len(y)
+    v = np.ones(len(y)) if weights is None else np.array(weights) / np.mean(weights)
+    share = np.cumsum(np.bincount(y, v, minlength=k))[:-1] / len(y)
     cuts = np.log(share / (1 - share))
     first, gaps = cuts[0], np.log(np.maximum(np.diff(cuts), 1e-3))
     w, sums, rng = np.zeros(SIZE), np.full(SIZE + k - 1, 1e-6), np.random.default_rng(seed)
@@ -88,7 +90,7 @@ def fit(texts: list[str], grades: list[int], *, epochs: int = 12, rate: float =
             slope = np.hstack([np.zeros((len(rows), 1)), below * (1 - below), np.zeros((len(rows), 1))])
             i = np.arange(len(rows))
             p = np.maximum(full[i, y[rows] + 1] - full[i, y[rows]], 1e-9)
-            up, low = slope[i, y[rows] + 1] / p, slope[i, y[rows]] / p
+            up, low = v[rows] * slope[i, y[rows] + 1] / p, v[rows] * slope[i, y[rows]] / p
             by_cut = np.zeros((len(rows), k - 1))
             for j in range(k - 1):
                 by_cut[:, j] = np.where(y[rows] == j, up, 0) - np.where(y[rows] == j + 1, low, 0)
@@ -105,12 +107,13 @@ def fit(texts: list[str], grades: list[int], *, epochs: int = 12, rate: float =
 
 
 def train(docs: DataFrame, ratings: DataFrame, *, grade: str = "quality", text: str = "text", per_grade: int = 1500) -> Model:
-    """Learns from rated documents that aren't held out, about `per_grade` of each grade at most. As the chosen ids are
-    bounded by that, they are broadcast, and the texts aren't shuffled."""
+    """Learns from rated documents that aren't held out, about `per_grade` of each grade at most, each weighted by the rows it
+    stands for, as `keep_at` is a cut of probabilities under the true shares. As the chosen ids are bounded by that, they are
+    broadcast, and the texts aren't shuffled."""
     rated = ratings.filter(F.col(grade).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(grade).cast("int").alias("grade"))
-    got = docs.select("doc_id", F.col(text).alias("t")).join(F.broadcast(sampled(rated, "grade", per_grade, "doc_id")), "doc_id").filter(F.col("t").isNotNull()).collect()
+    got = docs.select("doc_id", F.col(text).alias("t")).join(F.broadcast(sampled(rated, "grade", per_grade, "doc_id", weight="weight")), "doc_id").filter(F.col("t").isNotNull()).collect()
     got.sort(key=lambda r: (r["doc_id"], r["grade"], r["t"]))
-    return fit([r["t"] for r in got], [r["grade"] for r in got])
+    return fit([r["t"] for r in got], [r["grade"] for r in got], [r["weight"] for r in got])
 
 
 ADDED = ("expected_grade", "tail_prob", "rejected")

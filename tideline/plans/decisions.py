@@ -106,7 +106,7 @@ def b25_contract_to_coin(s, d):
 @query
 def d1_component_scores(s, d):
     c = V.candidates(s, d).select("symbol", F.year("d").alias("year"), F.month("d").alias("month"), *D.WEIGHTS, "risk", "num")
-    long = c.filter("num % 3 = 0").unpivot(["symbol", "year", "month"], [*D.WEIGHTS, "risk"], "grp", "score")
+    long = c.drop("num").unpivot(["symbol", "year", "month"], [*D.WEIGHTS, "risk"], "grp", "score")
     return D.component_scores(long, ["symbol", "year", "month"]).select("symbol", "year", "month", *r(*D.WEIGHTS, "risk"), "total", "coverage", "observed")
 
 

@@ -8,6 +8,7 @@ from tideline.plans import catalog
 
 CUTS = {
     "d1_component_scores": " where num % 3 = 0",
+    "c16_near": " and f.accession % 50 = 1",
 }
 
 

@@ -85,7 +85,7 @@ def c15_cluster(s, d):
 
 @query
 def c16_near(s, d):
-    f = V.filings(s, d).filter("form = '8-K' and accession % 50 = 1").select("symbol", F.col("filing_date").alias("t"))
+    f = V.filings(s, d).filter("form = '8-K'").select("symbol", F.col("filing_date").alias("t"))
     return J.near(V.bars(s, d).select("symbol", "d", "trades"), f, days=7)
 
 

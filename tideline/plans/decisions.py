@@ -54,7 +54,7 @@ def b14_instrument_classify(s, d):
 @query
 def b15_industry_flags(s, d):
     kinds = V.facts(s, d).groupBy("symbol").agg(F.countDistinct(F.when((F.col("concept") == "P") & (F.col("value") > 300000), F.col("concept"))).alias("insurer"), F.countDistinct(F.when((F.col("concept") == "P") & (F.col("value") > 250000), F.col("concept"))).alias("bank"))
-    names = V.table(s, d, "supplier").filter("s_suppkey <= 20").select("s_suppkey", F.concat(F.lit("S"), (F.col("s_suppkey") % 10).cast("string")).alias("symbol"), F.upper(F.concat_ws(" ", "s_name", F.when(F.col("s_suppkey") % 4 == 0, "bancorp").when(F.col("s_suppkey") % 4 == 1, "assurance"))).alias("name"))
+    names = V.table(s, d, "supplier").select("s_suppkey", F.concat(F.lit("S"), (F.col("s_suppkey") % 10).cast("string")).alias("symbol"), F.upper(F.concat_ws(" ", "s_name", F.when(F.col("s_suppkey") % 4 == 0, "bancorp").when(F.col("s_suppkey") % 4 == 1, "assurance"))).alias("name"))
     kind = F.when(F.col("insurer") > 0, "insurer").when(F.col("bank") > 0, "bank").when(F.contains("name", F.lit("ASSURANCE")), "insurer").when(F.contains("name", F.lit("BANCORP")), "bank").otherwise("other")
     return names.join(kinds, "symbol", "left").select("s_suppkey", kind.alias("kind"))
 

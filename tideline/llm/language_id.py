@@ -4,26 +4,28 @@ A document is the average of the embeddings of its hashed byte 2-, 3- and 4-gram
 punctuation and controls as spaces). As averaging and the softmax layer are linear before the softmax, the two matrices are
 multiplied once after training, so that a document costs one count of buckets and one small product.
 
-Defined results: a text that is null or has no letter is ``und`` with score 0 and is rejected. With nothing to learn from,
-every text is ``und``. Repeated rows each get their result; other columns pass through `classify` untouched.
+Defined results: a text that is null or has no letter (Unicode class L; numerals are none) is ``und`` with score 0 and is
+rejected. With nothing to learn from, every text is ``und``. Of languages with equal scores the first by name is given. Texts of any
+length are read whole. Repeated rows each get their result; rows without a language or an id are classified as all others, and the
+former are never learned from. An empty table gives no rows. Other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import held_out, ngram_counts, sampled
+from ._common import bounded, held_out, ngram_counts, sampled, unused
 
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -115,10 +117,11 @@ def fit(texts: list[str], langs: list[str], *, bits: int = 14, dim: int = 16, ep
 
 
 def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 700) -> Model:
-    """Learns from text and lang of rows that aren't held out: about `per_language` documents of each language at most,
-    a bound that holds whatever the size of the table. Only these come to the driver."""
+    """Learns from text and lang of rows that aren't held out: `per_language` documents of each language at most, chosen by a
+    hash of id and text, and no more rows, bytes and length of one text than `sampled` and `bounded` allow, bounds that hold
+    whatever the size of the table. Only these come to the driver."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id))).select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    got = sampled(known, "l", per_language, "i").collect()
+    got = bounded(sampled(known, "l", per_language, ["i", "t"]), "l", "t", per_language).collect()
     got.sort(key=lambda r: (str(r["i"]), r["l"], r["t"]))
     return fit([r["t"] for r in got], [r["l"] for r in got])
 
@@ -150,4 +153,5 @@ def op10(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def keep_known(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Drops the documents whose language is rejected."""
-    return classify(docs, train(docs), added=("_lang", "_score", "_rejected")).filter(~F.col("_rejected")).drop("_lang", "_score", "_rejected")
+    own = tuple(unused(docs, "lang_pred", "lang_score", "lang_rejected"))
+    return classify(docs, train(docs), added=own).filter(~F.col(own[2])).drop(*own)

@@ -1,16 +1,18 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, in DataFrame operations only.
 
-Every document draws an exponential key -ln(u) / quality from a hash of its id, so that ordering a source by key is a sample
-without replacement weighted by quality. Sizes are prefix-summed in that order. A source whose target is more than its size
-first gives complete epochs of all its documents, then the prefix that fits into what is left of the target, and one
+Every document draws an exponential key -ln(u) / quality from a digest of its id and text, so that ordering a source by key is
+a sample without replacement weighted by quality. Sizes are prefix-summed in that order. A source whose target is more than its
+size first gives complete epochs of all its documents, then the prefix that fits into what is left of the target, and one
 document more to close the gap.
 
 A source may hold any share of the rows: its order is cut into ranges of the key's logarithm (no range holds more than about
-0.4% of a source), sums by range are prefix-summed, and only rows of one range are sorted together.
+0.4% of a source, or `RANGE_ROWS` rows of a large one), sums by range are prefix-summed, and only rows of one range are sorted
+together. Rows of one id have keys of their own unless their texts are equal, too.
 
-Defined results: null is a source of its own, after all others; texts that are null or blank have size 0 and take 0; rows with
-equal ids have equal keys and are ordered by size and text hash; a table without words takes nothing. Nothing depends on the
-number or order of partitions, so reruns agree.
+Defined results: null is a source of its own, after all others; texts that are null or blank have size 0 and take 0; texts of any
+length are counted whole; rows with equal ids and texts have equal keys and are ordered by size and text; a document may be taken
+beyond its source's target only to close a gap; extra columns don't matter, whatever their names; an empty table gives no rows and a
+table without words takes nothing. Nothing depends on the number or order of partitions, so reruns agree.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, unit
+from ._common import Scratch, row_hash, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
-RANGES_PER_OCTAVE = 64
+RANGES_PER_OCTAVE, RANGE_ROWS = 64, 1_000_000
 BROADCAST_SOURCES = 10_000
 
 
@@ -39,6 +41,12 @@ def text_quality(text: Column) -> Column:
     return F.lit(1.0) - 0.9 * F.least(F.lit(1.0), F.coalesce(F.try_divide(signs * 4, F.length(text)), F.lit(0.0)))
 
 
+def draw(*cols: Column, seed: int = 11) -> Column:
+    """A uniform double in (0, 1) from the columns' text: the first 52 bits of an MD5 digest, which SQL engines share."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(c.cast("string"), F.lit("null")) for c in cols)))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
+
+
 def targets(sizes: DataFrame, weights: Sequence[float], *, budget: float | None = None, max_epochs: float = 3.0) -> DataFrame:
     """From (source, source_size): source_rank, weight and target. The weights repeat along the sources by code point, null last.
     The budget (default: all sizes) is shared by weight; a target stops at max_epochs times the size and the excess is
@@ -60,14 +68,15 @@ def targets(sizes: DataFrame, weights: Sequence[float], *, budget: float | None
 
 def mix(docs: DataFrame, weights: Sequence[float], *, doc_id: str = "doc_id", source: str = "source", size: Column, quality: Column, tie: Column, keep: Sequence[str] = (), budget: float | None = None, max_epochs: int = 3, seed: int = 11) -> DataFrame:
     """doc_id, source, size, source_size, target (its source's), epochs (how often the mix takes the row) and taken
-    (size * epochs) for every row, and the columns of `keep`."""
+    (size * epochs) for every row, and the columns of `keep`. tie: a digest of the text."""
     scratch = Scratch(docs.sparkSession)
-    key = -F.log(unit(F.col(doc_id), F.lit(seed))) / F.greatest(quality, F.lit(1e-6))
+    key = -F.log(draw(F.col(doc_id), tie, seed=seed)) / F.greatest(quality, F.lit(1e-6))
     sized = scratch.cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), key.alias("key"), tie.alias("tie"), *keep))
     goals = scratch.cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget=budget, max_epochs=max_epochs))
     few = goals.count() <= BROADCAST_SOURCES  # beyond that, a shuffled join which Spark splits where it is skewed
     rows = sized.withColumnRenamed("source", "s").join(F.broadcast(goals) if few else goals, F.col("s").eqNullSafe(F.col("source"))).drop("s")
-    rows = rows.withColumn("range", F.floor(F.log2("key") * RANGES_PER_OCTAVE))
+    per_octave = max(RANGES_PER_OCTAVE, -(-sized.count() // (4 * RANGE_ROWS)))
+    rows = rows.withColumn("range", F.floor(F.log2("key") * per_octave))
     by_range = rows.groupBy("source_rank", "range").agg(F.sum("size").alias("range_size"))
     ahead = F.sum("range_size").over(Window.partitionBy("source_rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     by_range = by_range.select("source_rank", "range", F.coalesce(ahead, F.lit(0)).alias("ahead"))
@@ -94,15 +103,16 @@ def mix(docs: DataFrame, weights: Sequence[float], *, doc_id: str = "doc_id", so
 
 def op1(spark: SparkSession, docs: DataFrame) -> DataFrame:
     text = F.col("text")
-    mixed = mix(docs, (5, 2, 1), size=n_words(text), quality=text_quality(text), tie=F.xxhash64("text"))
+    mixed = mix(docs, (5, 2, 1), size=n_words(text), quality=text_quality(text), tie=F.md5(F.coalesce(text, F.lit("")).cast("binary")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (5, 2, 1)) -> DataFrame:
-    """The mix itself: every document as often as the mix takes it, with its own columns. Rows of equal id, source and text are
+    """The mix itself: every document as often as the mix takes it, with its own columns. Rows that are equal in all columns are
     copies of one document, which is repeated as often as all of them are taken. Texts are shuffled once, by document."""
-    named = docs.withColumns({"_k1": F.xxhash64("doc_id", "source", "text"), "_k2": F.xxhash64(F.lit(1), "text", "source", "doc_id")})
+    k1, k2, epochs, epoch = unused(docs, "k1", "k2", "epochs", "epoch")
+    named = docs.withColumns({k1: row_hash(docs, 1), k2: row_hash(docs, 2)})
     text = F.col("text")
-    mixed = mix(named, weights, size=n_words(text), quality=text_quality(text), tie=F.col("_k1"), keep=["_k1", "_k2"])
-    taken = mixed.filter("epochs > 0").groupBy("_k1", "_k2").agg(F.sum("epochs").alias("_epochs"))
-    return named.dropDuplicates(["_k1", "_k2"]).join(taken, ["_k1", "_k2"]).withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select(*docs.columns)
+    mixed = mix(named.select("doc_id", "source", "text", F.col(k1).alias("k1"), F.col(k2).alias("k2")), weights, size=n_words(text), quality=text_quality(text), tie=F.concat_ws(" ", "k1", "k2"), keep=["k1", "k2"])
+    taken = mixed.filter("epochs > 0").groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.sum("epochs").alias(epochs))
+    return named.dropDuplicates([k1, k2]).join(taken, [k1, k2]).withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(epochs)))).drop(k1, k2, epochs, epoch)

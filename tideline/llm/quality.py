@@ -5,7 +5,10 @@ text: log-scaled counts of byte 2- to 4-grams at unit length, and the bins of a
 words, of words that repeat the one before, of capitals, of signs, of separators, mean word length). Expected grade and tail probability follow.
 
 Defined results: a null or blank text has the lowest grade and tail probability 0 and is rejected. Without ratings, or with
-ratings of one grade, nothing is known: every text that isn't blank gets tail probability 1 and is kept.
+ratings of one grade, nothing is known: every text that isn't blank gets tail probability 1 and is kept. Equal texts have equal
+scores. Texts of any length are read whole; repeated rows each get their result; rows without an id are scored as all others but
+never learned from; ratings that are null or of unknown documents count for nothing. An empty table gives no rows. Other columns pass
+through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import held_out, ngram_counts, sampled
+from ._common import bounded, held_out, ngram_counts, sampled, unused
 
 BITS, BINS, STATS = 13, 16, 6
 SIZE = (1 << BITS) + BINS * STATS
@@ -107,11 +110,12 @@ def fit(texts: list[str], grades: list[int], weights: list[float] | None = None,
 
 
 def train(docs: DataFrame, ratings: DataFrame, *, grade: str = "quality", text: str = "text", per_grade: int = 1500) -> Model:
-    """Learns from rated documents that aren't held out, about `per_grade` of each grade at most, each weighted by the rows it
+    """Learns from rated documents that aren't held out, `per_grade` of each grade at most, each weighted by the rows it
     stands for, as `keep_at` is a cut of probabilities under the true shares. As the chosen ids are bounded by that, they are
-    broadcast, and the texts aren't shuffled."""
+    broadcast, and the texts aren't shuffled; `bounded` limits what comes to the driver where ids repeat or texts are long."""
     rated = ratings.filter(F.col(grade).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(grade).cast("int").alias("grade"))
-    got = docs.select("doc_id", F.col(text).alias("t")).join(F.broadcast(sampled(rated, "grade", per_grade, "doc_id", weight="weight")), "doc_id").filter(F.col("t").isNotNull()).collect()
+    chosen = F.broadcast(sampled(rated, "grade", per_grade, ["doc_id"], weight="weight"))
+    got = bounded(docs.select("doc_id", F.col(text).alias("t")).join(chosen, "doc_id").filter(F.col("t").isNotNull()), "grade", "t", per_grade).collect()
     got.sort(key=lambda r: (r["doc_id"], r["grade"], r["t"]))
     return fit([r["t"] for r in got], [r["grade"] for r in got], [r["weight"] for r in got])
 
@@ -142,4 +146,5 @@ def op6(spark: SparkSession, docs: DataFrame, ratings: DataFrame) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, ratings: DataFrame) -> DataFrame:
     """Drops the documents that are rejected."""
-    return score(docs, train(docs, ratings), added=("_grade", "_tail", "_rejected")).filter(~F.col("_rejected")).drop("_grade", "_tail", "_rejected")
+    own = tuple(unused(docs, "quality_grade", "quality_tail", "quality_rejected"))
+    return score(docs, train(docs, ratings), added=own).filter(~F.col(own[2])).drop(*own)

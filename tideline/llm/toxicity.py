@@ -1,22 +1,29 @@
 """Toxicity: weak supervision. Many lexicon and pattern voters, a generative label model over their votes, and a linear
 classifier trained on the posterior labels.
 
-Lexicon voters are words and word beginnings (4 to 6 letters) that occur almost only in documents labelled toxic, mined from
-labelled rows that may be learned from, besides a short list of insults. Pattern voters are regular expressions. Each votes
-toxic where it occurs and abstains elsewhere; some voters vote clean where nothing of theirs occurs. The label model (EM over
-a binary latent label) estimates how often each voter votes under either label, and discounts voters by their correlation
-with the others under the same label. The classifier is a logistic regression on the presence of tokens.
-
-Defined results: null and empty texts score the classifier's intercept (0 without anything learned). Long and repeated texts
-score the same as one copy, as only presence counts; repeated rows each get their result.
+Lexicon voters are words and word beginnings (4 to 6 letters) that occur almost only in documents labelled toxic, besides a short
+list of insults. Candidates come from a bounded sample of the labelled rows that may be learned from; how often each occurs
+under either label is then counted over all of those rows, and only what holds there becomes a voter. Pattern voters are regular
+expressions. Each votes toxic where it occurs and abstains elsewhere; one voter votes clean where nothing of theirs occurs.
+The label model (EM over a binary latent label) estimates how often each voter votes under either label, and discounts
+voters by their correlation with the others under the same label. The classifier is a logistic regression on the presence of
+tokens.
+
+Bounds of the model, whatever the size of the table: `per_label` sampled rows of each label (within the bytes of `bounded`),
+`most` mined voters out of `6 * most` counted candidates, `background` further tokens.
+
+Defined results: null and empty texts score the classifier's intercept (0 without any toxic label, 0.5 without any label). Texts are
+read whole, and long and repeated ones score the same as one copy, as only presence counts; repeated rows each get their result;
+rows without an id are scored and never learned from; labels that are null or of unknown documents count for nothing, and where labels
+of one document differ, both count; equal tokens counts are taken in the order of the tokens; an empty table gives no rows; other columns
+pass through untouched (but for one of the name that is added).
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import held_out, sampled
+from ._common import bounded, held_out, sampled
 
 _WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
@@ -112,67 +119,85 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def mine(sets: list[frozenset[str]], labels: list[int], *, most: int = 96) -> list[str]:
-    """Tokens that occur almost only under label 1, the most telling first, and none whose documents
-    a taken one has already (nine in ten of them)."""
-    n1 = sum(labels)
-    n0 = len(labels) - n1
-    if not n1 or not n0:
-        return []
-    one, zero = Counter(), Counter()
-    for s, y in zip(sets, labels, strict=True):
-        (one if y else zero).update(s)
-    least, good = max(3, round(0.004 * n1)), []
-    for t, c in one.items():
-        lift = ((c + 0.5) / (n1 + 1)) / ((zero[t] + 0.5) / (n0 + 1))
-        if c >= least and lift >= 6 and c >= 8 * zero[t]:
-            good.append((-c * math.log(lift) * (1 if t.endswith("~") else 1.1), t))  # a whole word rather than its beginning
-    rows = {t: frozenset(i for i, s in enumerate(sets) if t in s) for _, t in sorted(good)[: 6 * most]}
-    taken: list[str] = []
-    for t in rows:
-        if len(taken) < most and all(len(rows[t] & rows[u]) < 0.9 * len(rows[t]) for u in taken):
-            taken.append(t)
-    return taken
-
-
-def fit(texts: list[str], labels: list[int], *, l2: float = 0.01, background: int = 64, l2_background: float = 20.0) -> Model:
-    """Copies and near copies (equal smallest token hashes) count once, else the words of an often copied text would vote."""
-    sets, ys, low, seen = [], [], [], set()
+#: tokens -> how many documents of label 0 and 1 have each (2 x tokens), and how many documents each label has
+Counts = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+
+def _telling(n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Of each token (2 x tokens counts) a score if it occurs almost only under label 1, else 0."""
+    zero, one = n
+    lift = ((one + 0.5) / (total[1] + 1)) / ((zero + 0.5) / (total[0] + 1))
+    good = (one >= max(3, round(0.004 * total[1]))) & (lift >= 6) & (one >= 8 * zero)
+    return np.where(good, one * np.log(np.maximum(lift, 1.0)), 0.0)
+
+
+def mine(names: list[str], n: np.ndarray, total: np.ndarray, has: Callable[[list[int]], np.ndarray], counts: Counts | None, *, most: int = 96) -> list[str]:
+    """Tokens that occur almost only under label 1, the most telling first, and none whose documents a taken one has
+    already (nine in ten of them). n: counts in the sample; counts: those over all rows; has: documents by tokens."""
+    whole = np.array([1.0 if t.endswith("~") else 1.1 for t in names])  # a whole word rather than its beginning
+    rank = _telling(n, total) * whole
+    chosen = sorted(np.flatnonzero(rank > 0).tolist(), key=lambda i: (-rank[i], names[i]))[: 6 * most]
+    if counts is not None and chosen:
+        rank = _telling(*counts([names[i] for i in chosen])) * whole[chosen]
+        order = sorted(np.flatnonzero(rank > 0).tolist(), key=lambda i: (-rank[i], names[chosen[i]]))
+        chosen = [chosen[i] for i in order]
+    hits = has(chosen).astype(np.float32)
+    both, taken = hits.T @ hits, []
+    for i in range(len(chosen)):
+        if len(taken) < most and all(both[i, j] < 0.9 * both[i, i] for j in taken):
+            taken.append(i)
+    return [names[chosen[i]] for i in taken]
+
+
+def fit(texts: list[str], labels: list[int], counts: Counts | None = None, *, l2: float = 0.01, background: int = 64, l2_background: float = 20.0) -> Model:
+    """Copies and near copies (equal smallest token hashes) count once, else the words of an often copied text would vote.
+    Tokens are numbered, so that a document is an array of numbers."""
+    number: dict[str, int] = {}
+    sets, ys, shapes, seen = [], [], [], set()
     for text, y in zip(texts, labels, strict=True):
         s = token_set(text)
         sketch = tuple(sorted(xxhash.xxh64_intdigest(t) for t in s)[:4])
         if sketch not in seen:
             seen.add(sketch)
-            sets.append(s), ys.append(int(y)), low.append((text or "").lower())
-    if not sets or len(set(ys)) < 2:
-        return Model({}, -40.0 if not any(ys) else 0.0)
-    lexicon = list(dict.fromkeys([*mine(sets, ys), *SEEDS]))
-    hits = np.array([[t in s for t in lexicon] for s in sets], float)
-    shapes = np.array([[bool(p.search(t)) for p in PATTERNS.values()] for t in low], float)
-    none = 1 - np.maximum(hits.max(1), shapes.max(1))
-    votes = np.hstack([hits, shapes, -none[:, None]])
+            sets.append(np.sort(np.array([number.setdefault(t, len(number)) for t in sorted(s)], np.int32)))
+            ys.append(int(y))
+            low = (text or "").lower()
+            shapes.append([bool(p.search(low)) for p in PATTERNS.values()])
+    y = np.array(ys)
+    if not len(y) or len(set(ys)) < 2:
+        return Model({}, -40.0 if len(y) and not y.any() else 0.0)
+    names = list(number)
+
+    def has(columns: list[int]) -> np.ndarray:
+        at = np.full(len(names), -1)
+        at[columns] = np.arange(len(columns))
+        out = np.zeros((len(sets), len(columns)), bool)
+        for row, s in zip(out, sets, strict=True):
+            found = at[s]
+            row[found[found >= 0]] = True
+        return out
+
+    df = lambda rows: np.bincount(np.concatenate([sets[i] for i in rows] or [np.empty(0, np.int32)]), minlength=len(names))
+    n = np.stack([df(np.flatnonzero(y == k)) for k in (0, 1)])
+    lexicon = list(dict.fromkeys([*mine(names, n, np.bincount(y, minlength=2), has, counts), *(t for t in SEEDS if t in number)]))
+    hits, forms = has([number[t] for t in lexicon]).astype(float), np.array(shapes, float)
+    none = 1 - np.maximum(hits.max(1, initial=0), forms.max(1))
+    votes = np.hstack([hits, forms, -none[:, None]])
     votes = votes[:, np.abs(votes).sum(0) > 0]
     _, q = fit_labels(votes)
     # tokens that go with the posterior, and frequent ones as a background
-    df, pos = Counter(), Counter()
-    for s, p in zip(sets, q, strict=True):
-        df.update(s)
-        if p > 0.5:
-            pos.update(s)
-    n, npos = len(sets), float((q > 0.5).sum())
-
-    def gain(t: str) -> float:
-        a, b = (pos[t] + 0.5) / (npos + 1), (df[t] - pos[t] + 0.5) / (n - npos + 1)
-        return abs(math.log(a / b)) * df[t]
-
-    use = list(dict.fromkeys([*lexicon, *sorted((t for t in df if df[t] >= max(10, 0.01 * n)), key=lambda t: (-gain(t), t))[:background]]))
+    every, pos = n.sum(0), df(np.flatnonzero(q > 0.5))
+    m, npos = len(sets), float((q > 0.5).sum())
+    gain = np.abs(np.log(((pos + 0.5) / (npos + 1)) / ((every - pos + 0.5) / (m - npos + 1)))) * every
+    often = sorted(np.flatnonzero(every >= max(10, 0.01 * m)).tolist(), key=lambda i: (-gain[i], names[i]))[:background]
+    use = list(dict.fromkeys([*lexicon, *(names[i] for i in often)]))
     held = np.array([l2 if i < len(lexicon) else l2_background for i in range(len(use))])  # penalties
-    x = np.array([[t in s for t in use] for s in sets], float)
+    x = has([number[t] for t in use]).astype(float)
     w, b = np.zeros(len(use)), math.log((q.mean() + 1e-3) / (1 - q.mean() + 1e-3))
+    full = np.hstack([x, np.ones((m, 1))])
     for _ in range(30):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
         r, h = p - q, np.maximum(p * (1 - p), 1e-4)
-        full = np.hstack([x, np.ones((n, 1))])
         hess = full.T @ (full * h[:, None]) + np.diag([*held, 1e-6])
         move = np.linalg.solve(hess, full.T @ r + np.array([*(held * w), 0.0]))
         w, b = w - move[:-1], b - move[-1]
@@ -181,13 +206,48 @@ def fit(texts: list[str], labels: list[int], *, l2: float = 0.01, background: in
     return Model({t: float(v) for t, v in zip(use, w, strict=True) if abs(v) > 1e-6}, float(b))
 
 
+def occurrences(docs: DataFrame, known: DataFrame, wanted: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many documents of label 0 and 1 have each of the tokens, over all rows of known (doc_id, label), and the rows of
+    each label. The texts aren't shuffled: each becomes the few tokens it has, which then meet its labels."""
+    sent = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(wanted)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, memo = sent.value, {}
+        for b in batches:
+            ids, found = [], []
+            for i, text in zip(b.column("doc_id"), b.column("t"), strict=True):
+                hits: set[int] = set()
+                for w in set(_WORD.findall((text.as_py() or "").lower())):
+                    got = memo.get(w)
+                    if got is None:
+                        if len(memo) >= 200_000:
+                            memo.clear()
+                        got = memo[w] = tuple(at[t] for t in tokens(w) if t in at)
+                    hits.update(got)
+                if hits:
+                    ids.append(i.as_py())
+                    found.append(sorted(hits))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field("doc_id").type), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "hits"])
+
+    texts = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "t")
+    found = texts.mapInArrow(run, T.StructType([texts.schema["doc_id"], T.StructField("hits", T.ArrayType(T.IntegerType()))]))
+    out, total = np.zeros((2, len(wanted))), np.zeros(2)
+    for token, label, n in found.join(known, "doc_id").select(F.explode("hits").alias("token"), "label").groupBy("token", "label").count().collect():
+        out[label, token] = n
+    for label, n in known.groupBy("label").count().collect():
+        total[label] = n
+    return out, total
+
+
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", text: str = "text", per_label: int = 3000) -> Model:
-    """Learns from labelled documents that aren't held out, about `per_label` of each label at most; their ids are bounded
-    by that and broadcast, so that texts aren't shuffled."""
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label"))
-    got = docs.select("doc_id", F.col(text).alias("t")).join(F.broadcast(sampled(known, "label", per_label, "doc_id")), "doc_id").filter(F.col("t").isNotNull()).collect()
+    """Learns from labelled documents that aren't held out, `per_label` of each label at most (see `bounded` for bytes); their ids
+    are bounded by that and broadcast, so that texts aren't shuffled. Candidates of the lexicon are counted over all rows."""
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", (F.col(label).cast("int") > 0).cast("int").alias("label"))
+    texts = docs.select("doc_id", F.col(text).alias("t"))
+    chosen = F.broadcast(sampled(known, "label", per_label, ["doc_id"]))
+    got = bounded(texts.join(chosen, "doc_id").filter(F.col("t").isNotNull()), "label", "t", per_label).collect()
     got.sort(key=lambda r: (r["doc_id"], r["label"], r["t"]))
-    return fit([r["t"] for r in got], [int(r["label"] > 0) for r in got])
+    return fit([r["t"] for r in got], [r["label"] for r in got], lambda wanted: occurrences(texts, known, wanted))
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "toxicity") -> DataFrame:

@@ -8,8 +8,13 @@ of their length. Words are merged once per worker and then looked up, as long as
 The vocabulary is a file of the tokenizers library for BPE with word ends (byte-level symbols, a suffix on the last symbol,
 text in NFC and lower case with white space dropped). Its path is a parameter; every worker reads it once.
 
+Letters, cases and canonical forms are Python's; words with characters that its tables don't know yet go through the
+library's own normaliser and pre-tokeniser, whose tables are newer.
+
 Defined results: null counts as the empty text, with no tokens. Strings of special tokens inside a text become those tokens,
-as in the library. White space splits words whatever their number or length; texts are encoded whole.
+as in the library. White space splits words whatever their number or length; texts are encoded whole. Of equal ranks the first in the
+word is merged first. Repeated rows each get their result; null ids pass through; an empty table gives no rows; extra columns pass through
+`encode` (but for those of the names added) and don't matter to `digests`.
 """
 
 from __future__ import annotations
@@ -63,6 +68,7 @@ class Bpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._pieces = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}"))
         self.words, self.pieces = Memo(), Memo()
+        self._library, self._path, self._byte = None, path, {c: i for i, c in enumerate(symbols)}
         self._numbers, self._tokens = {i: f" {i}" for i in self.tokens}, {i: f" {t}" for i, t in self.tokens.items()}
 
     # merging
@@ -161,10 +167,22 @@ class Bpe:
         for part in self._split.split(word) if self._split and "<" in word else (word,):
             if part in self.special:
                 got.append(part)
+            elif not part.isascii() and any(unicodedata.category(c) == "Cn" for c in part):
+                got += self._library_pieces(part)
             else:
                 got += self._pieces.findall(self._normal(_SPACES.sub(" ", part)))
         return got
 
+    def _library_pieces(self, part: str) -> list[str]:
+        """The pieces as the library makes them, for characters that Python's tables don't have."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        normal = self._library.normalizer.normalize_str(part)
+        found = self._library.pre_tokenizer.pre_tokenize_str(normal)
+        return [bytes(self._byte[c] for c in piece).decode("utf-8", "surrogatepass") for piece, _ in found]
+
     def _normal(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # the library lowers each sigma alone

@@ -1,7 +1,9 @@
 """Chat formatting with schema fingerprinting.
 
 A record's layout is known by its fingerprint: the hash of its sorted nested field paths. A registry maps fingerprints to
-declarative mappings, which turn prompt, instruction and message layouts into canonical turns (conv_id, turn, role, text).
+declarative mappings, which turn prompt, instruction and message layouts, and tables of one row a turn, into canonical turns
+(conv_id, turn, role, text). Of a table the fingerprint is that of its schema, so one mapping serves all of its rows; of a column of
+JSON records each row has its own.
 The template then renders each turn as
 
     <|im_start|>{role}<|im_sep|>{text}<|im_end|>
@@ -11,8 +13,11 @@ texts are broken by a backslash behind their first character, and backslashes ar
 in the output but the template's own, and reading back restores every text. The loss mask covers the texts of assistant turns.
 
 Each turn is one row of output, so no conversation, however long, is held in one row or list; `read_back` goes through the
-turns of a conversation as a stream. Defined results: null roles and texts count as empty, a null turn comes first; equal turn
-numbers are ordered by role, then text; repeated rows count as often as they occur; extra columns don't matter.
+turns of a conversation as a stream. Defined results: null roles and texts count as empty (texts of any length are formatted
+whole), a null turn comes first; equal turn numbers are ordered by role, then text; repeated rows count as often as they occur;
+rows with a null conversation are one conversation; a table whose layout no mapping knows is an error that names its paths, while
+JSON records of unknown layouts are returned apart; columns that no mapping uses don't matter where the paths of exactly one
+mapping of the most fields are there; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -90,6 +95,8 @@ def _known(*fields: str) -> set[str]:
 #: Mappings by layout. fields: what makes the fingerprint. messages: list, role and text fields, and names of roles.
 #: turns: (role, fields) in order, non-empty fields joined by a blank line; a turn without any text is left out.
 LAYOUTS: dict[str, dict[str, Any]] = {
+    "flat_turns": {"fields": ("turn", "role", "text"), "flat": ("turn", "role", "text")},
+    "flat_messages": {"fields": ("turn", "role", "content"), "flat": ("turn", "role", "content")},
     "messages": {"fields": ("messages[].role", "messages[].content"), "messages": ("messages", "role", "content")},
     "conversations": {"fields": ("conversations[].from", "conversations[].value"), "messages": ("conversations", "from", "value"), "roles": {"human": "user", "gpt": "assistant"}},
     "prompt": {"fields": ("prompt", "response"), "turns": (("user", ("prompt",)), ("assistant", ("response",)))},
@@ -106,6 +113,9 @@ def turns_of(record: dict[str, Any]) -> list[tuple[str, str]] | None:
     mapping = REGISTRY.get(fingerprint(paths(record)))
     if mapping is None:
         return None
+    if "flat" in mapping:
+        _, role, text = mapping["flat"]
+        return [(record[role] or "", record[text] or "")]
     if "messages" in mapping:
         items, role, text = mapping["messages"]
         names = mapping.get("roles", {})
@@ -138,21 +148,37 @@ def canonical_turns(records: DataFrame, *, record: str = "record", conv_id: str
     return known, parsed.filter(F.col("turns").isNull()).select("conv_id", "record", "fingerprint")
 
 
-def nested_turns(df: DataFrame, *, conv_id: str = "conv_id") -> DataFrame:
-    """Turns of a table whose columns (beside conv_id) are one layout: its schema's fingerprint selects the mapping, and
+def select_mapping(found: set[str]) -> dict[str, Any] | None:
+    """The mapping whose fingerprint is that of the paths; where there are further paths, the mapping of most fields whose own
+    paths, and none but those, are left when the rest is taken away, unless two have as many."""
+    exact = REGISTRY.get(fingerprint(found))
+    if exact is not None:
+        return exact
+    fit = [m for m in LAYOUTS.values() if REGISTRY.get(fingerprint(found & _known(*m["fields"]))) is m]
+    most = max((len(m["fields"]) for m in fit), default=0)
+    best = [m for m in fit if len(m["fields"]) == most]
+    return best[0] if len(best) == 1 else None
+
+
+def table_turns(df: DataFrame, *, conv_id: str = "conv_id") -> DataFrame:
+    """Canonical turns of a table whose columns (beside conv_id) are one layout: its schema's fingerprint selects the mapping, and
     the rest is column expressions."""
-    own = T.StructType([f for f in df.schema.fields if f.name != conv_id])
-    mapping = REGISTRY.get(fingerprint(schema_paths(own)))
+    own = schema_paths(T.StructType([f for f in df.schema.fields if f.name != conv_id]))
+    mapping = select_mapping(own)
     if mapping is None:
-        raise ValueError(f"no mapping for the layout {sorted(schema_paths(own))}")
+        raise ValueError(f"no mapping for the layout {sorted(own)}")
+    conv, long = F.col(conv_id).alias("conv_id"), lambda c: F.col(c).cast("long").alias("turn")
+    if "flat" in mapping:
+        turn, role, text = mapping["flat"]
+        return df.select(conv, long(turn), F.col(role).alias("role"), F.col(text).alias("text"))
     if "messages" in mapping:
         items, role, text = mapping["messages"]
         names = F.col(f"m.{role}")
         for a, b in mapping.get("roles", {}).items():
             names = F.when(F.col(f"m.{role}") == a, b).otherwise(names)
-        return df.select(F.col(conv_id).alias("conv_id"), F.posexplode(items).alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), names.alias("role"), F.col(f"m.{text}").alias("text"))
+        return df.select(conv, F.posexplode(items).alias("turn", "m")).select("conv_id", long("turn"), names.alias("role"), F.col(f"m.{text}").alias("text"))
     made = F.array(*(F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *(F.when(F.col(f) != "", F.col(f)) for f in fields)).alias("text")) for role, fields in mapping["turns"]))
-    return df.select(F.col(conv_id).alias("conv_id"), F.posexplode(F.filter(made, lambda m: m["text"] != "")).alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.text")
+    return df.select(conv, F.posexplode(F.filter(made, lambda m: m["text"] != "")).alias("turn", "m")).select("conv_id", long("turn"), "m.role", "m.text")
 
 
 # template
@@ -173,6 +199,11 @@ def format_turns(turns: DataFrame) -> DataFrame:
     return out.select("conv_id", "turn", F.concat(F.lit(START), "r", F.lit(SEP), "t", F.lit(END)).alias("formatted"), start.alias("loss_start"), F.when(F.col("loss"), start + F.length("t")).otherwise(start).alias("loss_end"))
 
 
+def _unescaped(col: Column) -> Column:
+    """unescape() as a column function."""
+    return F.regexp_replace(col, r"\\(\\?)", "$1")
+
+
 SUMMARY = T.StructType([T.StructField(n, k) for n, k in (("n_turns", T.LongType()), ("turns_sha256", T.StringType()), ("loss_chars", T.LongType()), ("loss_sha256", T.StringType()), ("formatted_chars", T.LongType()))])
 
 
@@ -181,7 +212,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
     the text under the loss mask, the formatted length. Rows of a conversation meet in one task (a digest has one order) but
     are sorted by Spark and read as a stream, so memory doesn't grow with a conversation."""
     kinds = T.StructType([formatted.schema["conv_id"], *SUMMARY.fields])
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "formatted")
+    role = F.substring_index(F.substring("formatted", len(START) + 1, 1 << 30), SEP, 1)
+    text = F.expr(f"substring(formatted, length(r) + {len(START) + len(SEP) + 1}, length(formatted) - length(r) - {len(START) + len(SEP) + len(END)})")
+    parts = formatted.repartition("conv_id").withColumn("r", role).withColumns({"r_own": _unescaped(F.col("r")), "t_own": _unescaped(text)})
+    ordered = parts.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "r_own", "t_own").drop("r", "r_own", "t_own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list | None = None
@@ -218,5 +252,5 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def op2(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     ask = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", ask), (-1, 1, "assistant", ask)], "conv_id long, turn long, role string, text string")
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
-    return read_back(format_turns(turns))
+    turns = table_turns(conversations).unionByName(table_turns(probe))
+    return read_back(format_turns(turns.withColumn("conv_id", F.col("conv_id").cast("long"))))

@@ -1,9 +1,9 @@
 """N-gram Jaccard join: signature trees over shingle sets.
 
-Texts become sets of word shingles, held as sorted 64-bit hashes. Documents with equal sets form a class. Classes are routed
-to buckets by bands of three min-hashes; with so many bands as `n_bands` gives, two sets at the threshold share no bucket with
-probability `MISS` (1e-10) at most, more similar ones less. Only buckets of two or more classes go on, of several buckets with the same
-members one, and only the texts of their members are read again.
+Texts become sets of word shingles, held as sorted 64-bit hashes. Documents with equal sets form a class, which gets a number. Classes
+are routed to buckets by bands of three min-hashes; with so many bands as `n_bands` gives, two sets at the threshold share no
+bucket with probability `MISS` (1e-10) at most, more similar ones less. Only buckets of two or more classes go on, of several
+buckets with the same members one, and only the texts of their members are read again.
 
 In each bucket a signature tree stands over the members in order of set size: leaves of up to `LEAF` sets and inner nodes hold the
 OR of token bitmaps, the range of set sizes, and the most tokens that share a bit with others. A dual traversal from the
@@ -13,7 +13,8 @@ Each bucket returns a spanning forest of its links, so that thousands of near co
 Buckets that hold more than `LOAD` shingles are cut into chunks, and every pair of chunks is a task of its own.
 
 Defined results: a text with fewer words than a shingle is one shingle of them all; null and blank texts have no shingles and
-link with nothing; repeated rows share their class; texts of any length are read whole; no rows in, no rows out.
+link with nothing; repeated rows share their class; rows of one id with different texts are documents of their own, which hang together only
+by links; a null id comes after all others; texts of any length are read whole; extra columns don't matter; no rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Scratch, sieve
+from ._common import Scratch, row_hash, sieve, unused
 from .components import components
 
 MISS, ROWS = 1e-10, 3
@@ -116,22 +117,23 @@ SETS = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("s
 
 
 def signatures(docs: DataFrame, *, n: int, percent: int) -> DataFrame:
-    """id, n_shingles, set_hash (null: no shingles) and bands of every row of (id, text)."""
+    """n_shingles, set_hash (null: no shingles) and bands of every row, in place of its last column, the text."""
     import hashlib
 
     count = n_bands(percent)
+    kept = docs.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 b = big.slice(at, 256)
-                sets = [shingles(t.as_py(), n) for t in b.column(1)]
+                sets = [shingles(t.as_py(), n) for t in b.column(len(kept))]
                 keys = bands(sets, count)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * count, pa.int32()), pa.array(keys.ravel()))
                 digests = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), flat], names=["id", *SETS.names])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), flat], names=[*(f.name for f in kept), *SETS.names])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["id"], *SETS.fields]))
+    return docs.mapInArrow(run, T.StructType([*kept, *SETS.fields]))
 
 
 # signature trees
@@ -231,95 +233,108 @@ def forest(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
 
 
 def links(members: DataFrame, *, n: int, percent: int) -> DataFrame:
-    """Edges (a, b) of the tasks: rows of (task, side, id, shingles), where a task is a bucket or a pair of its chunks."""
-    ordered = members.repartition("task").sortWithinPartitions("task", "id")
+    """Edges (a, b) of the tasks: rows of (task, side, node, shingles), where a task is a bucket or a pair of its chunks. A member
+    that comes several times (repeated rows) counts once."""
+    ordered = members.repartition("task").sortWithinPartitions("task", "node")
 
-    def solve(ids: list, sides: list[int], sets: list[np.ndarray]) -> list[tuple]:
+    def solve(nodes: list[int], sides: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
         side = np.array(sides)
-        return [(ids[i], ids[j]) for i, j in forest(sets, percent, side if side.any() else None)]
+        return [(nodes[i], nodes[j]) for i, j in forest(sets, percent, side if side.any() else None)] if len(nodes) > 1 else []
 
-    kind = members.schema["id"].dataType
+    def edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, ids, sides, sets, out = None, [], [], [], []
+        task, nodes, sides, sets, out = None, [], [], [], []
         for b in batches:
-            for t, s, i, raw in zip(*(b.column(c).to_pylist() for c in ("task", "side", "id", "shingles")), strict=True):
+            for t, s, i, raw in zip(*(b.column(c).to_pylist() for c in ("task", "side", "node", "shingles")), strict=True):
                 if t != task:
-                    out += solve(ids, sides, sets) if len(ids) > 1 else []
-                    task, ids, sides, sets = t, [], [], []
-                ids.append(i)
+                    out += solve(nodes, sides, sets)
+                    task, nodes, sides, sets = t, [], [], []
+                elif nodes and nodes[-1] == i:
+                    continue
+                nodes.append(i)
                 sides.append(s)
                 sets.append(np.frombuffer(raw, np.uint64))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["a", "b"])
+                yield edges(out)
                 out = []
-        out = solve(ids, sides, sets) if len(ids) > 1 else []
+        out = solve(nodes, sides, sets)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["a", "b"])
+            yield edges(out)
 
-    return ordered.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def join(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """id, n_shingles and component_id (smallest id within reach of links, itself included) of every row of docs."""
+    """Of every row of docs: n_shingles, key (struct of no_id, id and a hash of the text, which tells documents apart) and component
+    (the smallest key within reach of links, its own included)."""
     scratch = scratch or Scratch(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    key = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), row_hash(docs, 3, text).alias("hash"))
+    texts = docs.select(key.alias("key"), F.col(text).alias("text"))
     rows = scratch.cut(signatures(texts, n=n, percent=percent))
-    classes = rows.filter(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min("id").alias("id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
-    keys = scratch.cut(classes.select("id", "size", F.posexplode("bands").alias("band", "key")))
-    buckets = keys.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("id").alias("least"), F.sum("size").alias("load"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("members > 1")
+    classes = rows.filter(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min("key").alias("key"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    classes = scratch.cut(classes.withColumn("node", F.monotonically_increasing_id()))  # written, so the numbers stay
+    keys = classes.select("node", "size", F.posexplode("bands").alias("band", "band_key"))
+    buckets = keys.groupBy("band", "band_key").agg(F.count("*").alias("members"), F.min("node").alias("least"), F.sum("size").alias("load"), F.bit_xor(F.xxhash64("node")).alias("who")).filter("members > 1")
     # one of the buckets with the same members
-    buckets = buckets.groupBy("members", "least", "who").agg(F.min(F.struct("band", "key", "load")).alias("b")).select("b.*", "members")
-    of = scratch.cut(keys.join(buckets, ["band", "key"]).select("id", "band", "key", F.least(F.col("members"), F.ceil(F.col("load") / (LOAD / 2))).cast("int").alias("chunks")))
-    chunk = F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int")
+    buckets = buckets.groupBy("members", "least", "who").agg(F.min(F.struct("band", "band_key", "load")).alias("b")).select("b.*", "members")
+    of = scratch.cut(keys.join(buckets, ["band", "band_key"]).select("node", "band", "band_key", F.least(F.col("members"), F.ceil(F.col("load") / (LOAD / 2))).cast("int").alias("chunks")))
+    chunk = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
     # each pair of chunks is a task, and so is each chunk with itself
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("lo"), F.greatest(o, F.col("chunk")).alias("hi")))
-    tasks = of.withColumn("chunk", chunk).select("id", "band", "key", "chunk", F.explode(pairs).alias("p"))
-    tasks = tasks.select("id", F.xxhash64("band", "key", "p.lo", "p.hi").alias("task"), F.when(F.col("p.lo") == F.col("p.hi"), 0).when(F.col("chunk") == F.col("p.lo"), 1).otherwise(2).alias("side"))
+    tasks = of.withColumn("chunk", chunk).select("node", "band", "band_key", "chunk", F.explode(pairs).alias("p"))
+    tasks = tasks.select("node", F.xxhash64("band", "band_key", "p.lo", "p.hi").alias("task"), F.when(F.col("p.lo") == F.col("p.hi"), 0).when(F.col("chunk") == F.col("p.lo"), 1).otherwise(2).alias("side"))
     # the tasks of each member, and with them its text: so its set is sent once for each task and never before
-    wanted = tasks.groupBy("id").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))
+    wanted = tasks.groupBy("node").agg(F.collect_list(F.struct("task", "side")).alias("tasks")).join(classes.select("node", "key"), "node")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("task", "side", "id", "shingles")
+        names, done = ("task", "side", "node", "shingles"), set()
         for big in batches:
             for at in range(0, big.num_rows, 64):
                 b = big.slice(at, 64)
                 out = []
-                for i, text, tasks in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("tasks").to_pylist(), strict=True):
-                    raw = shingles(text, n).tobytes()
-                    out += [(t["task"], t["side"], i, raw) for t in tasks]
-                kinds = (pa.int64(), pa.int32(), b.schema.field("id").type, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    chosen = sieve(texts, of.select("id")).join(wanted, "id").select("id", "text", "tasks")
-    members = chosen.mapInArrow(make, T.StructType([T.StructField("task", T.LongType()), T.StructField("side", T.IntegerType()), texts.schema["id"], T.StructField("shingles", T.BinaryType())]))
+                for i, text, tasks in zip(b.column("node").to_pylist(), b.column("text").to_pylist(), b.column("tasks").to_pylist(), strict=True):
+                    if i not in done:  # repeated rows are sent once from here
+                        done.add(i)
+                        raw = shingles(text, n).tobytes()
+                        out += [(t["task"], t["side"], i, raw) for t in tasks]
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else ((),) * 4, kinds, strict=True)], names=names)
+
+    chosen = sieve(texts, wanted.select(F.col("key").alias("id")), "key").join(wanted, "key").select("node", "text", "tasks")
+    members = chosen.mapInArrow(make, "task long, side int, node long, shingles binary")
     edges = scratch.cut(links(members, n=n, percent=percent))
-    scratch.drop(keys, of)
+    scratch.drop(of)
     found = components(edges, scratch)
     scratch.drop(edges)
-    named = classes.select("set_hash", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
-    out = rows.select("id", "n_shingles", "set_hash").join(named, "set_hash", "left")
-    return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    linked = classes.select("node", "set_hash", "key").join(found, "node")
+    least = linked.groupBy("component").agg(F.min("key").alias("component_key"))
+    named = classes.select("set_hash", "key", "node").join(found.join(least, "component").select("node", "component_key"), "node", "left").select("set_hash", F.coalesce("component_key", "key").alias("component"))
+    return rows.select("key", "n_shingles", "set_hash").join(named, "set_hash", "left").select("key", "n_shingles", F.coalesce("component", "key").alias("component"))
 
 
 def op3(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return join(docs, n=4, percent=85).withColumnRenamed("id", "doc_id")
+    return join(docs, n=4, percent=85).select(F.col("key.id").alias("doc_id"), "n_shingles", F.col("component.id").alias("component_id"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Keeps one document of each group of near copies: that with the smallest id, of repeated rows one. Documents without
-    words or without an id stay."""
+    """Keeps one document of each group of near copies: that with the smallest id (of equal ids the smallest hash of the text, null
+    ids last), of rows equal in both one. Documents without words stay."""
     scratch = Scratch(spark)
-    found = scratch.cut(join(docs, scratch=scratch).groupBy("id").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("size"), F.min("component_id").alias("component")))
+    found = scratch.cut(join(docs, scratch=scratch).groupBy("key").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("size"), F.min("component").alias("component")))
     scratch.drop_others(found)
-    # ids of which rows go; only rows whose id may be one of them take part in a join
-    gone = found.filter("id <> component").select("id", F.lit(True).alias("goes"))
-    more = found.filter("id = component and rows > 1 and size > 0").select("id", F.lit(False).alias("goes"))
+    # documents of which rows go; only rows that may be one of them take part in a join
+    gone = found.filter("size > 0 and key <> component").select("key", F.lit(True).alias("goes"))
+    more = found.filter("size > 0 and key = component and rows > 1").select("key", F.lit(False).alias("goes"))
     touched = scratch.cut(gone.union(more))
     scratch.drop(found)
+    key, mark, goes = unused(docs, "key", "mark", "goes")
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), row_hash(docs, 3, "text").alias("hash")))
     # an outer join stays above the sieve, while Spark would push a semi or anti join below it, to all texts
-    marks = touched.select(F.col("id").alias("_id"), F.col("goes").alias("_goes"))
-    maybe = sieve(docs, touched, "doc_id").join(marks, F.col("doc_id") == F.col("_id"), "left")
-    once = maybe.filter(F.col("_goes").isNull()).select(*docs.columns)
-    copies = maybe.filter(~F.col("_goes")).select(*docs.columns).dropDuplicates(["doc_id"])
-    return sieve(docs, touched, "doc_id", inside=False).unionByName(once).unionByName(copies)
+    marks = touched.select(F.col("key").alias(mark), F.col("goes").alias(goes))
+    ids = touched.select(F.col("key").alias("id"))
+    maybe = sieve(keyed, ids, key).join(marks, F.col(key) == F.col(mark), "left")
+    once = maybe.filter(F.col(goes).isNull()).drop(key, mark, goes)
+    copies = maybe.filter(~F.col(goes)).withColumn(mark, row_hash(docs, 4)).groupBy(key).agg(F.min_by(F.struct(*(f"`{c}`" for c in docs.columns)), mark).alias(mark)).select(f"{mark}.*")
+    return sieve(keyed, ids, key, inside=False).drop(key).unionByName(once).unionByName(copies)

@@ -36,5 +36,74 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+
+# Every row's place in its source's weighted order, then what the target takes of it. Digests make the keys, so that both
+# engines draw the same.
+OP1 = rf"""
+with d as (select doc_id, source, coalesce(text, '') as t, md5(coalesce(text, '')) as tie from documents),
+r as (select doc_id, source, tie, len(regexp_extract_all(t, '{WORD}')) as size,
+  (cast('0x' || substr(md5('11|' || coalesce(cast(doc_id as varchar), 'null') || '|' || tie), 1, 13) as bigint) + 0.5::double) / 4503599627370496::double as u,
+  1.0::double - 0.9::double * least(1.0::double, coalesce((length(t) - length(translate(t, '!#$%&*|<>{{}}[]=_~^@\/', ''))) * 4 / nullif(length(t), 0)::double, 0)) as quality from d),
+k as (select *, -ln(u) / greatest(quality, 1e-6::double) as key from r),
+g as (select source, sum(size) as source_size, row_number() over (order by source is null, source) - 1 as rank from k group by source),
+c as (select *, [5.0::double, 2.0, 1.0][rank % 3 + 1] as weight, source_size * 3.0::double as cap from g),
+s as (select *, (sum(source_size) over ()::double - coalesce(sum(cap) over before, 0)) / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as share from c
+  window before as (order by cap / weight, rank rows between unbounded preceding and 1 preceding)),
+l as (select *, cap < share * weight as stops, max(share) filter (cap >= share * weight) over () as level from s),
+t as (select source, source_size, rank, case when stops or level is null then cap else least(cap, level * weight) end as target from l),
+o as (select k.*, t.source_size, t.rank, t.target, least(3, floor(coalesce(t.target / nullif(t.source_size, 0), 0)))::bigint as full_epochs,
+  coalesce(sum(k.size) over (partition by t.rank order by k.key, k.doc_id nulls first, k.size, k.tie rows between unbounded preceding and 1 preceding), 0) as ahead
+  from k join t on t.source is not distinct from k.source),
+p as (select *, case when full_epochs < 3 then target - full_epochs * source_size else 0 end as rest from o),
+q as (select *, ahead + size <= rest as chosen from p),
+x as (select *, rest - coalesce(sum(size) filter (chosen) over (partition by rank), 0) as gap from q),
+y as (select rank, key, doc_id, tie from x where not chosen and size > 0 and gap > 0 and size < 2 * gap
+  qualify row_number() over (partition by rank order by case when size <= gap then size else -size end desc, key desc, doc_id desc nulls last, tie desc) = 1)
+select x.doc_id, x.size::bigint as size, x.source_size::bigint as source_size, x.target, (x.size * e)::bigint as taken, e as epochs
+from (select x.*, full_epochs + (chosen or (size > 0 and y.rank is not null))::bigint as e
+  from x left join y on y.rank = x.rank and y.key = x.key and y.doc_id is not distinct from x.doc_id and y.tie = x.tie) x
+"""
+
+OP2 = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all
+  select -1, i, r, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) as v(i, r)),
+c as (select *, '\\|<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|<\|endoftext\|>|<\|startoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>' as control from t)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(32 + length(role) + len(regexp_extract_all(role, control)) + length(text) + len(regexp_extract_all(text, control)))::bigint as formatted_chars
+from c group by conv_id
+"""
+
+OP3 = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 2, 2)), lambda i: array_to_string(w[i:i + 3], ' '))) end as s from w),
+u as (select doc_id, len(s) as n, unnest(s) as g from s),
+p as (select a.doc_id as a, b.doc_id as b from u a join u b on b.g = a.g and b.doc_id <> a.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r as (select doc_id as a, doc_id as b from s union select r.a, p.b from r join p on p.a = r.b)
+select s.doc_id, len(s.s)::bigint as n_shingles, m.c as component_id from s join (select a, min(b) as c from r group by a) m on m.a = s.doc_id
+"""
+
+OP4 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and vec_id is not null),
+s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+  from v q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v) where q.vec_id % 100 = 0)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s qualify rank <= 10
+"""
+
+OP7 = """
+with recursive v as (select vec_id, label, embedding::double[] as v from embeddings where label is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (select a.vec_id as a, b.vec_id as b from v a join v b on b.label = a.label and b.vec_id <> a.vec_id and len(b.v) = len(a.v) where list_cosine_similarity(a.v, b.v) >= 0.98),
+r as (select vec_id as a, vec_id as b from embeddings union select r.a, p.b from r join p on p.a = r.b)
+select e.vec_id, (select count(*) from p where p.a = e.vec_id) as n_links, m.c as component_id, m.c = e.vec_id as kept
+from embeddings e join (select a, min(b) as c from r group by a) m on m.a = e.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the whole results of five of them. The others learn, propagate or tokenise; tests hold those to brute force."""
+    return {"op1_source_mixing": OP1, "op2_chat_formatting": OP2, "op3_ngram_jaccard_join": OP3, "op4_exact_top_k": OP4, "op7_embedding_near_dedup": OP7}

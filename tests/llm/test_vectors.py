@@ -41,7 +41,7 @@ def test_decode_gives_the_nearest_point():
 
 def test_top_k_is_exact(spark, monkeypatch):
     monkeypatch.setattr(top_k, "CANDIDATES", 150)
-    monkeypatch.setattr(top_k, "QUERIES", 2)
+    monkeypatch.setattr(top_k, "ASKED", 2)
     rng = np.random.default_rng(3)
     x = np.round(rng.normal(size=(500, 20)) * rng.choice([0.2, 1.0], size=(500, 1)), 1)
     x[7:60] = x[0]

@@ -1,29 +1,23 @@
-"""Queries over whole tables: their SQL without the filter on keys that it still has, and results that grow."""
-
-import pytest
+"""Queries over whole tables: results that grow with them."""
 
 from tests.conftest import SF
 from tests.oracle_check import TABLES, compare, connect
+from tideline.operators import decisions as D
 from tideline.plans import catalog
 
-CUTS = {
-    "d1_component_scores": " where num % 3 = 0",
-    "c16_near": " and f.accession % 50 = 1",
-    "b15_industry_flags": " where s_suppkey <= 20",
-}
-
-
-@pytest.mark.parametrize("name", CUTS)
-def test_takes_all_rows(spark, name):
-    whole = catalog.oracle_sql()[name].replace(CUTS[name], "")
-    assert compare(catalog.queries()[name](spark, SF), connect(SF).execute(whole)) == ""
-
 
 def test_b15_takes_suppliers_of_all_keys(spark, tmp_path):
     for t in TABLES:
         (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
     (tmp_path / "supplier.parquet").unlink()
     spark.range(100).selectExpr("id as s_suppkey", "concat('Supplier#', id) as s_name").write.parquet(str(tmp_path / "supplier.parquet"))
-    whole = catalog.oracle_sql()["b15_industry_flags"].replace(CUTS["b15_industry_flags"], "")
+    whole = catalog.oracle_sql()["b15_industry_flags"]
     got = catalog.queries()["b15_industry_flags"](spark, str(tmp_path))
     assert got.count() == 100 and compare(got, connect(str(tmp_path)).execute(whole)) == ""
+
+
+def test_adjustment_folds_case(spark):
+    rows = [("High", "Bullish"), ("high", "bullish"), ("", ""), (None, None), ("medium", "neutral")]
+    df = spark.createDataFrame(rows, "materiality string, sentiment string").selectExpr("*", "'guidance' as kind", "'valid' as status", "true as quote_ok", "0.8D as confidence", "cast(null as double) as spread", "0 as days_since", "cast(null as double) as risk")
+    got = [x.adjustment for x in D.scaled_adjustment(df).collect()]
+    assert got[0] == got[1] > 0 and got[2] == got[3] == got[4]

@@ -163,10 +163,11 @@ def gap_days(df: DataFrame) -> DataFrame:
 
 
 def episodes(df: DataFrame, gap: int) -> DataFrame:
-    """Runs of rows no more than `gap` days apart: number, first and last day, rows, best close."""
+    """Runs of rows no more than `gap` days apart: number, first and last day, rows, best close, and the returns of the last and
+    of the best close on the first."""
     new = F.datediff("d", F.lag("d").over(by_key())) > gap
     out = df.withColumn("episode", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(by_key().rowsBetween(Window.unboundedPreceding, 0)))
-    return out.groupBy("symbol", "episode").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count("*").alias("n"), F.max("close").alias("best"))
+    return out.groupBy("symbol", "episode").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count("*").alias("n"), F.max("close").alias("best"), (F.max_by("close", "d") / F.min_by("close", "d") - 1).alias("total_ret"), (F.max("close") / F.min_by("close", "d") - 1).alias("best_ret"))
 
 
 def trailing_z(df: DataFrame, value: Column, n: int, min_hist: int) -> DataFrame:

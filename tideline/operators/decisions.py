@@ -88,10 +88,15 @@ def pct_move(filled: Column, realised: Column, entry: Column, now: Column) -> Co
     return F.when(filled & realised.isNotNull(), realised * 100).when(entry > 0, (now / entry - 1) * 100)
 
 
+def _word(name: str, default: str) -> Column:
+    """Lower-cased; null and empty are the default."""
+    return F.coalesce(F.nullif(F.lower(name), F.lit("")), F.lit(default))
+
+
 def scaled_adjustment(df: DataFrame) -> DataFrame:
     """static(materiality, sentiment) * confidence * scope * (spread haircut, else 90-day decay) * risk, within +-5."""
     bad = F.coalesce(F.col("status").isin("invalid", "invalid_quote", "weak", "rejected"), F.lit(False)) | ~F.coalesce("quote_ok", F.lit(True))
-    static = case(F.concat_ws("/", F.coalesce("materiality", F.lit("medium")), F.coalesce("sentiment", F.lit("neutral"))), {"/".join(k): v for k, v in STATIC.items()}, 0.0)
+    static = case(F.concat_ws("/", _word("materiality", "medium"), _word("sentiment", "neutral")), {"/".join(k): v for k, v in STATIC.items()}, 0.0)
     conf = C.clamp(F.coalesce("confidence", F.lit(0.0)), 0.0, 1.0)
     decay = F.greatest(F.lit(0.0), 1 - F.coalesce("days_since", F.lit(0)) / 90.0)
     market = F.when(F.col("spread") < 2, 0.20).when(F.col("spread") < 5, 0.55).when(F.col("spread").isNotNull(), 0.90).otherwise(decay)

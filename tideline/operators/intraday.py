@@ -108,9 +108,9 @@ def path_labels(bars: DataFrame, horizons: list[int], gaps: DataFrame) -> DataFr
     return out.withColumn("valid", F.col("complete") & F.col("_bad").isNull()).drop("_s", "_last", "_bad")
 
 
-def rebuild_book(changes: DataFrame, as_of: int, *, top: int = 5) -> DataFrame:
-    """The book as of an update: the last quantity set at each level since the latest snapshot; 0 removes. Best `top` a side."""
-    past = changes.filter(F.col("u") <= as_of)
+def rebuild_book(changes: DataFrame, as_of: int | None = None, *, top: int = 5) -> DataFrame:
+    """The book as of an update (default: the latest): the last quantity set at each level since the latest snapshot; 0 removes. Best `top` a side."""
+    past = changes if as_of is None else changes.filter(F.col("u") <= as_of)
     start = past.filter("snapshot").groupBy("symbol").agg(F.max("u").alias("_from"))
     live = past.join(start, "symbol", "left").filter(F.col("_from").isNull() | (F.col("u") >= F.col("_from")))
     book = live.groupBy("symbol", "side", "price").agg(F.max_by("qty", "u").alias("qty")).filter("qty > 0")

@@ -266,7 +266,7 @@ def d19_brier(s, d):
 @query
 def d20_linear_trend(s, d):
     m = V.bars(s, d).groupBy("symbol", F.year("d").alias("year")).agg(F.avg("close").alias("y"))
-    return m.groupBy("symbol").agg(F.round(F.regr_slope("y", "year"), 4).alias("slope"), F.count("*").alias("n")).filter("n >= 3")
+    return m.groupBy("symbol").agg(F.round(F.regr_slope("y", "year"), 4).alias("slope"), F.round(F.regr_intercept("y", "year"), 2).alias("intercept"), F.count("*").alias("n")).filter("n >= 3")
 
 
 @query
@@ -405,7 +405,8 @@ def e36_breakouts(s, d):
 
 @query
 def e38_episodes(s, d):
-    return B.episodes(V.bars(s, d).filter("close > 50000"), 10).select("symbol", "first_day", "last_day", "n", *r("best", digits=8))
+    moves = B.lag_returns(V.bars(s, d), [1]).filter("abs(ret_1) > 0.1")
+    return B.episodes(moves, 5).select("symbol", "first_day", "last_day", "n", *r("best", "total_ret", "best_ret", digits=7))
 
 
 @query
@@ -443,7 +444,8 @@ def g7_latest_dates(s, d):
 @query
 def h1_candidate_union(s, d):
     b = V.bars(s, d)
-    x, y = b.filter("trades > 25").select("symbol", "d").distinct(), b.filter("volume > 500").select("symbol", "d").distinct()
+    usual = F.broadcast(b.agg((F.avg("trades") * 1.3).alias("many"), (F.avg("volume") * 1.3).alias("much")))  # one row
+    x, y = (b.crossJoin(usual).filter(c).select("symbol", "d").distinct() for c in ("trades > many", "volume > much"))
     both = x.withColumn("a", F.lit(1)).join(y.withColumn("b", F.lit(1)), ["symbol", "d"], "full_outer")
     return both.select("symbol", "d", F.when(F.col("b").isNull(), "add").when(F.col("a").isNull(), "remove").otherwise("keep").alias("change"))
 
@@ -520,13 +522,13 @@ def l10_table_inventory(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import decisions, evaluation, intraday, upkeep  # noqa: F401 (registers its queries)
+    from . import decisions, equity, evaluation, intraday, upkeep  # noqa: F401 (registers its queries)
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
     queries()
-    from . import oracle_evaluation, oracle_intraday, oracle_paths, oracle_upkeep
+    from . import oracle_equity, oracle_evaluation, oracle_intraday, oracle_paths, oracle_upkeep
 
-    return {k: v for m in (oracle, oracle_paths, oracle_intraday, oracle_evaluation, oracle_upkeep) for k, v in m.all_sql().items() if k in _queries}
+    return {k: v for m in (oracle, oracle_paths, oracle_intraday, oracle_evaluation, oracle_upkeep, oracle_equity) for k, v in m.all_sql().items() if k in _queries}

@@ -160,7 +160,7 @@ def k7_hard_floor(s, d):
 def k10_costs_net(s, d):
     x = P.first_exit(path(s, d), [P.target(0.5)])
     rank = B.volume_rank(V.bars(s, d), "2000-06-30", 90).select("symbol", (F.col("rank") * 5).alias("rank"))
-    net = x.join(F.broadcast(rank), "symbol", "left").withColumn("net", F.col("ret") - D.trade_cost(F.col("rank")))
+    net = x.join(rank, "symbol", "left").withColumn("net", F.col("ret") - D.trade_cost(F.col("rank")))
     return net.select("symbol", "d", *r("ret", "net", digits=5))
 
 

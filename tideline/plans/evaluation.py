@@ -49,7 +49,7 @@ def a12_infer_gaps(s, d):
 @query
 def c2_left_lookup(s, d):
     sup = V.table(s, d, "supplier").groupBy((F.col("s_suppkey") % 10).alias("k")).agg(F.round(F.sum("s_acctbal"), 2).alias("cap"))
-    dim = F.broadcast(sup.select(F.concat(F.lit("S"), F.col("k").cast("string")).alias("symbol"), "cap").filter("cap > 0"))
+    dim = sup.select(F.concat(F.lit("S"), F.col("k").cast("string")).alias("symbol"), "cap").filter("cap > 0")
     return V.bars(s, d).join(dim, "symbol", "left").select("symbol", "d", "cap")
 
 
@@ -120,7 +120,7 @@ def c22_leak_check(s, d):
 def c24_latest_mark(s, d):
     pos = V.preds(s, d).filter("prob >= 0.95").select("symbol", "d", "close", (F.year("d") - 1990).alias("qty"))
     mark = V.bars(s, d).groupBy("symbol").agg(F.max_by("close", "d").alias("mark"))
-    x = pos.join(F.broadcast(mark), "symbol")
+    x = pos.join(mark, "symbol")
     return x.groupBy("symbol").agg(F.round(F.sum((F.col("mark") - F.col("close")) * F.col("qty")), 2).alias("unrealised"), F.count("*").alias("n"))
 
 
@@ -217,13 +217,14 @@ def d35_leave_one_out(s, d):
 @query
 def d36_config_ranking(s, d):
     x = A.event_day_sharpe(V.preds(s, d).filter("ret is not null"), ["model", "horizon"]).withColumn("sharpe", F.round("sharpe", 6))
-    place = F.row_number().over(Window.orderBy(F.col("sharpe").desc_nulls_last(), "model", "horizon"))  # one row a run
-    return x.select("model", "horizon", "sharpe", place.alias("place")).filter("place <= 10")
+    best = x.orderBy(F.col("sharpe").desc_nulls_last(), "model", "horizon").limit(10)
+    place = F.row_number().over(Window.orderBy(F.col("sharpe").desc_nulls_last(), "model", "horizon"))  # ten rows
+    return best.select("model", "horizon", "sharpe", place.alias("place"))
 
 
 @query
 def d37_recurring_keys(s, d):
-    x = V.preds(s, d).filter("prob >= 0.97").groupBy("symbol", "model").agg(F.sort_array(F.collect_set(F.col("d").cast("string"))).alias("days"))
+    x = V.preds(s, d).groupBy("symbol", "model").agg(F.sort_array(F.collect_set(F.col("d").cast("string"))).alias("days"))
     return x.filter(F.size("days") > 1).select("symbol", "model", F.size("days").alias("n"), F.concat_ws(",", "days").alias("days"))
 
 

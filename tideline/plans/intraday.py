@@ -185,15 +185,15 @@ def h8_source_coverage(s, d):
 
 @query
 def h10_row_fingerprint(s, d):
-    row = F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region")))
-    return V.table(s, d, "nation").select("n_nationkey", F.sha2(row, 256).alias("fingerprint"))
+    row = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_custkey").alias("customer"), F.col("c_nationkey").alias("nation")))
+    return V.table(s, d, "customer").select("c_custkey", F.sha2(row, 256).alias("fingerprint"))
 
 
 @query
 def h11_json_metadata(s, d):
-    x = V.table(s, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"), F.min("n_nationkey").alias("first"))
+    x = V.table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
     j = F.to_json(F.struct("n", "first"))
-    return x.select("n_regionkey", j.alias("meta"), F.get_json_object(j, "$.first").cast("long").alias("first_key"))
+    return x.select("o_custkey", j.alias("meta"), F.get_json_object(j, "$.first").cast("long").alias("first_key"))
 
 
 @query
@@ -235,7 +235,7 @@ def i11_path_labels(s, d):
 def i13_book_reconstruct(s, d):
     t = V.ticks(s, d)
     c = t.select("symbol", F.col("event_id").alias("u"), F.when(F.col("maker"), "bid").otherwise("ask").alias("side"), F.floor("price").cast("double").alias("price"), (F.col("event_id") % 4).cast("double").alias("qty"), (F.col("event_id") % 1009 == 0).alias("snapshot"))
-    return I.rebuild_book(c, 9_000)
+    return I.rebuild_book(c)
 
 
 @query

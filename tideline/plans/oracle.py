@@ -70,7 +70,7 @@ def all_sql() -> dict[str, str]:
     s["d17_threshold_sweep"] = f"with {PREDS}, g as (select round(0.3 + 0.02 * i, 2) as threshold from range(25) t(i)), p as (select prob, hit from preds where hit is not null) select threshold, count(*) filter (prob >= threshold) as n, round(count(*) filter (prob >= threshold and hit) / nullif(count(*) filter (prob >= threshold), 0), 6) as precision, round(count(*) filter (prob >= threshold and hit) / count(*) filter (hit), 6) as recall from g, p group by threshold"
     s["d18_precision_at_k"] = f"with {PREDS}, t as (select *, row_number() over (partition by model order by prob desc, symbol) as k from preds where hit is not null) select model, round(avg(cast(hit as double)), 6) as precision from t where k <= 20 group by model"
     s["d19_brier"] = f"with {PREDS} select strftime(d, '%Y-%m') as month, round(avg((prob - cast(hit as double)) * (prob - cast(hit as double))), 6) as brier from preds where hit is not null group by 1"
-    s["d20_linear_trend"] = f"with {BARS}, m as (select symbol, year(d) as year, avg(close) as y from bars group by 1, 2) select symbol, round(regr_slope(y, year), 4) as slope, count(*) as n from m group by 1 having count(*) >= 3"
+    s["d20_linear_trend"] = f"with {BARS}, m as (select symbol, year(d) as year, avg(close) as y from bars group by 1, 2) select symbol, round(regr_slope(y, year), 4) as slope, round(regr_intercept(y, year), 2) as intercept, count(*) as n from m group by 1 having count(*) >= 3"
     s["d22_class_weight"] = f"with {PREDS} select horizon, round(count(*) filter (not hit) / nullif(count(*) filter (hit), 0), 6) as weight from preds where hit is not null group by 1"
     s["d23_sector_concentration"] = "with n as (select r_name as sector, count(*) as n from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1) select sector, n, round(n / sum(n) over (), 6) as share, round(n / sum(n) over (), 6) > 0.3 as heavy from n"
     s["d24_regime"] = f"with {PREDS}, q as (select d, avg(case when prob >= 0.6 then 1.0 else 0.0 end) as share from preds group by d) select d, case when share >= 0.5 then 'high' when share >= 0.2 then 'normal' else 'low' end as regime from q"
@@ -96,14 +96,14 @@ def all_sql() -> dict[str, str]:
     s["e32_dominance"] = f"with {BARS} select symbol, d, round(sum(case when symbol = 'S0' then volume end) over (partition by d) / sum(volume) over (partition by d), 5) as bench_share, round(log10(greatest(1.0, volume * close)), 5) as log_dollar from bars"
     s["e33_volume_rank"] = f"with {BARS}, q as (select symbol, avg(close * volume) as dollar from bars where d <= date '2000-06-30' and d > date '2000-06-30' - 90 group by 1) select symbol, round(dollar, 2) as dollar, cast(rank() over (order by dollar desc) as int) as rank from q"
     s["e36_breakouts"] = f"with {BARS}, q as (select symbol, d, close, max(close) over (partition by symbol order by d range between interval 252 days preceding and interval 1 days preceding) as prior_high from bars) select symbol, d, round(close, 8) as close, round(prior_high, 8) as prior_high from q where close > prior_high qualify row_number() over {W} = 1"
-    s["e38_episodes"] = f"with {BARS}, x as (select *, case when d - lag(d) over {W} <= 10 then 0 else 1 end as new from bars where close > 50000), y as (select *, sum(new) over {w('unbounded preceding', 'current row')} as g from x) select symbol, min(d) as first_day, max(d) as last_day, count(*) as n, round(max(close), 8) as best from y group by symbol, g"
+    s["e38_episodes"] = f"with {BARS}, moves as (select * from (select *, {LAG(1)} as m from bars) where abs(m) > 0.1), x as (select *, case when d - lag(d) over {W} <= 5 then 0 else 1 end as new from moves), y as (select *, sum(new) over {w('unbounded preceding', 'current row')} as g from x) select symbol, min(d) as first_day, max(d) as last_day, count(*) as n, round(max(close), 7) as best, round(arg_max(close, d) / arg_min(close, d) - 1, 7) as total_ret, round(max(close) / arg_min(close, d) - 1, 7) as best_ret from y group by symbol, g"
     s["e42_gap_days"] = f"with {BARS}, g as (select symbol, cast(unnest(generate_series(min(d), max(d), interval 1 day)) as date) as d from bars group by symbol) select symbol, d from g where not exists (select 1 from bars b where b.symbol = g.symbol and b.d = g.d)"
     s["g1_top_n_per_group"] = f"with {PREDS}, t as (select symbol, d, prob, cast(row_number() over (partition by d order by prob desc, symbol) as int) as rank_in_day from preds) select * from t where rank_in_day <= 3"
     s["g3_adaptive_select"] = f"with {PREDS}, c as (select symbol, d, prob, count(*) filter (prob >= 0.6) over (partition by d) >= 3 as confident from preds), t as (select *, cast(row_number() over (partition by d order by prob desc, symbol) as int) as rank_in_day from c where prob >= case when confident then 0.6 else 0.5 end) select * from t where rank_in_day <= 4"
     s["g4_cap_per_key"] = f"with {FILINGS}, t as (select *, row_number() over (partition by symbol order by form, filing_date desc, accession) as k from filings) select symbol, form, filing_date, accession from t where k <= 3 order by form, filing_date desc, accession limit 20"
     s["g5_hash_sample"] = f"with {FILINGS} select accession, sha256(concat(cast(accession as varchar), 'salt')) as h from filings order by h limit 50"
     s["g7_latest_dates"] = f"with {BARS} select d from bars group by d order by d desc limit 7"
-    s["h1_candidate_union"] = f"with {BARS} select symbol, d, case when not volume > 500 then 'add' when not trades > 25 then 'remove' else 'keep' end as change from bars where trades > 25 or volume > 500"
+    s["h1_candidate_union"] = f"with {BARS} select symbol, d, case when not volume > much then 'add' when not trades > many then 'remove' else 'keep' end as change from bars, (select avg(trades) * 1.3 as many, avg(volume) * 1.3 as much from bars) where trades > many or volume > much"
     s["h2_distinct_rows"] = f"with {FILINGS} select symbol, form from filings group by symbol, form"
     s["h3_html_text"] = r"""select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) as text from pages"""
     s["h9_surprise_pct"] = "select p_partkey, round((p_retailprice - p_size * 40) / nullif(abs(p_size * 40), 0) * 100, 7) as surprise from part"

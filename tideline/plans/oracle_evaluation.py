@@ -21,7 +21,7 @@ def all_sql() -> dict[str, str]:
     s["c7_row_range_having"] = f"with {PREDS}, n as (select *, row_number() over {W} as k from bars) select p.symbol, p.d, round(max(m.high), 8) as top, round(min(m.low), 8) as bottom from preds p join n on n.symbol = p.symbol and n.d = p.d join n m on m.symbol = n.symbol and m.k > n.k and m.k <= n.k + 10 where p.prob >= 0.8 group by 1, 2 having count(*) = 10"
     s["c10_attach_series"] = f"with {BARS}, x as (select cast(date_trunc('week', o_orderdate) as date) as t, avg(o_totalprice) as v from orders where o_orderstatus = 'F' group by 1), y as (select t, v, v - lag(v) over (order by t) as step from x), ds as (select distinct d from bars), m as (select d, (select max(t) from y where t <= d) as t from ds) select b.symbol, b.d, round(y.v, 9) as level, round(case when y.t = b.d then y.step end, 9) as step from bars b left join m on m.d = b.d left join y on y.t = m.t"
     s["c15_cluster"] = f"with {BARS}, e as (select symbol, d, cast(substr(symbol, 2) as int) % 2 as grp from (select symbol, d, {LAG(1)} as r from bars) where r > 3) select a.symbol, a.d, count(*) as others from e a join e b on b.grp = a.grp and b.symbol <> a.symbol and b.d between a.d - 3 and a.d + 3 group by 1, 2 having count(*) >= 2"
-    s["c16_near"] = f"with {BARS}, {FILINGS} select symbol, d, trades from bars b where exists (select 1 from filings f where f.symbol = b.symbol and f.form = '8-K' and f.accession % 50 = 1 and f.filing_date between b.d - 7 and b.d + 7)"
+    s["c16_near"] = f"with {BARS}, {FILINGS} select symbol, d, trades from bars b where exists (select 1 from filings f where f.symbol = b.symbol and f.form = '8-K' and f.filing_date between b.d - 7 and b.d + 7)"
     s["c17_point_lookup"] = f"with {PREDS}, x as (select symbol, d, round({LAG(60)}, 6) as ret_60 from bars) select p.symbol, p.d, x.ret_60 from preds p join x on x.symbol = p.symbol and x.d = p.d where p.prob >= 0.95 and x.ret_60 is not null"
     s["c18_interval_overlap"] = f"with {HOURS}, g as (select h as a from hours where symbol = 'U3' and hour(h) = 5) select symbol, h, exists (select 1 from g where a <= hours.h + interval 6 hour and a >= hours.h) as overlaps from hours"
     s["c20_pair_spread"] = f"with {BARS} select a.d, round(a.close - b.close, 7) as spread from bars a join bars b on b.d = a.d and b.symbol = 'S2' where a.symbol = 'S1'"
@@ -43,7 +43,7 @@ def all_sql() -> dict[str, str]:
     s["d34_friction_sweep"] = f"with {SCORED}, p as (select cast(c as double) as cost, d, ret - c as ret from rt, (select unnest([0.0, 0.25, 0.5, 1.0]::double[]) as c)), b as (select cost, {SHARPE} as sharpe from (select cost, d, sum(ret) as pnl from p group by 1, 2) group by 1), a as (select cost, {STATS} from p group by 1) select a.cost, n, round(win_rate, 5) as win_rate, round(mean_ret, 5) as mean_ret, round(sharpe, 5) as sharpe from a join b on b.cost = a.cost"
     s["d35_leave_one_out"] = f"with {SCORED}, q as (select d, cast(date_trunc('month', d) as date) as mo, sum(ln(1 + ret)) as pnl from rt group by 1, 2), t as (select {SHARPE} as whole from q), o as (select m.mo as month, {SHARPE} as sharpe from (select distinct mo from q) m join q on q.mo <> m.mo group by 1) select month, round(sharpe, 5) as sharpe, round(sharpe / whole, 5) as ratio from o, t"
     s["d36_config_ranking"] = f"with {SCORED}, q as (select model, horizon, round({SHARPE}, 6) as sharpe from (select model, horizon, d, sum(ret) as pnl from rt group by 1, 2, 3) group by 1, 2) select model, horizon, sharpe, cast(row_number() over (order by sharpe desc nulls last, model, horizon) as int) as place from q qualify place <= 10"
-    s["d37_recurring_keys"] = f"with {PREDS} select symbol, model, cast(count(distinct d) as int) as n, string_agg(cast(d as varchar), ',' order by d) as days from preds where prob >= 0.97 group by 1, 2 having count(distinct d) > 1"
+    s["d37_recurring_keys"] = f"with {PREDS} select symbol, model, cast(count(distinct d) as int) as n, string_agg(cast(d as varchar), ',' order by d) as days from preds group by 1, 2 having count(distinct d) > 1"
     tier = lambda v: f"case when {v} >= 75 then 'A' when {v} >= 60 then 'B' when {v} >= 45 then 'C' else 'Reject' end"
     s["d38_shadow_cap"] = f"with {CANDS}, q as (select symbol, cast(date_trunc('month', d) as date) as month, greatest(-5.0, least(5.0, sum(num % 9 - 4))) as adj, max(num * 23 % 101) as sc from cands group by 1, 2) select symbol, month, cast(adj as double) as adj, {tier('(sc + adj)')} as tier, case when {tier('sc')} = {tier('(sc + adj)')} then 'same' when adj > 0 then 'up' else 'down' end as move from q"
     s["d39_rule_aggregates"] = f"with {BARS}, q as (select symbol, d, close, ln(close / lag(close) over {W}) as lr, {LAG(1)} as r, max(close) over {w('1 following', '5 following')} / close - 1 as f from bars), p as (select *, case when count(lr) over {w('19 preceding', 'current row')} >= 2 then stddev_samp(lr) over {w('19 preceding', 'current row')} end as vol from q) select case when r > 1 then 'up' when r < -0.5 then 'down' else 'quiet' end as rule, count(*) as n, round(avg(case when f >= 0.5 then 1.0 else 0.0 end), 6) as rate, round(avg(ln(1 + f) / vol), 5) as mean_norm from p where vol > 0 and f is not null group by 1"

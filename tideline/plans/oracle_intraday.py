@@ -57,8 +57,8 @@ def all_sql() -> dict[str, str]:
     s["h4_contains_quote"] = r"""with q as (select doc_id, lower(trim(regexp_replace(translate(text, '‘’“”', '''''""'), '[ \t\r\n]+', ' ', 'g'))) as t from documents) select doc_id, contains(t, 'the ') as found, cast(length(t) as int) as length from q"""
     s["h7_event_priority"] = "select doc_id, cast(case when source = 'web' then 2 else 1 end + least(len(regexp_extract_all(text, '(report|market|price)')), 3) + case when length(text) > 2000 then 1 else 0 end as int) as priority from documents"
     s["h8_source_coverage"] = "select source, count(*) as n, count(*) filter (length(text) > 1000) as long, count(*) filter (length(text) < 100) as short, count(*) filter (lang is null) as unknown from documents group by 1"
-    s["h10_row_fingerprint"] = """select n_nationkey, sha256(concat('{"name":"', n_name, '","nation":', n_nationkey, ',"region":', n_regionkey, '}')) as fingerprint from nation"""
-    s["h11_json_metadata"] = """select n_regionkey, concat('{"n":', count(*), ',"first":', min(n_nationkey), '}') as meta, cast(min(n_nationkey) as bigint) as first_key from nation group by 1"""
+    s["h10_row_fingerprint"] = """select c_custkey, sha256(concat('{"name":"', c_name, '","customer":', c_custkey, ',"nation":', c_nationkey, '}')) as fingerprint from customer"""
+    s["h11_json_metadata"] = """select o_custkey, concat('{"n":', count(*), ',"first":', min(o_orderkey), '}') as meta, cast(min(o_orderkey) as bigint) as first_key from orders group by 1"""
     s["i2_bookticker_window"] = f"with {QUOTES} select symbol, date_trunc('hour', ts) as window_start, round(arg_min(bid, event_id), 6) as bid_open, round(max(bid), 6) as bid_high, round(min(bid), 6) as bid_low, round(arg_max(bid, event_id), 6) as bid_close, round(arg_min(ask, event_id), 6) as ask_open, round(arg_max(ask, event_id), 6) as ask_close, round(avg(bid_qty), 6) as bid_qty_mean, round(max(ask - bid), 6) as spread_max, round(avg(ask - bid), 6) as spread_mean, arg_max(bid_qty, event_id) as bid_qty_last, max(ask_qty) as ask_qty_max, min(ask_qty) as ask_qty_min, count(*) as n from quotes group by 1, 2"
     s["i4_liquidation_window"] = f"with {TICKS} select symbol, {BUCKET6} as window_start, coalesce(sum(qty) filter (not maker), 0) as buy_volume, coalesce(sum(qty) filter (maker), 0) as sell_volume, round(coalesce(sum(price * qty) filter (not maker), 0), 6) as buy_notional, round(coalesce(sum(price * qty) filter (maker), 0), 6) as sell_notional, count(*) filter (not maker) as buys, count(*) filter (maker) as sells from ticks group by 1, 2"
     s["i5_depth_window"] = f"with {QUOTES}, l as (select symbol, ts, event_id, unnest(['bid', 'ask']) as side, bid, ask, bid_qty, ask_qty from quotes), p as (select symbol, ts, event_id, side, cast(i as int) as level, case side when 'bid' then bid - 0.05::double * i else ask + 0.05::double * i end as price, case side when 'bid' then bid_qty else ask_qty end + i as qty from l, range(5) r(i)) select symbol, {BUCKET6} as window_start, side, level, round(arg_min(price, event_id), 6) as price_open, round(max(price), 6) as price_high, round(min(price), 6) as price_low, round(arg_max(price, event_id), 6) as price_close, round(avg(qty), 6) as qty_mean, arg_max(qty, event_id) as qty_last, min(qty) as qty_min, max(qty) as qty_max from p group by all"
@@ -66,7 +66,7 @@ def all_sql() -> dict[str, str]:
     s["i11_path_labels"] = f"""with {HOURS}, gaps as (select h as a, h + interval 30 minute as b from hours where symbol = 'U3' and hour(h) = 5), x as (select symbol, h, close, unnest([1, 4, 12]) as horizon from hours), y as (select * from x where h + to_hours(horizon) <= (select max(h) from hours)),
     z as (select y.symbol, y.h, y.horizon, y.close, max(b.high) / y.close - 1 as mfe, min(b.low) / y.close - 1 as mae, max(case when b.h = y.h + to_hours(y.horizon) then b.close end) / y.close - 1 as fr, count(b.h) = y.horizon as complete from y left join hours b on b.symbol = y.symbol and b.h > y.h and b.h <= y.h + to_hours(y.horizon) group by 1, 2, 3, 4)
     select symbol, h, cast(horizon as int) as horizon, round(fr, 6) as fwd_return, round(mfe, 6) as mfe, round(mae, 6) as mae, complete and not exists (select 1 from gaps where a <= z.h + interval 1 hour + to_hours(z.horizon) and b >= z.h + interval 1 hour) as valid from z"""
-    s["i13_book_reconstruct"] = f"with {TICKS}, c as (select symbol, event_id as u, case when maker then 'bid' else 'ask' end as side, floor(price) as price, cast(event_id % 4 as double) as qty, event_id % 1009 = 0 as snap from ticks where event_id <= 9000), st as (select symbol, max(u) as f from c where snap group by 1), l as (select c.* from c left join st on st.symbol = c.symbol where st.f is null or c.u >= st.f), b as (select symbol, side, price, arg_max(qty, u) as qty from l group by 1, 2, 3) select symbol, side, price, qty, cast(row_number() over (partition by symbol, side order by case when side = 'bid' then -price else price end) as int) as level from b where qty > 0 qualify level <= 5"
+    s["i13_book_reconstruct"] = f"with {TICKS}, c as (select symbol, event_id as u, case when maker then 'bid' else 'ask' end as side, floor(price) as price, cast(event_id % 4 as double) as qty, event_id % 1009 = 0 as snap from ticks), st as (select symbol, max(u) as f from c where snap group by 1), l as (select c.* from c left join st on st.symbol = c.symbol where st.f is null or c.u >= st.f), b as (select symbol, side, price, arg_max(qty, u) as qty from l group by 1, 2, 3) select symbol, side, price, qty, cast(row_number() over (partition by symbol, side order by case when side = 'bid' then -price else price end) as int) as level from b where qty > 0 qualify level <= 5"
     s["i14_quality_asserts"] = f"with {PREDS} select 'filled_without_hit' as \"check\", count(*) filter (ret is not null and hit is null) as n from preds union all select 'pending_with_hit', count(*) filter (ret is null and hit is not null) from preds union all select 'prob_range', count(*) filter (prob < 0 or prob > 1) from preds union all select 'horizon_name', count(*) filter (horizon not in ('5d', '10d')) from preds union all select 'pending', count(*) filter (ret is null) from preds"
     s["i17_stall_peers"] = f"with {TICKS}, l as (select symbol, max(ts) as last_ts from ticks group by 1) select symbol, last_ts, (select max(ts) from ticks) - last_ts > interval 3 hour as stalled from l"
     s["j6_lifts"] = f"with {BARS}, q as (select symbol, d, max(close) over {w('1 following', '5 following')} / close + min(close) over {w('1 following', '5 following')} / close - 2 as v from bars) select symbol, d, round(v - avg(v) over (partition by symbol), 5) as lift from q where v is not null"

@@ -43,7 +43,7 @@ def all_sql() -> dict[str, str]:
     s["b14_instrument_classify"] = """with q as (select p_partkey, upper(concat_ws(' ', p_name, case p_partkey % 5 when 0 then 'growth fund' when 1 then 'ETF' when 2 then 'ADR' when 3 then 'warrant' end)) as n, concat('T', case when p_partkey % 7 = 0 then '.' end, cast(p_partkey * 7 as varchar)) as t from part),
     f as (select p_partkey, t, n, regexp_matches(n, 'ETF|ISHARES|SPDR|VANGUARD|INVESCO|WISDOMTREE|POWERSHARES|PROSHARES|DIREXION|GRANITESHARES') as is_etf, regexp_matches(n, ' FUND|TRUST|REIT|BDC|MLP |PARTNERSHIP') as is_fund, regexp_matches(n, 'ADR| ADS') as is_adr from q)
     select p_partkey, is_etf, is_fund, is_adr, not is_etf and not is_fund and length(t) <= 5 and not regexp_matches(t, '[.+-]') and not regexp_matches(n, 'WARRANT|UNIT SER|PREFERRED|NOTE DUE|BOND DUE|DEP SHS|DEP SHARES|DEPOSITARY|ADR') as kept from f"""
-    s["b15_industry_flags"] = "with k as (select concat('S', cast(o_custkey % 10 as varchar)) as symbol, bool_or(o_orderstatus = 'P' and o_totalprice > 300000) as ins, bool_or(o_orderstatus = 'P' and o_totalprice > 250000) as bank from orders group by 1), n as (select s_suppkey, concat('S', cast(s_suppkey % 10 as varchar)) as symbol from supplier where s_suppkey <= 20) select s_suppkey, case when k.ins then 'insurer' when k.bank then 'bank' when s_suppkey % 4 = 1 then 'insurer' when s_suppkey % 4 = 0 then 'bank' else 'other' end as kind from n left join k on k.symbol = n.symbol"
+    s["b15_industry_flags"] = "with k as (select concat('S', cast(o_custkey % 10 as varchar)) as symbol, bool_or(o_orderstatus = 'P' and o_totalprice > 300000) as ins, bool_or(o_orderstatus = 'P' and o_totalprice > 250000) as bank from orders group by 1), n as (select s_suppkey, concat('S', cast(s_suppkey % 10 as varchar)) as symbol from supplier) select s_suppkey, case when k.ins then 'insurer' when k.bank then 'bank' when s_suppkey % 4 = 1 then 'insurer' when s_suppkey % 4 = 0 then 'bank' else 'other' end as kind from n left join k on k.symbol = n.symbol"
     s["b16_period_alignment"] = f"with {FILINGS}, q as (select accession, form, filing_date as a, lag(filing_date, 40) over v as b, lag(form, 40) over v as pf from filings window v as (partition by symbol order by filing_date, accession)), k as (select *, abs(a - b) as g, form in ('10-K', '10-Q') and pf in ('10-K', '10-Q') as byf from q where b is not null), p as (select *, case when byf then case when form = pf then case form when '10-K' then 'annual' else 'quarterly' end end when g between 335 and 395 then 'annual' when g between 75 and 105 then 'quarterly' end as period from k) select accession, cast(g as int) as gap_days, period as period_type, case when byf then 'form' else 'gap' end as method, case when period is null then 'mismatched' else 'aligned' end as status from p"
     s["b18_market_clock"] = f"with {TICKS}, q as (select event_id, ts, cast(ts as date) as day, isodow(ts) as wd from ticks) select event_id, wd = 6 or (wd = 5 and hour(ts) >= 22) or (wd = 7 and hour(ts) < 22) as closed, cast(day - cast((wd + 2) % 7 as int) as timestamp) + interval 21 hour as close_floor, cast(day - case wd when 1 then 3 when 7 then 2 else 1 end as date) as prev_weekday, cast((select count(*) from range(0, 400) r(i) where date '2023-12-20' + cast(i as int) <= day and isodow(date '2023-12-20' + cast(i as int)) <= 5) as int) as weekdays from q"
     s["b19_pct_move"] = f"with {PREDS} select symbol, d, round(case when prob < 0.5 and ret is not null then ret * 100 when close > 0 then (arg_max(close, d) over (partition by symbol) / close - 1) * 100 end, 5) as move from preds"
@@ -55,7 +55,7 @@ def all_sql() -> dict[str, str]:
     s["b25_contract_to_coin"] = f"with {TICKS} select event_id, case when event_id % 7 <= 4 then round(qty / 1000, 9) end as coins from ticks"
     parts = ("cheap", "quality", "catalyst", "momentum", "sentiment", "risk")
     weight = {"cheap": 0.3, "quality": 0.25, "catalyst": 0.25, "momentum": 0.1, "sentiment": 0.1}
-    s["d1_component_scores"] = f"with {CANDS}, a as (select symbol, cast(year(d) as int) as year, cast(month(d) as int) as month, {', '.join(f'avg({p}) as {p}' for p in parts)} from cands where num % 3 = 0 group by all) select symbol, year, month, {', '.join(f'round({p}, 6) as {p}' for p in parts)}, round(greatest(0.0, least(100.0, {' + '.join(f'{x}::double * coalesce({p}, 0)' for p, x in weight.items())} - 0.2::double * coalesce(risk, 50))), 6) as total, round(cast({' + '.join(f'case when {p} is null then 0 else {x} end' for p, x in weight.items())} as double), 6) as coverage, {' + '.join(f'cast({p} is not null as int)' for p in weight)} as observed from a where coalesce({', '.join(parts)}) is not null"
+    s["d1_component_scores"] = f"with {CANDS}, a as (select symbol, cast(year(d) as int) as year, cast(month(d) as int) as month, {', '.join(f'avg({p}) as {p}' for p in parts)} from cands group by all) select symbol, year, month, {', '.join(f'round({p}, 6) as {p}' for p in parts)}, round(greatest(0.0, least(100.0, {' + '.join(f'{x}::double * coalesce({p}, 0)' for p, x in weight.items())} - 0.2::double * coalesce(risk, 50))), 6) as total, round(cast({' + '.join(f'case when {p} is null then 0 else {x} end' for p, x in weight.items())} as double), 6) as coverage, {' + '.join(f'cast({p} is not null as int)' for p in weight)} as observed from a where coalesce({', '.join(parts)}) is not null"
     s["k1_path_expand"] = f"with {_path(10)} select symbol, d, k, day, round(high, 8) as high, round(low, 8) as low, round(close, 8) as close, gap from t"
     s["k2_fixed_tp"] = f"with {_path(10)}, {_exit('''case when high >= entry * 1.5 then 'tp' end''', 'entry * 1.5')} {OUT}"
     s["k3_tp_sl"] = f"with {_path(10)}, {_exit('''case when low <= entry * 0.7 then 'sl' when high >= entry * 1.5 then 'tp' end''', 'case when low <= entry * 0.7 then entry * 0.7 else entry * 1.5 end')} {OUT}"

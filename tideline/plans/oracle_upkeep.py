@@ -29,6 +29,6 @@ def all_sql() -> dict[str, str]:
     s["j7_rule_score"] = f"with {FIRED}, x as (select symbol, d, ln(max(close) over {w('1 following', '5 following')} / close) as v from bars), l as (select symbol, d, v - avg(v) over (partition by symbol) as lift from x where v is not null) select rule, count(*) as n, round(avg(lift), 6) as mean_lift from fired f join l on l.symbol = f.symbol and l.d = f.d group by 1 having count(*) >= 20"
     s["j12_forward_confirm"] = f"with {FIRED}, x as (select symbol, d, ln(lead(close, 5) over {W} / close) as v from bars), q as (select rule, count(*) as n, round(avg(v) / (stddev_samp(v) / sqrt(count(*))), 5) as t from fired f join x on x.symbol = f.symbol and x.d = f.d where f.d > date '2000-01-01' and v is not null group by 1) select *, case when n < 30 then 'wait' when t > 2 then 'promote' else 'reject' end as verdict from q"
     s["l4_validate_backfill"] = f"with {PREDS}, q as (select 'prob_range' as name, count(*) filter (prob < 0 or prob > 1) as n from preds union all select 'unfilled', count(*) filter (hit is null and ret is not null) from preds union all select 'price', count(*) filter (close <= 0) from preds union all select 'model_year', count(*) filter (year(d) <> model) from preds union all select 'duplicates', count(*) - count(distinct (symbol, d)) from preds) select name, n = 0 as passed, n from q"
-    s["l7_review_sections"] = f"with {CANDS}, b as (select symbol, cast(date_trunc('month', d) as date) as month, max(cheap) as cheap, max(quality) as quality, max(momentum) as momentum from cands where d >= date '2001-01-01' group by 1, 2), l as (select symbol, month, 'cheap' as s, cheap as v from b union all select symbol, month, 'quality', quality from b union all select symbol, month, 'momentum', momentum from b), t as (select * from l where v is not null qualify row_number() over (partition by month, s order by v desc, symbol) <= 5), q as (select symbol, month, string_agg(s, ',' order by s) as sections, count(*) as n from t group by 1, 2) select *, case when n >= 3 then 'high' when n = 2 then 'medium' else 'low' end as priority from q"
+    s["l7_review_sections"] = f"with {CANDS}, b as (select symbol, cast(date_trunc('month', d) as date) as month, max(cheap) as cheap, max(quality) as quality, max(momentum) as momentum from cands group by 1, 2), l as (select symbol, month, 'cheap' as s, cheap as v from b union all select symbol, month, 'quality', quality from b union all select symbol, month, 'momentum', momentum from b), t as (select * from l where v is not null qualify row_number() over (partition by month, s order by v desc, symbol) <= 5), q as (select symbol, month, string_agg(s, ',' order by s) as sections, count(*) as n from t group by 1, 2) select *, case when n >= 3 then 'high' when n = 2 then 'medium' else 'low' end as priority from q"
     s["l11_guard_hits"] = f"with {CANDS}, q as (select symbol, cast(date_trunc('month', d) as date) as month, bool_or(num % 4 = 0) as a, bool_or(num % 4 <> 0 and num % 5 = 0) as b from cands group by 1, 2) select symbol, month, concat_ws('|', case when a then 'flagged' end, case when b then 'low_confidence' end) as hits from q"
     return s

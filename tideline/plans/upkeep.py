@@ -170,7 +170,7 @@ def l4_validate_backfill(s, d):
 @query
 def l7_review_sections(s, d):
     """The best five of each component by month, and the sections in which a symbol stands."""
-    c = V.candidates(s, d).filter("d >= date '2001-01-01'").withColumn("month", F.trunc("d", "month"))
+    c = V.candidates(s, d).withColumn("month", F.trunc("d", "month"))
     best = c.groupBy("symbol", "month").agg(*(F.max(x).alias(x) for x in ("cheap", "quality", "momentum")))
     long = best.unpivot(["symbol", "month"], ["cheap", "quality", "momentum"], "section", "score").filter("score is not null")
     top = long.withColumn("k", F.row_number().over(Window.partitionBy("month", "section").orderBy(F.col("score").desc(), "symbol"))).filter("k <= 5")

@@ -31,6 +31,13 @@ def tape_scan(spark: SparkSession, path: str, schema: StructType, *, symbols: li
     return out
 
 
+def read_snapshots(spark: SparkSession, path: str, *, time: str, floor: str, columns: list[str], where: Column | None = None) -> DataFrame:
+    """The columns of the snapshots at or after `floor` that meet `where`; all three reach the scan."""
+    out = spark.read.parquet(path)
+    out = out.filter(F.col(time) >= F.lit(floor).cast(out.schema[time].dataType))
+    return (out if where is None else out.filter(where)).select(*columns)
+
+
 def tape_stream(spark: SparkSession, path: str, schema: StructType, *, files: int = 64) -> DataFrame:
     """The same tape as an unbounded source: at most `files` new files a batch, progress kept by the query's checkpoint."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)

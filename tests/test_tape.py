@@ -60,6 +60,13 @@ def test_tape_is_written_pruned_and_compacted(spark, tmp_path):
     assert report.filter("not same").count() == 0 and report.count() > 0
 
 
+def test_tape_stream_reads_what_the_tape_has(spark, tmp_path):
+    ticks = V.ticks(spark, SF).select("symbol", "ts", "event_id", "price")
+    ticks.repartition(5).write.parquet(str(tmp_path / "tape"))
+    got = run_stream(S.tape_stream(spark, str(tmp_path / "tape"), ticks.schema, files=2), "tape_back", str(tmp_path / "cp"))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, ticks.collect()))
+
+
 def test_export_and_csv(spark, tmp_path):
     bars = V.bars(spark, SF).limit(50)
     S.export(bars, str(tmp_path / "csv"), "csv", ["symbol", "d", "open", "high", "low", "close", "volume", "none"])

@@ -146,9 +146,15 @@ def d13_calibration_runs(s, d):
 
 @query
 def d14_tolerance_checks(s, d):
-    x = scored(s, d).groupBy("model").agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("base"), F.avg(F.when(F.col("prob") >= 0.6, F.col("hit").cast("double"))).alias("top"))
-    lift = F.round(F.try_divide(F.col("top"), F.col("base")), 6)
-    return x.select("model", "n", lift.alias("lift"), F.when(F.col("n") < 200, "INTERIM").when((lift >= 0.75) & (lift <= 1.25), "PASS").otherwise("FAIL").alias("verdict"))
+    """Three checks: the rate at high probabilities within a quarter of the whole rate, a lift of 1.3 in the model's last 30 days, 200 rows."""
+    p = scored(s, d).withColumn("y", F.col("hit").cast("double"))
+    last = p.groupBy("model").agg(F.date_sub(F.max("d"), 30).alias("since"))  # one row a model
+    high = F.col("prob") >= 0.6
+    recent = F.col("d") > F.col("since")
+    x = p.join(last, "model").groupBy("model").agg(F.count("*").alias("n"), F.avg("y").alias("base"), F.avg(F.when(high, F.col("y"))).alias("top"), F.avg(F.when(recent, F.col("y"))).alias("base_30"), F.avg(F.when(recent & high, F.col("y"))).alias("top_30"))
+    lift, lift_30 = (F.round(F.try_divide(F.col(a), F.col(b)), 6) for a, b in (("top", "base"), ("top_30", "base_30")))
+    near, lifted, enough = F.coalesce((lift >= 0.75) & (lift <= 1.25), F.lit(False)), F.coalesce(lift_30 >= 1.3, F.lit(False)), F.col("n") >= 200
+    return x.select("model", "n", lift.alias("lift"), lift_30.alias("lift_30"), near.alias("rate_ok"), lifted.alias("lift_ok"), enough.alias("sample_ok"), F.when(~enough, "INTERIM").when(near & lifted, "PASS").otherwise("FAIL").alias("verdict"))
 
 
 @query
@@ -191,7 +197,10 @@ def d28_two_sample_t(s, d):
 @query
 def d29_quintile_spread(s, d):
     x = A.quantile_bins(V.preds(s, d).filter("ret is not null").withColumn("lr", F.log1p("ret")), "prob", 5)
-    return x.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("lr"), 6).alias("mean"))
+    means = x.groupBy("bin").agg(F.count("*").alias("n"), F.avg("lr").alias("mean"), F.var_samp("lr").alias("var"))
+    pick = lambda c, b: F.max(F.when(F.col("bin") == b, F.col(c)))
+    ends = means.agg((pick("mean", 1) - pick("mean", 5)).alias("spread"), F.sqrt(pick("var", 1) / pick("n", 1) + pick("var", 5) / pick("n", 5)).alias("se"))
+    return means.crossJoin(F.broadcast(ends)).select("bin", "n", *r("mean", "spread"), F.round(F.try_divide(F.col("spread"), F.col("se")), 5).alias("t"))
 
 
 @query
@@ -255,4 +264,6 @@ def d43_fold_stability(s, d):
     p = scored(s, d)
     e = F.col("prob") - F.col("hit").cast("double")
     x = p.groupBy("model").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("base"), F.avg(F.when(F.col("prob") >= 0.8, F.col("hit").cast("double"))).alias("top"), F.avg(e * e).alias("brier"))
-    return x.join(A.auc(p, "model"), "model").select("model", "first_day", "last_day", "n", *r("base", "top", "brier", "auc"))
+    y = x.join(A.auc(p, "model"), "model")
+    trend = y.agg(F.regr_slope("auc", "model").alias("auc_trend"), F.regr_slope("brier", "model").alias("brier_trend"))  # one row
+    return y.crossJoin(F.broadcast(trend)).select("model", "first_day", "last_day", "n", *r("base", "top", "brier", "auc", "auc_trend", "brier_trend"))

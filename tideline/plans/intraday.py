@@ -62,11 +62,15 @@ def e31_oi_changes(s, d):
 
 @query
 def e35_plausibility(s, d):
-    """Low volumes by the median before, and days on which over 30 % of at least five symbols are low."""
-    x = B.plausible(V.bars(s, d), "volume")
+    """Volumes, ranges and counts of trades that are low by the median before, and days on which over 30 % of at least five symbols
+    have a low volume."""
+    x = V.bars(s, d).select("symbol", "d", "volume", "trades", (F.col("high") - F.col("low")).alias("reach"))
+    for value in ("reach", "trades"):
+        x = B.plausible(x, value).withColumnRenamed("low", f"low_{value}")
+    x = B.plausible(x, "volume")
     day = Window.partitionBy("d")
     many = (F.count("low").over(day) >= 5) & (F.count_if(F.col("low")).over(day) > 0.3 * F.count("low").over(day))
-    return x.select("symbol", "d", *r("median_before"), "low", many.alias("systemic"))
+    return x.select("symbol", "d", *r("median_before"), "low", "low_reach", "low_trades", many.alias("systemic"))
 
 
 @query

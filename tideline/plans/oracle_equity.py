@@ -34,6 +34,10 @@ base as (select symbol, h, feature, round(value, 7) as value from long where val
 def all_sql() -> dict[str, str]:
     s: dict[str, str] = {}
     s["a6_snapshot_read"] = "select event_id, user_id, cast(floor(epoch(ts)) as bigint) as at from events where ts >= timestamp '2024-01-08 00:00:00' and event_type <> 'view'"
+    s["a1_tape_scan"] = f"with {TICKS} select event_id, symbol, round(price, 6) as price from ticks where symbol in ('U1', 'U2', 'U7') and ts > timestamp '2024-01-05 12:00:00' and ts <= timestamp '2024-01-20 00:00:00'"
+    s["a5_partitioned_sink"] = f"with {TICKS} select symbol, cast(ts as date) as date, count(*) as n, cast(sum(event_id) as bigint) as ids from ticks group by 1, 2"
+    s["a10_compact_partitions"] = f"with {TICKS} select symbol, cast(ts as date) as date, count(*) as rows_in, count(*) as rows_out, true as same from ticks group by 1, 2"
+    s["a14_report_export"] = f"with {BARS} select symbol, cast(d as varchar) as d, trades, cast(null as varchar) as note from bars"
     s["b10_incomplete_subcause"] = """with q as (select s_suppkey as k, date_diff('day', date '2001-08-02' - cast(s_suppkey * 7 % 230 as int), date '2001-08-02') as age, s_suppkey % 4 <> 0 as filed, s_acctbal > 2000 as capped, ['Energy', 'Financials', 'Health', 'Utilities', 'Tech', 'Tech', 'Real Estate'][s_suppkey % 7 + 1] as sector, s_nationkey from supplier)
         select k as s_suppkey, case when k % 11 = 0 then 'missing_cik' when k % 3 <> 0 and k % 5 = 0 then 'missing_sec_companyfacts' when s_nationkey % 6 = 0 then 'foreign_filer_or_adr' when filed and age > 180 then 'stale_fundamentals' when not filed and not capped then 'recent_ipo_or_short_history' when sector in ('Financials', 'Real Estate', 'Utilities') then 'sector_specific_model_gap' when filed and not capped then 'polygon_fundamentals_missing' when k % 3 <> 0 and k % 5 <> 0 and filed then 'ifrs_mapping_gap' else 'price_only_scored' end as subcause from q"""
     s["b11_root_cause"] = f"""with {CANDS}, {FILINGS}, {MOVES}, x as (select c.*, exists (select 1 from filings f where f.symbol = c.symbol and f.form = '10-Q' and f.filing_date between c.d - 2 and c.d + 2) as due,
@@ -48,7 +52,7 @@ def all_sql() -> dict[str, str]:
         select m.symbol, m.d, a.theme, count(*) as peers, round(median(p.ret_5), 6) as median, round(avg(p.ret_5), 6) as mean from moves m join t a on a.symbol = m.symbol join t b on b.theme = a.theme and b.symbol <> a.symbol join rets p on p.symbol = b.symbol and p.d = m.d where p.ret_5 is not null group by 1, 2, 3"""
     s["d41_net_pnl"] = f"""with {PREDS}, {FILINGS}, p as (select symbol, d, close as entry, close * peak as mark, cast(1 + year(d) % 3 as double) as qty from preds where prob >= 0.8 and peak is not null), u as (select symbol, cast(max(filing_date) - 300 as date) as until from filings where form = '10-K' group by 1),
         q as (select p.*, u.until >= p.d + 5 as done, coalesce((select sum(accession % 7 - 3) from filings f where f.symbol = p.symbol and f.filing_date >= p.d and f.filing_date < p.d + 5), 0) as funding from p left join u on u.symbol = p.symbol)
-        select symbol, d, round((mark - entry) * qty, 8) as gross, round(case when done then (mark - entry) * qty + funding - (entry + mark) * qty * 0.001 end, 8) as net, case when done then 'reconciled' else 'pending' end as state from q"""
+        select symbol, d, round((mark - entry) * qty + 1e-7, 4) as gross, round(case when done then (mark - entry) * qty + funding - (entry + mark) * qty * 0.001 + 1e-7 end, 4) as net, case when done then 'reconciled' else 'pending' end as state from q"""
     points = ", ".join(f"round((select arg_min(x.close, x.d) from bars x where x.symbol = b.symbol and x.d >= b.d + {k}) / b.close - 1, 6) as ret_{k}d" for k in (1, 3, 5, 10, 20, 60, 120))
     s["e19_forward_outcomes"] = f"""with {BARS}, n as (select symbol, d, close, row_number() over {W} as k from bars), hit as (select a.symbol, a.d, min(case when z.close / a.close - 1 >= 0.1 then z.k end) as up, min(case when z.close / a.close - 1 <= -0.1 then z.k end) as down from n a join n z on z.symbol = a.symbol and z.k > a.k and z.k <= a.k + 60 group by 1, 2),
         f as (select symbol, d, {', '.join(f"round({g}(close) over {w('1 following', f'{k} following')} / close - 1, 6) as {m}_{k}" for g, m in (('max', 'runup'), ('min', 'drawdown')) for k in (20, 60))} from bars)

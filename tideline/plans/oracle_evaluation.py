@@ -31,14 +31,14 @@ def all_sql() -> dict[str, str]:
     s["c25_merge_last_seen"] = f"with {TICKS}, q as (select symbol, event_id, price, last_value(case when event_id % 3 = 0 then price end ignore nulls) {up} as a, last_value(case when event_id % 3 = 1 then price end ignore nulls) {up} as b, last_value(case when event_id % 3 = 2 then price end ignore nulls) {up} as c from ticks) select symbol, event_id, round(a, 6) as last_mark, round(b, 6) as last_index, round(c, 6) as last_funding from q where event_id % 3 = 0 and a is not null and b is not null and c is not null"
     s["d8_run_summary"] = f"with {SCORED}, p as (select model, d, ret - 0.5 as ret from rt), a as (select model, {STATS} from p group by 1), b as (select model, count(*) as n_days, {SHARPE} as sharpe from (select model, d, sum(ret) as pnl from p group by 1, 2) group by 1) select a.model, n, n_days, round(win_rate, 5) as win_rate, round(mean_ret, 5) as mean_ret, round(median_ret, 5) as median_ret, round(profit_factor, 5) as profit_factor, round(sharpe, 5) as sharpe from a join b on b.model = a.model"
     s["d13_calibration_runs"] = f"with {SCORED}, q as (select least(9, cast(floor(prob * 10 + 1e-9) as int)) as bucket, count(*) as n, count(*) filter (hit) as k from sc group by 1), z as (select bucket, case when n >= 10 and abs(k / n * 100 - (bucket * 10 + 5)) > 10 then sign(k / n * 100 - (bucket * 10 + 5)) end as side from q), g as (select side, bucket, bucket - row_number() over (partition by side order by bucket) as g from z where side is not null), h as (select side, min(bucket) as first, count(*) as length from g group by side, g.g) select cast(side as double) as side, first, length, cast(row_number() over (order by length desc, first) as int) as place from h"
-    s["d14_tolerance_checks"] = f"with {SCORED}, q as (select model, count(*) as n, round(avg(cast(hit as double)) filter (prob >= 0.6) / nullif(avg(cast(hit as double)), 0), 6) as lift from sc group by 1) select *, case when n < 200 then 'INTERIM' when lift >= 0.75 and lift <= 1.25 then 'PASS' else 'FAIL' end as verdict from q"
+    s["d14_tolerance_checks"] = f"with {SCORED}, m as (select *, cast(hit as double) as y, d > max(d) over (partition by model) - 30 as late from sc), q as (select model, count(*) as n, round(avg(y) filter (prob >= 0.6) / nullif(avg(y), 0), 6) as lift, round(avg(y) filter (late and prob >= 0.6) / nullif(avg(y) filter (late), 0), 6) as lift_30 from m group by 1), k as (select *, coalesce(lift between 0.75 and 1.25, false) as rate_ok, coalesce(lift_30 >= 1.3, false) as lift_ok, n >= 200 as sample_ok from q) select *, case when not sample_ok then 'INTERIM' when rate_ok and lift_ok then 'PASS' else 'FAIL' end as verdict from k"
     s["d15_accumulation_eta"] = f"with {FILINGS}, q as (select form, count(*) as n, count(*) filter (filing_date > date '2001-07-31' - 7) as week from filings group by 1) select form, n, week, round((1e6 - n) / nullif(week / 7.0, 0), 3) as days_left from q"
     s["d21_median_impute"] = f"with {BARS}, q as (select symbol, d, {LAG(60)} as x, case when day(d) % 3 <> 0 then volume end as y from bars), m as (select quantile_cont(x, 0.5) as mx, quantile_cont(y, 0.5) as my from q where d < date '1998-01-01') select symbol, d, case when d < date '1998-01-01' then 'train' else 'test' end as slice, round(coalesce(x, mx), 6) as x, round(coalesce(y, my), 6) as y from q, m"
     s["d25_coverage_ratio"] = f"with {BARS}, q as (select d, count(*) as n from bars group by 1), p as (select d, n, n / avg(n) over (order by d rows between 5 preceding and 1 preceding) as ratio from q) select d, n, round(ratio, 6) as ratio, case when ratio >= 0.9 then 'ok' when ratio >= 0.7 then 'warn' when ratio is not null then 'fail' end as state from p"
     s["d26_freshness"] = f"with {FILINGS}, q as (select symbol, form, cast(date_diff('day', max(filing_date), date '2001-08-02') as int) as age from filings group by 1, 2) select *, case when age <= 2 then 'fresh' when age <= 30 then 'stale' else 'missing' end as state from q"
     s["d27_outcome_by"] = f"with {SCORED} select case when prob >= 0.8 then '80+' when prob >= 0.7 then '70-79' when prob >= 0.6 then '60-69' else '<60' end as bucket, count(*) as n, count(*) filter (hit) as hits, round(avg(cast(hit as double)), 6) as rate from sc group by 1"
     s["d28_two_sample_t"] = f"with {SCORED}, q as (select ln(1 + ret) as x, prob >= 0.5 as a from rt), m as (select count(*) filter (a) as na, count(*) filter (not a) as nb, avg(x) filter (a) as ma, avg(x) filter (not a) as mb, var_samp(x) filter (a) as va, var_samp(x) filter (not a) as vb from q) select na, nb, round(ma, 5) as ma, round(mb, 5) as mb, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)), 5) as t from m"
-    s["d29_quintile_spread"] = f"with {SCORED}, e as (select quantile_cont(prob, [0.2, 0.4, 0.6, 0.8]) as e from rt), q as (select len(list_filter(e.e, lambda v: v < prob)) + 1 as bin, ln(1 + ret) as x from rt, e) select cast(bin as int) as bin, count(*) as n, round(avg(x), 6) as mean from q group by 1"
+    s["d29_quintile_spread"] = f"with {SCORED}, e as (select quantile_cont(prob, [0.2, 0.4, 0.6, 0.8]) as e from rt), q as (select len(list_filter(e.e, lambda v: v < prob)) + 1 as bin, ln(1 + ret) as x from rt, e), g as (select cast(bin as int) as bin, count(*) as n, avg(x) as mean, var_samp(x) as v from q group by 1), z as (select a.mean - b.mean as spread, sqrt(a.v / a.n + b.v / b.n) as se from g a, g b where a.bin = 1 and b.bin = 5) select bin, n, round(mean, 6) as mean, round(spread, 6) as spread, round(spread / nullif(se, 0), 5) as t from g left join z on true"
     s["d33_monthly_regime"] = f"with {SCORED}, m as (select date_trunc('month', d) as mo, arg_max(close, d) / arg_min(close, d) - 1 as ch from bars where symbol = 'S0' group by 1) select case when ch > 0.05 then 'bull' when ch < -0.05 then 'bear' else 'neutral' end as regime, count(*) as n, round(avg(cast(hit as double)), 6) as rate, round(avg(ret), 5) as mean_ret from sc join m on m.mo = date_trunc('month', d) group by 1"
     s["d34_friction_sweep"] = f"with {SCORED}, p as (select cast(c as double) as cost, d, ret - c as ret from rt, (select unnest([0.0, 0.25, 0.5, 1.0]::double[]) as c)), b as (select cost, {SHARPE} as sharpe from (select cost, d, sum(ret) as pnl from p group by 1, 2) group by 1), a as (select cost, {STATS} from p group by 1) select a.cost, n, round(win_rate, 5) as win_rate, round(mean_ret, 5) as mean_ret, round(sharpe, 5) as sharpe from a join b on b.cost = a.cost"
     s["d35_leave_one_out"] = f"with {SCORED}, q as (select d, cast(date_trunc('month', d) as date) as mo, sum(ln(1 + ret)) as pnl from rt group by 1, 2), t as (select {SHARPE} as whole from q), o as (select m.mo as month, {SHARPE} as sharpe from (select distinct mo from q) m join q on q.mo <> m.mo group by 1) select month, round(sharpe, 5) as sharpe, round(sharpe / whole, 5) as ratio from o, t"
@@ -48,5 +48,5 @@ def all_sql() -> dict[str, str]:
     s["d38_shadow_cap"] = f"with {CANDS}, q as (select symbol, cast(date_trunc('month', d) as date) as month, greatest(-5.0, least(5.0, sum(num % 9 - 4))) as adj, max(num * 23 % 101) as sc from cands group by 1, 2) select symbol, month, cast(adj as double) as adj, {tier('(sc + adj)')} as tier, case when {tier('sc')} = {tier('(sc + adj)')} then 'same' when adj > 0 then 'up' else 'down' end as move from q"
     s["d39_rule_aggregates"] = f"with {BARS}, q as (select symbol, d, close, ln(close / lag(close) over {W}) as lr, {LAG(1)} as r, max(close) over {w('1 following', '5 following')} / close - 1 as f from bars), p as (select *, case when count(lr) over {w('19 preceding', 'current row')} >= 2 then stddev_samp(lr) over {w('19 preceding', 'current row')} end as vol from q) select case when r > 1 then 'up' when r < -0.5 then 'down' else 'quiet' end as rule, count(*) as n, round(avg(case when f >= 0.5 then 1.0 else 0.0 end), 6) as rate, round(avg(ln(1 + f) / vol), 5) as mean_norm from p where vol > 0 and f is not null group by 1"
     s["d40_promotion_gate"] = f"with {SCORED}, q as (select model, avg(cast(hit as double)) as rate from sc group by 1), p as (select model, rate, lag(rate) over (order by model) as old from q) select model, round(rate, 6) as rate, round(old, 6) as old, case when old is null or old = 0 then true else round(rate - 0.9::double * old, 9) >= 0 end as passed from p"
-    s["d43_fold_stability"] = f"with {SCORED}, k as (select model, hit, rank() over (partition by model order by prob) + (count(*) over (partition by model, prob) - 1) / 2.0 as r from sc), a as (select model, (sum(case when hit then r end) - count(*) filter (hit) * (count(*) filter (hit) + 1) / 2.0) / nullif(count(*) filter (hit) * count(*) filter (not hit), 0) as auc from k group by 1), b as (select model, min(d) as first_day, max(d) as last_day, count(*) as n, avg(cast(hit as double)) as base, avg(cast(hit as double)) filter (prob >= 0.8) as top, avg((prob - cast(hit as double)) ** 2) as brier from sc group by 1) select b.model, first_day, last_day, n, round(base, 6) as base, round(top, 6) as top, round(brier, 6) as brier, round(auc, 6) as auc from b join a on a.model = b.model"
+    s["d43_fold_stability"] = f"with {SCORED}, k as (select model, hit, rank() over (partition by model order by prob) + (count(*) over (partition by model, prob) - 1) / 2.0 as r from sc), a as (select model, (sum(case when hit then r end) - count(*) filter (hit) * (count(*) filter (hit) + 1) / 2.0) / nullif(count(*) filter (hit) * count(*) filter (not hit), 0) as auc from k group by 1), b as (select model, min(d) as first_day, max(d) as last_day, count(*) as n, avg(cast(hit as double)) as base, avg(cast(hit as double)) filter (prob >= 0.8) as top, avg((prob - cast(hit as double)) ** 2) as brier from sc group by 1), j as (select b.*, a.auc from b join a on a.model = b.model) select model, first_day, last_day, n, round(base, 6) as base, round(top, 6) as top, round(brier, 6) as brier, round(auc, 6) as auc, round(regr_slope(auc, model) over (), 6) as auc_trend, round(regr_slope(brier, model) over (), 6) as brier_trend from j"
     return s

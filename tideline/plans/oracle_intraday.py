@@ -36,7 +36,7 @@ def all_sql() -> dict[str, str]:
     s["e28_macro_trend"] = "with m as (select case left(o_orderpriority, 1) when '1' then '8-K' else '10-Q' end as form, date_trunc('month', o_orderdate) as mo, count(*) as v from orders where left(o_orderpriority, 1) in ('1', '2') group by 1, 2), k as (select *, row_number() over (partition by form order by mo desc) as k from m), p as (select form, max(case when k = 1 then v end) as last, max(case when k = 2 then v end) as prior from k group by 1) select *, case when last > prior then 'rising' when last < prior then 'falling' when prior is not null then 'flat' end as trend from p"
     s["e30_funding_stats"] = f"with {TICKS}, q as (select symbol, cast(ts as date) as d, avg(price) as rate from ticks where event_type = 'view' group by 1, 2) select symbol, d, round(avg(rate) over {w('2 preceding', 'current row')}, 6) as avg_3, round(avg(rate) over {w('6 preceding', 'current row')}, 6) as avg_7, round((rate - avg(rate) over {w('29 preceding', 'current row')}) / nullif(stddev_samp(rate) over {w('29 preceding', 'current row')}, 0), 6) as z from q"
     s["e31_oi_changes"] = f"with {BARS} select symbol, d, " + ", ".join(f"round(volume / lag(volume, {k}) over {W} - 1, 6) as change_{k}" for k in (1, 3, 7)) + f", round(volume / lag(volume) over {W} - 1 - (close / lag(close) over {W} - 1), 6) as divergence from bars"
-    s["e35_plausibility"] = f"with {BARS}, q as (select symbol, d, volume, case when count(*) over {w('20 preceding', '1 preceding')} = 20 then quantile_cont(volume, 0.5) over {w('20 preceding', '1 preceding')} end as m from bars), p as (select *, volume / m < 0.2 as low from q) select symbol, d, round(m, 6) as median_before, low, count(low) over (partition by d) >= 5 and count(*) filter (low) over (partition by d) > 0.3 * count(low) over (partition by d) as systemic from p"
+    s["e35_plausibility"] = f"with {BARS}, b as (select symbol, d, volume, trades, high - low as reach from bars), q as (select *, {', '.join(f"case when count(*) over {w('20 preceding', '1 preceding')} = 20 then quantile_cont({c}, 0.5) over {w('20 preceding', '1 preceding')} end as m_{c}" for c in ('volume', 'trades', 'reach'))} from b), p as (select symbol, d, m_volume, volume / m_volume < 0.2 as low, reach / nullif(m_reach, 0) < 0.2 as low_reach, trades / m_trades < 0.2 as low_trades from q) select symbol, d, round(m_volume, 6) as median_before, low, low_reach, low_trades, count(low) over (partition by d) >= 5 and count(*) filter (low) over (partition by d) > 0.3 * count(low) over (partition by d) as systemic from p"
     s["e39_accumulation_start"] = f"with {BARS}, q as (select symbol, d, lead(close, 4) over {W} / close - 1 as g from bars) select symbol, cast(year(d) as int) as year, min(d) as first_day, round(arg_min(g, d), 6) as gain from q where g >= 0.05 group by 1, 2"
     s["e40_window_return"] = f"with {BARS}, q as (select symbol, d, 1 + (close / lag(close) over {W} - 1) / 100 as f from bars) select symbol, cast(date_trunc('month', d) as date) as month, round(product(f) - 1, 6) as ret from q where f > 0 group by 1, 2"
     s["e43_outcome_complete"] = f"with {BARS}, q as (select a.symbol, a.d, case when count(b.d) >= 8 then max(b.close) end / any_value(a.close) - 1 as best, case when count(b.d) >= 8 then min(b.close) end / any_value(a.close) - 1 as worst from bars a left join bars b on b.symbol = a.symbol and b.d > a.d and b.d <= a.d + 10 group by 1, 2) select symbol, d, round(best, 6) as best, round(worst, 6) as worst from q"

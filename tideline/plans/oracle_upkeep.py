@@ -10,6 +10,9 @@ FIRED = f"""{BARS}, ft as (select symbol, d, close, {LAG(1)} as r1, {LAG(5)} as
 fired as (select 1 as rule, symbol, d from ft where r1 > 0.5 and sd < 0 union all select 2, symbol, d from ft where r5 < -0.3 union all select 3, symbol, d from ft where r1 < -0.2 and r5 > 0.2 and sd > -0.5)"""
 
 
+SERIES = ", ".join(f"round({f}, 6) as {c}_{n}" for c, e, w in (("index", "price * 1.001::double", "event_id % 3 <> 0"), ("settle", "price * 0.999::double", "event_id % 5 = 0")) for n, f in (("open", f"arg_min({e}, event_id) filter ({w})"), ("high", f"max({e}) filter ({w})"), ("low", f"min({e}) filter ({w})"), ("close", f"arg_max({e}, event_id) filter ({w})")))
+
+
 def all_sql() -> dict[str, str]:
     s: dict[str, str] = {}
     s["a2_typed_rows"] = f"with {TICKS} select event_id, case when event_id % 5 <> 0 and event_id % 7 <> 0 then event_id end as u, qty from ticks"
@@ -24,7 +27,7 @@ def all_sql() -> dict[str, str]:
     s["e37_event_clusters"] = f"with {BARS}, r as (select symbol, d, {LAG(1)} as r from bars), x as (select *, case when r > 0 then 'up' else 'down' end as kind from r where r > 1 or r < -0.6), y as (select *, case when d - lag(d) over (partition by symbol, kind order by d) <= 5 then 0 else 1 end as new from x), z as (select *, sum(new) over (partition by symbol, kind order by d) as g from y) select symbol, kind, min(d) as first_day, max(d) as last_day, count(*) as n, round(max(abs(r)), 6) as best from z group by symbol, kind, g"
     s["e41_downsample"] = f"with {BARS}, q as (select symbol, d, round(close, 8) as close, row_number() over {W} as k, count(*) over (partition by symbol) as n from bars), p as (select *, row_number() over (partition by symbol order by close desc, k desc) as a, row_number() over (partition by symbol order by close, k) as b from q) select symbol, d, close from p where (k - 1) % cast(ceil(n / 100.0) as bigint) = 0 or k = n or a = 1 or b = 1"
     s["f10_book_imbalance"] = f"with {QUOTES}, l as (select event_id, bid, ask, (bid + ask) / 2 as mid, bid - 0.05::double * i as bp, ask + 0.05::double * i as ap, bid_qty + i as bq, ask_qty + i as aq from quotes, range(10) r(i)), g as (select event_id, any_value(bid) as bid, any_value(ask) as ask, any_value(mid) as mid, coalesce(sum(bq) filter (abs(bp - mid) <= mid * 0.005::double + 1e-9), 0) as b, coalesce(sum(aq) filter (abs(ap - mid) <= mid * 0.005::double + 1e-9), 0) as a from l group by 1) select event_id, round((b - a) / nullif(b + a, 0), 6) as imbalance, round((ask - bid) / mid * 10000, 5) as spread_bps from g"
-    s["i3_markprice_window"] = f"with {TICKS} select symbol, {BUCKET6} as window_start, round(arg_min(price, event_id), 6) as mark_open, round(max(price), 6) as mark_high, round(min(price), 6) as mark_low, round(arg_max(price, event_id), 6) as mark_close, round(min(qty / 1000), 6) as funding_low, round(max(qty / 1000), 6) as funding_high, round(arg_max(qty / 1000, event_id), 6) as funding_close, max(event_id) as next_id from ticks group by 1, 2"
+    s["i3_markprice_window"] = f"with {TICKS} select symbol, {BUCKET6} as window_start, round(arg_min(price, event_id), 6) as mark_open, round(max(price), 6) as mark_high, round(min(price), 6) as mark_low, round(arg_max(price, event_id), 6) as mark_close, round(min(qty / 1000), 6) as funding_low, round(max(qty / 1000), 6) as funding_high, round(arg_max(qty / 1000, event_id), 6) as funding_close, {SERIES}, max(event_id) as next_id from ticks group by 1, 2"
     s["j5_rule_firing"] = f"with {FIRED} select * from fired"
     s["j7_rule_score"] = f"with {FIRED}, x as (select symbol, d, ln(max(close) over {w('1 following', '5 following')} / close) as v from bars), l as (select symbol, d, v - avg(v) over (partition by symbol) as lift from x where v is not null) select rule, count(*) as n, round(avg(lift), 6) as mean_lift from fired f join l on l.symbol = f.symbol and l.d = f.d group by 1 having count(*) >= 20"
     s["j12_forward_confirm"] = f"with {FIRED}, x as (select symbol, d, ln(lead(close, 5) over {W} / close) as v from bars), q as (select rule, count(*) as n, round(avg(v) / (stddev_samp(v) / sqrt(count(*))), 5) as t from fired f join x on x.symbol = f.symbol and x.d = f.d where f.d > date '2000-01-01' and v is not null group by 1) select *, case when n < 30 then 'wait' when t > 2 then 'promote' else 'reject' end as verdict from q"

@@ -122,9 +122,10 @@ def f10_book_imbalance(s, d):
 @query
 def i3_markprice_window(s, d):
     order = F.struct("ts", "event_id")
-    t = V.ticks(s, d).withColumn("funding", F.col("qty") / 1000)
-    x = t.groupBy("symbol", F.window("ts", "6 hours").alias("w")).agg(*I.summary("mark", F.col("price"), order), *I.summary("funding", F.col("funding"), order), F.max_by("event_id", order).alias("next_id"))
-    return x.select("symbol", F.col("w.start").alias("window_start"), *r("mark_open", "mark_high", "mark_low", "mark_close", "funding_low", "funding_high", "funding_close"), "next_id")
+    t = V.ticks(s, d).withColumns({"funding": F.col("qty") / 1000, "index": F.when(F.col("event_id") % 3 != 0, F.col("price") * 1.001), "settle": F.when(F.col("event_id") % 5 == 0, F.col("price") * 0.999)})
+    own = lambda c: [f.alias(f"{c}_{n}") for n, f in (("open", F.min_by(c, F.when(F.col(c).isNotNull(), order))), ("high", F.max(c)), ("low", F.min(c)), ("close", F.max_by(c, F.when(F.col(c).isNotNull(), order))))]
+    x = t.groupBy("symbol", F.window("ts", "6 hours").alias("w")).agg(*I.summary("mark", F.col("price"), order), *I.summary("funding", F.col("funding"), order), *own("index"), *own("settle"), F.max_by("event_id", order).alias("next_id"))
+    return x.select("symbol", F.col("w.start").alias("window_start"), *r("mark_open", "mark_high", "mark_low", "mark_close", "funding_low", "funding_high", "funding_close", *(f"{c}_{n}" for c in ("index", "settle") for n in ("open", "high", "low", "close"))), "next_id")
 
 
 def fired(s, d):

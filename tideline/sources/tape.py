@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def work_path(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir, which all machines share; a temporary one where that is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder which all machines share")
+        base = tempfile.mkdtemp(prefix="tideline-")
+    return f"{base}/tape-{uuid.uuid4().hex}"
+
+
 def write_partitioned(df: DataFrame, path: str, by: list[str], *, sort_by: list[str] | None = None, files: int | None = None) -> None:
     """Parquet under by=value folders. Rows are dealt by the partition columns and, with `files`, by a salt of that many parts, so that
     a hot partition is written by several tasks. Only the partitions that df holds are replaced."""

@@ -12,7 +12,7 @@ from . import joins as J
 from .bars import by_key
 
 # Score steps (cuts, scores) and bounds of ratios.
-RETURN_20, RETURN_60 = ([-5.0, 5.0, 15.0], [25.0, 50.0, 65.0, 80.0]), ([-10.0, 10.0, 25.0], [25.0, 50.0, 65.0, 80.0])
+RETURN_20, RETURN_60 = (-5.0, 5.0, 15.0), (-10.0, 10.0, 25.0)
 MIN_SHARES, PS_BOUNDS, PE_BOUNDS, PB_BOUNDS, STALE_DAYS = 1_000_000, (0.05, 100.0), (0.0, 150.0), (0.0, 50.0), 180
 MATERIAL = ("earn", "acqui", "merger", "divestiture", "agreement", "guidance", "revenue", "settlement", "dividend", "buyback", "restate")
 MODEL_GAPS = ("Financials", "Real Estate", "Utilities")
@@ -36,14 +36,6 @@ CATALYSTS = (
 )
 
 
-def _steps(col: Column, cuts: list[float], scores: list[float], *, closed: bool = False) -> Column:
-    """The score of the first cut that the value is below (closed: at or below), else the last; null for null."""
-    out = F.lit(scores[-1])
-    for cut, score in reversed(list(zip(cuts, scores, strict=False))):
-        out = F.when(col <= cut if closed else col < cut, score).otherwise(out)
-    return F.when(col.isNotNull(), out)
-
-
 def momentum(bars: DataFrame, *, least: int = 20) -> DataFrame:
     """As of each bar: returns over 20 and 60 rows (fewer where history is shorter), volume against the mean of the 20 rows before,
     distance from the high of 20 closes, and their scores. Null with fewer than `least` bars."""
@@ -53,7 +45,7 @@ def momentum(bars: DataFrame, *, least: int = 20) -> DataFrame:
     ret = lambda k: F.when(enough, F.try_divide(F.col("close"), F.coalesce(F.lag("close", k).over(order), first)) * 100 - 100)
     x = x.withColumns({"ret_20": ret(20), "ret_60": ret(60), "spike": F.when(enough, F.try_divide(F.col("volume"), F.avg("volume").over(back(-20, -1)))), "drawdown": F.when(enough, F.try_divide(F.col("close"), F.max("close").over(back(-19, 0))) * 100 - 100)})
     top = lambda c, cuts: F.when(c > cuts[2], 80.0).when(c > cuts[1], 65.0).when(c >= cuts[0], 50.0).when(c.isNotNull(), 25.0)
-    scores = {"score_20": top(F.col("ret_20"), RETURN_20[0]), "score_60": top(F.col("ret_60"), RETURN_60[0]), "spike_score": F.greatest(F.lit(0.0), F.least(F.lit(90.0), 50 + (F.col("spike") - 1) * 20)), "drawdown_score": F.least(F.lit(100.0), F.greatest(F.lit(0.0), 50 + F.col("drawdown") * 2))}
+    scores = {"score_20": top(F.col("ret_20"), RETURN_20), "score_60": top(F.col("ret_60"), RETURN_60), "spike_score": F.greatest(F.lit(0.0), F.least(F.lit(90.0), 50 + (F.col("spike") - 1) * 20)), "drawdown_score": F.least(F.lit(100.0), F.greatest(F.lit(0.0), 50 + F.col("drawdown") * 2))}
     return x.withColumns({k: F.when(enough, v) for k, v in scores.items()})
 
 
@@ -78,7 +70,7 @@ def quality(df: DataFrame) -> DataFrame:
     out = out.withColumns({
         "growth_score": F.when(F.col("growth") > 20, 90.0).when(F.col("growth") > 10, 75.0).when(F.col("growth") >= 0, 60.0).when(F.col("growth").isNotNull(), 30.0),
         "margin_score": F.when(F.col("margin") > 20, 90.0).when(F.col("margin") > 10, 75.0).when(F.col("margin") > 0, 55.0).when(F.col("margin").isNotNull(), 20.0),
-        "dilution_score": _steps(F.col("dilution"), [2.0, 5.0], [85.0, 65.0, 30.0]),
+        "dilution_score": C.step_score(F.col("dilution"), [2.0, 5.0], [85.0, 65.0, 30.0]),
         "age": F.datediff("as_of", F.greatest("income_at", "revenue_at", "shares_at")),
     })
     return out.withColumn("confidence", F.when(F.col("age").isNull() | (F.col("age") <= STALE_DAYS), "medium").otherwise("low"))
@@ -94,7 +86,7 @@ def valuation(df: DataFrame) -> DataFrame:
     pb = F.when((F.col("equity") > 0) & shares.isNotNull(), price / (F.col("equity") / shares))
     within = lambda c, b: F.when((c >= b[0]) & (c <= b[1]), c)
     out = df.withColumns({"vs_high": high, "ps": within(ps, PS_BOUNDS), "pe": within(pe, PE_BOUNDS), "pb": within(pb, PB_BOUNDS)})
-    return out.withColumns({"high_score": C.clamp(100 - F.col("vs_high"), 0.0, 100.0), "ps_score": _steps(F.col("ps"), [1.0, 3.0, 10.0], [90.0, 70.0, 50.0, 20.0]), "pe_score": _steps(F.col("pe"), [10.0, 20.0, 30.0, 50.0], [90.0, 75.0, 55.0, 35.0, 15.0]), "pb_score": _steps(F.col("pb"), [1.0, 2.0, 5.0], [80.0, 65.0, 45.0, 20.0])})
+    return out.withColumns({"high_score": C.clamp(100 - F.col("vs_high"), 0.0, 100.0), "ps_score": C.step_score(F.col("ps"), [1.0, 3.0, 10.0], [90.0, 70.0, 50.0, 20.0]), "pe_score": C.step_score(F.col("pe"), [10.0, 20.0, 30.0, 50.0], [90.0, 75.0, 55.0, 35.0, 15.0]), "pb_score": C.step_score(F.col("pb"), [1.0, 2.0, 5.0], [80.0, 65.0, 45.0, 20.0])})
 
 
 def risk(df: DataFrame, scores: list[str]) -> DataFrame:

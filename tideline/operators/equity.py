@@ -207,3 +207,15 @@ def quantile_atoms(long: DataFrame, bins: int = 10) -> DataFrame:
     high = F.when(F.col("upto") > F.col("at"), F.col("value")).otherwise(F.col("following"))
     cuts = met.select("feature", F.round((F.col("value") * (bins - F.col("delta")) + high * F.col("delta")) / bins, 12).alias("cut")).distinct()
     return cuts.select("feature", F.explode(F.array(F.lit(">"), F.lit("<"))).alias("op"), "cut")
+
+
+def investigation_flags(df: DataFrame) -> DataFrame:
+    """Labels of a missed move in their order, of which the first is the primary one. df has the outcome of the joins as columns; where
+    no label fits, the move counts as unpredictable."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    filed, low = yes("has_filing"), yes("catalyst_low")
+    quiet = ~(filed & low) & ~yes("evidence") & ~filed
+    labels = ((~yes("in_universe"), "not_in_universe"), (~yes("has_price"), "missing_price_data"), (~yes("has_facts"), "missing_fundamentals"), (yes("near_threshold"), "threshold_too_strict"), (filed & low & yes("material"), "text_evidence_available_not_classified"), (filed & low & yes("material"), "needs_llm_text_enrichment"), (filed & low & ~yes("material"), "routine_event_correctly_suppressed"), (quiet & yes("scored"), "no_public_catalyst_source_found"), (quiet & ~yes("scored"), "price_move_without_known_catalyst"))
+    found = F.filter(F.array(*(F.when(c, name) for c, name in labels)), lambda x: x.isNotNull())
+    out = df.withColumn("labels", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("truly_unpredictable"))))
+    return out.withColumns({"primary_label": F.element_at("labels", 1), "text_needed": filed & low & yes("material")})

@@ -215,3 +215,16 @@ def k9_entry_rules(s, d):
     h = V.hours(s, d)
     signals = h.filter("close > 90").select("symbol", F.col("h").alias("signal"), (F.col("h") + F.expr("interval 26 hours")).alias("h"))
     return signals.join(h.select("symbol", "h", "open"), ["symbol", "h"]).select("symbol", "signal", F.col("h").alias("entry_at"), *r("open"))
+
+
+@query
+def l9_investigation_flags(s, d):
+    moves = big_moves(s, d).select("symbol", "d")
+    c = V.candidates(s, d).select("symbol", "d", "num", "catalyst").join(moves, ["symbol", "d"])
+    f = V.filings(s, d).filter("form = '8-K'").select("symbol", "filing_date", (F.col("accession") % 3 == 0).alias("material"))
+    spread = f.select("symbol", F.explode(F.sequence(F.col("filing_date"), F.date_add("filing_date", 2))).alias("d"), "material").groupBy("symbol", "d").agg(F.max("material").alias("material"))
+    first = V.facts(s, d).groupBy("symbol").agg(F.date_add(F.min("as_of_date"), 400).alias("since"))
+    x = c.join(spread.withColumn("has_filing", F.lit(True)), ["symbol", "d"], "left").join(first, "symbol", "left")
+    n = F.col("num")
+    x = x.withColumns({"in_universe": n % 17 != 0, "has_price": n % 19 != 0, "has_facts": F.col("since") <= F.col("d"), "near_threshold": n % 5 == 0, "catalyst_low": F.col("catalyst") < 50, "evidence": n % 2 == 0, "scored": n % 3 != 0})
+    return E.investigation_flags(x).select("symbol", "d", F.concat_ws(",", "labels").alias("labels"), "primary_label", "text_needed")

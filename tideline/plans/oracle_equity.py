@@ -79,4 +79,9 @@ def all_sql() -> dict[str, str]:
     s["j4_quantile_atoms"] = f"""with {J1}, v as (select feature, list_sort(list(value)) as v from base group by 1 having count(distinct value) > 1), i as (select feature, v, cast(i as bigint) as i, greatest(1, least(len(v) - 1, i * (len(v) + 1) // 10)) as j from v, range(1, 10) t(i)),
         c as (select distinct feature, round((v[j] * (10 - (i * (len(v) + 1) - j * 10)) + v[j + 1] * (i * (len(v) + 1) - j * 10)) / 10, 12) as cut from i) select feature, op, round(cut, 9) as cut from c, (values ('>'), ('<')) o(op)"""
     s["k9_entry_rules"] = f"with {HOURS} select a.symbol, a.h as signal, b.h as entry_at, round(b.open, 6) as open from hours a join hours b on b.symbol = a.symbol and b.h = a.h + interval 26 hour where a.close > 90"
+    s["l9_investigation_flags"] = f"""with {CANDS}, {FILINGS}, {MOVES}, o as (select concat('S', cast(o_custkey % 10 as varchar)) as symbol, min(cast(o_orderdate as date)) + 400 as since from orders group by 1),
+        x as (select c.symbol, c.d, c.num, coalesce(c.catalyst < 50, false) as low, coalesce(o.since <= c.d, false) as facts, exists (select 1 from filings f where f.symbol = c.symbol and f.form = '8-K' and f.filing_date between c.d - 2 and c.d) as filed, exists (select 1 from filings f where f.symbol = c.symbol and f.form = '8-K' and f.accession % 3 = 0 and f.filing_date between c.d - 2 and c.d) as mat from cands c join moves m on m.symbol = c.symbol and m.d = c.d left join o on o.symbol = c.symbol),
+        y as (select *, not (filed and low) and num % 2 <> 0 and not filed as quiet from x),
+        z as (select symbol, d, filed and low and mat as text_needed, list_filter([case when num % 17 = 0 then 'not_in_universe' end, case when num % 19 = 0 then 'missing_price_data' end, case when not facts then 'missing_fundamentals' end, case when num % 5 = 0 then 'threshold_too_strict' end, case when filed and low and mat then 'text_evidence_available_not_classified' end, case when filed and low and mat then 'needs_llm_text_enrichment' end, case when filed and low and not mat then 'routine_event_correctly_suppressed' end, case when quiet and num % 3 <> 0 then 'no_public_catalyst_source_found' end, case when quiet and num % 3 = 0 then 'price_move_without_known_catalyst' end], lambda v: v is not null) as l from y)
+        select symbol, d, case when len(l) > 0 then array_to_string(l, ',') else 'truly_unpredictable' end as labels, case when len(l) > 0 then l[1] else 'truly_unpredictable' end as primary_label, text_needed from z"""
     return s

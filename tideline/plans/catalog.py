@@ -522,13 +522,13 @@ def l10_table_inventory(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import decisions, equity, evaluation, intraday, upkeep  # noqa: F401 (registers its queries)
+    from . import decisions, discovery, equity, evaluation, intraday, upkeep  # noqa: F401 (registers its queries)
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
     queries()
-    from . import oracle_equity, oracle_evaluation, oracle_intraday, oracle_paths, oracle_upkeep
+    from . import oracle_discovery, oracle_equity, oracle_evaluation, oracle_intraday, oracle_paths, oracle_upkeep
 
-    return {k: v for m in (oracle, oracle_paths, oracle_intraday, oracle_evaluation, oracle_upkeep, oracle_equity) for k, v in m.all_sql().items() if k in _queries}
+    return {k: v for m in (oracle, oracle_paths, oracle_intraday, oracle_evaluation, oracle_upkeep, oracle_equity, oracle_discovery) for k, v in m.all_sql().items() if k in _queries}

@@ -89,6 +89,18 @@ def depth_window(ladder: DataFrame, cadence: str) -> DataFrame:
     return out.select("symbol", F.col("w.start").alias("window_start"), *[c for c in out.columns if c not in ("symbol", "w")])
 
 
+def book_window(samples: DataFrame, cadence: str, *, first: int = 2, last: int = 20) -> DataFrame:
+    """samples (symbol, ts, event_id, side, ladder array<struct<price, qty>>, best first): rows for the levels first..last of each window and side as
+    depth_window gives them, and one of level 0 for the whole ladders: total quantity, lowest and highest, and notional. A level that no sample
+    has gives no row. The levels are exploded; totals are folded inside a sample."""
+    total = lambda f: F.aggregate("ladder", F.lit(0.0), lambda acc, x: acc + f(x))
+    x = samples.withColumns({"total": total(lambda x: x.qty), "notional": total(lambda x: x.price * x.qty)})
+    whole = x.groupBy("symbol", F.window("ts", cadence).alias("w"), "side").agg(F.count("*").alias("samples"), F.min("total").alias("qty_min"), F.max("total").alias("qty_max"), F.avg("notional").alias("notional_mean"), F.max("notional").alias("notional_max"), F.min("notional").alias("notional_min"))
+    whole = whole.select("symbol", F.col("w.start").alias("window_start"), "side", F.lit(0).alias("level"), "samples", "qty_min", "qty_max", "notional_mean", "notional_max", "notional_min")
+    levels = samples.select("symbol", "ts", "event_id", "side", F.posexplode(F.slice("ladder", first, last - first + 1)).alias("at", "x")).select("symbol", "ts", "event_id", "side", (F.col("at") + first).alias("level"), "x.*")
+    return depth_window(levels, cadence).unionByName(whole, allowMissingColumns=True)
+
+
 def path_labels(bars: DataFrame, horizons: list[int], gaps: DataFrame) -> DataFrame:
     """Per bar and horizon in hours: return, best and worst of what lies ahead, and whether the span is whole and free of gaps.
     Frames by time, so missing bars shorten a span; spans beyond the last bar of all don't come out.

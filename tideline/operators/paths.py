@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,23 @@ def first_exit(path: DataFrame, rules: list[tuple[str, Column, Column]], *, keys
     return out.select(*keys, "entry", "x.reason", "x.price", "x.bar", (F.col("x.price") / F.col("entry") - 1).alias("ret"))
 
 
+def sweep(path: DataFrame, grid: Column, rules: list[tuple[str, Callable[[Column], Column], Callable[[Column], Column]]], *, carry: tuple[str, ...] = (), upto: Column | None = None) -> DataFrame:
+    """first_exit for every entry of `grid`, an array of structs whose fields become columns. A trade's bars become one array (the path is by
+    trade already, so nothing is shuffled) and only trades are multiplied. Rules are (reason, condition, fill) of a bar; with `upto`
+    bars after that day don't count, and only trades whose path reaches it."""
+    bars = F.array_sort(F.collect_list(F.struct("k", "open", "high", "low", "close")))
+    x = path.groupBy(*KEY).agg(F.first("entry").alias("entry"), F.first("gap").alias("gap"), *(F.first(c).alias(c) for c in carry), bars.alias("bars"))
+    x = x.withColumn("_g", F.explode(grid)).select("*", "_g.*")
+    if upto is not None:
+        x = x.withColumn("bars", F.filter("bars", lambda b: b.k <= upto)).filter(F.element_at("bars", -1).k == upto)
+    hit = lambda b: reduce(lambda acc, rule: F.when(rule[1](b), F.struct(F.lit(rule[0]).alias("reason"), rule[2](b).alias("price"), b.k.alias("bar"))).otherwise(acc), reversed(rules), F.lit(None))
+    fires = lambda b: reduce(lambda acc, rule: acc | rule[1](b), rules, F.lit(False))
+    x = x.withColumns({"_first": F.get(F.filter("bars", lambda b: (b.k > 0) & F.coalesce(fires(b), F.lit(False))), F.lit(0)), "_last": F.element_at("bars", -1)})
+    end = F.struct(F.when(F.col("gap"), "data_gap").otherwise("time").alias("reason"), F.col("_last.close").alias("price"), F.col("_last.k").alias("bar"))
+    x = x.withColumn("_x", F.when(F.col("_first").isNotNull(), hit(F.col("_first"))).otherwise(end))
+    return x.select(*[c for c in x.columns if c not in ("bars", "_g", "_first", "_last", "_x")], "_x.*", (F.col("_x.price") / F.col("entry") - 1).alias("ret"))
+
+
 def target(tp: float | Column) -> tuple[str, Column, Column]:
     level = F.col("entry") * (1 + tp)
     return "tp", F.col("high") >= level, level

@@ -4,6 +4,7 @@ the last bits of sums."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -515,10 +516,15 @@ def j3_cross_rank(s, d):
     return B.cross_rank(V.bars(s, d), "volume").select("symbol", "d", *r("cross_rank"))
 
 
+INVENTORY = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts", "customer": None, "supplier": None, "part": None, "nation": None, "region": None, "documents": None, "embeddings": None, "pages": None, "benchmark": None, "labels": None, "conversations": None}
+
+
 @query
 def l10_table_inventory(s, d):
-    parts = [V.bars(s, d).agg(F.lit("bars").alias("name"), F.count("*").alias("n"), F.min("d").alias("first_day"), F.max("d").alias("last_day")), V.filings(s, d).agg(F.lit("filings"), F.count("*"), F.min("filing_date"), F.max("filing_date"))]
-    return parts[0].union(parts[1])
+    """Rows and the span of the date column of every table; null where a table has none."""
+    day = lambda f, c: (f(c).cast("date") if c else F.lit(None).cast("date"))
+    parts = [V.table(s, d, t).agg(F.lit(t).alias("name"), F.count("*").alias("n"), day(F.min, c).alias("first_day"), day(F.max, c).alias("last_day")) for t, c in INVENTORY.items()]
+    return reduce(DataFrame.union, parts)
 
 
 def queries() -> dict[str, Query]:

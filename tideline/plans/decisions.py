@@ -167,8 +167,8 @@ def k10_costs_net(s, d):
 @query
 def k11_config_sweep(s, d):
     grid = F.array(*(F.struct(F.lit(i).alias("config"), F.lit(tp).alias("tp"), F.lit(sl).alias("sl")) for i, (tp, sl) in enumerate((tp, sl) for tp in (0.2, 0.5, 1.0) for sl in (0.2, 0.4))))
-    p = path(s, d).select("*", F.explode(grid).alias("g")).select("*", "g.*")
-    x = P.first_exit(p, [P.stop(F.col("entry") * (1 - F.col("sl"))), P.target(F.col("tp"))], keys=["config", *P.KEY])
+    low, high = F.col("entry") * (1 - F.col("sl")), F.col("entry") * (1 + F.col("tp"))
+    x = P.sweep(path(s, d), grid, [("sl", lambda b: b.low <= low, lambda b: low), ("tp", lambda b: b.high >= high, lambda b: high)])
     return x.groupBy("config").agg(F.count("*").alias("n"), F.round(F.avg("ret"), 5).alias("mean_ret"), F.count_if(F.col("reason") == "tp").alias("tp"), F.count_if(F.col("reason") == "sl").alias("sl"), F.count_if(F.col("reason") == "data_gap").alias("gaps"))
 
 
@@ -178,8 +178,6 @@ def j10_exit_grid(s, d):
     vol = B.realized_vol(V.bars(s, d), 20, scale=1, include_current=True).select("symbol", "d", F.least("vol", F.lit(0.3)).alias("vol"))
     t = V.trades(s, d).join(vol, ["symbol", "d"]).filter("vol > 0")
     grid = F.array(*(F.struct(F.lit(m).alias("mult"), F.lit(h).alias("cap")) for m in (1.0, 2.0) for h in (3, 8)))
-    p = P.expand(t, V.bars(s, d), days=8).select("*", F.explode(grid).alias("g")).select("*", "g.*").filter("k <= cap")
-    whole = Window.partitionBy("mult", "cap", *P.KEY)
-    p = p.withColumn("_n", F.max("k").over(whole)).filter("_n = cap")
-    x = P.first_exit(p, [P.stop(F.col("entry") * (1 - F.col("mult") * F.col("vol"))), P.target(F.col("mult") * F.col("vol"))], keys=["mult", "cap", *P.KEY])
+    low, high = F.col("entry") * (1 - F.col("mult") * F.col("vol")), F.col("entry") * (1 + F.col("mult") * F.col("vol"))
+    x = P.sweep(P.expand(t, V.bars(s, d), days=8), grid, [("sl", lambda b: b.low <= low, lambda b: low), ("tp", lambda b: b.high >= high, lambda b: high)], carry=("vol",), upto=F.col("cap"))
     return x.select("mult", "cap", "symbol", "d", "reason", "bar", *r("ret", digits=5))

@@ -177,15 +177,40 @@ def d25_coverage_ratio(s, d):
 
 @query
 def d26_freshness(s, d):
-    last = V.filings(s, d).groupBy("symbol", "form").agg(F.max("filing_date").alias("last_day"))
-    age = F.datediff(F.lit("2001-08-02").cast("date"), "last_day")
-    return last.select("symbol", "form", age.alias("age"), F.when(age <= 2, "fresh").when(age <= 30, "stale").otherwise("missing").alias("state"))
+    """Age of the last row by kind, of filings and of bars, each with its own bounds."""
+    today = F.lit("2001-08-02").cast("date")
+    def state(last, table, fresh, stale):
+        age = F.datediff(today, "last_day")
+        return last.select(F.lit(table).alias("table"), "symbol", "form", age.alias("age"), F.when(age <= fresh, "fresh").when(age <= stale, "stale").otherwise("missing").alias("state"))
+
+    filed = V.filings(s, d).groupBy("symbol", "form").agg(F.max("filing_date").alias("last_day"))
+    traded = V.bars(s, d).groupBy("symbol", F.lit("bar").alias("form")).agg(F.max("d").alias("last_day"))
+    return state(filed, "filings", 2, 30).unionByName(state(traded, "bars", 980, 984))
 
 
 @query
 def d27_outcome_by(s, d):
-    bucket = F.when(F.col("prob") >= 0.8, "80+").when(F.col("prob") >= 0.7, "70-79").when(F.col("prob") >= 0.6, "60-69").otherwise("<60")
-    return A.hit_rate(scored(s, d).withColumn("bucket", bucket), ["bucket"]).select("bucket", "n", "hits", *r("rate"))
+    """Outcomes by bucket of the score, tier, horizon and model: one pass, each row counted once a dimension."""
+    p = F.col("prob")
+    dims = {"bucket": F.when(p >= 0.8, "80+").when(p >= 0.7, "70-79").when(p >= 0.6, "60-69").when(p >= 0.5, "50-59").otherwise("<50"), "tier": F.when(p >= 0.75, "A").when(p >= 0.6, "B").otherwise("C"), "horizon": F.col("horizon"), "model": F.col("model").cast("string")}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("dimension"), v.alias("value")) for k, v in dims.items())))
+    x = scored(s, d).select("hit", F.log1p("ret").alias("ret"), each.alias("e")).select("hit", "ret", "e.*")
+    return x.groupBy("dimension", "value").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.round(F.avg("ret"), 6).alias("mean_ret"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("rate"))
+
+
+@query
+def d27_component_means(s, d):
+    """Mean of each component and of the outcome, by whether the outcome was a hit."""
+    x = V.candidates(s, d).join(scored(s, d).select("symbol", "d", "hit", F.log1p("ret").alias("ret")), ["symbol", "d"])
+    return x.groupBy("hit").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in ("cheap", "quality", "catalyst", "momentum", "sentiment", "risk", "ret")))
+
+
+@query
+def d27_feature_coverage(s, d):
+    """Features by symbol and year: all, present and their share."""
+    names = ["cheap", "quality", "catalyst", "momentum", "sentiment", "risk"]
+    x = V.candidates(s, d).groupBy("symbol", F.year("d").alias("year")).agg((F.count("*") * len(names)).alias("features"), sum((F.count(c) for c in names), F.lit(0)).alias("present"))
+    return x.select("symbol", "year", "features", "present", F.round(F.col("present") * 100.0 / F.col("features"), 6).alias("pct"))
 
 
 @query

@@ -213,12 +213,12 @@ def i4_liquidation_window(s, d):
 
 @query
 def i5_depth_window(s, d):
-    level = F.explode(F.sequence(F.lit(0), F.lit(4)))
-    q = V.quotes(s, d).select("*", level.alias("level"))
-    bid = q.select("symbol", "ts", "event_id", F.lit("bid").alias("side"), "level", (F.col("bid") - 0.05 * F.col("level")).alias("price"), (F.col("bid_qty") + F.col("level")).alias("qty"))
-    ask = q.select("symbol", "ts", "event_id", F.lit("ask").alias("side"), "level", (F.col("ask") + 0.05 * F.col("level")).alias("price"), (F.col("ask_qty") + F.col("level")).alias("qty"))
-    x = I.depth_window(bid.union(ask), "6 hours")
-    return x.select("symbol", "window_start", "side", "level", *r("price_open", "price_high", "price_low", "price_close", "qty_mean"), "qty_last", "qty_min", "qty_max")
+    """Ladders of 3 to 22 levels a side, from the best quote on."""
+    n = (F.col("event_id") % 20 + 3).cast("int")
+    ladder = lambda price, qty, sign: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((F.col(price) + sign * 0.05 * i).alias("price"), (F.col(qty) + i).alias("qty")))
+    q = V.quotes(s, d).select("symbol", "ts", "event_id", F.explode(F.array(F.struct(F.lit("bid").alias("side"), ladder("bid", "bid_qty", -1).alias("ladder")), F.struct(F.lit("ask").alias("side"), ladder("ask", "ask_qty", 1).alias("ladder")))).alias("b")).select("symbol", "ts", "event_id", "b.*")
+    x = I.book_window(q, "6 hours")
+    return x.select("symbol", "window_start", "side", "level", "samples", *r("price_open", "price_high", "price_low", "price_close", "qty_mean"), "qty_last", "qty_min", "qty_max", *(F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("notional_mean", "notional_max", "notional_min")))
 
 
 @query

@@ -116,5 +116,7 @@ def all_sql() -> dict[str, str]:
     s["i18_sessions"] = f"with {TICKS}, x as (select *, case when ts - lag(ts) over (partition by symbol order by ts, event_id) < interval 30 minute then 0 else 1 end as new from ticks), y as (select *, sum(new) over (partition by symbol order by ts, event_id) as g from x) select symbol, min(ts) as session_start, count(*) as n, sum(qty) as qty from y group by symbol, g"
     s["j2_trailing_z"] = f"with {BARS}, q as (select symbol, d, volume as v, count(*) over {w('240 preceding', '1 preceding')} as n, avg(volume) over {w('240 preceding', '1 preceding')} as m, stddev_pop(volume) over {w('240 preceding', '1 preceding')} as sd from bars) select symbol, d, round(case when n >= 60 and sd > 0 then (v - m) / sd end, 5) as z from q"
     s["j3_cross_rank"] = f"with {BARS} select symbol, d, round(case when count(*) over (partition by d) >= 5 then (rank() over (partition by d order by volume) - 1 + 0.5 * count(*) over (partition by d, volume)) / count(*) over (partition by d) end, 6) as cross_rank from bars"
-    s["l10_table_inventory"] = f"with {BARS}, {FILINGS} select 'bars' as name, count(*) as n, min(d) as first_day, max(d) as last_day from bars union all select 'filings', count(*), min(filing_date), max(filing_date) from filings"
+    dated = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
+    undated = "customer supplier part nation region documents embeddings pages benchmark labels conversations".split()
+    s["l10_table_inventory"] = " union all ".join([f"select '{t}' as name, count(*) as n, cast(min({c}) as date) as first_day, cast(max({c}) as date) as last_day from {t}" for t, c in dated.items()] + [f"select '{t}', count(*), null, null from {t}" for t in undated])
     return s

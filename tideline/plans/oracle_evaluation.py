@@ -6,6 +6,7 @@ from .oracle import BARS, FILINGS, LAG, PREDS, TICKS, W, w
 from .oracle_intraday import HOURS
 from .oracle_paths import CANDS
 
+CANDS_ONLY = CANDS[len(BARS) + 2:]  # beside bars that are there already
 SCORED = f"{PREDS}, sc as (select * from preds where hit is not null), rt as (select * from preds where ret is not null)"
 STATS = "count(*) as n, avg(case when ret > 0 then 1.0 else 0.0 end) as win_rate, avg(ret) as mean_ret, quantile_cont(ret, 0.5) as median_ret, sum(case when ret > 0 then ret end) / sum(case when ret < 0 then -ret end) as profit_factor"
 SHARPE = "avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(252)"
@@ -35,8 +36,12 @@ def all_sql() -> dict[str, str]:
     s["d15_accumulation_eta"] = f"with {FILINGS}, q as (select form, count(*) as n, count(*) filter (filing_date > date '2001-07-31' - 7) as week from filings group by 1) select form, n, week, round((1e6 - n) / nullif(week / 7.0, 0), 3) as days_left from q"
     s["d21_median_impute"] = f"with {BARS}, q as (select symbol, d, {LAG(60)} as x, case when day(d) % 3 <> 0 then volume end as y from bars), m as (select quantile_cont(x, 0.5) as mx, quantile_cont(y, 0.5) as my from q where d < date '1998-01-01') select symbol, d, case when d < date '1998-01-01' then 'train' else 'test' end as slice, round(coalesce(x, mx), 6) as x, round(coalesce(y, my), 6) as y from q, m"
     s["d25_coverage_ratio"] = f"with {BARS}, q as (select d, count(*) as n from bars group by 1), p as (select d, n, n / avg(n) over (order by d rows between 5 preceding and 1 preceding) as ratio from q) select d, n, round(ratio, 6) as ratio, case when ratio >= 0.9 then 'ok' when ratio >= 0.7 then 'warn' when ratio is not null then 'fail' end as state from p"
-    s["d26_freshness"] = f"with {FILINGS}, q as (select symbol, form, cast(date_diff('day', max(filing_date), date '2001-08-02') as int) as age from filings group by 1, 2) select *, case when age <= 2 then 'fresh' when age <= 30 then 'stale' else 'missing' end as state from q"
-    s["d27_outcome_by"] = f"with {SCORED} select case when prob >= 0.8 then '80+' when prob >= 0.7 then '70-79' when prob >= 0.6 then '60-69' else '<60' end as bucket, count(*) as n, count(*) filter (hit) as hits, round(avg(cast(hit as double)), 6) as rate from sc group by 1"
+    s["d26_freshness"] = f"""with {BARS}, {FILINGS}, q as (select 'filings' as "table", symbol, form, max(filing_date) as last_day, 2 as a, 30 as b from filings group by 1, 2, 3 union all select 'bars', symbol, 'bar', max(d), 980, 984 from bars group by 2), r as (select *, cast(date_diff('day', last_day, date '2001-08-02') as int) as age from q)
+        select "table", symbol, form, age, case when age <= a then 'fresh' when age <= b then 'stale' else 'missing' end as state from r"""
+    dims = {"bucket": "case when prob >= 0.8 then '80+' when prob >= 0.7 then '70-79' when prob >= 0.6 then '60-69' when prob >= 0.5 then '50-59' else '<50' end", "tier": "case when prob >= 0.75 then 'A' when prob >= 0.6 then 'B' else 'C' end", "horizon": "horizon", "model": "cast(model as varchar)"}
+    s["d27_outcome_by"] = f"with {SCORED} " + " union all ".join(f"select '{k}' as dimension, {v} as value, count(*) as n, count(*) filter (hit) as hits, round(avg(ln(1 + ret)), 6) as mean_ret, round(avg(cast(hit as double)), 6) as rate from sc group by 2" for k, v in dims.items())
+    s["d27_component_means"] = f"with {SCORED}, {CANDS_ONLY} select hit, count(*) as n, {', '.join(f'round(avg({c}), 6) as {c}' for c in ('cheap', 'quality', 'catalyst', 'momentum', 'sentiment', 'risk'))}, round(avg(ln(1 + ret)), 6) as ret from cands c join sc on sc.symbol = c.symbol and sc.d = c.d group by 1"
+    s["d27_feature_coverage"] = f"with {BARS}, {CANDS_ONLY}, q as (select symbol, cast(year(d) as int) as year, count(*) * 6 as features, count(cheap) + count(quality) + count(catalyst) + count(momentum) + count(sentiment) + count(risk) as present from cands group by 1, 2) select *, round(present * 100.0 / features, 6) as pct from q"
     s["d28_two_sample_t"] = f"with {SCORED}, q as (select ln(1 + ret) as x, prob >= 0.5 as a from rt), m as (select count(*) filter (a) as na, count(*) filter (not a) as nb, avg(x) filter (a) as ma, avg(x) filter (not a) as mb, var_samp(x) filter (a) as va, var_samp(x) filter (not a) as vb from q) select na, nb, round(ma, 5) as ma, round(mb, 5) as mb, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)), 5) as t from m"
     s["d29_quintile_spread"] = f"with {SCORED}, e as (select quantile_cont(prob, [0.2, 0.4, 0.6, 0.8]) as e from rt), q as (select len(list_filter(e.e, lambda v: v < prob)) + 1 as bin, ln(1 + ret) as x from rt, e), g as (select cast(bin as int) as bin, count(*) as n, avg(x) as mean, var_samp(x) as v from q group by 1), z as (select a.mean - b.mean as spread, sqrt(a.v / a.n + b.v / b.n) as se from g a, g b where a.bin = 1 and b.bin = 5) select bin, n, round(mean, 6) as mean, round(spread, 6) as spread, round(spread / nullif(se, 0), 5) as t from g left join z on true"
     s["d33_monthly_regime"] = f"with {SCORED}, m as (select date_trunc('month', d) as mo, arg_max(close, d) / arg_min(close, d) - 1 as ch from bars where symbol = 'S0' group by 1) select case when ch > 0.05 then 'bull' when ch < -0.05 then 'bear' else 'neutral' end as regime, count(*) as n, round(avg(cast(hit as double)), 6) as rate, round(avg(ret), 5) as mean_ret from sc join m on m.mo = date_trunc('month', d) group by 1"

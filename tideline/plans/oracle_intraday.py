@@ -61,7 +61,10 @@ def all_sql() -> dict[str, str]:
     s["h11_json_metadata"] = """select o_custkey, concat('{"n":', count(*), ',"first":', min(o_orderkey), '}') as meta, cast(min(o_orderkey) as bigint) as first_key from orders group by 1"""
     s["i2_bookticker_window"] = f"with {QUOTES} select symbol, date_trunc('hour', ts) as window_start, round(arg_min(bid, event_id), 6) as bid_open, round(max(bid), 6) as bid_high, round(min(bid), 6) as bid_low, round(arg_max(bid, event_id), 6) as bid_close, round(arg_min(ask, event_id), 6) as ask_open, round(arg_max(ask, event_id), 6) as ask_close, round(avg(bid_qty), 6) as bid_qty_mean, round(max(ask - bid), 6) as spread_max, round(avg(ask - bid), 6) as spread_mean, arg_max(bid_qty, event_id) as bid_qty_last, max(ask_qty) as ask_qty_max, min(ask_qty) as ask_qty_min, count(*) as n from quotes group by 1, 2"
     s["i4_liquidation_window"] = f"with {TICKS} select symbol, {BUCKET6} as window_start, coalesce(sum(qty) filter (not maker), 0) as buy_volume, coalesce(sum(qty) filter (maker), 0) as sell_volume, round(coalesce(sum(price * qty) filter (not maker), 0), 6) as buy_notional, round(coalesce(sum(price * qty) filter (maker), 0), 6) as sell_notional, count(*) filter (not maker) as buys, count(*) filter (maker) as sells from ticks group by 1, 2"
-    s["i5_depth_window"] = f"with {QUOTES}, l as (select symbol, ts, event_id, unnest(['bid', 'ask']) as side, bid, ask, bid_qty, ask_qty from quotes), p as (select symbol, ts, event_id, side, cast(i as int) as level, case side when 'bid' then bid - 0.05::double * i else ask + 0.05::double * i end as price, case side when 'bid' then bid_qty else ask_qty end + i as qty from l, range(5) r(i)) select symbol, {BUCKET6} as window_start, side, level, round(arg_min(price, event_id), 6) as price_open, round(max(price), 6) as price_high, round(min(price), 6) as price_low, round(arg_max(price, event_id), 6) as price_close, round(avg(qty), 6) as qty_mean, arg_max(qty, event_id) as qty_last, min(qty) as qty_min, max(qty) as qty_max from p group by all"
+    s["i5_depth_window"] = f"""with {QUOTES}, l as (select symbol, ts, event_id, unnest(['bid', 'ask']) as side, bid, ask, bid_qty, ask_qty from quotes), p as (select symbol, ts, event_id, side, cast(i + 1 as int) as level, case side when 'bid' then bid - 0.05::double * i else ask + 0.05::double * i end as price, case side when 'bid' then bid_qty else ask_qty end + i as qty from l, range(22) r(i) where i < event_id % 20 + 3),
+        t as (select symbol, ts, side, event_id, sum(qty) as q, sum(price * qty) as v from p group by all)
+        select symbol, {BUCKET6} as window_start, side, level, null as samples, round(arg_min(price, (ts, event_id)), 6) as price_open, round(max(price), 6) as price_high, round(min(price), 6) as price_low, round(arg_max(price, (ts, event_id)), 6) as price_close, round(avg(qty), 6) as qty_mean, arg_max(qty, (ts, event_id)) as qty_last, min(qty) as qty_min, max(qty) as qty_max, null as notional_mean, null as notional_max, null as notional_min from p where level between 2 and 20 group by all
+        union all select symbol, {BUCKET6}, side, 0, count(*), null, null, null, null, null, null, min(q), max(q), round(avg(v) + 1e-7, 4), round(max(v) + 1e-7, 4), round(min(v) + 1e-7, 4) from t group by 1, 2, 3"""
     s["i9_window_dedup"] = f"with {HOURS} select symbol, h, case when trades < 4 then trades else trades * 10 end as trades from hours"
     s["i11_path_labels"] = f"""with {HOURS}, gaps as (select h as a, h + interval 30 minute as b from hours where symbol = 'U3' and hour(h) = 5), x as (select symbol, h, close, unnest([1, 4, 12]) as horizon from hours), y as (select * from x where h + to_hours(horizon) <= (select max(h) from hours)),
     z as (select y.symbol, y.h, y.horizon, y.close, max(b.high) / y.close - 1 as mfe, min(b.low) / y.close - 1 as mae, max(case when b.h = y.h + to_hours(y.horizon) then b.close end) / y.close - 1 as fr, count(b.h) = y.horizon as complete from y left join hours b on b.symbol = y.symbol and b.h > y.h and b.h <= y.h + to_hours(y.horizon) group by 1, 2, 3, 4)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import aggregates as A
 from ..operators import bars as B
+from ..operators import discovery as X
 from ..operators import intraday as I
 from ..sources import tape as S
 from ..sources import views as V
@@ -81,12 +82,19 @@ def d42_daily_balance(s, d):
 
 @query
 def e34_universe_hysteresis(s, d):
-    """Over the last seven ranking days: in the top five on all adds a symbol, on none removes it."""
-    b = V.bars(s, d)
-    days = b.select("d").distinct().orderBy(F.col("d").desc()).limit(7)
-    x = b.join(F.broadcast(days), "d").withColumn("rank", F.rank().over(Window.partitionBy("d").orderBy(F.col("volume").desc(), "symbol")))
-    y = x.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("rank") <= 5).alias("inside"))
-    return y.select("symbol", "n", "inside", F.when(F.col("inside") == 7, "add").when(F.col("inside") == 0, "remove").otherwise("keep").alias("change"))
+    """Over the last seven ranking days by trailing mean volume: in the top five on all adds a symbol that isn't held (if listed for 60 days,
+    else it is pending), on none removes one that is; days in the top counted back from the last, and the last rank."""
+    today, n = F.lit("1998-12-31").cast("date"), F.substring("symbol", 2, 2).cast("int")
+    b = V.bars(s, d).withColumn("mean", F.avg("volume").over(B.by_key().rowsBetween(-29, 0)))
+    days = b.select("d").distinct().orderBy(F.col("d").desc()).limit(7).withColumn("back", F.row_number().over(Window.orderBy(F.col("d").desc())))  # seven rows
+    x = b.join(F.broadcast(days), "d").withColumn("rank", F.row_number().over(Window.partitionBy("d").orderBy(F.col("mean").desc(), "symbol")))
+    top = F.col("rank") <= 5
+    y = x.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(top).alias("inside"), (F.coalesce(F.min(F.when(~top, F.col("back"))), F.lit(8)) - 1).alias("streak"), F.min(F.when(F.col("back") == 1, F.col("rank"))).alias("rank"))
+    y = y.withColumns({"active": n % 2 == 0, "listed": F.when(n != 9, F.when(n % 3 == 0, F.date_sub(today, 30)).otherwise(F.date_sub(today, 900)))})
+    age = F.datediff(today, "listed")
+    add = F.when(F.col("listed").isNull(), "no_listing").when(age < 60, "pending").otherwise("add")
+    change = F.when(F.col("n") < 7, "insufficient_history").when(~F.col("active") & (F.col("inside") == 7), add).when(F.col("active") & (F.col("inside") == 0), "remove").otherwise("keep")
+    return y.select("symbol", "n", "inside", "streak", "rank", "active", change.alias("change"), F.when(change == "pending", F.date_add("listed", 60)).alias("eligible"))
 
 
 @query
@@ -128,14 +136,12 @@ def i3_markprice_window(s, d):
     return x.select("symbol", F.col("w.start").alias("window_start"), *r("mark_open", "mark_high", "mark_low", "mark_close", "funding_low", "funding_high", "funding_close", *(f"{c}_{n}" for c in ("index", "settle") for n in ("open", "high", "low", "close"))), "next_id")
 
 
+RULES = {1: [("ret_1", ">", 0.5), ("sma_dist_20", "<", 0.0)], 2: [("ret_5", "<", -0.3)], 3: [("ret_1", "<", -0.2), ("ret_5", ">", 0.2), ("sma_dist_20", ">", -0.5)]}
+
+
 def fired(s, d):
-    """Rules of conditions on features: a rule fires where all of its conditions hold; an absent feature never does."""
     x = B.sma_distance(B.lag_returns(V.bars(s, d), [1, 5]), 20, min_rows=20)
-    long = x.unpivot(["symbol", "d"], ["ret_1", "ret_5", "sma_dist_20"], "feature", "value")
-    atoms = [(1, "ret_1", 1, 0.5), (1, "sma_dist_20", -1, 0.0), (2, "ret_5", -1, -0.3), (3, "ret_1", -1, -0.2), (3, "ret_5", 1, 0.2), (3, "sma_dist_20", 1, -0.5)]
-    rules = s.createDataFrame(atoms, "rule int, feature string, sign int, cut double").withColumn("depth", F.count("*").over(Window.partitionBy("rule")))
-    hit = long.join(F.broadcast(rules), "feature").filter((F.col("value") - F.col("cut")) * F.col("sign") > 0)
-    return hit.groupBy("rule", "symbol", "d").agg(F.count("*").alias("n"), F.max("depth").alias("depth")).filter("n = depth").select("rule", "symbol", "d")
+    return X.fired(x, RULES, ["symbol", "d"])
 
 
 @query
@@ -153,9 +159,8 @@ def j7_rule_score(s, d):
 @query
 def j12_forward_confirm(s, d):
     x = B.forward_labels(V.bars(s, d), [5], 0.5).filter("fwd_ret_5 > -1").select("symbol", "d", F.log1p("fwd_ret_5").alias("v"))
-    y = fired(s, d).filter("d > date '2000-01-01'").join(x, ["symbol", "d"]).groupBy("rule").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
-    t = F.round(F.try_divide(F.col("mean"), F.col("sd") / F.sqrt("n")), 5)
-    return y.select("rule", "n", t.alias("t"), F.when(F.col("n") < 30, "wait").when(t > 2, "promote").otherwise("reject").alias("verdict"))
+    y = fired(s, d).filter("d > date '2000-01-01'").join(x, ["symbol", "d"])
+    return X.confirmation(y, {1: 0.05, 2: 0.01, 3: 0.0}, promoted=[1, 3]).select("rule", "n", *r("mean", "t", digits=5), "verdict")
 
 
 @query
@@ -170,13 +175,24 @@ def l4_validate_backfill(s, d):
 
 @query
 def l7_review_sections(s, d):
-    """The best five of each component by month, and the sections in which a symbol stands."""
+    """The best five of each component by month, the sections in which a symbol stands, and how urgent it is; tier C always is."""
     c = V.candidates(s, d).withColumn("month", F.trunc("d", "month"))
-    best = c.groupBy("symbol", "month").agg(*(F.max(x).alias(x) for x in ("cheap", "quality", "momentum")))
-    long = best.unpivot(["symbol", "month"], ["cheap", "quality", "momentum"], "section", "score").filter("score is not null")
+    best = c.groupBy("symbol", "month").agg(*(F.max(x).alias(x) for x in ("cheap", "quality", "momentum")), F.when(F.max("num") % 3 == 0, "C").otherwise("B").alias("tier"))
+    long = best.unpivot(["symbol", "month", "tier"], ["cheap", "quality", "momentum"], "section", "score").filter("score is not null")
     top = long.withColumn("k", F.row_number().over(Window.partitionBy("month", "section").orderBy(F.col("score").desc(), "symbol"))).filter("k <= 5")
-    x = top.groupBy("symbol", "month").agg(F.concat_ws(",", F.sort_array(F.collect_set("section"))).alias("sections"), F.countDistinct("section").alias("n"))
-    return x.select("symbol", "month", "sections", "n", F.when(F.col("n") >= 3, "high").when(F.col("n") == 2, "medium").otherwise("low").alias("priority"))
+    x = top.groupBy("symbol", "month", "tier").agg(F.concat_ws(",", F.sort_array(F.collect_set("section"))).alias("sections"), F.countDistinct("section").alias("n"))
+    return x.select("symbol", "month", "tier", "sections", "n", F.when((F.col("n") >= 3) | (F.col("tier") == "C"), "high").when(F.col("n") == 2, "medium").otherwise("low").alias("priority"))
+
+
+@query
+def l7_review_stats(s, d):
+    """By month: rows, share of components that are missing, share of rows with fewer than three, and rounded scores in tens as counts."""
+    c = V.candidates(s, d)
+    parts = ["cheap", "quality", "catalyst", "momentum", "sentiment"]
+    seen = sum((F.col(x).isNotNull().cast("int") for x in parts), F.lit(0))
+    tens = [F.count_if(F.floor(F.col("cheap") / 10) == i).alias(f"tens_{i}") for i in range(11)]
+    missing = [F.round(F.avg(F.col(x).isNull().cast("double")), 6).alias(f"no_{x}") for x in parts]
+    return c.groupBy(F.trunc("d", "month").alias("month")).agg(F.count("*").alias("n"), *missing, F.round(F.avg((seen < 3).cast("double")), 6).alias("low_confidence"), *tens)
 
 
 @query

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import running_last
+
 
 def trades_window(rows: DataFrame, *, cadence: str, watermark: str | None = None) -> DataFrame:
     """Per symbol and window: sides, notional, OHLC by (time, arrival), size statistics. A maker row is a taker's sale."""
@@ -28,8 +30,7 @@ def asof_window(rows: DataFrame, *, cadence: str) -> DataFrame:
 
 def sequence_gaps(diffs: DataFrame) -> DataFrame:
     """Rows whose previous update isn't the one before them: the interval that is missing."""
-    last = F.lag("u").over(Window.partitionBy("symbol").orderBy("u"))
-    return diffs.withColumn("expected", last).filter(F.col("expected").isNotNull() & (F.col("pu") != F.col("expected"))).select("symbol", "u", "pu", "expected")
+    return running_last(diffs, {"expected": F.col("u")}, by="symbol", t="u", strict=True).filter(F.col("expected").isNotNull() & (F.col("pu") != F.col("expected"))).select("symbol", "u", "pu", "expected")
 
 
 def sessions(rows: DataFrame, *, gap: str) -> DataFrame:

@@ -497,7 +497,8 @@ def i7_settled(s, d):
 
 @query
 def i12_sequence_gaps(s, d):
-    t = V.ticks(s, d).withColumn("pu", F.when(F.col("event_id") % 97 != 0, F.lag("event_id").over(Window.partitionBy("symbol").orderBy("event_id"))).otherwise(-1))
+    t = J.running_last(V.ticks(s, d), {"before": F.col("event_id")}, by="symbol", t="event_id", strict=True)
+    t = t.withColumn("pu", F.when(F.col("event_id") % 97 != 0, F.col("before")).otherwise(-1))
     return T.sequence_gaps(t.select("symbol", F.col("event_id").alias("u"), "pu").filter("pu is not null"))
 
 

@@ -22,6 +22,19 @@ def event_day_sharpe(df: DataFrame, by: list[str], *, day: str = "d", value: str
     return days.groupBy(*by).agg(F.count("*").alias("n_days"), F.when(sd > 0, F.avg("pnl") / sd * 252**0.5).alias("sharpe"))
 
 
+def run_summary(trades: DataFrame, by: str, *, reasons: tuple[str, ...] = ("tp", "sl", "stop_loss", "trailing", "time", "data_gap")) -> DataFrame:
+    """trades (by, d, exit_day, net, holding, reason, fee, funding, slippage) to a row a run: results in all and a year, Sharpe and drawdown of the sums by
+    exit day, quality, shares of exits and costs. A profit factor without losses is infinite, or null without gains too."""
+    won, lost = F.col("net") > 0, F.col("net") <= 0
+    gain, loss = F.sum(F.when(won, F.col("net")).otherwise(0.0)), F.sum(F.when(lost, -F.col("net")).otherwise(0.0))
+    span = F.datediff(F.max("exit_day"), F.min("d"))
+    shares = [F.avg((F.coalesce("reason", F.lit("")) == x).cast("double")).alias(f"pct_{x}") for x in reasons]
+    x = trades.groupBy(by).agg(F.count("*").alias("n"), F.sum("net").alias("total"), F.when(span > 0, F.sum("net") * 365.0 / span).alias("annual"), F.avg(won.cast("double")).alias("hit_rate"), F.avg(F.when(won, F.col("net"))).alias("avg_winner"), F.avg(F.when(lost, F.col("net"))).alias("avg_loser"), F.when(loss > 0, gain / loss).when(gain > 0, float("inf")).alias("profit_factor"), F.avg("holding").alias("avg_holding"), *shares, F.sum("fee").alias("fees"), F.sum("funding").alias("funding"), F.sum("slippage").alias("slippage"))
+    daily = trades.filter("net is not null").groupBy(by, "exit_day").agg(F.sum("net").alias("ret"))
+    days = event_day_sharpe(daily, [by], day="exit_day").join(max_drawdown(daily, by, "exit_day", "ret"), by)
+    return x.join(days, by, "left").withColumn("max_drawdown", F.coalesce("max_drawdown", F.lit(0.0)))
+
+
 def max_drawdown(df: DataFrame, by: str, t: str, value: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumn("equity", 1 + F.sum(value).over(w))

@@ -187,7 +187,8 @@ def c14_semi_filter(s, d):
 def c19_hold_window_sum(s, d):
     rates = V.ticks(s, d).filter("event_type = 'view'").select(F.concat(F.lit("S"), F.substring("symbol", 2, 2)).alias("symbol"), F.to_date("ts").alias("day"), ((F.col("price") - 50) / 100000).alias("rate"))
     trades = rates.select("symbol", F.col("day").alias("d")).distinct()
-    return J.hold_sum(trades, rates, days=5).select("symbol", "d", *r("funding", digits=9), "n_rates")
+    x = J.hold_sum(trades, rates, days=5)
+    return x.select("symbol", "d", *r("funding", digits=9), "n_rates", (F.col("n_rates") < 10).alias("few"))
 
 
 @query
@@ -473,9 +474,22 @@ def h13_dates(s, d):
     return o.select("accession", F.trunc("filing_date", "month").alias("month"), F.datediff(F.lit("2001-12-31").cast("date"), "filing_date").alias("age"), F.date_add("filing_date", 45).alias("due"), F.quarter("filing_date").alias("quarter"))
 
 
+def searched(df, *, tier=None, low=0.0, high=10_000.0, text=None):
+    """Rows of a score range; a tier and a text within ticker or name, whatever its case, narrow it where given."""
+    found = F.col("s_acctbal").between(low, high)
+    if tier:
+        found &= F.col("tier") == tier
+    if text:
+        found &= F.contains(F.lower("s_name"), F.lit(text.lower())) | F.contains(F.lower("ticker"), F.lit(text.lower()))
+    return df.filter(found)
+
+
 @query
 def h14_filtered_search(s, d):
-    return V.table(s, d, "supplier").filter(F.col("s_name").ilike("%00001%") & (F.col("s_acctbal") > 0)).select("s_suppkey", "s_name")
+    """Three searches over the suppliers: by name or ticker, by tier and range, by all."""
+    x = V.table(s, d, "supplier").withColumn("tier", F.when(F.col("s_nationkey") < 8, "A").otherwise("B")).withColumn("ticker", F.concat(F.lit("T"), (F.col("s_suppkey") * 7).cast("string")))
+    asked = {"text": {"text": "R#00000001"}, "tier": {"tier": "A", "low": 1000.0}, "all": {"tier": "B", "low": -500.0, "high": 5000.0, "text": "11"}}
+    return reduce(DataFrame.unionByName, (searched(x, **how).select(F.lit(name).alias("search"), "s_suppkey", "s_name") for name, how in asked.items()))
 
 
 @query

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -10,6 +12,7 @@ from ..operators import aggregates as A
 from ..operators import bars as B
 from ..operators import decisions as D
 from ..operators import joins as J
+from ..operators import paths as P
 from ..sources import views as V
 from .catalog import query, r
 
@@ -134,9 +137,11 @@ def c25_merge_last_seen(s, d):
 
 @query
 def d8_run_summary(s, d):
-    p = V.preds(s, d).filter("ret is not null").withColumn("ret", F.col("ret") - 0.5)
-    x = A.trade_stats(p, ["model"]).join(A.event_day_sharpe(p, ["model"]), "model")
-    return x.select("model", "n", "n_days", *r("win_rate", "mean_ret", "median_ret", "profit_factor", "sharpe", digits=5))
+    """Trades with a stop and a target, a run a year, net of fees, slippage and funding."""
+    x = P.first_exit(P.expand(V.trades(s, d), V.bars(s, d), days=10), [P.stop(F.col("entry") * 0.7), P.target(0.5)])
+    x = x.withColumns({"run": F.year("d"), "exit_day": F.date_add("d", F.col("bar")), "holding": F.col("bar").cast("double"), "fee": F.lit(D.ROUND_TRIP_FEE), "slippage": F.lit(2 * D.SLIPPAGE[3]), "funding": (F.col("bar") % 3) * 0.0001})
+    y = A.run_summary(x.withColumn("net", F.col("ret") - F.col("fee") - F.col("slippage") + F.col("funding")), "run")
+    return y.select("run", "n", "n_days", *r(*(c for c in y.columns if c not in ("run", "n", "n_days")), digits=5))
 
 
 @query
@@ -284,6 +289,19 @@ def d40_promotion_gate(s, d):
     return x.select("model", *r("rate", "old"), F.when(F.col("old").isNull() | (F.col("old") == 0), True).otherwise(F.round(F.col("rate") - 0.9 * F.col("old"), 9) >= 0).alias("passed"))
 
 
+@query
+def d40_legacy_gates(s, d):
+    """Gates of the tables as they are: enough outcomes, discrimination of the last model, flawed reviews, thin features, one group's share, days of
+    runs. Each is one aggregate; none sees rows of another."""
+    c, p = V.candidates(s, d), scored(s, d)
+    seen = sum((F.col(x).isNotNull().cast("int") for x in D.WEIGHTS), F.lit(0))
+    groups = c.groupBy((F.substring("symbol", 2, 2).cast("int") % 3).alias("g")).agg(F.count("*").alias("n"))
+    gate = lambda df, name, value, bound, least: df.agg(F.lit(name).alias("gate"), value.cast("double").alias("value")).select("gate", "value", F.lit(bound).alias("bound"), F.coalesce((F.col("value") >= bound) if least else (F.col("value") <= bound), F.lit(True)).alias("passed"))
+    share = lambda cond: F.avg(cond.cast("double"))
+    made = [gate(p, "sample_size", F.count("*"), 100.0, True), gate(A.auc(p, "model"), "discrimination", F.max_by("auc", "model"), 0.55, True), gate(c, "flawed_reviews", share((F.col("num") % 8).isin(1, 2, 3, 5)), 0.30, False), gate(c, "thin_features", share(seen < 3), 0.40, False), gate(groups, "concentration", F.max("n") / F.sum("n"), 0.50, False), gate(p.select("model").distinct(), "stability", F.count("*"), 5.0, True)]
+    return reduce(DataFrame.unionByName, made).select("gate", *r("value"), "bound", "passed")
+
+
 @query
 def d43_fold_stability(s, d):
     p = scored(s, d)

@@ -55,7 +55,7 @@ def all_sql() -> dict[str, str]:
     s["c12_asof_offset"] = f"with {BARS}, m as (select p.symbol, p.d, p.close, (select max(d) from bars b where b.symbol = p.symbol and b.d <= p.d - 30) as t from bars p) select m.symbol, m.d, round(m.close / b.close - 1, 6) as move from m join bars b on b.symbol = m.symbol and b.d = m.t where round(m.close / b.close - 1, 6) > 0.5"
     s["c13_reconcile"] = f"with {BARS}, x as (select * from bars where trades > 1), y as (select symbol, d, case when trades % 3 = 0 then close * 1.1 else close end as close from bars where d < date '2001-01-01') select case when y.close is null then 'only_left' when x.close is null then 'only_right' when abs(x.close - y.close) > 0.001 then 'breach' else 'matched' end as kind, count(*) as n from x full join y on x.symbol = y.symbol and x.d = y.d group by 1"
     s["c14_semi_filter"] = f"with {BARS} select symbol, d, trades from bars where symbol in (select symbol from bars group by symbol having sum(volume) > 150000 or symbol in ('S1', 'S3'))"
-    s["c19_hold_window_sum"] = f"with {TICKS}, rates as (select concat('S', substr(symbol, 2)) as symbol, cast(ts as date) as day, (price - 50) / 100000 as rate from ticks where event_type = 'view'), t as (select distinct symbol, day as d from rates) select t.symbol, t.d, round(sum(r.rate), 9) as funding, count(r.rate) as n_rates from t left join rates r on r.symbol = t.symbol and r.day >= t.d and r.day < t.d + 5 group by t.symbol, t.d"
+    s["c19_hold_window_sum"] = f"with {TICKS}, rates as (select concat('S', substr(symbol, 2)) as symbol, cast(ts as date) as day, (price - 50) / 100000 as rate from ticks where event_type = 'view'), t as (select distinct symbol, day as d from rates) select t.symbol, t.d, round(sum(r.rate), 9) as funding, count(r.rate) as n_rates, count(r.rate) < 10 as few from t left join rates r on r.symbol = t.symbol and r.day >= t.d and r.day < t.d + 5 group by t.symbol, t.d"
     s["d2_cond_counts"] = f"with {PREDS} select horizon, count(*) as n, count(*) filter (hit) as hits, round(avg(cast(hit as double)), 6) as rate from preds where hit is not null group by horizon"
     s["d3_weighted_mean"] = f"with {TICKS} select cast(ts as date) as d, round(sum(price * qty) / sum(qty), 6) as vwap, count(distinct symbol) as n_symbols from ticks group by 1"
     s["d4_last_by_order"] = f"with {TICKS} select symbol, cast(ts as date) as d, arg_max(price, event_id) as last_price, round(avg(price), 6) as mean_price from ticks group by 1, 2"
@@ -108,7 +108,7 @@ def all_sql() -> dict[str, str]:
     s["h3_html_text"] = r"""select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) as text from pages"""
     s["h9_surprise_pct"] = "select p_partkey, round((p_retailprice - p_size * 40) / nullif(abs(p_size * 40), 0) * 100, 7) as surprise from part"
     s["h13_dates"] = f"with {FILINGS} select accession, cast(date_trunc('month', filing_date) as date) as month, cast(date_diff('day', filing_date, date '2001-12-31') as int) as age, cast(filing_date + 45 as date) as due, cast(quarter(filing_date) as int) as quarter from filings"
-    s["h14_filtered_search"] = "select s_suppkey, s_name from supplier where s_name ilike '%00001%' and s_acctbal > 0"
+    s["h14_filtered_search"] = "select 'text' as search, s_suppkey, s_name from supplier where s_acctbal between 0 and 10000 and (s_name ilike '%R#00000001%' or concat('T', s_suppkey * 7) ilike '%R#00000001%') union all select 'tier', s_suppkey, s_name from supplier where s_nationkey < 8 and s_acctbal between 1000 and 10000 union all select 'all', s_suppkey, s_name from supplier where s_nationkey >= 8 and s_acctbal between -500 and 5000 and (s_name ilike '%11%' or concat('T', s_suppkey * 7) ilike '%11%')"
     s["i1_trades_window"] = f"with {_trade_window(1)} select symbol, window_start, sum(case when maker then 0.0 else qty end) as buy_volume, sum(case when maker then qty else 0.0 end) as sell_volume, round(sum(price * qty), 6) as notional, count(*) as n, max(case when k = 1 then price end) as open, max(price) as high, min(price) as low, max(case when kd = 1 then price end) as close, max(qty) as qty_max, round(avg(qty), 6) as qty_mean from tr group by 1, 2"
     s["i6_asof_window"] = f"with {_trade_window(6)} select symbol, window_start, price, qty, event_id from tr where kd = 1"
     s["i7_settled"] = f"with {_trade_window(1)} select symbol, window_start, count(*) as n from tr where window_start + interval 3690 second <= timestamp '2024-01-15 12:00:30' group by 1, 2"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .oracle import BARS, FILINGS, LAG, PREDS, TICKS, W, w
 from .oracle_intraday import HOURS
-from .oracle_paths import CANDS
+from .oracle_paths import CANDS, _exit, _path
 
 CANDS_ONLY = CANDS[len(BARS) + 2:]  # beside bars that are there already
 SCORED = f"{PREDS}, sc as (select * from preds where hit is not null), rt as (select * from preds where ret is not null)"
@@ -30,7 +30,13 @@ def all_sql() -> dict[str, str]:
     s["c24_latest_mark"] = f"with {PREDS}, m as (select symbol, arg_max(close, d) as mark from bars group by 1) select p.symbol, round(sum((mark - close) * (year(d) - 1990)), 2) as unrealised, count(*) as n from preds p join m on m.symbol = p.symbol where prob >= 0.95 group by 1"
     up = "over (partition by symbol order by event_id)"
     s["c25_merge_last_seen"] = f"with {TICKS}, q as (select symbol, event_id, price, last_value(case when event_id % 3 = 0 then price end ignore nulls) {up} as a, last_value(case when event_id % 3 = 1 then price end ignore nulls) {up} as b, last_value(case when event_id % 3 = 2 then price end ignore nulls) {up} as c from ticks) select symbol, event_id, round(a, 6) as last_mark, round(b, 6) as last_index, round(c, 6) as last_funding from q where event_id % 3 = 0 and a is not null and b is not null and c is not null"
-    s["d8_run_summary"] = f"with {SCORED}, p as (select model, d, ret - 0.5 as ret from rt), a as (select model, {STATS} from p group by 1), b as (select model, count(*) as n_days, {SHARPE} as sharpe from (select model, d, sum(ret) as pnl from p group by 1, 2) group by 1) select a.model, n, n_days, round(win_rate, 5) as win_rate, round(mean_ret, 5) as mean_ret, round(median_ret, 5) as median_ret, round(profit_factor, 5) as profit_factor, round(sharpe, 5) as sharpe from a join b on b.model = a.model"
+    reasons = ("tp", "sl", "stop_loss", "trailing", "time", "data_gap")
+    s["d8_run_summary"] = f"""with {_path(10)}, {_exit("case when low <= entry * 0.7 then 'sl' when high >= entry * 1.5 then 'tp' end", 'case when low <= entry * 0.7 then entry * 0.7 else entry * 1.5 end')},
+        z as (select cast(year(d) as int) as run, d, cast(d + cast(bar as int) as date) as e, bar, reason, (bar % 3) * 0.0001::double as funding, ret - 0.0007::double - 0.002::double + (bar % 3) * 0.0001::double as net from x), dy as (select run, e, sum(net) as pnl from z group by 1, 2),
+        eq as (select run, e, pnl, 1 + sum(pnl) over (partition by run order by e) as q from dy), dd as (select run, q / max(q) over (partition by run order by e) - 1 as v from eq), dm as (select run, min(v) as max_drawdown from dd group by 1),
+        ds as (select run, count(*) as n_days, case when stddev_samp(pnl) > 0 then avg(pnl) / stddev_samp(pnl) * sqrt(252) end as sharpe from dy group by 1),
+        a as (select run, count(*) as n, sum(net) as total, case when max(e) > min(d) then sum(net) * 365.0 / date_diff('day', min(d), max(e)) end as annual, avg(case when net > 0 then 1.0::double else 0 end) as hit_rate, avg(net) filter (net > 0) as avg_winner, avg(net) filter (net <= 0) as avg_loser, case when count(*) filter (net < 0) > 0 then coalesce(sum(net) filter (net > 0), 0) / -sum(net) filter (net <= 0) when count(*) filter (net > 0) > 0 then 'infinity'::double end as profit_factor, avg(bar) as avg_holding, {', '.join(f"avg(case when reason = '{x}' then 1.0::double else 0 end) as pct_{x}" for x in reasons)}, count(*) * 0.0007::double as fees, sum(funding) as funding, count(*) * 0.002::double as slippage from z group by 1)
+        select run, n, n_days, {', '.join(f'round({c}, 5) as {c}' for c in ('total', 'annual', 'hit_rate', 'avg_winner', 'avg_loser', 'profit_factor', 'avg_holding', *(f'pct_{x}' for x in reasons), 'fees', 'funding', 'slippage', 'sharpe', 'max_drawdown'))} from a join ds using (run) join dm using (run)"""
     s["d13_calibration_runs"] = f"with {SCORED}, q as (select least(9, cast(floor(prob * 10 + 1e-9) as int)) as bucket, count(*) as n, count(*) filter (hit) as k from sc group by 1), z as (select bucket, case when n >= 10 and abs(k / n * 100 - (bucket * 10 + 5)) > 10 then sign(k / n * 100 - (bucket * 10 + 5)) end as side from q), g as (select side, bucket, bucket - row_number() over (partition by side order by bucket) as g from z where side is not null), h as (select side, min(bucket) as first, count(*) as length from g group by side, g.g) select cast(side as double) as side, first, length, cast(row_number() over (order by length desc, first) as int) as place from h"
     s["d14_tolerance_checks"] = f"with {SCORED}, m as (select *, cast(hit as double) as y, d > max(d) over (partition by model) - 30 as late from sc), q as (select model, count(*) as n, round(avg(y) filter (prob >= 0.6) / nullif(avg(y), 0), 6) as lift, round(avg(y) filter (late and prob >= 0.6) / nullif(avg(y) filter (late), 0), 6) as lift_30 from m group by 1), k as (select *, coalesce(lift between 0.75 and 1.25, false) as rate_ok, coalesce(lift_30 >= 1.3, false) as lift_ok, n >= 200 as sample_ok from q) select *, case when not sample_ok then 'INTERIM' when rate_ok and lift_ok then 'PASS' else 'FAIL' end as verdict from k"
     s["d15_accumulation_eta"] = f"with {FILINGS}, q as (select form, count(*) as n, count(*) filter (filing_date > date '2001-07-31' - 7) as week from filings group by 1) select form, n, week, round((1e6 - n) / nullif(week / 7.0, 0), 3) as days_left from q"
@@ -53,5 +59,11 @@ def all_sql() -> dict[str, str]:
     s["d38_shadow_cap"] = f"with {CANDS}, q as (select symbol, cast(date_trunc('month', d) as date) as month, greatest(-5.0, least(5.0, sum(num % 9 - 4))) as adj, max(num * 23 % 101) as sc from cands group by 1, 2) select symbol, month, cast(adj as double) as adj, {tier('(sc + adj)')} as tier, case when {tier('sc')} = {tier('(sc + adj)')} then 'same' when adj > 0 then 'up' else 'down' end as move from q"
     s["d39_rule_aggregates"] = f"with {BARS}, q as (select symbol, d, close, ln(close / lag(close) over {W}) as lr, {LAG(1)} as r, max(close) over {w('1 following', '5 following')} / close - 1 as f from bars), p as (select *, case when count(lr) over {w('19 preceding', 'current row')} >= 2 then stddev_samp(lr) over {w('19 preceding', 'current row')} end as vol from q) select case when r > 1 then 'up' when r < -0.5 then 'down' else 'quiet' end as rule, count(*) as n, round(avg(case when f >= 0.5 then 1.0 else 0.0 end), 6) as rate, round(avg(ln(1 + f) / vol), 5) as mean_norm from p where vol > 0 and f is not null group by 1"
     s["d40_promotion_gate"] = f"with {SCORED}, q as (select model, avg(cast(hit as double)) as rate from sc group by 1), p as (select model, rate, lag(rate) over (order by model) as old from q) select model, round(rate, 6) as rate, round(old, 6) as old, case when old is null or old = 0 then true else round(rate - 0.9::double * old, 9) >= 0 end as passed from p"
+    five = " + ".join(f"(case when {c} is null then 0 else 1 end)" for c in ("cheap", "quality", "catalyst", "momentum", "sentiment"))
+    s["d40_legacy_gates"] = f"""with {SCORED}, {CANDS_ONLY}, k as (select hit, rank() over (order by prob) + (count(*) over (partition by prob) - 1) / 2.0 as r from sc where model = (select max(model) from sc)),
+        g as (select 'sample_size' as gate, count(*)::double as value, 100.0::double as bound, true as least from sc union all select 'discrimination', (sum(case when hit then r end) - count(*) filter (hit) * (count(*) filter (hit) + 1) / 2.0) / nullif(count(*) filter (hit) * count(*) filter (not hit), 0), 0.55, true from k
+        union all select 'flawed_reviews', avg(case when num % 8 in (1, 2, 3, 5) then 1.0::double else 0 end), 0.3, false from cands union all select 'thin_features', avg(case when {five} < 3 then 1.0::double else 0 end), 0.4, false from cands
+        union all select 'concentration', max(n) / sum(n), 0.5, false from (select count(*) as n from cands group by cast(substr(symbol, 2) as int) % 3) union all select 'stability', count(distinct model), 5.0, true from sc)
+        select gate, round(value, 6) as value, bound, coalesce(case when least then value >= bound else value <= bound end, true) as passed from g"""
     s["d43_fold_stability"] = f"with {SCORED}, k as (select model, hit, rank() over (partition by model order by prob) + (count(*) over (partition by model, prob) - 1) / 2.0 as r from sc), a as (select model, (sum(case when hit then r end) - count(*) filter (hit) * (count(*) filter (hit) + 1) / 2.0) / nullif(count(*) filter (hit) * count(*) filter (not hit), 0) as auc from k group by 1), b as (select model, min(d) as first_day, max(d) as last_day, count(*) as n, avg(cast(hit as double)) as base, avg(cast(hit as double)) filter (prob >= 0.8) as top, avg((prob - cast(hit as double)) ** 2) as brier from sc group by 1), j as (select b.*, a.auc from b join a on a.model = b.model) select model, first_day, last_day, n, round(base, 6) as base, round(top, 6) as top, round(brier, 6) as brier, round(auc, 6) as auc, round(regr_slope(auc, model) over (), 6) as auc_trend, round(regr_slope(brier, model) over (), 6) as brier_trend from j"
     return s

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, language_id, mixing, near_vectors, ngram_join, quality, sharding, top_k, toxicity
+from . import alignment, bpe, chat, language_id, mixing, near_vectors, ngram_join, quality, sharding, top_k, toxicity
 from ._common import ship
 
 
@@ -15,10 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -33,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": lambda s, d: sharding.op8(s, table(s, d, "documents")),
         "op9_bpe": lambda s, d: bpe.op9(s, table(s, d, "documents"), vocabulary()),
         "op10_language_id": lambda s, d: language_id.op10(s, table(s, d, "documents")),
+        "op13_tokenizer_alignment": lambda s, d: alignment.op13(s, table(s, d, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")),
     }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, chat, language_id, mixing, near_vectors, ngram_join, quality, sharding, top_k, toxicity
+from . import alignment, bpe, chat, language_id, manifest, mixing, near_vectors, ngram_join, quality, sharding, top_k, toxicity
 from ._common import ship
 
 
@@ -33,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": lambda s, d: sharding.op8(s, table(s, d, "documents")),
         "op9_bpe": lambda s, d: bpe.op9(s, table(s, d, "documents"), vocabulary()),
         "op10_language_id": lambda s, d: language_id.op10(s, table(s, d, "documents")),
+        "op12_merkle_manifest": lambda s, d: manifest.op12(s, table(s, d, "documents")),
         "op13_tokenizer_alignment": lambda s, d: alignment.op13(s, table(s, d, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")),
     }
 
@@ -104,7 +105,39 @@ select e.vec_id, (select count(*) from p where p.a = e.vec_id) as n_links, m.c a
 from embeddings e join (select a, min(b) as c from r group by a) m on m.a = e.vec_id
 """
 
+# Trees level by level; a path is folded from its leaf upwards, first in the source's tree, then in the one over the sources.
+OP12 = r"""
+with recursive t as (select row_number() over () as row, *, length(regexp_replace(coalesce(text, ''), '[^\n]', '', 'g')) > 0 as lines, coalesce(cast(doc_id as varchar), '') as id from documents),
+c as (select *, doc_id is not null and (list_reduce([4294967295::ubigint] || flatten(list_transform(range(length(id)), lambda i: [ascii(id[i + 1])::ubigint, 99999, 99999, 99999, 99999, 99999, 99999, 99999, 99999])),
+  lambda s, e: case when e = 99999 then xor(s // 2, (s % 2) * 3988292384::ubigint) else xor(s, e) end) % 2 = 1) as even from t),
+f as (select row, doc_id, source, even and lines as changed,
+  coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as head,
+  text, replace(text, chr(10), '') as cut from c),
+h as (select row, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+  case when changed then sha256(head || strlen(cut) || ':' || cut) else sha256(head || coalesce(strlen(text) || ':' || text, '-')) end as other from f),
+l as (select *, dense_rank() over (order by source nulls first) - 1 as tree, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i from h),
+n as (select tree, 0 as level, i, leaf as digest from l
+  union all
+  select tree, any_value(level) + 1, i // 3, sha256(string_agg(digest, '' order by i)) from (select *, count(*) over (partition by tree) as m from n) where m > 1 group by tree, i // 3),
+s as (select tree, arg_max(digest, level) as subroot, max(level) as height from n group by tree),
+u as (select 0 as level, tree as i, subroot as digest from s
+  union all
+  select any_value(level) + 1, i // 3, sha256(string_agg(digest, '' order by i)) from (select *, count(*) over () as m from u) where m > 1 group by i // 3),
+a as (select -1 as tree, level, i, digest from u union all select tree, level, i, digest from n),
+r as (select tree, level, i // 3 as run, list({'i': i, 'd': digest} order by i) as nodes from a group by tree, level, i // 3),
+top as (select arg_max(digest, level) as root, max(level) as height from u),
+p as (select row, 0 as step, tree, 0 as level, i, other as now, '' as said, false as over from l
+  union all
+  select p.row, step + 1, case when level = height then -1 else p.tree end, case when level = height then 0 else level + 1 end, case when level = height then p.tree else p.i // 3 end,
+    case when level = height then now else sha256(list_reduce([''] || list_transform(nodes, lambda z: case when z.i = p.i then now else z.d end), lambda x, y: x || y)) end,
+    case when level = height then said else said || list_reduce([''] || list_transform(nodes, lambda z: case when z.i = p.i then '' else z.d end), lambda x, y: x || y) end, false
+  from p join (select tree, height from s union all select -1, height from top) e using (tree) join r using (tree, level)
+  where r.run = p.i // 3 and not (p.tree = -1 and level = height))
+select l.doc_id, l.leaf, s.subroot, top.root, sha256(z.said) as proof_sha256, z.now as folded_root, z.now = top.root as verified
+from l join s using (tree) cross join top join (select row, arg_max(said, step) as said, arg_max(now, step) as now from p group by row) z using (row)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the whole results of five of them. The others learn, propagate or tokenise; tests hold those to brute force."""
-    return {"op1_source_mixing": OP1, "op2_chat_formatting": OP2, "op3_ngram_jaccard_join": OP3, "op4_exact_top_k": OP4, "op7_embedding_near_dedup": OP7}
+    """SQL for the whole results of six of them. The others learn, propagate or tokenise; tests hold those to brute force."""
+    return {"op1_source_mixing": OP1, "op2_chat_formatting": OP2, "op3_ngram_jaccard_join": OP3, "op4_exact_top_k": OP4, "op12_merkle_manifest": OP12, "op7_embedding_near_dedup": OP7}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, chat, language_id, manifest, mixing, near_vectors, ngram_join, quality, sharding, top_k, toxicity
+from . import alignment, bpe, chat, language_id, licences, manifest, mixing, near_vectors, ngram_join, quality, sharding, top_k, toxicity
 from ._common import ship
 
 
@@ -33,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": lambda s, d: sharding.op8(s, table(s, d, "documents")),
         "op9_bpe": lambda s, d: bpe.op9(s, table(s, d, "documents"), vocabulary()),
         "op10_language_id": lambda s, d: language_id.op10(s, table(s, d, "documents")),
+        "op11_licence_scan": lambda s, d: licences.op11(s, table(s, d, "documents")),
         "op12_merkle_manifest": lambda s, d: manifest.op12(s, table(s, d, "documents")),
         "op13_tokenizer_alignment": lambda s, d: alignment.op13(s, table(s, d, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")),
     }

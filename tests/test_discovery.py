@@ -72,12 +72,12 @@ def test_search_finds_the_planted_rule(spark):
         values.append((str(i), float(a) + float(a and b) * 3 + rng.random() / 10))
         atoms += [(str(i), "x", f"x {'>' if a else '<'} 1"), (str(i), "y", f"y {'>' if b else '<'} 1"), (str(i), "z", f"z {'>' if rng.random() < 0.5 else '<'} 1")]
     v, at = spark.createDataFrame(values, "key string, v double"), spark.createDataFrame(atoms, "key string, feature string, atom string")
-    found = X.depth_search(v, at, lambda df: df, depth=2, permutations=10).collect()
+    found = X.depth_search(v, at, v, lambda df: df, depth=2, permutations=10).collect()
     rules = {(r.depth, r.rule): r for r in found}
     assert (1, "x > 1") in rules and (2, "x > 1 & y > 1") in rules and (1, "z > 1") not in rules
     want = [x for k, x in values if {(k, "x", "x > 1"), (k, "y", "y > 1")} <= set(atoms)]
     assert rules[2, "x > 1 & y > 1"].n == len(want) and abs(rules[2, "x > 1 & y > 1"].edge - sum(want) / len(want)) < 1e-9
-    assert X.depth_search(v.limit(0), at.limit(0), lambda df: df, depth=2, permutations=3).count() == 0
+    assert X.depth_search(v.limit(0), at.limit(0), v, lambda df: df, depth=2, permutations=3).count() == 0
 
 
 def test_confirmation_verdicts(spark):
@@ -110,3 +110,17 @@ def test_book_window_leaves_out_absent_levels(spark):
     rows = [("s", dt.datetime(2024, 1, 1, 1), 1, "bid", [(10.0, 1.0), (9.0, 2.0), (8.0, 4.0)]), ("s", dt.datetime(2024, 1, 1, 2), 2, "bid", [(10.0, 3.0)])]
     got = {r.level: r for r in I.book_window(spark.createDataFrame(rows, "symbol string, ts timestamp, event_id long, side string, ladder array<struct<price: double, qty: double>>"), "6 hours").collect()}
     assert set(got) == {0, 2, 3} and (got[0].qty_min, got[0].qty_max, got[0].notional_max, got[0].samples) == (3.0, 7.0, 60.0, 2) and got[3].qty_last == 4.0
+
+
+def test_only_keys_with_features_are_permuted(spark):
+    """40 keys of which 20 have features: the others' values, all far above, never reach the bar; a key with features but no atom does."""
+    v = spark.createDataFrame([(f"k{i:02d}", float(i)) for i in range(40)], "key string, v double")
+    have = v.filter("v < 20")
+    at = have.filter("v < 19").select("key", F.lit("f").alias("feature"), F.when(F.col("v") % 2 == 0, "even").otherwise("odd").alias("atom"))
+    held = {r.key for r in at.collect()}
+    moved = X.permuted(X.pool(v, have), permutations=5).collect()
+    assert {r.key for r in moved} == {f"k{i:02d}" for i in range(20)} and "k19" not in held
+    assert all(sorted(r.shuffled[p] for r in moved) == [float(i) for i in range(20)] for p in range(5))
+    found = X.depth_search(v, at, have, lambda df: df, depth=1, permutations=20, quantile=0.0, min_firing=1).collect()
+    whole = X.depth_search(v, at, v, lambda df: df, depth=1, permutations=20, quantile=0.0, min_firing=1).collect()
+    assert found and all(r.null_bar <= 14.5 for r in found) and len(found) >= len(whole)

@@ -116,12 +116,19 @@ def permutation_bar(edges: DataFrame, *, permutations: int, quantile: float) ->
     return edges.agg(null_bar(bests, quantile).alias("null_bar"), F.count("*").alias("n_scorable")).filter("n_scorable > 0")
 
 
-def depth_search(values: DataFrame, atoms: DataFrame, write, *, depth: int = 4, permutations: int = 200, quantile: float = 0.95, min_firing: int = 20) -> DataFrame:
-    """values (key, v), atoms (key, feature, atom), an atom being the text of a condition that holds there. Rules that beat the bar of their
+def pool(values: DataFrame, featured: DataFrame) -> DataFrame:
+    """The values which may be permuted: those of keys that have features (`featured`: key), whether or not an atom holds there. A value
+    on which no rule can fire must not move the bar."""
+    return values.join(featured.select("key"), "key", "left_semi")
+
+
+def depth_search(values: DataFrame, atoms: DataFrame, featured: DataFrame, write, *, depth: int = 4, permutations: int = 200, quantile: float = 0.95, min_firing: int = 20) -> DataFrame:
+    """values (key, v), atoms (key, feature, atom), an atom being the text of a condition that holds there, featured (key): which keys have
+    features at all, as only those are permuted. Rules that beat the bar of their
     depth get one further atom of another feature. `write` stores a table and reads it back: what the depths share, and each depth's survivors,
     so that no depth computes an earlier one again. Returns (depth, rule, n, edge, null_bar), a rule being its atoms in their order."""
     held = atoms.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("atom", "feature"))).alias("atoms"))
-    base = write(permuted(values, permutations=permutations).join(held, "key"))
+    base = write(permuted(pool(values, featured), permutations=permutations).join(held, "key"))
     hits, found = base.select("*", F.array().cast("array<struct<atom: string, feature: string>>").alias("parent")), []
     text = lambda c: F.concat_ws(" & ", F.transform(c, lambda a: a.atom))
     for level in range(1, depth + 1):

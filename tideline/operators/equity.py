@@ -17,6 +17,7 @@ MIN_SHARES, PS_BOUNDS, PE_BOUNDS, PB_BOUNDS, STALE_DAYS = 1_000_000, (0.05, 100.
 MATERIAL = ("earn", "acqui", "merger", "divestiture", "agreement", "guidance", "revenue", "settlement", "dividend", "buyback", "restate")
 MODEL_GAPS = ("Financials", "Real Estate", "Utilities")
 VALIDATED, FAILED, WINDOW_DAYS = 0.10, -0.05, 126
+EPISODE_GAIN, LOOKBACK_DAYS, FIRST_DAYS, LONG_DAYS, FLAT = 0.05, 27, 5, 20, 0.03
 # Pattern, type, sentiment and rule, in order of priority.
 CATALYSTS = (
     (r"definitive\s+(merger|acquisition)\s+agreement", "merger_acquisition", "bullish", "merger_agreement"),
@@ -114,34 +115,70 @@ def catalysts(months: DataFrame, filings: DataFrame, interest: DataFrame) -> Dat
     return x.withColumns({"score": F.least(F.lit(100.0), sum((F.coalesce(p, F.lit(0.0)) for p in points), F.lit(0.0))), "signals": sum((p.isNotNull().cast("int") for p in points), F.lit(0))})
 
 
-def forward_outcomes(cands: DataFrame, bars: DataFrame, *, days: tuple[int, ...] = (1, 3, 5, 10, 20, 60, 120), frames: tuple[int, ...] = (20, 60), move: float = 0.1) -> DataFrame:
+def forward_outcomes(cands: DataFrame, bars: DataFrame, *, days: tuple[int, ...] = (1, 3, 5, 10, 20, 60, 120), frames: tuple[int, ...] = (20, 60), gains: tuple[float, ...] = (0.1, 0.2), loss: float = 0.1) -> DataFrame:
     """cands (symbol, d, close): returns to the first bar at or after each number of days, all in one as-of join; best and worst close of the
-    next 20 and 60 bars; and whether +move came before -move within the longest of these."""
+    next 20 and 60 bars; and for each gain whether one of the next 20 closes has it and none has lost `loss` (null without a next bar)."""
     asked = cands.select("symbol", "d", "close", F.explode(F.array(*map(F.lit, days))).alias("k")).withColumn("target", F.date_add("d", F.col("k")))
     found = J.asof_join(asked, bars.select("symbol", F.col("d").alias("t"), F.col("close").alias("then")), by="symbol", left_t="target", right_t="t", values=["then"], forward=True)
     points = found.groupBy("symbol", "d").agg(*(F.max(F.when(F.col("k") == k, F.try_divide("then", "close") - 1)).alias(f"ret_{k}d") for k in days))
     ahead = lambda n: by_key().rowsBetween(1, n)
     b = bars.select("symbol", "d", "close")
-    n = max(frames)
-    reach = lambda up: F.try_element_at(F.filter(F.transform(F.collect_list("close").over(ahead(n)), lambda c, i: F.when(c / F.col("close") - 1 >= move, i + 1) if up else F.when(c / F.col("close") - 1 <= -move, i + 1)), lambda i: i.isNotNull()), F.lit(1))
-    b = b.withColumns({**{f"runup_{k}": F.max("close").over(ahead(k)) / F.col("close") - 1 for k in frames}, **{f"drawdown_{k}": F.min("close").over(ahead(k)) / F.col("close") - 1 for k in frames}, "up_at": reach(True), "down_at": reach(False)})
-    up, down = F.col("up_at"), F.col("down_at")
-    first = F.when(up.isNotNull() | down.isNotNull(), F.coalesce(up < down, down.isNull()))
-    return points.join(b.withColumn("up_first", first).drop("close"), ["symbol", "d"])
+    b = b.withColumns({f"{name}_{k}": F.try_divide(g("close").over(ahead(k)), F.col("close")) - 1 for k in frames for name, g in (("runup", F.max), ("drawdown", F.min))})
+    first = min(frames)
+    hits = {f"hit_{round(100 * g)}": (F.col(f"runup_{first}") >= g) & (F.col(f"drawdown_{first}") > -loss) for g in gains}
+    return points.join(b.withColumns(hits).drop("close"), ["symbol", "d"])
+
+
+def episode_starts(events: DataFrame, bars: DataFrame, *, days: int = LOOKBACK_DAYS, rows: int = 5, gain: float = EPISODE_GAIN) -> DataFrame:
+    """Adds to events (symbol, d) the first day and close of the earliest run of `rows` bars that gains `gain` from its first close to its last,
+    begins within `days` days before the event and ends before it; null without one. The first run that begins late enough also
+    ends first, so that one forward as-of join finds it."""
+    last = Window.partitionBy("symbol").orderBy("d")
+    runs = bars.select("symbol", F.col("d").alias("run_from"), F.col("close").alias("run_close"), F.lead("close", rows - 1).over(last).alias("top"), F.lead("d", rows - 1).over(last).alias("run_to"))
+    runs = runs.filter((F.col("run_close") > 0) & (F.col("top") / F.col("run_close") - 1 >= gain))
+    x = J.asof_join(events.withColumn("_from", F.date_sub("d", days)), runs, by="symbol", left_t="_from", right_t="run_from", values=["run_close", "run_to"], forward=True)
+    before = F.col("run_to") < F.col("d")
+    return x.select(*events.columns, F.when(before, F.col("match_t")).alias("run_from"), F.when(before, F.col("run_close")).alias("run_close"))
 
 
 def lifecycle(events: DataFrame, bars: DataFrame, *, window_days: int = WINDOW_DAYS) -> DataFrame:
-    """events (symbol, d): returns since the event's bar, best and worst on the way, outcome and phase as of the last bar."""
+    """events (symbol, d): the event's bar is the first at or after its day. Returns since then and since the start of the move that led up to
+    it, best and worst on the way, outcome, phase and actionability as of the symbol's last bar. Events after the last bar have insufficient data."""
     last = bars.groupBy("symbol").agg(F.max_by("close", "d").alias("latest"), F.max("d").alias("latest_day"))
     later = Window.partitionBy("symbol").orderBy(F.col("d").desc()).rowsBetween(Window.unboundedPreceding, 0)
     path = bars.select("symbol", "d", "close", F.max("close").over(later).alias("top"), F.min("close").over(later).alias("bottom"))
-    x = events.select("symbol", "d").join(path, ["symbol", "d"]).join(last, "symbol")
-    x = x.withColumns({"since": F.try_divide("latest", "close") - 1, "runup": F.try_divide("top", "close") - 1, "drawdown": F.try_divide("bottom", "close") - 1, "from_peak": F.try_divide("latest", "top") - 1, "elapsed": F.datediff("latest_day", "d")})
-    since, runup = F.col("since"), F.col("runup")
-    outcome = F.when(since.isNull(), "insufficient_data").when((runup >= VALIDATED) & (since < runup / 2), "validated_then_faded").when(since >= VALIDATED, "validated").when(since <= FAILED, "failed").when(F.col("elapsed") > window_days, "expired").when(F.abs(since) < 0.03, "inconclusive").otherwise("pending")
+    x = episode_starts(events.select("symbol", "d"), bars)
+    x = J.asof_join(x, path, by="symbol", left_t="d", right_t="d", values=["close", "top", "bottom"], forward=True).drop("match_t").join(last, "symbol", "left")
+    ratio = lambda a, b: F.try_divide(a, b) - 1
+    x = x.withColumns({"episode_start": F.coalesce("run_from", "d"), "since": ratio("latest", "close"), "since_episode": ratio("latest", F.coalesce("run_close", "close")), "runup": ratio("top", "close")})
+    x = x.withColumns({"drawdown": ratio("bottom", "close"), "from_peak": ratio("latest", "top"), "elapsed": F.datediff("latest_day", "d")})
+    x = x.withColumns({c: F.when(F.col("close").isNotNull(), F.col(c)) for c in ("since", "since_episode", "elapsed")})
+    since, runup, elapsed = F.col("since"), F.col("runup"), F.col("elapsed")
+    flat, over = F.abs(since) < FLAT, elapsed > window_days
+    # fixed values: the names of outcomes, phases and actions
+    outcome = (
+        F.when(since.isNull(), "insufficient_data")
+        .when((runup >= VALIDATED) & (since < runup / 2), "validated_then_faded")
+        .when(since >= VALIDATED, "validated")
+        .when(since <= FAILED, "failed")
+        .when(over, "expired")
+        .when(flat, "inconclusive")
+        .otherwise("pending")
+    )
     below = F.col("latest") < F.col("close")
-    phase = F.when(since.isNull(), "insufficient_data").when(below & (runup > 0.02) & (since > F.col("drawdown")), "recovery_attempt").when(below, "post_event_fade").when(F.col("elapsed") <= 5, "initial_event_reaction").otherwise("holding")
-    return x.withColumns({"outcome": outcome, "phase": phase})
+    phase = (
+        F.when(since.isNull(), "insufficient_data")
+        .when(below & (runup > 0.02) & (since > F.col("drawdown")), "recovery_attempt")
+        .when(below, "post_event_fade")
+        .when(elapsed <= FIRST_DAYS, "initial_event_reaction")
+        .when((elapsed > LONG_DAYS) & ~(since > 0), "post_event_fade")
+        .when(over, "extended_move")
+        .when((elapsed <= LONG_DAYS) & flat, "no_price_confirmation")
+        .otherwise("continuation")
+    )
+    done = F.create_map(*(F.lit(v) for pair in {"insufficient_data": "insufficient_data", "validated": "context", "validated_then_faded": "investigate", "failed": "avoid", "expired": "expired"}.items() for v in pair))
+    open_ = F.when(F.col("phase") == "initial_event_reaction", "high_priority").when(F.col("phase") == "post_event_fade", "investigate").otherwise("watch")
+    return x.withColumns({"outcome": outcome, "phase": phase}).withColumn("action", F.coalesce(F.try_element_at(done, F.col("outcome")), open_))
 
 
 def incomplete_subcause(df: DataFrame, today: Column) -> Column:

@@ -64,10 +64,14 @@ def held_atoms(s, d, bins):
     return base.join(cuts, "feature").select(key_of().alias("key"), "feature", F.explode(F.transform(holds, lambda c: c.atom)).alias("atom"))
 
 
+def featured(s, d):
+    return j1_base_features(s, d).filter("value is not null").select(key_of().alias("key")).distinct()
+
+
 @query
 def j8_permutation_null(s, d):
     """Single conditions by decile against the best of them on permuted lifts."""
-    hits = X.permuted(lifts(s, d), permutations=PERMUTATIONS).join(held_atoms(s, d, 10), "key").withColumnRenamed("atom", "rule")
+    hits = X.permuted(X.pool(lifts(s, d), featured(s, d)), permutations=PERMUTATIONS).join(held_atoms(s, d, 10), "key").withColumnRenamed("atom", "rule")
     edges = stored(s)(X.rule_edges(hits, ["rule"], permutations=PERMUTATIONS, min_firing=20))
     bar = X.permutation_bar(edges, permutations=PERMUTATIONS, quantile=QUANTILE)
     return edges.crossJoin(F.broadcast(bar)).select("rule", "n", *r("edge", "null_bar"), (F.col("edge") > F.col("null_bar")).alias("survives"))
@@ -75,7 +79,7 @@ def j8_permutation_null(s, d):
 
 @query
 def j9_depth_search(s, d):
-    found = X.depth_search(lifts(s, d), held_atoms(s, d, 4), stored(s), depth=3, permutations=PERMUTATIONS, quantile=QUANTILE)
+    found = X.depth_search(lifts(s, d), held_atoms(s, d, 4), featured(s, d), stored(s), depth=3, permutations=PERMUTATIONS, quantile=QUANTILE)
     return found.select("depth", "rule", "n", *r("edge", "null_bar"))
 
 

@@ -113,7 +113,7 @@ def b11_root_cause(s, d):
 
 @query
 def b22_lifecycle(s, d):
-    return E.lifecycle(big_moves(s, d), V.bars(s, d)).select("symbol", "d", *r("since", "runup", "drawdown", "from_peak"), "elapsed", "outcome", "phase")
+    return E.lifecycle(big_moves(s, d), V.bars(s, d)).select("symbol", "d", "episode_start", *r("since", "since_episode", "runup", "drawdown", "from_peak"), "elapsed", "outcome", "phase", "action")
 
 
 @query
@@ -138,7 +138,7 @@ def d41_net_pnl(s, d):
 def e19_forward_outcomes(s, d):
     c = V.bars(s, d).select("symbol", "d", "close")
     x = E.forward_outcomes(c, c)
-    return x.select("symbol", "d", *r("ret_1d", "ret_3d", "ret_5d", "ret_10d", "ret_20d", "ret_60d", "ret_120d", "runup_20", "runup_60", "drawdown_20", "drawdown_60"), "up_first")
+    return x.select("symbol", "d", *r("ret_1d", "ret_3d", "ret_5d", "ret_10d", "ret_20d", "ret_60d", "ret_120d", "runup_20", "runup_60", "drawdown_20", "drawdown_60"), "hit_10", "hit_20")
 
 
 @query

@@ -44,19 +44,38 @@ def all_sql() -> dict[str, str]:
         (select count(*) from moves o where o.symbol <> c.symbol and cast(substr(o.symbol, 2) as int) % 3 = cast(substr(c.symbol, 2) as int) % 3 and o.d between c.d - 1 and c.d + 1) >= 3 as grouped from cands c join moves m on m.symbol = c.symbol and m.d = c.d)
         select symbol, d, case when num % 17 = 0 then 'universe_not_seeded' when num % 13 = 0 then 'pre_score_history' when num % 6 = 0 then case when num % 4 = 0 then 'missing_cik' else 'price_only_scored' end when due then 'missing_earnings_context' when grouped then 'sector_cluster_move' when num % 7 = 0 then 'no_evidence_no_filing' when num % 5 = 0 and catalyst < 30 then 'near_threshold_no_catalyst' when num % 5 = 0 then 'near_threshold_scored' when catalyst < 30 then 'low_catalyst_score' when quality < 40 then 'low_quality_score' else 'unknown' end as cause from x"""
     s["b22_lifecycle"] = f"""with {BARS}, {MOVES}, l as (select symbol, arg_max(close, d) as latest, max(d) as latest_day from bars group by 1),
-        q as (select m.symbol, m.d, m.close, l.latest, l.latest_day, (select max(b.close) from bars b where b.symbol = m.symbol and b.d >= m.d) as hi, (select min(b.close) from bars b where b.symbol = m.symbol and b.d >= m.d) as lo from moves m join l on l.symbol = m.symbol),
-        p as (select symbol, d, latest < close as below, latest / close - 1 as since, hi / close - 1 as runup, lo / close - 1 as drawdown, latest / hi - 1 as from_peak, cast(date_diff('day', d, latest_day) as int) as elapsed from q)
-        select symbol, d, round(since, 6) as since, round(runup, 6) as runup, round(drawdown, 6) as drawdown, round(from_peak, 6) as from_peak, elapsed, case when since is null then 'insufficient_data' when runup >= 0.1 and since < runup / 2 then 'validated_then_faded' when since >= 0.1 then 'validated' when since <= -0.05 then 'failed' when elapsed > 126 then 'expired' when abs(since) < 0.03 then 'inconclusive' else 'pending' end as outcome,
-        case when since is null then 'insufficient_data' when below and runup > 0.02 and since > drawdown then 'recovery_attempt' when below then 'post_event_fade' when elapsed <= 5 then 'initial_event_reaction' else 'holding' end as phase from p"""
+        g as (select symbol, d, close, lead(d, 4) over {W} as until, lead(close, 4) over {W} / close - 1 as gain from bars),
+        q as (select m.symbol, m.d, m.close, l.latest, l.latest_day,
+            (select max(b.close) from bars b where b.symbol = m.symbol and b.d >= m.d) as hi,
+            (select min(b.close) from bars b where b.symbol = m.symbol and b.d >= m.d) as lo,
+            (select min(g.d) from g where g.symbol = m.symbol and g.gain >= 0.05 and g.close > 0 and g.d >= m.d - 27 and g.until < m.d) as start
+            from moves m join l on l.symbol = m.symbol),
+        p as (select q.symbol, q.d, coalesce(q.start, q.d) as episode_start, latest < q.close as below, latest / q.close - 1 as since, latest / coalesce(b.close, q.close) - 1 as since_episode, hi / q.close - 1 as runup,
+            lo / q.close - 1 as drawdown, latest / hi - 1 as from_peak, cast(date_diff('day', q.d, latest_day) as int) as elapsed from q left join bars b on b.symbol = q.symbol and b.d = q.start),
+        o as (select *, case when since is null then 'insufficient_data'
+            when runup >= 0.1 and since < runup / 2 then 'validated_then_faded'
+            when since >= 0.1 then 'validated' when since <= -0.05 then 'failed' when elapsed > 126 then 'expired' when abs(since) < 0.03 then 'inconclusive' else 'pending' end as outcome,
+            case when since is null then 'insufficient_data'
+            when below then case when runup > 0.02 and since > drawdown then 'recovery_attempt' else 'post_event_fade' end
+            when elapsed <= 5 then 'initial_event_reaction'
+            when elapsed > 126 then case when since > 0 then 'extended_move' else 'post_event_fade' end
+            when elapsed > 20 then case when since > 0 then 'continuation' else 'post_event_fade' end
+            when abs(since) < 0.03 then 'no_price_confirmation' else 'continuation' end as phase from p)
+        select symbol, d, episode_start, round(since, 6) as since, round(since_episode, 6) as since_episode, round(runup, 6) as runup, round(drawdown, 6) as drawdown, round(from_peak, 6) as from_peak, elapsed, outcome, phase,
+            case outcome when 'insufficient_data' then 'insufficient_data' when 'validated' then 'context' when 'validated_then_faded' then 'investigate' when 'failed' then 'avoid' when 'expired' then 'expired'
+            else case phase when 'initial_event_reaction' then 'high_priority' when 'post_event_fade' then 'investigate' else 'watch' end end as action from o"""
     s["c21_theme_join"] = f"""with {BARS}, {MOVES}, t as (select symbol, concat('odd', cast(substr(symbol, 2) as int) % 2) as theme from (select distinct symbol from bars) union all select symbol, concat('third', cast(substr(symbol, 2) as int) % 3) from (select distinct symbol from bars))
         select m.symbol, m.d, a.theme, count(*) as peers, round(median(p.ret_5), 6) as median, round(avg(p.ret_5), 6) as mean from moves m join t a on a.symbol = m.symbol join t b on b.theme = a.theme and b.symbol <> a.symbol join rets p on p.symbol = b.symbol and p.d = m.d where p.ret_5 is not null group by 1, 2, 3"""
     s["d41_net_pnl"] = f"""with {PREDS}, {FILINGS}, p as (select symbol, d, close as entry, close * peak as mark, cast(1 + year(d) % 3 as double) as qty from preds where prob >= 0.8 and peak is not null), u as (select symbol, cast(max(filing_date) - 300 as date) as until from filings where form = '10-K' group by 1),
         q as (select p.*, u.until >= p.d + 5 as done, coalesce((select sum(accession % 7 - 3) from filings f where f.symbol = p.symbol and f.filing_date >= p.d and f.filing_date < p.d + 5), 0) as funding from p left join u on u.symbol = p.symbol)
         select symbol, d, round((mark - entry) * qty + 1e-7, 4) as gross, round(case when done then (mark - entry) * qty + funding - (entry + mark) * qty * 0.001 + 1e-7 end, 4) as net, case when done then 'reconciled' else 'pending' end as state from q"""
     points = ", ".join(f"round((select arg_min(x.close, x.d) from bars x where x.symbol = b.symbol and x.d >= b.d + {k}) / b.close - 1, 6) as ret_{k}d" for k in (1, 3, 5, 10, 20, 60, 120))
-    s["e19_forward_outcomes"] = f"""with {BARS}, n as (select symbol, d, close, row_number() over {W} as k from bars), hit as (select a.symbol, a.d, min(case when z.close / a.close - 1 >= 0.1 then z.k end) as up, min(case when z.close / a.close - 1 <= -0.1 then z.k end) as down from n a join n z on z.symbol = a.symbol and z.k > a.k and z.k <= a.k + 60 group by 1, 2),
+    s["e19_forward_outcomes"] = f"""with {BARS}, n as (select symbol, d, close, row_number() over {W} as k from bars),
+        hit as (select a.symbol, a.d, count(*) filter (z.close / a.close - 1 >= 0.1) as up_10, count(*) filter (z.close / a.close - 1 >= 0.2) as up_20, count(*) filter (z.close / a.close - 1 <= -0.1) as down
+            from n a join n z on z.symbol = a.symbol and z.k > a.k and z.k <= a.k + 20 group by 1, 2),
         f as (select symbol, d, {', '.join(f"round({g}(close) over {w('1 following', f'{k} following')} / close - 1, 6) as {m}_{k}" for g, m in (('max', 'runup'), ('min', 'drawdown')) for k in (20, 60))} from bars)
-        select b.symbol, b.d, {points}, f.* exclude (symbol, d), case when up is not null or down is not null then coalesce(up < down, down is null) end as up_first from bars b join f on f.symbol = b.symbol and f.d = b.d left join hit on hit.symbol = b.symbol and hit.d = b.d"""
+        select b.symbol, b.d, {points}, f.* exclude (symbol, d), up_10 > 0 and down = 0 as hit_10, up_20 > 0 and down = 0 as hit_20
+        from bars b join f on f.symbol = b.symbol and f.d = b.d left join hit on hit.symbol = b.symbol and hit.d = b.d"""
     s["e21_running_equity"] = f"with {PREDS}, q as (select model, d, sum(ret) as step from preds where ret is not null group by 1, 2) select model, d, round(step, 6) as step, round(sum(step) over (partition by model order by d), 6) as total from q"
     s["e23_quality_features"] = f"with {REPORTED}, {QUALITY.format(src='rep')} select symbol, as_of, round(income, 4) as income, round(growth, 4) as growth, round(margin, 4) as margin, round(dilution, 4) as dilution, income_score, growth_score, margin_score, dilution_score, cast(age as int) as age, case when age > 180 then 'low' else 'medium' end as confidence from qual"
     s["e24_valuation_features"] = f"with {VALUED} select symbol, as_of, round(vs_high, 4) as vs_high, round(ps, 4) as ps, round(pe, 4) as pe, round(pb, 4) as pb, round(case when vs_high is not null then hs end, 4) as high_score, ps_score, pe_score, pb_score from valued"

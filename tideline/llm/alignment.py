@@ -21,12 +21,13 @@ empty table gives no rows. Extra columns don't matter, whatever their names.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -36,33 +37,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import Scratch
-from .bpe import ROWS, Memo, byte_symbols
+from .bpe import byte_symbols
 
 MOST_PAIRS = 500_000
 LONG_WINDOW = 256  # bytes of ids; longer windows are aligned anew, as they seldom come again
 KEPT = 120_000
-PART = 1 << 20  # characters worked on at a time
+PART, ROWS = 1 << 21, 1024  # characters and texts worked on at a time
 LONG_GROUP = 1024  # links; of a longer group the pairs are counted, not listed
-PIECE = 1 << 16  # characters of new words given to a tokenizer at a time
+PIECE = 1 << 13  # new words given to a tokenizer at a time
+# Fixed value: the pattern by which byte-level tokenizers of this kind split a text before merging.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=\S) (?=\S)")  # white space for Python is so for both tokenizers, too
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ɏ]+(?:\n+[!-~À-ÖØ-öø-ɏ]+)*")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-_ID = np.dtype("<u2")
+_ID, _PAIR = np.dtype("<u2"), np.dtype("<u4")
 
 
-class Kept(Memo):
-    """Of KEPT results the older half goes where it isn't asked for again."""
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one run after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
-    def take_over(self, keys: set) -> None:
+
+class Kept(dict):
+    """Results by key. With KEPT of them, all become the older half, from which those asked for again are taken over."""
+
+    def __init__(self):
+        self._older: dict = {}
+
+    def forget(self) -> None:
+        self._older = {}
+        self.clear()
+
+    def missing(self, keys: Iterable) -> list:
+        """The keys without a result. The others' results stay until the next call."""
         if len(self) >= KEPT:
             self._older = dict(self)
             self.clear()
         older = self._older
-        self.update([(k, older[k]) for k in keys if k not in self and k in older])
+        new = [k for k in keys if k not in self]
+        if older and new:
+            self.update([(k, older[k]) for k in new if k in older])
+            new = [k for k in new if k not in older]
+        return new
 
 
 class Aligner:
     def __init__(self, byte_path: str, piece_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -78,52 +100,53 @@ class Aligner:
             raise ValueError("a piece has a space behind another character: words can't be encoded one by one")
         pieces = [bytes([int(m[1], 16)]) if self.b.is_byte(i) and (m := _BYTE.fullmatch(n)) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         self.bytes_a, self.bytes_b = [entries.get(i, b"") for i in range(max(entries) + 1)], pieces
+        if "ByteLevel" != spec["pre_tokenizer"]["type"] or not spec["pre_tokenizer"]["use_regex"]:
+            raise ValueError("a byte-level tokenizer with the usual pattern is needed")
+        added = {t["id"] for t in spec["added_tokens"]}
+        self._fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(self.bytes_a) if t and i not in added}, special_tokens={})
         if max(len(self.bytes_a), len(pieces)) > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.len_a, self.len_b = (np.array([len(t) for t in v]) for v in (self.bytes_a, pieces))
         self.mark_a, self.mark_b = (np.array([t[:1] == b" " for t in v]) for v in (self.bytes_a, pieces))
-        self.sizes, self.numbers = (self.len_a.tolist(), self.len_b.tolist()), [str(i) for i in range(1 << 16)]
+        self.sizes = self.len_a.tolist(), self.len_b.tolist()
+        self.digits = np.array([list(str(i).ljust(5, "\0").encode()) for i in range(1 << 16)], np.uint8)
         self.words, self.windows = Kept(), Kept()
 
     # tokens
 
-    def _raw(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
-
     def _learn(self, words: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
         """Of each word the ids of both as bytes, None where the tokens don't give it back. New words are encoded together, joined by
-        spaces, and told apart by the bytes that their tokens cover; those with white space at an end, one by one."""
+        spaces, and told apart by the bytes that their tokens cover; those with white space at an end, one by one. Words of
+        Latin letters, ASCII and line ends, about whose classes all tables agree, go through the faster of two libraries."""
         memo = self.words
-        memo.take_over(words)
-        new = [w for w in words if w not in memo]
-        odd, new, at = [w for w in new if w != w.strip() or not w or "▁" in w], [w for w in new if w == w.strip() and w and "▁" not in w], 0
-        while at < len(new):
-            size, end = 0, at
-            while end < len(new) and (end == at or size + len(new[end]) < PIECE):
-                size += len(new[end]) + 1
-                end += 1
-            if not self._together(new[at:end]):
-                odd += new[at:end]
-            at = end
-        for w, a, b in zip(odd, *self._raw(odd), strict=True) if odd else ():
-            whole = f" {w}".encode()
+        new = memo.missing(words)
+        plain, rest, odd = [], [], []
+        for w in new:
+            (plain if _PLAIN.fullmatch(w) else odd if w != w.strip() or not w or "▁" in w else rest).append(w)
+        for some, encode in ((plain, self._fast.encode_ordinary), (rest, self._encode_a)):
+            for at in range(0, len(some), PIECE):
+                if not self._together(some[at : at + PIECE], encode):
+                    odd += some[at : at + PIECE]
+        for w in odd:
+            a, b, whole = self._encode_a(f" {w}"), self.b.encode(w), f" {w}".encode()
             same = b"".join([self.bytes_a[i] for i in a]) == whole == b"".join([self.bytes_b[i] for i in b])
             memo[w] = (np.array(a, _ID).tobytes(), np.array(b, _ID).tobytes()) if same else None
         return memo
 
-    def _together(self, words: list[str]) -> bool:
+    def _encode_a(self, text: str) -> list[int]:
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _together(self, words: list[str], encode: Callable[[str], list[int]]) -> bool:
         """Learns words that neither begin nor end with white space; False where their tokens don't give back the text."""
-        (a,), (b,) = self._raw([" ".join(words)])
-        joined = f" {' '.join(words)}".encode()
+        text = " ".join(words)
+        a, b, joined = encode(f" {text}"), self.b.encode(text), f" {text}".encode()
         if b"".join([self.bytes_a[i] for i in a]) != joined or b"".join([self.bytes_b[i] for i in b]) != joined:
             return False
         a, b = np.array(a, _ID), np.array(b, _ID)
-        ends = np.cumsum([len(w.encode()) + 1 for w in words])
-        cuts = [(np.searchsorted(np.cumsum(lens[ids]), ends) + 1).tolist() for lens, ids in ((self.len_a, a), (self.len_b, b))]
-        a, b, i, j = a.tobytes(), b.tobytes(), 0, 0
-        for w, x, y in zip(words, *cuts, strict=True):
-            self.words[w] = a[2 * i : 2 * x], b[2 * j : 2 * y]
-            i, j = x, y
+        ends = np.cumsum(list(map(len, words))) + np.arange(1, len(words) + 1) if text.isascii() else np.cumsum([len(w.encode()) + 1 for w in words])
+        cuts = [(2 * np.searchsorted(np.cumsum(lens[ids]), ends) + 2).tolist() for lens, ids in ((self.len_a, a), (self.len_b, b))]
+        a, b = a.tobytes(), b.tobytes()
+        self.words.update(zip(words, [(a[i:x], b[j:y]) for (i, x), (j, y) in zip(pairwise([0, *cuts[0]]), pairwise([0, *cuts[1]]), strict=True)], strict=True))
         return True
 
     def tokens(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
@@ -139,8 +162,10 @@ class Aligner:
     # windows
 
     def cut(self, a: bytes, b: bytes) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
-        """The windows of documents whose ids stand one after the other (each begins with a space, so with an anchor), and at which
+        """The windows of texts whose ids stand one after the other (each begins with a space, so with an anchor), and at which
         token of the first tokenizer each begins."""
+        if not a:
+            return [], np.empty(0, np.int64)
         x, y = np.frombuffer(a, _ID), np.frombuffer(b, _ID)
         ends_x, ends_y = np.cumsum(self.len_a[x]), np.cumsum(self.len_b[y])
         at_x, at_y = np.flatnonzero(self.mark_a[x]), np.flatnonzero(self.mark_b[y])
@@ -167,76 +192,114 @@ class Aligner:
                 yield a[i0:i], b[j0:j]
                 i0, j0 = i, j
 
-    def _align(self, window: tuple[bytes, bytes]) -> tuple[str, int, int, list[int], list[int] | None]:
-        """Groups as text, their number, the number of links, the id pairs (the first id in the high half), and how often each
-        (None: once each; a pair may come again)."""
-        a, b = (memoryview(ids).cast("H").tolist() for ids in window)
-        number, said, pairs, links, many = self.numbers, [], [], 0, Counter()
-        for x, y in self.groups(a, b):
+    def _align_long(self, window: tuple[bytes, bytes]) -> tuple[bytes, int, int, bytes, bytes | None]:
+        """What `_align` gives, for a window with a group of many links, whose pairs are counted instead of listed."""
+        said, pairs, links = [], Counter(), 0
+        for x, y in self.groups(*(np.frombuffer(ids, _ID).tolist() for ids in window)):
+            said.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
             links += len(x) * len(y)
-            if len(x) == 1 and len(y) == 1:
-                said.append(f"{number[x[0]]}|{number[y[0]]}")
-                pairs.append(x[0] << 16 | y[0])
-                continue
-            said.append(f"{','.join([number[u] for u in x])}|{','.join([number[v] for v in y])}")
-            if len(x) * len(y) <= LONG_GROUP:
-                pairs += [u << 16 | v for u in x for v in y]
+            right = Counter(y).items()
+            for u, m in Counter(x).items():
+                for v, k in right:
+                    pairs[u << 16 | v] += m * k
+        return ";".join(said).encode(), len(said), links, np.array(list(pairs), _PAIR).tobytes(), np.array(list(pairs.values()), np.int64).tobytes()
+
+    def _align(self, windows: list[tuple[bytes, bytes]]) -> Iterator[tuple[bytes, int, int, bytes, bytes | None]]:
+        """Of each window its groups as text, their number, the number of links, the id pairs (the first id in the high half) and how often
+        each (None: once each; a pair may come again). All windows are aligned together, one after the other."""
+        a, b = (np.frombuffer(b"".join([w[k] for w in windows]), _ID).astype(np.int64) for k in (0, 1))
+        at_a, at_b = (np.cumsum([0, *[len(w[k]) // 2 for w in windows]]) for k in (0, 1))
+        ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        here = np.zeros(int(ends_a[-1]) + 1, np.uint8)
+        here[ends_a] = 1
+        here[ends_b] |= 2
+        last_a, last_b = here[ends_a] == 3, here[ends_b] == 3  # the tokens that end a group
+        of_a, of_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b  # the group of each token
+        to_a, to_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        groups = np.concatenate([[0], np.cumsum(last_a)])[at_a]  # before each window
+        long = np.zeros(len(windows), bool)
+        n = n_a * n_b
+        if (n > LONG_GROUP).any():
+            long[np.searchsorted(groups, np.flatnonzero(n > LONG_GROUP), "right") - 1] = True
+            n = np.where(np.repeat(long, np.diff(groups)), 0, n)
+        links = np.concatenate([[0], np.cumsum(n)])
+        own = np.repeat(np.arange(len(n)), n)
+        i, j = np.divmod(np.arange(links[-1]) - links[own], n_b[own])
+        pairs = (a[(to_a - n_a)[own] + i] << 16 | b[(to_b - n_b)[own] + j]).astype(_PAIR).tobytes()
+        # tokens in the order of the text: those of a group's first side, then those of its second
+        ids, sign = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        spot_a, spot_b = np.arange(len(a)) + (to_b - n_b)[of_a], np.arange(len(b)) + to_a[of_b]
+        ids[spot_a], ids[spot_b] = a, b
+        sign[spot_a[last_a]], sign[spot_b[last_b]] = ord("|"), ord(";")
+        signs = np.column_stack([self.digits[ids], sign])
+        said = signs[signs > 0].tobytes()
+        ends = np.concatenate([[0], np.cumsum((signs > 0).sum(1))])[at_a + at_b].tolist()
+        links, groups = links[groups].tolist(), groups.tolist()
+        for k, w in enumerate(windows):
+            if long[k]:
+                yield self._align_long(w)
             else:
-                right = Counter(y).items()
-                for u, m in Counter(x).items():
-                    for v, k in right:
-                        many[u << 16 | v] += m * k
-        times = [1] * len(pairs) + list(many.values()) if many else None
-        return ";".join(said), len(said), links, pairs + list(many), times
+                yield said[ends[k] : ends[k + 1] - 1], groups[k + 1] - groups[k], links[k + 1] - links[k], pairs[4 * links[k] : 4 * links[k + 1]], None
 
     def aligned(self, windows: dict[tuple[bytes, bytes], int]) -> list[tuple]:
         """The alignments of different windows, looked up by their id tuples where they are known."""
-        memo, out = self.windows, []
-        memo.take_over(windows)
-        for w in windows:
-            found = memo.get(w)
-            if found is None:
-                found = self._align(w)
-                if len(w[0]) + len(w[1]) <= LONG_WINDOW:
-                    memo[w] = found
-            out.append(found)
+        memo = self.windows
+        new = memo.missing(windows)
+        if new:
+            memo.update(zip(new, self._align(new), strict=True))
+        out = [memo[w] for w in windows]
+        for w in [w for w in new if len(w[0]) + len(w[1]) > LONG_WINDOW]:
+            del memo[w]
         return out
 
     def digests(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of each text n_a, n_b, n_groups, n_links and groups_sha256; of all of them the id pairs (text by text, ascending), how often
-        each is linked, and at which pair each text begins (the end last)."""
-        ids = self.tokens(texts)
-        n_a, n_b = (np.array([len(d[k]) // 2 for d in ids], np.int64) for k in (0, 1))
-        if not n_a.any():
-            none = np.zeros(len(ids), np.int64)
-            return [n_a, n_b, none, none], [""] * len(ids), np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(ids) + 1, np.int64)
-        windows, first = self.cut(b"".join([a for a, _ in ids]), b"".join([b for _, b in ids]))
+        each is linked, and at which pair each text begins (the end last). A word that comes again has the same tokens and
+        windows, so windows are cut once for each different word of these texts."""
+        split, n = [_CUT.split(t) if t else [] for t in texts], len(texts)
+        different = set().union(*split)
+        known = self._learn(different)
+        place = {w: k for k, w in enumerate(different)}
+        ids = [known[w] or (b"", b"") for w in different]
+        ids_a, ids_b = [i[0] for i in ids], [i[1] for i in ids]
+        a, b = (np.fromiter(map(len, i), np.int64, len(i)) // 2 for i in (ids_a, ids_b))
+        windows, first = self.cut(b"".join(ids_a), b"".join(ids_b))
         number: dict[tuple[bytes, bytes], int] = {}
-        own = [number.setdefault(w, len(number)) for w in windows]
+        own = np.array([number.setdefault(w, len(number)) for w in windows], np.int64)
         found = self.aligned(number)
-        starts = np.searchsorted(first, np.cumsum([0, *n_a]))  # at which window each text begins
-        said, cuts = [f[0] for f in found], starts.tolist()
-        sha = [hashlib.sha256(";".join([said[k] for k in own[p:q]]).encode()).hexdigest() if p < q else "" for p, q in pairwise(cuts)]
-        own = np.array(own)
-        totals = [np.diff(np.cumsum([0, *np.array([f[k] for f in found])[own]])[starts]) for k in (1, 2)]
+        starts = np.searchsorted(first, np.cumsum([0, *a]))  # at which window each word begins
+        # the texts as numbers of words; those with a word that isn't given back have none
+        words, text_of = np.array([place[w] for ws in split for w in ws], np.int64), np.repeat(np.arange(n), [len(ws) for ws in split])
+        lost = np.zeros(n, bool)
+        lost[text_of[a[words] == 0]] = True
+        words, text_of = words[~lost[text_of]], text_of[~lost[text_of]]
+        total = lambda of, values: np.bincount(of, values, n).astype(np.int64)
+        n_a, n_b = total(text_of, a[words]), total(text_of, b[words])
+        own, text_of = own[_spread(starts[:-1][words], np.diff(starts)[words])], np.repeat(text_of, np.diff(starts)[words])
+        said, cuts, each = [f[0] for f in found], np.searchsorted(text_of, np.arange(n + 1)).tolist(), own.tolist()
+        sha = [hashlib.sha256(b";".join([said[k] for k in each[p:q]])).hexdigest() if p < q else "" for p, q in pairwise(cuts)]
+        groups, links = (total(text_of, np.array([f[k] for f in found], np.int64)[own]) for k in (1, 2))
         # the different windows of each text and how often each comes, then their pairs
-        text_of = np.repeat(np.arange(len(ids)), np.diff(starts))
-        both, often = np.unique(text_of * len(found) + own, return_counts=True)
-        text_of, own = np.divmod(both, len(found))
-        pairs, sizes = np.array([p for f in found for p in f[3]]), np.array([len(f[3]) for f in found])
-        times = np.array([t for f in found for t in f[4] or [1] * len(f[3])]) if any(f[4] for f in found) else np.ones(len(pairs), np.int64)
-        n = sizes[own]
-        at = np.arange(n.sum()) + np.repeat((np.cumsum(sizes) - sizes)[own] - (np.cumsum(n) - n), n)
-        keys, times = np.repeat(text_of, n) << 32 | pairs[at], times[at] * np.repeat(often, n)
+        both, often = np.unique(text_of * max(1, len(found)) + own, return_counts=True)
+        text_of, own = np.divmod(both, max(1, len(found)))
+        listed = [f[3] for f in found]
+        pairs, sizes = np.frombuffer(b"".join(listed), _PAIR).astype(np.int64), np.fromiter(map(len, listed), np.int64, len(found)) // 4
+        times = np.ones(len(pairs), np.int64)
+        for k in [k for k, f in enumerate(found) if f[4]]:
+            times[sizes[:k].sum() :][: sizes[k]] = np.frombuffer(found[k][4], np.int64)
+        at, size = _spread((np.cumsum(sizes) - sizes)[own], sizes[own]), sizes[own]
+        keys, times = np.repeat(text_of, size) << 32 | pairs[at], times[at] * np.repeat(often, size)
         order = keys.argsort()
         keys = keys[order]
         begin = np.flatnonzero(np.diff(keys, prepend=-1))
-        keys, times = keys[begin], np.add.reduceat(times[order], begin)
-        return [n_a, n_b, *totals], sha, keys & 0xFFFFFFFF, times, np.searchsorted(keys, np.arange(len(ids) + 1) << 32)
+        keys, times = keys[begin], np.add.reduceat(times[order], begin) if len(begin) else times
+        return [n_a, n_b, groups, links], sha, keys & 0xFFFFFFFF, times, np.searchsorted(keys, np.arange(n + 1) << 32)
 
     def released(self, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
         """The batches in slices of few texts (PART characters and one text more at most), with their texts; after the last, the
         worker no longer holds what it met."""
+        gc.disable()  # nothing here refers to itself, and the words remembered are many
         try:
             for b in batches:
                 for at in range(0, b.num_rows, ROWS):
@@ -252,6 +315,7 @@ class Aligner:
         finally:
             self.words.forget()
             self.windows.forget()
+            gc.enable()
 
 
 _loaded: dict[tuple[str, str], Aligner] = {}

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tideline.operators import discovery as X
+from tideline.operators import gates as G
 from tideline.operators import evidence as EV
 from tideline.operators import intraday as I
 
@@ -86,17 +87,24 @@ def test_confirmation_verdicts(spark):
     assert got == {1: "promote", 2: "reject", 3: "wait", 4: "decayed", 5: "kept"}
 
 
-def test_spaced_equals_a_loop(spark):
+def test_spaced_equals_a_loop(spark, tmp_path):
+    number = iter(range(10**6))
+
+    def write(df):
+        path = str(tmp_path / str(next(number)))
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     rng, start = random.Random(4), dt.datetime(2024, 1, 1)
     rows = [(k, start + dt.timedelta(seconds=rng.randrange(80_000))) for k in "ab" for _ in range(300)]
-    got = sorted(map(tuple, X.spaced(spark.createDataFrame(rows + rows[:9], "k string, ts timestamp"), ["k"], 900).collect()))
+    got = sorted(map(tuple, G.spaced(spark.createDataFrame(rows + rows[:9], "k string, ts timestamp"), ["k"], 900, write).collect()))
     want, last = [], {}
     for k, ts in sorted(rows):
         if k not in last or (ts - last[k]).total_seconds() >= 900:
             last[k] = ts
             want.append((k, ts))
     assert got == want
-    assert X.spaced(spark.createDataFrame([], "k string, ts timestamp"), ["k"], 900).count() == 0
+    assert G.spaced(spark.createDataFrame([], "k string, ts timestamp"), ["k"], 900, write).count() == 0
 
 
 def test_evidence_takes_nulls_and_any_case(spark):

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators import selection as Q
 
 def hit_rate(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("hit")).alias("hits"), F.avg(F.col("hit").cast("double")).alias("rate"))
 
 
 def trade_stats(df: DataFrame, by: list[str]) -> DataFrame:
+    """By few groups (a horizon and model): counts, means, the exact median and the profit factor."""
     won, lost = F.sum(F.when(F.col("ret") > 0, F.col("ret"))), F.sum(F.when(F.col("ret") < 0, -F.col("ret")))
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"), F.avg("ret").alias("mean_ret"), F.percentile("ret", 0.5).alias("median_ret"), F.try_divide(won, lost).alias("profit_factor"))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"), F.avg("ret").alias("mean_ret"), F.try_divide(won, lost).alias("profit_factor")).alias("s").join(
+        Q.exact_quantiles(df, "ret", [0.5], by=by).select(*by, F.col("q").alias("median_ret")).alias("m"), [F.col(f"s.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by], "left"
+    ).select("s.*", "median_ret")
 
 
 def event_day_sharpe(df: DataFrame, by: list[str], *, day: str = "d", value: str = "ret") -> DataFrame:
@@ -107,7 +111,7 @@ def pooled_t(df: DataFrame, group: Column, value: str) -> DataFrame:
 
 def quantile_bins(df: DataFrame, value: str, n: int) -> DataFrame:
     """Bins 1..n by interior quantiles (linear), closed on the right. The edges are one row, broadcast."""
-    edges = df.agg(F.percentile(value, [i / n for i in range(1, n)]).alias("_e"))
+    edges = Q.exact_quantiles(df, value, [i / n for i in range(1, n)]).agg(F.array_sort(F.collect_list("q")).alias("_e"))
     out = df.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(edges))
     return out.withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(value))) + 1).drop("_e")
 
@@ -131,6 +135,7 @@ def coverage_ratio(df: DataFrame, *, day: str = "d", prior: int = 5) -> DataFram
 
 def impute_medians(train: DataFrame, test: DataFrame, cols: list[str]) -> DataFrame:
     """Fills both slices with the medians of the training slice."""
-    med = F.broadcast(train.agg(*(F.percentile(c, 0.5).alias(f"_{c}") for c in cols)))
+    long = train.select(F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols))).alias("x")).select("x.*")
+    med = F.broadcast(Q.exact_quantiles(long, "v", [0.5], by=["col"]).agg(*(F.max(F.when(F.col("col") == c, F.col("q"))).alias(f"_{c}") for c in cols)))
     both = train.withColumn("slice", F.lit("train")).unionByName(test.withColumn("slice", F.lit("test")))
     return both.crossJoin(med).withColumns({c: F.coalesce(c, f"_{c}") for c in cols}).drop(*(f"_{c}" for c in cols))

@@ -155,16 +155,3 @@ def confirmation(lifts: DataFrame, bars: dict[int, float], promoted: list[int],
     live = F.when((F.col("n") >= enough) & ~good, "decayed").otherwise("kept")
     fresh = F.when(F.col("n") < enough, "wait").when(good & (F.col("t") >= z), "promote").otherwise("reject")
     return y.withColumn("t", t).withColumn("verdict", F.when(F.col("rule").isin(*promoted), live).otherwise(fresh))
-
-
-def spaced(df: DataFrame, keys: list[str], gap_seconds: int) -> DataFrame:
-    """(keys, ts): of each key's times the first, then each that lies the gap or more after the last one chosen. A time that far after its
-    predecessor is always chosen, so times split there into runs; a run's distinct times are one array, whose choice is a fold."""
-    w = Window.partitionBy(*keys).orderBy("ts")
-    late = F.coalesce(F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) >= gap_seconds * 1_000_000, F.lit(True))
-    x = df.select(*keys, "ts").distinct().withColumn("_late", late.cast("int"))
-    x = x.withColumn("_run", F.sum("_late").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = x.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list("ts")).alias("all"))
-    far = lambda acc, t: (F.size(acc) == 0) | (F.unix_micros(t) - F.unix_micros(F.try_element_at(acc, F.lit(-1))) >= gap_seconds * 1_000_000)
-    chosen = F.aggregate("all", F.array().cast("array<timestamp>"), lambda acc, t: F.when(far(acc, t), F.array_append(acc, t)).otherwise(acc))
-    return runs.select(*keys, F.explode(chosen).alias("ts"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_ratio
+from . import intervals as IV
+
 
 def rows(lo: int, hi: int = 0):
     return Window.partitionBy("symbol").orderBy("h").rowsBetween(lo, hi)
@@ -103,8 +105,8 @@ def book_window(samples: DataFrame, cadence: str, *, first: int = 2, last: int =
 
 def path_labels(bars: DataFrame, horizons: list[int], gaps: DataFrame) -> DataFrame:
     """Per bar and horizon in hours: return, best and worst of what lies ahead, and whether the span is whole and free of gaps.
-    Frames by time, so missing bars shorten a span; spans beyond the last bar of all don't come out.
-    Horizons stay below a day: gaps meet spans by day."""
+    Frames by time, so missing bars shorten a span; spans beyond the last bar of all don't come out. Gaps hold for all symbols:
+    they are merged to disjoint runs, of which a span of any length meets one."""
     sec = F.unix_timestamp("h")
     base = bars.withColumn("_s", sec)
     w = Window.partitionBy("symbol").orderBy("_s")
@@ -112,12 +114,9 @@ def path_labels(bars: DataFrame, horizons: list[int], gaps: DataFrame) -> DataFr
     out = base.withColumn("_each", F.array(*each)).select("symbol", "h", "_s", F.explode("_each").alias("x")).select("symbol", "h", "_s", "x.*")
     last = F.broadcast(bars.agg(F.max(sec).alias("_last")))
     out = out.crossJoin(last).filter(F.col("_s") + F.col("horizon") * 3600 <= F.col("_last"))
-    start, end = F.col("_s") + 3600, F.col("_s") + 3600 + F.col("horizon") * 3600
-    hit = gaps.select("gap_start", "gap_end", F.explode(F.sequence(F.floor(F.col("gap_start") / 86400) - 1, F.floor(F.col("gap_end") / 86400))).alias("_day"))
-    spans = out.select("symbol", "h", "horizon", start.alias("_a"), end.alias("_b"), F.floor(F.col("_s") / 86400).alias("_day"))
-    bad = spans.join(hit, "_day").filter((F.col("gap_start") <= F.col("_b")) & (F.col("gap_end") >= F.col("_a"))).select("symbol", "h", "horizon").distinct().withColumn("_bad", F.lit(True))
-    out = out.join(bad, ["symbol", "h", "horizon"], "left")
-    return out.withColumn("valid", F.col("complete") & F.col("_bad").isNull()).drop("_s", "_last", "_bad")
+    spans = out.withColumns({"a": F.col("_s") + 3600, "b": F.col("_s") + 3600 + F.col("horizon") * 3600, "_all": F.lit(0)})
+    met = IV.overlapping(spans, gaps.select(F.lit(0).alias("_all"), F.col("gap_start").alias("a"), F.col("gap_end").alias("b")), by="_all", flag="_bad")
+    return met.withColumn("valid", F.col("complete") & ~F.col("_bad")).drop("_s", "_last", "_bad", "_all", "a", "b")
 
 
 def rebuild_book(changes: DataFrame, as_of: int | None = None, *, top: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import discovery as X
 from ..operators import equity as E
 from ..operators import evidence as EV
+from ..operators import gates as G
 from ..operators import tape as T
 from ..sources import tape as S
 from ..sources import views as V
@@ -136,17 +137,33 @@ def l8_insight_rules(s, d):
 
 @query
 def i15_alert_throttle(s, d):
-    """Alerts by tick, in batch form: the first, each change, and a repeat once six hours have gone since the last one sent."""
+    """Alerts by tick, in batch form: the first, each change of severity or payload, and a repeat once six hours have gone since the last one sent."""
     t = V.ticks(s, d).groupBy("symbol", F.col("ts").cast("timestamp").alias("ts")).agg(F.max("event_id").alias("id"))
-    t = t.withColumn("severity", F.when(F.col("id") % 40 == 0, "page").when(F.col("id") % 40 < 20, "warn").otherwise("info"))
-    w = Window.partitionBy("symbol").orderBy("ts")
-    new = F.coalesce(F.col("severity") != F.lag("severity").over(w), F.lit(True)).cast("int")
-    t = t.withColumn("_new", new).withColumn("spell", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return X.spaced(t, ["symbol", "spell", "severity"], 6 * 3600).select("symbol", "severity", F.unix_micros("ts").alias("at"))
+    severity = F.when(F.col("id") % 40 == 0, "page").when(F.col("id") % 40 < 20, "warn").otherwise("info")
+    t = t.select("symbol", "ts", severity.alias("severity"), F.concat(F.lit("p"), F.floor(F.col("id") / 300) % 3).alias("payload"))
+    return G.throttled(t, 6 * 3600, stored(s)).select("symbol", "severity", "payload", F.unix_micros("ts").alias("at"))
 
 
 @query
 def i16_cooldown_gate(s, d):
-    """Signals by tick, in batch form: on a symbol and side at least four hours after the last one sent."""
+    """Signals by tick, in batch form: on a symbol and side at least four hours after the last one sent, if the position isn't held already. Positions
+    follow from the hours, as the given tables have none."""
     t = V.ticks(s, d).select("symbol", F.when(F.col("maker"), "sell").otherwise("buy").alias("side"), F.col("ts").cast("timestamp").alias("ts"))
-    return X.spaced(t, ["symbol", "side"], 4 * 3600).select("symbol", "side", F.unix_micros("ts").alias("at"))
+    h = V.hours(s, d).select("symbol", F.hour("h").alias("n"), F.unix_micros(F.col("h").cast("timestamp")).alias("a"))
+    minutes = lambda n: (F.col("a") + n * 60_000_000).alias("b")
+    held = h.filter("n % 6 = 0").select("symbol", F.lit("buy").alias("side"), "a", minutes(150)).unionByName(h.filter("n % 8 = 3").select("symbol", F.lit("sell").alias("side"), "a", minutes(90)))
+    return G.cooled(t, held, 4 * 3600, stored(s)).select("symbol", "side", F.unix_micros("ts").alias("at"))
+
+
+@query
+def a15_tape_stream(s, d):
+    """The tape of the ticks as a stream: written by day, read as an unbounded source until nothing is left, each batch stored under its number; then
+    read back. The rows are those of the stored batches."""
+    ticks = V.ticks(s, d).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "event_id", "price", "qty")
+    tape, out = S.work_path(s), S.work_path(s)
+    S.write_partitioned(ticks.withColumn("date", F.to_date("ts")), tape, ["date"], sort_by=["ts"], files=2)
+    schema = ticks.withColumn("date", F.to_date("ts")).schema
+    # a stream keeps no list of all its rows: what it does to a row depends on the row alone
+    stream = S.tape_stream(s, tape, schema, files=16).select("symbol", "ts", "event_id", (F.col("price") * F.col("qty")).alias("notional"))
+    S.store_batches(stream, out, S.work_path(s)).awaitTermination()
+    return S.stored_batches(s, out, stream.schema).select("symbol", F.unix_micros("ts").alias("at"), "event_id", *r("notional"))

@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..operators import aggregates as A
 from ..operators import bars as B
 from ..operators import decisions as D
+from ..operators import intervals as IV
 from ..operators import joins as J
 from ..operators import paths as P
 from ..sources import views as V
@@ -101,10 +102,11 @@ def c17_point_lookup(s, d):
 
 @query
 def c18_interval_overlap(s, d):
-    """Six-hour spans after each hour against gap hours: gap intervals are spread over the hours they touch."""
-    h = V.hours(s, d).select("symbol", "h")
-    gaps = h.filter("symbol = 'U3' and hour(h) = 5").select(F.explode(F.sequence(F.col("h") - F.expr("interval 6 hours"), F.col("h"), F.expr("interval 1 hour"))).alias("h")).distinct().withColumn("hit", F.lit(True))
-    return h.join(gaps, "h", "left").select("symbol", "h", F.coalesce("hit", F.lit(False)).alias("overlaps"))
+    """Six-hour spans after each hour against half-hour gaps, which hold for all symbols."""
+    sec = F.unix_timestamp("h")
+    spans = V.hours(s, d).select("symbol", "h", sec.alias("a"), (sec + 6 * 3600).alias("b"), F.lit(0).alias("_all"))
+    gaps = V.hours(s, d).filter("symbol = 'U3' and hour(h) = 5").select(F.lit(0).alias("_all"), sec.alias("a"), (sec + 1800).alias("b"))
+    return IV.overlapping(spans, gaps, by="_all").select("symbol", "h", "overlaps")
 
 
 @query

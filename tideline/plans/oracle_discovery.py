@@ -70,9 +70,14 @@ def all_sql() -> dict[str, str]:
     # the greedy choice as a recursion over each key's times
     greedy = lambda gap: f"""nx as (select k, ts, (select min(b.ts) from al b where b.k = al.k and b.ts >= al.ts + interval {gap} hour) as nxt from al),
         go as (select k, min(ts) as ts from al group by 1 union all select go.k, nx.nxt from go join nx on nx.k = go.k and nx.ts = go.ts where nx.nxt is not null)"""
-    s["i15_alert_throttle"] = f"""with recursive {TICKS}, a0 as (select symbol, ts, max(event_id) as id from ticks group by 1, 2), a1 as (select symbol, ts, case when id % 40 = 0 then 'page' when id % 40 < 20 then 'warn' else 'info' end as sev from a0),
-        a2 as (select *, case when sev is not distinct from lag(sev) over (partition by symbol order by ts) then 0 else 1 end as new from a1), al as (select concat(symbol, '|', sev, '|', sum(new) over (partition by symbol order by ts)) as k, ts from a2), {greedy(6)}
-        select split_part(k, '|', 1) as symbol, split_part(k, '|', 2) as severity, epoch_us(ts) as at from go"""
-    s["i16_cooldown_gate"] = f"""with recursive {TICKS}, al as (select distinct concat(symbol, '|', case when maker then 'sell' else 'buy' end) as k, ts from ticks), {greedy(4)}
+    s["i15_alert_throttle"] = f"""with recursive {TICKS}, a0 as (select symbol, ts, max(event_id) as id from ticks group by 1, 2),
+        a1 as (select symbol, ts, case when id % 40 = 0 then 'page' when id % 40 < 20 then 'warn' else 'info' end as sev, concat('p', (id // 300) % 3) as pay from a0),
+        a2 as (select *, case when sev = lag(sev) over (partition by symbol order by ts) and pay = lag(pay) over (partition by symbol order by ts) then 0 else 1 end as new from a1),
+        al as (select concat(symbol, '|', sev, '|', pay, '|', sum(new) over (partition by symbol order by ts)) as k, ts from a2), {greedy(6)}
+        select split_part(k, '|', 1) as symbol, split_part(k, '|', 2) as severity, split_part(k, '|', 3) as payload, epoch_us(ts) as at from go"""
+    s["i16_cooldown_gate"] = f"""with recursive {HOURS}, held as (select symbol, 'buy' as side, h as a, h + interval 150 minute as b from hours where hour(h) % 6 = 0 union all select symbol, 'sell', h, h + interval 90 minute from hours where hour(h) % 8 = 3),
+        sg as (select distinct symbol, case when maker then 'sell' else 'buy' end as side, ts from ticks),
+        al as (select concat(symbol, '|', side) as k, ts from sg where not exists (select 1 from held where held.symbol = sg.symbol and held.side = sg.side and a <= ts and b > ts)), {greedy(4)}
         select split_part(k, '|', 1) as symbol, split_part(k, '|', 2) as side, epoch_us(ts) as at from go"""
+    s["a15_tape_stream"] = f"with {TICKS} select symbol, epoch_us(ts) as at, event_id, round(price * qty, 6) as notional from ticks"
     return s

@@ -24,7 +24,7 @@ def all_sql() -> dict[str, str]:
     s["c15_cluster"] = f"with {BARS}, e as (select symbol, d, cast(substr(symbol, 2) as int) % 2 as grp from (select symbol, d, {LAG(1)} as r from bars) where r > 3) select a.symbol, a.d, count(*) as others from e a join e b on b.grp = a.grp and b.symbol <> a.symbol and b.d between a.d - 3 and a.d + 3 group by 1, 2 having count(*) >= 2"
     s["c16_near"] = f"with {BARS}, {FILINGS} select symbol, d, trades from bars b where exists (select 1 from filings f where f.symbol = b.symbol and f.form = '8-K' and f.filing_date between b.d - 7 and b.d + 7)"
     s["c17_point_lookup"] = f"with {PREDS}, x as (select symbol, d, round({LAG(60)}, 6) as ret_60 from bars) select p.symbol, p.d, x.ret_60 from preds p join x on x.symbol = p.symbol and x.d = p.d where p.prob >= 0.95 and x.ret_60 is not null"
-    s["c18_interval_overlap"] = f"with {HOURS}, g as (select h as a from hours where symbol = 'U3' and hour(h) = 5) select symbol, h, exists (select 1 from g where a <= hours.h + interval 6 hour and a >= hours.h) as overlaps from hours"
+    s["c18_interval_overlap"] = f"with {HOURS}, g as (select h as a from hours where symbol = 'U3' and hour(h) = 5) select symbol, h, exists (select 1 from g where a <= hours.h + interval 6 hour and a + interval 30 minute >= hours.h) as overlaps from hours"
     s["c20_pair_spread"] = f"with {BARS} select a.d, round(a.close - b.close, 7) as spread from bars a join bars b on b.d = a.d and b.symbol = 'S2' where a.symbol = 'S1'"
     s["c22_leak_check"] = f"with {PREDS}, r as (select model, min(d) + 30 as e from preds group by 1) select p.model, count(*) as n, max(p.d) as last_day from preds p join r on r.model = p.model and p.d <= r.e group by 1"
     s["c24_latest_mark"] = f"with {PREDS}, m as (select symbol, arg_max(close, d) as mark from bars group by 1) select p.symbol, round(sum((mark - close) * (year(d) - 1990)), 2) as unrealised, count(*) as n from preds p join m on m.symbol = p.symbol where prob >= 0.95 group by 1"

@@ -7,16 +7,23 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
+_own_dir: list[tempfile.TemporaryDirectory] = []
+
+
 def work_path(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir, which all machines share; a temporary one where that is unset and the master is local."""
+    """A new folder in spark.checkpoint.dir, which all machines share; where that is unset and the master is local, in one temporary
+    folder, which goes when Python ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder which all machines share")
-        base = tempfile.mkdtemp(prefix="tideline-")
+        if not _own_dir:
+            _own_dir.append(tempfile.TemporaryDirectory(prefix="tideline-", ignore_cleanup_errors=True))
+        base = _own_dir[0].name
     return f"{base}/tape-{uuid.uuid4().hex}"
 
 
@@ -56,6 +63,21 @@ def tape_stream(spark: SparkSession, path: str, schema: StructType, *, files: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def store_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Starts a query over what the source holds now. Each batch goes to a folder of its number, which is replaced whole: a batch that is run
+    again after a failure, as its end wasn't recorded in the checkpoint, leaves what it left before."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of all batches stored so far."""
+    return spark.read.schema(schema).parquet(f"{path}/batch=*")
+
+
 def compact(spark: SparkSession, source: str, target: str, *, by: list[str], sort_by: list[str], files: int = 1) -> DataFrame:
     """Rewrites a tape in `files` sorted files a partition, and returns rows in and out per partition from what was written."""
     before = spark.read.parquet(source)

@@ -147,3 +147,30 @@ def test_stored_stream_survives_a_failure_between_batches(spark, tmp_path):
     assert got.count() == ticks.count() and got.exceptAll(ticks).count() == 0
     S.store_batches(stream(), out, str(tmp_path / "cp")).awaitTermination()  # nothing new
     assert S.stored_batches(spark, out, ticks.schema).count() == ticks.count()
+
+
+def test_quotes_in_texts(spark, monkeypatch):
+    import re
+    import unicodedata
+
+    from tideline.operators import quotes as QT
+
+    def plain(text):
+        text = unicodedata.normalize("NFKD", text)
+        for a, b in zip("‘’“”", "''\"\"", strict=True):
+            text = text.replace(a, b)
+        return re.sub(r"\s+", " ", text).strip().lower()
+
+    odd = ["Café  d’Été oﬃce ½", "ǖ … ça\tva bien “Oui”", "plain", "", "x́   y"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").select("i", QT.normalised(F.col("t")).alias("n")).collect()
+    assert {r.i: r.n for r in got} == {i: plain(t) for i, t in enumerate(odd)}
+    rng = random.Random(6)
+    words = "the cat déjà vu sat on a mat ‘so’ they say".split()
+    docs = [(i if i else None, " \n".join(rng.choice(words) for _ in range(rng.randrange(60)))) for i in range(60)] + [(5, "the cat sat on the mat again and again"), (99, None)]
+    quotes = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 7)))) for i in range(150)] + [(900, "cat sat  ON the mat"), (901, "at sat on the ma"), (902, "again and again"), (903, "short"), (904, None), (905, "gain and agai"), (906, "deja vu sat o"), (907, "mat again and")]
+    want = {(q, d) for q, s in quotes for d, t in docs if s and len(s) >= 10 and t is not None and plain(s) in plain(t)}
+    q, d = spark.createDataFrame(quotes, "quote_id int, quote string"), spark.createDataFrame(docs, "doc_id int, text string")
+    for most in (10**6, 3):
+        monkeypatch.setattr(QT, "MOST_KEYS", most)
+        assert sorted(map(repr, (tuple(r) for r in QT.find(q, d).collect()))) == sorted(map(repr, want))
+    assert len(want) > 30 and (901, 5) in want and QT.find(q.limit(0), d).count() == 0 and QT.find(q, d.limit(0)).count() == 0

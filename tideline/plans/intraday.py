@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..operators import aggregates as A
 from ..operators import bars as B
 from ..operators import intraday as I
+from ..operators import quotes as QT
 from ..operators import tape as T
 from ..sources import views as V
 from .catalog import query, r
@@ -170,8 +171,13 @@ def g6_multi_key_nulls_last(s, d):
 
 @query
 def h4_contains_quote(s, d):
-    text = F.lower(F.trim(F.regexp_replace(F.translate("text", "‘’“”", "''\"\""), r"[ \t\r\n]+", " ")))
-    return V.table(s, d, "documents").select("doc_id", F.contains(text, F.lit("the ")).alias("found"), F.length(text).alias("length"))
+    """Quotes of one to eleven words from every third word of the benchmark's passages on, looked for in all documents."""
+    words = F.split(F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")), " ")
+    q = V.table(s, d, "benchmark").select("item_id", words.alias("w")).select("item_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(3))).alias("i"))
+    q = q.select((F.col("item_id") * 1000 + F.col("i")).alias("quote_id"), F.array_join(F.slice("w", F.col("i") + 1, F.col("i") % 11 + 1), " ").alias("quote"))
+    found = QT.find(q, V.table(s, d, "documents").select("doc_id", "text")).groupBy("quote_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    short = F.length("quote") < 10
+    return q.join(found, "quote_id", "left").select("quote_id", "quote", (short | F.col("n").isNotNull()).alias("valid"), F.coalesce("n", F.lit(0)).alias("n_docs"), "first_doc")
 
 
 @query

@@ -54,7 +54,12 @@ def all_sql() -> dict[str, str]:
     s["f11_cross_section"] = f"with {HOURS}, q as (select symbol, h, {roc(1)} as x from hours), p as (select * from q where x is not null) select a.symbol, a.h, round(a.x - max(b.x) filter (b.symbol = 'U0'), 6) as vs_bench, round(a.x - quantile_cont(b.x, 0.5), 6) as vs_median, round(count(*) filter (b.x < a.x) / nullif(count(*) - 1, 0), 6) as below from p a join p b on b.h = a.h group by a.symbol, a.h, a.x"
     s["g2_threshold_select"] = f"with {PREDS} select symbol, d, prob, cast(row_number() over (partition by d order by prob desc, symbol) as int) as rank_in_day from preds where prob >= 0.7"
     s["g6_multi_key_nulls_last"] = f"with {PREDS} select symbol, d, cast(row_number() over (partition by model order by hit asc nulls first, ret desc nulls last, d, symbol) as int) as place from preds qualify place <= 20"
-    s["h4_contains_quote"] = r"""with q as (select doc_id, lower(trim(regexp_replace(translate(text, '‘’“”', '''''""'), '[ \t\r\n]+', ' ', 'g'))) as t from documents) select doc_id, contains(t, 'the ') as found, cast(length(t) as int) as length from q"""
+    s["h4_contains_quote"] = r"""with b as (select item_id, string_split(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), ' ') as w from benchmark),
+        i as (select item_id, w, unnest(range(0, len(w), 3)) as i from b),
+        q as (select item_id * 1000 + i as quote_id, array_to_string(w[i + 1:i + i % 11 + 1], ' ') as quote from i),
+        t as (select doc_id, lower(trim(regexp_replace(translate(text, '‘’“”', '''''""'), '[ \t\r\n]+', ' ', 'g'))) as t from documents),
+        f as (select quote_id, count(*) as n, min(doc_id) as first_doc from q join t on contains(t.t, lower(q.quote)) where length(quote) >= 10 group by quote_id)
+        select q.quote_id, q.quote, length(quote) < 10 or f.n is not null as valid, coalesce(f.n, 0) as n_docs, f.first_doc from q left join f on f.quote_id = q.quote_id"""
     s["h7_event_priority"] = "select doc_id, cast(case when source = 'web' then 2 else 1 end + least(len(regexp_extract_all(text, '(report|market|price)')), 3) + case when length(text) > 2000 then 1 else 0 end as int) as priority from documents"
     s["h8_source_coverage"] = "select source, count(*) as n, count(*) filter (length(text) > 1000) as long, count(*) filter (length(text) < 100) as short, count(*) filter (lang is null) as unknown from documents group by 1"
     s["h10_row_fingerprint"] = """select c_custkey, sha256(concat('{"name":"', c_name, '","customer":', c_custkey, ',"nation":', c_nationkey, '}')) as fingerprint from customer"""

@@ -174,3 +174,19 @@ def test_quotes_in_texts(spark, monkeypatch):
         monkeypatch.setattr(QT, "MOST_KEYS", most)
         assert sorted(map(repr, (tuple(r) for r in QT.find(q, d).collect()))) == sorted(map(repr, want))
     assert len(want) > 30 and (901, 5) in want and QT.find(q.limit(0), d).count() == 0 and QT.find(q, d.limit(0)).count() == 0
+
+
+def test_business_days_like_numpy(spark):
+    import numpy as np
+
+    from tideline.operators import decisions as D
+
+    rng = random.Random(1)
+    first = dt.date(2024, 1, 1)
+    days = [first + dt.timedelta(days=rng.randrange(200)) for _ in range(80)] + [None]
+    holidays = sorted({first + dt.timedelta(days=rng.randrange(260)) for _ in range(40)} | {first + dt.timedelta(days=k) for k in range(100, 125)})
+    d, h = spark.createDataFrame([(i, x) for i, x in enumerate(days)], "i int, day date"), spark.createDataFrame([(x,) for x in holidays + holidays[:3]], "day date")
+    for n in (0, 1, 10):
+        got = {r.i: r.then for r in D.busday_add(d, "day", n, h, name="then").collect()}
+        assert got == {i: np.busday_offset(np.datetime64(x), n, roll="forward", holidays=holidays).astype(object) if x else None for i, x in enumerate(days)}
+    assert D.busday_add(d.limit(0), "day", 1, h, name="then").count() == 0 and D.busday_add(d, "day", 1, h.limit(0), name="then").count() == len(days)

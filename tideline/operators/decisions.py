@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -136,3 +136,25 @@ def weekdays_between(a: Column, b: Column) -> Column:
     """Days from Monday to Friday in [a, b]; 0 where a is after b. Whole weeks by arithmetic, no sequence."""
     upto = lambda x: F.floor((F.unix_date(x) + 3) / 7) * 5 + F.least((F.unix_date(x) + 3) % 7, F.lit(5))  # noqa: E731 (weekdays before x, from a Monday on)
     return F.when(a > b, F.lit(0)).otherwise(upto(F.date_add(b, 1)) - upto(a)).cast("int")
+
+
+def business_days(first: Column, last: Column, bounds: DataFrame, holidays: DataFrame) -> DataFrame:
+    """(day, k, open): every day from `first` to `last` (of the one row of bounds), whether it is a business day (Monday to Friday, not among
+    holidays (day)), and how many business days lie before it. One row a calendar day, whatever the number of rows that ask."""
+    days = bounds.select(F.explode(F.sequence(first, last)).alias("day"))
+    closed = holidays.select(F.col("day").alias("_h")).distinct()
+    days = days.join(closed, F.col("day") == F.col("_h"), "left").select("day", ((F.weekday("day") < 5) & F.col("_h").isNull()).alias("open"))
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    return days.select("day", "open", F.coalesce(F.sum(F.col("open").cast("int")).over(before), F.lit(0)).alias("k"))
+
+
+def busday_add(df: DataFrame, day: str, n: int, holidays: DataFrame, *, name: str) -> DataFrame:
+    """Adds the n-th business day after `day`, counted from the first one at or after it: rank and select over a calendar that reaches
+    far enough (each holiday can put it off by one business day at most). Null days give null."""
+    ends = df.agg(F.min(day).alias("_from"), F.max(day).alias("_to"), F.lit(0).alias("_n")).filter("_from is not null")
+    more = holidays.agg(F.countDistinct("day").alias("_more"))
+    reach = F.date_add("_to", (F.lit(2 * n + 14) + 2 * F.col("_more")).cast("int"))
+    calendar = business_days(F.col("_from"), reach, ends.crossJoin(F.broadcast(more)), holidays)
+    at = calendar.select(F.col("day").alias("_day"), (F.col("k") + n).alias("_k"))
+    then = calendar.filter("open").select("k", F.col("day").alias(name))
+    return df.join(at.join(then, F.col("_k") == F.col("k")).select("_day", name), F.col(day) == F.col("_day"), "left").drop("_day")

@@ -69,7 +69,9 @@ def b16_period_alignment(s, d):
 @query
 def b18_market_clock(s, d):
     day = F.to_date("ts")
-    return V.ticks(s, d).select("event_id", D.forex_closed(F.col("ts")).alias("closed"), D.forex_close_floor(F.col("ts")).alias("close_floor"), D.prev_weekday(day).alias("prev_weekday"), D.weekdays_between(F.lit("2023-12-20").cast("date"), day).alias("weekdays"))
+    holidays = V.ticks(s, d).select(F.date_add(F.trunc(day, "month"), 14).alias("day")).distinct()  # the 15th of each month
+    x = D.busday_add(V.ticks(s, d).withColumn("day", day), "day", 10, holidays, name="settles")
+    return x.select("event_id", "settles", D.forex_closed(F.col("ts")).alias("closed"), D.forex_close_floor(F.col("ts")).alias("close_floor"), D.prev_weekday(day).alias("prev_weekday"), D.weekdays_between(F.lit("2023-12-20").cast("date"), day).alias("weekdays"))
 
 
 @query

@@ -45,7 +45,11 @@ def all_sql() -> dict[str, str]:
     select p_partkey, is_etf, is_fund, is_adr, not is_etf and not is_fund and length(t) <= 5 and not regexp_matches(t, '[.+-]') and not regexp_matches(n, 'WARRANT|UNIT SER|PREFERRED|NOTE DUE|BOND DUE|DEP SHS|DEP SHARES|DEPOSITARY|ADR') as kept from f"""
     s["b15_industry_flags"] = "with k as (select concat('S', cast(o_custkey % 10 as varchar)) as symbol, bool_or(o_orderstatus = 'P' and o_totalprice > 300000) as ins, bool_or(o_orderstatus = 'P' and o_totalprice > 250000) as bank from orders group by 1), n as (select s_suppkey, concat('S', cast(s_suppkey % 10 as varchar)) as symbol from supplier) select s_suppkey, case when k.ins then 'insurer' when k.bank then 'bank' when s_suppkey % 4 = 1 then 'insurer' when s_suppkey % 4 = 0 then 'bank' else 'other' end as kind from n left join k on k.symbol = n.symbol"
     s["b16_period_alignment"] = f"with {FILINGS}, q as (select accession, form, filing_date as a, lag(filing_date, 40) over v as b, lag(form, 40) over v as pf from filings window v as (partition by symbol order by filing_date, accession)), k as (select *, abs(a - b) as g, form in ('10-K', '10-Q') and pf in ('10-K', '10-Q') as byf from q where b is not null), p as (select *, case when byf then case when form = pf then case form when '10-K' then 'annual' else 'quarterly' end end when g between 335 and 395 then 'annual' when g between 75 and 105 then 'quarterly' end as period from k) select accession, cast(g as int) as gap_days, period as period_type, case when byf then 'form' else 'gap' end as method, case when period is null then 'mismatched' else 'aligned' end as status from p"
-    s["b18_market_clock"] = f"with {TICKS}, q as (select event_id, ts, cast(ts as date) as day, isodow(ts) as wd from ticks) select event_id, wd = 6 or (wd = 5 and hour(ts) >= 22) or (wd = 7 and hour(ts) < 22) as closed, cast(day - cast((wd + 2) % 7 as int) as timestamp) + interval 21 hour as close_floor, cast(day - case wd when 1 then 3 when 7 then 2 else 1 end as date) as prev_weekday, cast((select count(*) from range(0, 400) r(i) where date '2023-12-20' + cast(i as int) <= day and isodow(date '2023-12-20' + cast(i as int)) <= 5) as int) as weekdays from q"
+    s["b18_market_clock"] = f"""with {TICKS}, q as (select event_id, ts, cast(ts as date) as day, isodow(ts) as wd from ticks),
+        hol as (select distinct cast(date_trunc('month', day) as date) + 14 as h from q),
+        bd as (select b, row_number() over (order by b) as k from (select cast(date '2023-12-01' + cast(i as int) as date) as b from range(0, 500) r(i)) where isodow(b) <= 5 and b not in (select h from hol)),
+        st as (select day, (select min(k) from bd where b >= day) + 10 as k from (select distinct day from q))
+        select event_id, (select b from bd join st using (k) where st.day = q.day) as settles, wd = 6 or (wd = 5 and hour(ts) >= 22) or (wd = 7 and hour(ts) < 22) as closed, cast(day - cast((wd + 2) % 7 as int) as timestamp) + interval 21 hour as close_floor, cast(day - case wd when 1 then 3 when 7 then 2 else 1 end as date) as prev_weekday, cast((select count(*) from range(0, 400) r(i) where date '2023-12-20' + cast(i as int) <= day and isodow(date '2023-12-20' + cast(i as int)) <= 5) as int) as weekdays from q"""
     s["b19_pct_move"] = f"with {PREDS} select symbol, d, round(case when prob < 0.5 and ret is not null then ret * 100 when close > 0 then (arg_max(close, d) over (partition by symbol) / close - 1) * 100 end, 5) as move from preds"
     s["b20_catalyst_adjustment"] = f"""with {CANDS}, q as (select symbol, d, case num % 4 when 0 then 1.0 when 1 then 0.6 when 2 then 0.8 else 0.65 end as scope, case num % 3 when 0 then 5.0 when 1 then 3.0 else 1.5 end * case num % 5 when 0 then 1 when 1 then -1 when 2 then 0 when 3 then 1 else -1 end as st, least(1.0, trades % 13 / 10.0) as conf, num % 6 in (1, 4) or num % 17 = 0 as bad, case when risk is null then 1.0 else greatest(0.5, 1 - risk / 200.0) end as rk, case when num % 3 = 0 then case when num % 8 < 2 then 0.2 when num % 8 < 5 then 0.55 else 0.9 end else greatest(0.0, 1 - (num % 120) / 90.0) end as mk from cands),
     a as (select symbol, d, case when bad then 0.0 else greatest(-5.0, least(5.0, cast(st as double) * conf * cast(scope as double) * mk * rk)) end as adj from q) select symbol, d, round(adj, 11) as adjustment, case when abs(adj) >= 3.5 then 'high' when abs(adj) >= 1.5 then 'medium' when abs(adj) > 0 then 'low' else 'none' end as impact from a"""

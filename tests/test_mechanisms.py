@@ -190,3 +190,16 @@ def test_business_days_like_numpy(spark):
         got = {r.i: r.then for r in D.busday_add(d, "day", n, h, name="then").collect()}
         assert got == {i: np.busday_offset(np.datetime64(x), n, roll="forward", holidays=holidays).astype(object) if x else None for i, x in enumerate(days)}
     assert D.busday_add(d.limit(0), "day", 1, h, name="then").count() == 0 and D.busday_add(d, "day", 1, h.limit(0), name="then").count() == len(days)
+
+
+def test_stalls_need_a_peer_that_moves(spark):
+    from tideline.operators import tape as T
+
+    at = lambda h: DAY + dt.timedelta(hours=h)
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    now, expected = frame([(at(10),)], "now timestamp"), frame([("a",), ("b",), ("gone",)], "symbol string")
+    beats = [("a", at(10), 9), ("b", at(9), 5), ("c", at(6), 7), ("d", at(10), 3)]
+    states = lambda before: {r.symbol: r.state for r in T.stalls(frame(beats, "symbol string, ts timestamp, rows long"), frame(before, "symbol string, rows long"), expected, now, interval_seconds=3600).collect()}
+    assert states([("a", 8), ("b", 5), ("c", 1)]) == {"a": "fresh", "b": "stalled", "c": "stale", "d": "fresh", "gone": "missing"}
+    assert states([("a", 9), ("b", 5), ("c", 1)]) == {"a": "fresh", "b": "fresh", "c": "stale", "d": "fresh", "gone": "missing"}
+    assert states([]) == {"a": "fresh", "b": "fresh", "c": "stale", "d": "fresh", "gone": "missing"}

@@ -54,3 +54,17 @@ def upsert(target: DataFrame, updates: DataFrame, *, keys: list[str], update_col
 
 def insert_ignore(target: DataFrame, new: DataFrame, *, keys: list[str]) -> DataFrame:
     return target.unionByName(new.dropDuplicates(keys).join(target, keys, "left_anti"))
+
+
+def stalls(beats: DataFrame, before: DataFrame, expected: DataFrame, now: DataFrame, *, interval_seconds: int, factor: int = 3) -> DataFrame:
+    """beats (symbol, ts, rows) as they are, before (symbol, rows) as they were at the last check, expected (symbol), now (one row): the state of every
+    symbol. `missing` has no beat; `stale` has an old one; `stalled` is fresh and was there before, but has no new rows while some fresh
+    one has; if none has, it is a lull of all and `fresh`."""
+    x = beats.select("symbol", "ts", F.col("rows").alias("_rows")).join(expected.select("symbol").distinct(), "symbol", "full_outer")
+    x = x.join(before.select("symbol", F.col("rows").alias("_then")), "symbol", "left").crossJoin(F.broadcast(now))
+    old = F.unix_micros("now") - F.unix_micros("ts") > factor * interval_seconds * 1_000_000
+    x = x.withColumn("_fresh", F.coalesce(~old, F.lit(False)))
+    moved = F.coalesce(F.col("_fresh") & (F.col("_rows") > F.col("_then")), F.lit(False))
+    any_moved = x.agg(F.coalesce(F.bool_or(moved), F.lit(False)).alias("_any"))
+    state = F.when(F.col("ts").isNull(), "missing").when(~F.col("_fresh"), "stale").when(F.col("_any") & (F.col("_rows") <= F.col("_then")), "stalled").otherwise("fresh")
+    return x.crossJoin(F.broadcast(any_moved)).withColumn("state", state).drop("_rows", "_then", "_fresh", "_any", "now")

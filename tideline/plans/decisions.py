@@ -76,7 +76,8 @@ def b18_market_clock(s, d):
 
 @query
 def b19_pct_move(s, d):
-    x = V.preds(s, d).withColumn("last", F.max_by("close", "d").over(Window.partitionBy("symbol")))
+    p = V.preds(s, d)
+    x = p.join(p.groupBy("symbol").agg(F.max_by("close", "d").alias("last")), "symbol")
     return x.select("symbol", "d", F.round(D.pct_move(F.col("prob") < 0.5, F.col("ret"), F.col("close"), F.col("last")), 5).alias("move"))
 
 

@@ -258,17 +258,22 @@ def i14_quality_asserts(s, d):
 
 @query
 def i17_stall_peers(s, d):
-    """Symbols behind the newest by over three hours."""
-    last = V.ticks(s, d).groupBy("symbol").agg(F.max("ts").alias("last_ts"))
-    newest = last.agg(F.max("last_ts").alias("newest"))
-    late = F.col("newest") - F.col("last_ts") > F.expr("interval 3 hours")
-    return last.crossJoin(F.broadcast(newest)).select("symbol", "last_ts", late.alias("stalled"))
+    """The tape's writers by symbol, now (the last tick of all) against six hours before; twelve are expected, one check an hour."""
+    t = V.ticks(s, d).select("symbol", F.col("ts").cast("timestamp").alias("ts"))
+    now = t.agg(F.max("ts").alias("now"))
+    x = t.crossJoin(F.broadcast(now))
+    early = F.col("ts") <= F.col("now") - F.expr("interval 6 hours")
+    beats = x.groupBy("symbol").agg(F.max("ts").alias("ts"), F.count("*").alias("rows"))
+    before = x.filter(early).groupBy("symbol").agg(F.count("*").alias("rows"))
+    expected = s.range(12).select(F.concat(F.lit("U"), "id").alias("symbol"))
+    return T.stalls(beats, before, expected, now, interval_seconds=3600).select("symbol", "state")
 
 
 @query
 def j6_lifts(s, d):
     x = B.forward_labels(V.bars(s, d), [5], 0.5).filter("fwd_max_5 is not null").withColumn("v", F.col("fwd_max_5") + F.col("fwd_min_5"))
-    return x.select("symbol", "d", F.round(F.col("v") - F.avg("v").over(Window.partitionBy("symbol")), 5).alias("lift"))
+    x = x.join(x.groupBy("symbol").agg(F.avg("v").alias("mean")), "symbol")
+    return x.select("symbol", "d", F.round(F.col("v") - F.col("mean"), 5).alias("lift"))
 
 
 @query

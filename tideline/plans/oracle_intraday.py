@@ -76,7 +76,13 @@ def all_sql() -> dict[str, str]:
     select symbol, h, cast(horizon as int) as horizon, round(fr, 6) as fwd_return, round(mfe, 6) as mfe, round(mae, 6) as mae, complete and not exists (select 1 from gaps where a <= z.h + interval 1 hour + to_hours(z.horizon) and b >= z.h + interval 1 hour) as valid from z"""
     s["i13_book_reconstruct"] = f"with {TICKS}, c as (select symbol, event_id as u, case when maker then 'bid' else 'ask' end as side, floor(price) as price, cast(event_id % 4 as double) as qty, event_id % 1009 = 0 as snap from ticks), st as (select symbol, max(u) as f from c where snap group by 1), l as (select c.* from c left join st on st.symbol = c.symbol where st.f is null or c.u >= st.f), b as (select symbol, side, price, arg_max(qty, u) as qty from l group by 1, 2, 3) select symbol, side, price, qty, cast(row_number() over (partition by symbol, side order by case when side = 'bid' then -price else price end) as int) as level from b where qty > 0 qualify level <= 5"
     s["i14_quality_asserts"] = f"with {PREDS} select 'filled_without_hit' as \"check\", count(*) filter (ret is not null and hit is null) as n from preds union all select 'pending_with_hit', count(*) filter (ret is null and hit is not null) from preds union all select 'prob_range', count(*) filter (prob < 0 or prob > 1) from preds union all select 'horizon_name', count(*) filter (horizon not in ('5d', '10d')) from preds union all select 'pending', count(*) filter (ret is null) from preds"
-    s["i17_stall_peers"] = f"with {TICKS}, l as (select symbol, max(ts) as last_ts from ticks group by 1) select symbol, last_ts, (select max(ts) from ticks) - last_ts > interval 3 hour as stalled from l"
+    s["i17_stall_peers"] = f"""with {TICKS}, n as (select max(ts) as now from ticks),
+        l as (select symbol, max(ts) as ts, count(*) as rows, count(*) filter (ts <= now - interval 6 hour) as early from ticks, n group by symbol),
+        m as (select l.*, now - ts > interval 3 hour as old, early > 0 and rows > early as moved from l, n),
+        e as (select concat('U', i) as symbol from range(12) r(i))
+        select coalesce(e.symbol, m.symbol) as symbol, case when m.symbol is null then 'missing' when old then 'stale'
+            when early > 0 and not moved and (select bool_or(moved and not old) from m) then 'stalled' else 'fresh' end as state
+        from e full join m on m.symbol = e.symbol"""
     s["j6_lifts"] = f"with {BARS}, q as (select symbol, d, max(close) over {w('1 following', '5 following')} / close + min(close) over {w('1 following', '5 following')} / close - 2 as v from bars) select symbol, d, round(v - avg(v) over (partition by symbol), 5) as lift from q where v is not null"
     s["j13_coin_vol"] = f"with {HOURS}, q as (select symbol, {roc(1)} as x from hours) select symbol, round(stddev_pop(x), 5) as vol, count(x) as n from q group by 1"
     s["l3_stale_guard"] = f"with {PREDS} select (select max(d) from bars) as price_day, max(d) as feature_day, max(d) < (select max(d) from bars) as stale from preds where ret is not null"

@@ -152,7 +152,7 @@ def j5_rule_firing(s, d):
 @query
 def j7_rule_score(s, d):
     x = B.forward_labels(V.bars(s, d), [5], 0.5).filter("fwd_max_5 is not null").select("symbol", "d", F.log1p("fwd_max_5").alias("v"))
-    lift = x.withColumn("lift", F.col("v") - F.avg("v").over(Window.partitionBy("symbol")))
+    lift = x.join(x.groupBy("symbol").agg(F.avg("v").alias("mean")), "symbol").withColumn("lift", F.col("v") - F.col("mean"))
     return fired(s, d).join(lift, ["symbol", "d"]).groupBy("rule").agg(F.count("*").alias("n"), F.round(F.avg("lift"), 6).alias("mean_lift")).filter("n >= 20")
 
 

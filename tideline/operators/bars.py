@@ -1,5 +1,5 @@
 """Window operators over bars: (symbol, d, open, high, low, close, volume, trades, taker_buy). Features look back only;
-labels look forward only. Every window is partitioned by the key."""
+labels look forward only. Frames of bounded length run over blocks of rows (`frames`); running values are partitioned by the key."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_ratio
+from .frames import BLOCK, NUMBER, framed, in_block
 
 
 def by_key(key: str = "symbol", t: str = "d") -> WindowSpec:
@@ -17,63 +18,75 @@ def by_key(key: str = "symbol", t: str = "d") -> WindowSpec:
 
 def lag_returns(df: DataFrame, ks: Sequence[int]) -> DataFrame:
     """close / close k rows before - 1; NULL where the base is NULL or not positive."""
-    base = {k: F.lag("close", k).over(by_key()) for k in ks}
-    return df.withColumns({f"ret_{k}": F.when(b > 0, F.col("close") / b - 1) for k, b in base.items()})
+    base = {k: F.lag("close", k).over(in_block()) for k in ks}
+    cols = {f"ret_{k}": F.when(b > 0, F.col("close") / b - 1) for k, b in base.items()}
+    return framed(df, lambda x: x.withColumns(cols), before=max(ks))
 
 
 def sma_distance(df: DataFrame, n: int, *, min_rows: int = 0) -> DataFrame:
-    w = by_key().rowsBetween(-(n - 1), 0)
-    out = safe_ratio(F.col("close"), F.avg("close").over(w)) - 1
-    return df.withColumn(f"sma_dist_{n}", F.when(F.row_number().over(by_key()) >= min_rows, out) if min_rows else out)
+    out = safe_ratio(F.col("close"), F.avg("close").over(in_block().rowsBetween(-(n - 1), 0))) - 1
+    out = F.when(F.col(NUMBER) >= min_rows, out) if min_rows else out
+    return framed(df, lambda x: x.withColumn(f"sma_dist_{n}", out), before=n - 1)
 
 
 def bollinger(df: DataFrame, n: int, *, zero: float | None = None) -> DataFrame:
-    w = by_key().rowsBetween(-(n - 1), 0)
+    w = in_block().rowsBetween(-(n - 1), 0)
     sd = F.stddev_samp("close").over(w)
-    return df.withColumn("bollinger", F.when(sd == 0, F.lit(zero).cast("double")).otherwise((F.col("close") - F.avg("close").over(w)) / (2 * sd)))
+    out = F.when(sd == 0, F.lit(zero).cast("double")).otherwise((F.col("close") - F.avg("close").over(w)) / (2 * sd))
+    return framed(df, lambda x: x.withColumn("bollinger", out), before=n - 1)
 
 
 def extreme_distance(df: DataFrame, n: int) -> DataFrame:
     """Drawdown from the high and rally from the low of n rows back and the current one, and the place between."""
-    w = by_key().rowsBetween(-n, 0)
+    w = in_block().rowsBetween(-n, 0)
     hi, lo = F.max("close").over(w), F.min("close").over(w)
-    return df.withColumns({"drawdown": safe_ratio(F.col("close"), hi) - 1, "rally": safe_ratio(F.col("close"), lo) - 1, "place": safe_ratio(F.col("close") - lo, hi - lo)})
+    cols = {
+        "drawdown": safe_ratio(F.col("close"), hi) - 1,
+        "rally": safe_ratio(F.col("close"), lo) - 1,
+        "place": safe_ratio(F.col("close") - lo, hi - lo),
+    }
+    return framed(df, lambda x: x.withColumns(cols), before=n)
 
 
 def realized_vol(df: DataFrame, n: int, *, scale: float, include_current: bool, min_obs: int = 2) -> DataFrame:
     """stddev_samp of log returns over the preceding n rows, or the trailing n with the current one, annualised."""
-    out = df.withColumn("_lr", F.ln(safe_ratio(F.col("close"), F.lag("close").over(by_key()))))
-    w = by_key().rowsBetween(-(n - 1), 0) if include_current else by_key().rowsBetween(-n, -1)
+    step = F.ln(safe_ratio(F.col("close"), F.lag("close").over(in_block())))
+    w = in_block().rowsBetween(-(n - 1), 0) if include_current else in_block().rowsBetween(-n, -1)
     sd = F.when(F.count("_lr").over(w) >= min_obs, F.stddev_samp("_lr").over(w))
-    return out.withColumn("vol", sd * float(scale) ** 0.5).drop("_lr")
+    make = lambda x: x.withColumn("_lr", step).withColumn("vol", sd * float(scale) ** 0.5).drop("_lr")
+    return framed(df, make, before=n + 1)
 
 
 def atr(df: DataFrame, n: int) -> DataFrame:
-    prev = F.lag("close").over(by_key())
-    out = df.withColumn("true_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)))
-    return out.withColumn("atr_pct", safe_ratio(F.avg("true_range").over(by_key().rowsBetween(-(n - 1), 0)), F.col("close")))
+    prev = F.lag("close").over(in_block())
+    span = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
+    mean = F.avg("true_range").over(in_block().rowsBetween(-(n - 1), 0))
+    make = lambda x: x.withColumn("true_range", span).withColumn("atr_pct", safe_ratio(mean, F.col("close")))
+    return framed(df, make, before=n)
 
 
 def relative_volume(df: DataFrame, n: int, cap: float) -> DataFrame:
-    mean = F.avg("volume").over(by_key().rowsBetween(-n, -1))
-    return df.withColumn("rel_volume", F.when(mean > 0, F.least(F.lit(float(cap)), F.col("volume") / mean)))
+    mean = F.avg("volume").over(in_block().rowsBetween(-n, -1))
+    out = F.when(mean > 0, F.least(F.lit(float(cap)), F.col("volume") / mean))
+    return framed(df, lambda x: x.withColumn("rel_volume", out), before=n)
 
 
 def rolling_slope(df: DataFrame, n: int) -> DataFrame:
     """Slope of volume on the row number over n rows by its mean; NULL before n rows."""
-    out = df.withColumn("_rn", F.row_number().over(by_key()))
-    w = by_key().rowsBetween(-(n - 1), 0)
-    slope = F.regr_slope(F.col("volume"), F.col("_rn")).over(w)
-    return out.withColumn("volume_slope", F.when(F.col("_rn") >= n, safe_ratio(slope, F.avg("volume").over(w)))).drop("_rn")
+    w = in_block().rowsBetween(-(n - 1), 0)
+    slope = F.regr_slope(F.col("volume"), F.col(NUMBER)).over(w)
+    out = F.when(F.col(NUMBER) >= n, safe_ratio(slope, F.avg("volume").over(w)))
+    return framed(df, lambda x: x.withColumn("volume_slope", out), before=n - 1)
 
 
 def rolling_beta(df: DataFrame, bench: DataFrame, n: int, min_obs: int) -> DataFrame:
     """covar_pop / var_pop of one-row returns against the benchmark's of the same day."""
     own = lag_returns(df, [1]).select("symbol", "d", F.col("ret_1").alias("r"))
     other = lag_returns(bench, [1]).select("d", F.col("ret_1").alias("b"))
-    w = by_key().rowsBetween(-(n - 1), 0)
-    out = own.join(other, "d").filter(F.col("r").isNotNull() & F.col("b").isNotNull())
-    return out.withColumn("beta", F.when(F.count("*").over(w) >= min_obs, safe_ratio(F.covar_pop("r", "b").over(w), F.var_pop("b").over(w))))
+    w = in_block().rowsBetween(-(n - 1), 0)
+    both = own.join(other, "d").filter(F.col("r").isNotNull() & F.col("b").isNotNull())
+    beta = F.when(F.count("*").over(w) >= min_obs, safe_ratio(F.covar_pop("r", "b").over(w), F.var_pop("b").over(w)))
+    return framed(both, lambda x: x.withColumn("beta", beta), before=n - 1)
 
 
 def relative_return(df: DataFrame, bench: DataFrame, k: int, *, missing: float | None = None) -> DataFrame:
@@ -85,13 +98,14 @@ def relative_return(df: DataFrame, bench: DataFrame, k: int, *, missing: float |
 
 def candle_shape(df: DataFrame) -> DataFrame:
     span, top, bottom = F.col("high") - F.col("low"), F.greatest("open", "close"), F.least("open", "close")
-    return df.withColumns({
+    cols = {
         "body": safe_ratio(F.abs(F.col("close") - F.col("open")), span),
         "upper_wick": safe_ratio(F.col("high") - top, span),
         "lower_wick": safe_ratio(bottom - F.col("low"), span),
         "close_in_range": F.when(span == 0, 0.5).otherwise(safe_ratio(F.col("close") - F.col("low"), span)),
-        "gap": safe_ratio(F.col("open"), F.lag("close").over(by_key())) - 1,
-    })
+        "gap": safe_ratio(F.col("open"), F.lag("close").over(in_block())) - 1,
+    }
+    return framed(df, lambda x: x.withColumns(cols), before=1)
 
 
 def streaks(df: DataFrame) -> DataFrame:
@@ -107,22 +121,30 @@ def streaks(df: DataFrame) -> DataFrame:
 def forward_labels(df: DataFrame, horizons: Sequence[int], threshold: float) -> DataFrame:
     """Per horizon h: the point return (NULL without h rows ahead), the best and worst close ahead (of what is there), and
     whether the best reaches the threshold."""
-    out = df
+    cols = {}
     for h in horizons:
-        w = by_key().rowsBetween(1, h)
-        out = out.withColumns({f"fwd_ret_{h}": safe_ratio(F.lead("close", h).over(by_key()), F.col("close")) - 1, f"fwd_max_{h}": safe_ratio(F.max("close").over(w), F.col("close")) - 1, f"fwd_min_{h}": safe_ratio(F.min("close").over(w), F.col("close")) - 1})
-        out = out.withColumn(f"hit_{h}", F.col(f"fwd_max_{h}") >= threshold)
-    return out
+        w = in_block().rowsBetween(1, h)
+        best = safe_ratio(F.max("close").over(w), F.col("close")) - 1
+        cols[f"fwd_ret_{h}"] = safe_ratio(F.lead("close", h).over(in_block()), F.col("close")) - 1
+        cols[f"fwd_max_{h}"] = best
+        cols[f"fwd_min_{h}"] = safe_ratio(F.min("close").over(w), F.col("close")) - 1
+        cols[f"hit_{h}"] = best >= threshold
+    return framed(df, lambda x: x.withColumns(cols), after=max(horizons))
 
 
 def knockout(df: DataFrame, tp: float, sl: float, h: int) -> DataFrame:
     """Which comes first within h bars: a high at +tp or a low at -sl; in one bar the stop."""
-    up = F.array(*(F.lead("high", k).over(by_key()) for k in range(1, h + 1)))
-    down = F.array(*(F.lead("low", k).over(by_key()) for k in range(1, h + 1)))
-    out = df.withColumns({"_u": up, "_d": down})
-    out = out.withColumns({"_up": F.try_element_at(F.expr(f"filter(transform(_u, (x, i) -> if(x >= close * {1 + tp}D, i + 1, null)), x -> x is not null)"), F.lit(1)), "_down": F.try_element_at(F.expr(f"filter(transform(_d, (x, i) -> if(x <= close * {1 - sl}D, i + 1, null)), x -> x is not null)"), F.lit(1))})
+    up = F.array(*(F.lead("high", k).over(in_block()) for k in range(1, h + 1)))
+    down = F.array(*(F.lead("low", k).over(in_block()) for k in range(1, h + 1)))
+    first = lambda bars, met: F.try_element_at(F.expr(f"filter(transform({bars}, (x, i) -> if({met}, i + 1, null)), x -> x is not null)"), F.lit(1))
     stop = F.col("_down").isNotNull() & (F.col("_up").isNull() | (F.col("_down") <= F.col("_up")))
-    return out.withColumns({"outcome": F.when(stop, "stop").when(F.col("_up").isNotNull(), "target").otherwise("none"), "bar": F.when(stop, F.col("_down")).otherwise(F.col("_up"))}).drop("_u", "_d", "_up", "_down")
+    found = {"_up": first("_u", f"x >= close * {1 + tp}D"), "_down": first("_d", f"x <= close * {1 - sl}D")}
+    outcome = {
+        "outcome": F.when(stop, "stop").when(F.col("_up").isNotNull(), "target").otherwise("none"),
+        "bar": F.when(stop, F.col("_down")).otherwise(F.col("_up")),
+    }
+    make = lambda x: x.withColumns({"_u": up, "_d": down}).withColumns(found).withColumns(outcome).drop("_u", "_d", "_up", "_down")
+    return framed(df, make, after=h)
 
 
 def trail_line(df: DataFrame, *, activation: float, trail: float) -> DataFrame:
@@ -172,10 +194,10 @@ def episodes(df: DataFrame, gap: int) -> DataFrame:
 
 def trailing_z(df: DataFrame, value: Column, n: int, min_hist: int) -> DataFrame:
     """(value - mean) / population deviation of the strictly prior n rows; NULL with fewer than min_hist or without spread."""
-    w = by_key().rowsBetween(-n, -1)
-    out = df.withColumn("_v", value)
+    w = in_block().rowsBetween(-n, -1)
     sd = F.stddev_pop("_v").over(w)
-    return out.withColumn("z", F.when((F.count("_v").over(w) >= min_hist) & (sd > 0), (F.col("_v") - F.avg("_v").over(w)) / sd)).drop("_v")
+    z = F.when((F.count("_v").over(w) >= min_hist) & (sd > 0), (F.col("_v") - F.avg("_v").over(w)) / sd)
+    return framed(df, lambda x: x.withColumn("_v", value).withColumn("z", z).drop("_v"), before=n)
 
 
 def cross_rank(df: DataFrame, value: str, *, at_least: int = 5) -> DataFrame:
@@ -187,25 +209,30 @@ def cross_rank(df: DataFrame, value: str, *, at_least: int = 5) -> DataFrame:
     return df.withColumn("cross_rank", F.when(n >= at_least, (less + 0.5 * equal) / n))
 
 
-def smoothed(df: DataFrame, values: dict[str, Column], n: int) -> DataFrame:
-    """Exponential means of weight 1/n by the row number `_rn`. Sums run in blocks of 40 n rows with weights relative to the block's
-    start, and take the block before whole; what lies further back weighs less than 1e-17. So no row needs a loop or a list."""
+def smoothed(df: DataFrame, values: dict[str, Column], n: int, *, number: str = NUMBER, within: tuple[str, ...] = (BLOCK,)) -> DataFrame:
+    """Exponential means of weight 1/n by the row number. Sums run in parts of 40 n rows with weights relative to the part's
+    start, and take the part before whole; what lies further back weighs less than 1e-17. So no row needs a loop or a list."""
     q, size = 1 - 1 / n, 40 * n
-    out = df.withColumn("_block", F.floor(F.col("_rn") / size))
-    off = F.col("_rn") - F.col("_block") * size
-    inside = Window.partitionBy("symbol", "_block").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("symbol").orderBy("_block").rangeBetween(-1, -1)
+    out = df.withColumn("_part", F.floor(F.col(number) / size))
+    off = F.col(number) - F.col("_part") * size
+    inside = Window.partitionBy("symbol", *within, "_part").orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("symbol", *within).orderBy("_part").rangeBetween(-1, -1)
     out = out.withColumns({f"_t_{k}": F.coalesce(v, F.lit(0.0)) / n * F.pow(F.lit(q), -off) for k, v in values.items()})
-    mean = {k: F.pow(F.lit(q), off) * (F.sum(f"_t_{k}").over(inside) + F.pow(F.lit(q), F.lit(size)) * F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0.0))) for k in values}
-    return out.withColumns(mean).drop("_block", *(f"_t_{k}" for k in values))
+    part = lambda k: F.sum(f"_t_{k}").over(inside) + F.pow(F.lit(q), F.lit(size)) * F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0.0))
+    return out.withColumns({k: F.pow(F.lit(q), off) * part(k) for k in values}).drop("_part", *(f"_t_{k}" for k in values))
 
 
 def rsi_ewm(df: DataFrame, n: int = 14) -> DataFrame:
     """From exponential means of gains and losses of the close; NULL before n rows and without losses."""
-    step = F.col("close") - F.lag("close").over(by_key())
-    out = df.withColumns({"_rn": F.row_number().over(by_key()), "_g": F.greatest(step, F.lit(0.0)), "_l": F.greatest(-step, F.lit(0.0))})
-    out = smoothed(out, {"gain": F.when(step.isNotNull(), F.col("_g")), "loss": F.when(step.isNotNull(), F.col("_l"))}, n)
-    return out.withColumn("rsi", F.when((F.col("_rn") >= n) & (F.col("loss") > 0), 100 - 100 / (1 + F.col("gain") / F.col("loss"))))
+    step = F.col("close") - F.lag("close").over(in_block())
+    rsi = F.when((F.col(NUMBER) >= n) & (F.col("loss") > 0), 100 - 100 / (1 + F.col("gain") / F.col("loss")))
+
+    def make(x: DataFrame) -> DataFrame:
+        x = x.withColumns({"_g": F.greatest(step, F.lit(0.0)), "_l": F.greatest(-step, F.lit(0.0)), "_s": step})
+        x = smoothed(x, {"gain": F.when(F.col("_s").isNotNull(), F.col("_g")), "loss": F.when(F.col("_s").isNotNull(), F.col("_l"))}, n)
+        return x.withColumn("rsi", rsi).drop("_g", "_l", "_s")
+
+    return framed(df, make, before=80 * n + 1)
 
 
 def rsi_seeded(df: DataFrame, n: int = 14) -> DataFrame:
@@ -216,34 +243,41 @@ def rsi_seeded(df: DataFrame, n: int = 14) -> DataFrame:
     part = lambda c: F.when(F.col("_rn") > n, c).when((F.col("_rn") == n) & F.col("_lr").isNotNull(), F.avg(c).over(first) * n)
     out = out.withColumns({"_g": F.greatest("_lr", F.lit(0.0)), "_l": F.greatest(-F.col("_lr"), F.lit(0.0))})
     out = out.withColumns({"_pg": part(F.col("_g")), "_pl": part(F.col("_l"))})
-    out = smoothed(out, {"gain": F.col("_pg"), "loss": F.col("_pl")}, n)
+    out = smoothed(out, {"gain": F.col("_pg"), "loss": F.col("_pl")}, n, number="_rn", within=())
     return out.withColumn("rsi", F.when(F.col("_rn") >= n, F.when(F.col("loss") > 0, 100 - 100 / (1 + F.col("gain") / F.col("loss"))).otherwise(100.0)))
 
 
 def day_place(df: DataFrame, t: str, *, n: int = 8) -> DataFrame:
     """Place within the whole day's range, and the range of the n bars before. Not causal within the day."""
     day = Window.partitionBy("symbol", F.to_date(t))
-    before = by_key(t=t).rowsBetween(-n, -1)
+    before = in_block().rowsBetween(-n, -1)
     hi, lo = F.max("high").over(day), F.min("low").over(day)
-    return df.withColumns({"day_place": safe_ratio(F.col("close") - lo, hi - lo), "prior_range": F.max("high").over(before) - F.min("low").over(before)})
+    whole = df.withColumn("day_place", safe_ratio(F.col("close") - lo, hi - lo))
+    return framed(whole, lambda x: x.withColumn("prior_range", F.max("high").over(before) - F.min("low").over(before)), t=t, before=n)
 
 
 def forward_excursion(df: DataFrame, horizons: Sequence[int], unit: float) -> DataFrame:
     """Highest, lowest and last of the next h bars from the close, in units; whole windows only, rows without the shortest go."""
-    out = df
+    cols = {}
     for h in horizons:
-        w = by_key().rowsBetween(1, h)
+        w = in_block().rowsBetween(1, h)
         whole = F.count("*").over(w) == h
-        out = out.withColumns({f"up_{h}": F.when(whole, (F.max("high").over(w) - F.col("close")) / unit), f"down_{h}": F.when(whole, (F.col("close") - F.min("low").over(w)) / unit), f"net_{h}": F.when(whole, (F.lead("close", h).over(by_key()) - F.col("close")) / unit)})
-    return out.filter(F.col(f"up_{min(horizons)}").isNotNull())
+        cols[f"up_{h}"] = F.when(whole, (F.max("high").over(w) - F.col("close")) / unit)
+        cols[f"down_{h}"] = F.when(whole, (F.col("close") - F.min("low").over(w)) / unit)
+        cols[f"net_{h}"] = F.when(whole, (F.lead("close", h).over(in_block()) - F.col("close")) / unit)
+    return framed(df, lambda x: x.withColumns(cols), after=max(horizons)).filter(F.col(f"up_{min(horizons)}").isNotNull())
 
 
 def plausible(df: DataFrame, value: str, *, n: int = 20, ratio: float = 0.2) -> DataFrame:
     """Whether a value is below a share of the median of the n rows before (a list of n at most); NULL without n rows."""
-    past = F.collect_list(value).over(by_key().rowsBetween(-n, -1))
-    mid = F.array_sort(past)
+    mid = F.array_sort("_past")
     median = (F.element_at(mid, n // 2) + F.element_at(mid, n // 2 + 1)) / 2 if n % 2 == 0 else F.element_at(mid, n // 2 + 1)
-    return df.withColumn("median_before", F.when(F.size(past) == n, median)).withColumn("low", safe_ratio(F.col(value), F.col("median_before")) < ratio)
+
+    def make(x: DataFrame) -> DataFrame:
+        x = x.withColumn("_past", F.collect_list(value).over(in_block().rowsBetween(-n, -1)))
+        return x.withColumn("median_before", F.when(F.size("_past") == n, median)).drop("_past")
+
+    return framed(df, make, before=n).withColumn("low", safe_ratio(F.col(value), F.col("median_before")) < ratio)
 
 
 def outcome_within(df: DataFrame, days: int, min_rows: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from . import joins as J
 from .bars import by_key
+from .frames import framed, in_block
 
 # Score steps (cuts, scores) and bounds of ratios.
 RETURN_20, RETURN_60 = (-5.0, 5.0, 15.0), (-10.0, 10.0, 25.0)
@@ -121,9 +122,9 @@ def forward_outcomes(cands: DataFrame, bars: DataFrame, *, days: tuple[int, ...]
     asked = cands.select("symbol", "d", "close", F.explode(F.array(*map(F.lit, days))).alias("k")).withColumn("target", F.date_add("d", F.col("k")))
     found = J.asof_join(asked, bars.select("symbol", F.col("d").alias("t"), F.col("close").alias("then")), by="symbol", left_t="target", right_t="t", values=["then"], forward=True)
     points = found.groupBy("symbol", "d").agg(*(F.max(F.when(F.col("k") == k, F.try_divide("then", "close") - 1)).alias(f"ret_{k}d") for k in days))
-    ahead = lambda n: by_key().rowsBetween(1, n)
-    b = bars.select("symbol", "d", "close")
-    b = b.withColumns({f"{name}_{k}": F.try_divide(g("close").over(ahead(k)), F.col("close")) - 1 for k in frames for name, g in (("runup", F.max), ("drawdown", F.min))})
+    ahead = lambda g, k: F.try_divide(g("close").over(in_block().rowsBetween(1, k)), F.col("close")) - 1
+    cols = {f"{name}_{k}": ahead(g, k) for k in frames for name, g in (("runup", F.max), ("drawdown", F.min))}
+    b = framed(bars.select("symbol", "d", "close"), lambda x: x.withColumns(cols), after=max(frames))
     first = min(frames)
     hits = {f"hit_{round(100 * g)}": (F.col(f"runup_{first}") >= g) & (F.col(f"drawdown_{first}") > -loss) for g in gains}
     return points.join(b.withColumns(hits).drop("close"), ["symbol", "d"])

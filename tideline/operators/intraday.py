@@ -1,25 +1,26 @@
-"""Features of the latest bars, and window summaries of quotes, ladders, forced trades and marks."""
+"""Features of the latest bars (columns over dealt rows, see `frames`), and window summaries of quotes, ladders, forced trades and marks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_ratio
 from . import intervals as IV
+from .frames import NUMBER, in_block
 
 
-def rows(lo: int, hi: int = 0):
-    return Window.partitionBy("symbol").orderBy("h").rowsBetween(lo, hi)
+def rows(lo: int, hi: int = 0) -> WindowSpec:
+    return in_block().rowsBetween(lo, hi)
 
 
 def full(n: int, value: Column, *, back: int = 0) -> Column:
     """The value where n bars end at this one (or `back` before it), else NULL."""
-    return F.when(F.row_number().over(Window.partitionBy("symbol").orderBy("h")) >= n + back, value)
+    return F.when(F.col(NUMBER) >= n + back, value)
 
 
 def lag(c: str, n: int) -> Column:
-    return F.lag(c, n).over(Window.partitionBy("symbol").orderBy("h"))
+    return F.lag(c, n).over(in_block())
 
 
 def roc(n: int) -> Column:

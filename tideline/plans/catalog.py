@@ -14,6 +14,7 @@ from ..operators import aggregates as A
 from ..operators import bars as B
 from ..operators import joins as J
 from ..operators import tape as T
+from ..operators.frames import deal, gather
 from ..sources import views as V
 from . import oracle
 
@@ -36,8 +37,9 @@ def bench(b: DataFrame) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Momentum, distance, volatility and forward labels per symbol-day."""
-    b = B.realized_vol(B.sma_distance(B.lag_returns(V.bars(spark, sf_dir), [1, 5, 20]), 50), 20, scale=252, include_current=False)
-    return B.forward_labels(b, [5, 10, 20], 0.05).select("symbol", "d", *r("ret_1", "ret_5", "ret_20", "sma_dist_50", "vol", "fwd_ret_5", "fwd_max_10", "fwd_min_20"), "hit_5")
+    b = deal(V.bars(spark, sf_dir), before=49, after=20)
+    b = B.realized_vol(B.sma_distance(B.lag_returns(b, [1, 5, 20]), 50), 20, scale=252, include_current=False)
+    return gather(B.forward_labels(b, [5, 10, 20], 0.05)).select("symbol", "d", *r("ret_1", "ret_5", "ret_20", "sma_dist_50", "vol", "fwd_ret_5", "fwd_max_10", "fwd_min_20"), "hit_5")
 
 
 @query
@@ -98,7 +100,7 @@ def b5_prob_bin(s, d):
 
 @query
 def b7_exclusion_gate(s, d):
-    b = B.lag_returns(B.extreme_distance(V.bars(s, d), 90), [5, 60])
+    b = gather(B.lag_returns(B.extreme_distance(deal(V.bars(s, d), before=90), 90), [5, 60]))
     a = F.coalesce((F.col("drawdown") < -0.2) & (F.col("ret_60") > 2.0), F.lit(False))
     c = F.coalesce(F.col("ret_5") < -0.3, F.lit(False))
     return b.select("symbol", "d", F.when(a & c, "A+B").when(a, "A").when(c, "B").alias("reason"))
@@ -305,7 +307,8 @@ def e1_lag_returns(s, d):
 
 @query
 def e2_sma_distance(s, d):
-    return B.sma_distance(B.sma_distance(V.bars(s, d), 20, min_rows=20), 50).select("symbol", "d", *r("sma_dist_20", "sma_dist_50"))
+    b = deal(V.bars(s, d), before=49)
+    return gather(B.sma_distance(B.sma_distance(b, 20, min_rows=20), 50)).select("symbol", "d", *r("sma_dist_20", "sma_dist_50"))
 
 
 @query
@@ -320,8 +323,8 @@ def e4_rolling_extremes(s, d):
 
 @query
 def e5_realized_vol(s, d):
-    b = B.realized_vol(V.bars(s, d), 20, scale=252, include_current=False).withColumnRenamed("vol", "vol_prior")
-    return B.realized_vol(b, 30, scale=365, include_current=True, min_obs=30).select("symbol", "d", *r("vol_prior", "vol"))
+    b = B.realized_vol(deal(V.bars(s, d), before=31), 20, scale=252, include_current=False).withColumnRenamed("vol", "vol_prior")
+    return gather(B.realized_vol(b, 30, scale=365, include_current=True, min_obs=30)).select("symbol", "d", *r("vol_prior", "vol"))
 
 
 @query

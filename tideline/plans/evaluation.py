@@ -14,6 +14,7 @@ from ..operators import decisions as D
 from ..operators import intervals as IV
 from ..operators import joins as J
 from ..operators import paths as P
+from ..operators.frames import deal, gather
 from ..sources import views as V
 from .catalog import query, r
 
@@ -280,7 +281,8 @@ def d38_shadow_cap(s, d):
 
 @query
 def d39_rule_aggregates(s, d):
-    x = B.forward_labels(B.lag_returns(B.realized_vol(V.bars(s, d), 20, scale=1, include_current=True), [1]), [5], 0.5).filter("vol > 0 and fwd_max_5 is not null")
+    b = B.lag_returns(B.realized_vol(deal(V.bars(s, d), before=21, after=5), 20, scale=1, include_current=True), [1])
+    x = gather(B.forward_labels(b, [5], 0.5)).filter("vol > 0 and fwd_max_5 is not null")
     rule = F.when(F.col("ret_1") > 1, "up").when(F.col("ret_1") < -0.5, "down").otherwise("quiet")
     return x.groupBy(rule.alias("rule")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("hit_5").cast("double")), 6).alias("rate"), F.round(F.avg(F.log1p("fwd_max_5") / F.col("vol")), 5).alias("mean_norm"))
 

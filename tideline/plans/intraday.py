@@ -11,6 +11,7 @@ from ..operators import bars as B
 from ..operators import intraday as I
 from ..operators import quotes as QT
 from ..operators import tape as T
+from ..operators.frames import deal, framed, gather, in_block
 from ..sources import views as V
 from .catalog import query, r
 
@@ -50,15 +51,18 @@ def e28_macro_trend(s, d):
 @query
 def e30_funding_stats(s, d):
     x = V.ticks(s, d).filter("event_type = 'view'").groupBy("symbol", F.to_date("ts").alias("d")).agg(F.avg("price").alias("rate"))
-    x = x.withColumns({"avg_3": F.avg("rate").over(by().rowsBetween(-2, 0)), "avg_7": F.avg("rate").over(by().rowsBetween(-6, 0)), "m": F.avg("rate").over(by().rowsBetween(-29, 0)), "sd": F.stddev_samp("rate").over(by().rowsBetween(-29, 0))})
+    over = lambda f, n: f("rate").over(in_block().rowsBetween(1 - n, 0))
+    cols = {"avg_3": over(F.avg, 3), "avg_7": over(F.avg, 7), "m": over(F.avg, 30), "sd": over(F.stddev_samp, 30)}
+    x = framed(x, lambda x: x.withColumns(cols), before=29)
     return x.select("symbol", "d", *r("avg_3", "avg_7"), F.round(C.safe_ratio(F.col("rate") - F.col("m"), F.col("sd")), 6).alias("z"))
 
 
 @query
 def e31_oi_changes(s, d):
-    x = B.lag_returns(V.bars(s, d), [1])
-    step = lambda k: F.round(C.safe_ratio(F.col("volume"), F.lag("volume", k).over(by())) - 1, 6).alias(f"change_{k}")
-    return x.select("symbol", "d", step(1), step(3), step(7), F.round(C.safe_ratio(F.col("volume"), F.lag("volume").over(by())) - 1 - F.col("ret_1"), 6).alias("divergence"))
+    x = B.lag_returns(deal(V.bars(s, d), before=7), [1])
+    step = {f"change_{k}": C.safe_ratio(F.col("volume"), F.lag("volume", k).over(in_block())) - 1 for k in (1, 3, 7)}
+    x = gather(x.withColumns(step)).withColumn("divergence", F.col("change_1") - F.col("ret_1"))
+    return x.select("symbol", "d", *r("change_1", "change_3", "change_7", "divergence"))
 
 
 @query
@@ -66,9 +70,10 @@ def e35_plausibility(s, d):
     """Volumes, ranges and counts of trades that are low by the median before, and days on which over 30 % of at least five symbols
     have a low volume."""
     x = V.bars(s, d).select("symbol", "d", "volume", "trades", (F.col("high") - F.col("low")).alias("reach"))
+    x = deal(x, before=20)
     for value in ("reach", "trades"):
         x = B.plausible(x, value).withColumnRenamed("low", f"low_{value}")
-    x = B.plausible(x, "volume")
+    x = gather(B.plausible(x, "volume"))
     day = Window.partitionBy("d")
     many = (F.count("low").over(day) >= 5) & (F.count_if(F.col("low")).over(day) > 0.3 * F.count("low").over(day))
     return x.select("symbol", "d", *r("median_before"), "low", "low_reach", "low_trades", many.alias("systemic"))
@@ -76,7 +81,8 @@ def e35_plausibility(s, d):
 
 @query
 def e39_accumulation_start(s, d):
-    x = V.bars(s, d).withColumn("gain", C.safe_ratio(F.lead("close", 4).over(by()), F.col("close")) - 1)
+    gain = C.safe_ratio(F.lead("close", 4).over(in_block()), F.col("close")) - 1
+    x = framed(V.bars(s, d), lambda x: x.withColumn("gain", gain), after=4)
     return x.filter("gain >= 0.05").groupBy("symbol", F.year("d").alias("year")).agg(F.min("d").alias("first_day"), F.round(F.min_by("gain", "d"), 6).alias("gain"))
 
 
@@ -97,63 +103,68 @@ def e44_walk_forward_folds(s, d):
     return B.folds(in_test, burn_months=6).select("test_start", "n_train", "n_test")
 
 
-def hourly(*cols):
-    return lambda s, d: V.hours(s, d).select("symbol", "h", *(F.round(c, digits).alias(n) for n, c, digits in cols))
+def hourly(*cols, before, source=V.hours):
+    """Columns over dealt hours that reach `before` rows back."""
+    make = lambda x: x.withColumns({n: F.round(c, digits) for n, c, digits in cols})
+    return lambda s, d: framed(source(s, d), make, t="h", before=before).select("symbol", "h", *(n for n, _, _ in cols))
 
 
 @query
 def f1_roc(s, d):
-    return hourly(("roc_3", I.roc(3), 6), ("accel_3", I.acceleration(3), 6))(s, d)
+    return hourly(("roc_3", I.roc(3), 6), ("accel_3", I.acceleration(3), 6), before=6)(s, d)
 
 
 @query
 def f2_move_shape(s, d):
-    x = V.hours(s, d).withColumn("step", F.abs(F.col("close") - I.lag("close", 1)))
-    return x.select("symbol", "h", F.round(C.safe_ratio(F.max("step").over(I.rows(-11)), F.abs(F.col("close") - I.lag("close", 12))), 5).alias("shape"))
+    shape = C.safe_ratio(F.max("step").over(I.rows(-11)), F.abs(F.col("close") - I.lag("close", 12)))
+    make = lambda x: x.withColumn("step", F.abs(F.col("close") - I.lag("close", 1))).withColumn("shape", shape)
+    return framed(V.hours(s, d), make, t="h", before=12).select("symbol", "h", *r("shape", digits=5))
 
 
 @query
 def f3_vwap_dist(s, d):
     day = Window.partitionBy("symbol", F.to_date("h")).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    return hourly(("rolling", I.full(60, I.vwap_distance(I.rows(-59))), 6), ("session", I.vwap_distance(day), 6))(s, d)
+    with_session = lambda s, d: V.hours(s, d).withColumn("session", F.round(I.vwap_distance(day), 6))
+    x = hourly(("rolling", I.full(60, I.vwap_distance(I.rows(-59))), 6), ("session", F.col("session"), 6), before=59, source=with_session)
+    return x(s, d)
 
 
 @query
 def f4_sma_breakout(s, d):
     sma = F.avg("close").over(I.rows(-19))
-    return hourly(("sma_20", I.full(20, C.safe_ratio(F.col("close") - sma, sma)), 6), ("breakout_20", I.breakout(20), 6))(s, d)
+    return hourly(("sma_20", I.full(20, C.safe_ratio(F.col("close") - sma, sma)), 6), ("breakout_20", I.breakout(20), 6), before=20)(s, d)
 
 
 @query
 def f5_up_down_volume(s, d):
-    return hourly(("ratio", I.up_down_volume(12), 6))(s, d)
+    return hourly(("ratio", I.up_down_volume(12), 6), before=11)(s, d)
 
 
 @query
 def f6_rvol(s, d):
-    return hourly(("rvol_1", I.relative_volume(1, 24), 6), ("rvol_5", I.relative_volume(5, 24), 6))(s, d)
+    return hourly(("rvol_1", I.relative_volume(1, 24), 6), ("rvol_5", I.relative_volume(5, 24), 6), before=28)(s, d)
 
 
 @query
 def f7_taker_imbalance(s, d):
-    return hourly(("taker_1", I.taker_imbalance(1), 6), ("taker_5", I.taker_imbalance(5), 6), ("taker_15", I.taker_imbalance(15), 6))(s, d)
+    return hourly(("taker_1", I.taker_imbalance(1), 6), ("taker_5", I.taker_imbalance(5), 6), ("taker_15", I.taker_imbalance(15), 6), before=14)(s, d)
 
 
 @query
 def f8_trade_count_ratio(s, d):
-    n = I.full(24, C.safe_ratio(F.col("trades"), F.avg("trades").over(I.rows(-24, -1))), back=1)
-    size = F.col("volume") / F.col("trades")
-    return V.hours(s, d).withColumn("size", size).select("symbol", "h", F.round(n, 6).alias("count_ratio"), F.round(I.full(24, C.safe_ratio(F.col("size"), F.avg("size").over(I.rows(-24, -1))), back=1), 6).alias("size_ratio"))
+    ratio = lambda c: I.full(24, C.safe_ratio(F.col(c), F.avg(c).over(I.rows(-24, -1))), back=1)
+    sized = lambda s, d: V.hours(s, d).withColumn("size", F.col("volume") / F.col("trades"))
+    return hourly(("count_ratio", ratio("trades"), 6), ("size_ratio", ratio("size"), 6), before=24, source=sized)(s, d)
 
 
 @query
 def f9_oi_change(s, d):
-    return hourly(*((f"change_{k}", C.safe_ratio(F.col("volume"), I.lag("volume", k)) - 1, 6) for k in (1, 3, 12)))(s, d)
+    return hourly(*((f"change_{k}", C.safe_ratio(F.col("volume"), I.lag("volume", k)) - 1, 6) for k in (1, 3, 12)), before=12)(s, d)
 
 
 @query
 def f11_cross_section(s, d):
-    x = V.hours(s, d).withColumn("roc", I.roc(1))
+    x = framed(V.hours(s, d), lambda x: x.withColumn("roc", I.roc(1)), t="h", before=1)
     return I.cross_section(x, "roc", "U0").select("symbol", "h", *r("vs_bench", "vs_median", "below"))
 
 
@@ -278,7 +289,7 @@ def j6_lifts(s, d):
 
 @query
 def j13_coin_vol(s, d):
-    return V.hours(s, d).withColumn("ret", I.roc(1)).groupBy("symbol").agg(F.round(F.stddev_pop("ret"), 5).alias("vol"), F.count("ret").alias("n"))
+    return framed(V.hours(s, d), lambda x: x.withColumn("ret", I.roc(1)), t="h", before=1).groupBy("symbol").agg(F.round(F.stddev_pop("ret"), 5).alias("vol"), F.count("ret").alias("n"))
 
 
 @query

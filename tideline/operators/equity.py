@@ -189,6 +189,39 @@ def incomplete_subcause(df: DataFrame, today: Column) -> Column:
     return F.when(F.col("cik").isNull(), "missing_cik").when(F.col("active_sec") == F.lit(False), "missing_sec_companyfacts").when(F.coalesce("is_adr", F.lit(False)), "foreign_filer_or_adr").when(has & (age > STALE_DAYS), "stale_fundamentals").when(~has & F.col("market_cap").isNull(), "recent_ipo_or_short_history").when(F.col("sector").isin(*MODEL_GAPS), "sector_specific_model_gap").when(has & F.col("market_cap").isNull(), "polygon_fundamentals_missing").when(F.col("active_sec") & has, "ifrs_mapping_gap").otherwise("price_only_scored")
 
 
+# Each cause's group, confidence and the fields that it rests on; what it means and what helps are in our words.
+CAUSES = (
+    ("universe_not_seeded", "universe_gap", "high", "was_in_universe,classification", "not in the universe, so never scored", "add the symbol to the universe"),
+    ("pre_score_history", "data_gap", "high", "classification,score_join_method", "before the first score", "wait for more scores"),
+    ("incomplete_fundamentals", "data_gap", "high", "tier_before_event", "fewer than two components of fundamentals", "add a source of fundamentals"),
+    ("missing_cik", "data_gap", "high", "tier_before_event,companies.cik", "no filer number is mapped", "map the filer number"),
+    ("missing_sec_companyfacts", "data_gap", "high", "tier_before_event,companies.cik,companies.active_sec_reporter", "a filer number, but no facts were loaded", "load the company's facts"),
+    ("foreign_filer_or_adr", "data_gap", "high", "tier_before_event,companies.is_adr", "a foreign filer with other forms", "take fundamentals from another source"),
+    ("stale_fundamentals", "data_gap", "high", "tier_before_event,companies.last_financial_filing_date", "the last filing is over 180 days old", "load facts again, or see whether it still reports"),
+    ("recent_ipo_or_short_history", "data_gap", "medium", "tier_before_event,companies.last_financial_filing_date", "no filing is known yet", "none, history grows"),
+    ("sector_specific_model_gap", "scoring_gap", "medium", "tier_before_event,companies.sector", "usual ratios don't fit the sector", "score the sector by its own model"),
+    ("polygon_fundamentals_missing", "data_gap", "medium", "tier_before_event,companies.market_cap", "no market value is known", "load the company's details"),
+    ("ifrs_mapping_gap", "data_gap", "medium", "tier_before_event,companies.cik,companies.active_sec_reporter", "reports, but under other concepts", "map the concepts, convert the currency"),
+    ("price_only_scored", "data_gap", "low", "tier_before_event", "a market value, but no ratios", "compute ratios from the facts"),
+    ("no_evidence_no_filing", "data_gap", "medium", "had_catalyst_evidence", "no text of a catalyst was found", "cover more filings and releases"),
+    ("missing_earnings_context", "feature_gap", "medium", "event_date,events.event_date,events.event_type", "near earnings, without a signal of surprise", "add estimates of earnings"),
+    ("sector_cluster_move", "feature_gap", "medium", "companies.sector,window_days,event_date", "peers of the sector moved as well", "compare with the sector's return"),
+    ("low_catalyst_score", "scoring_gap", "medium", "scores.catalyst_score", "a weak catalyst", "look at the sources of catalysts"),
+    ("low_quality_score", "scoring_gap", "low", "scores.quality_score", "weak quality", "look at the fundamentals' age"),
+    ("near_threshold_no_catalyst", "near_miss", "medium", "score_before_event,scores.catalyst_score", "near the bar, without a catalyst", "better catalysts may lift it"),
+    ("near_threshold_scored", "near_miss", "medium", "score_before_event,scores.catalyst_score", "near the bar", "look at the bar"),
+    ("unknown", "unknown", "low", "", "the data don't say", "look into it"),
+)
+
+
+def explained(df: DataFrame) -> DataFrame:
+    """Adds group, confidence, evidence, meaning and fix of the cause; a cause that isn't listed counts as unknown. The list has twenty rows."""
+    names = ("_cause", "group", "confidence", "evidence", "meaning", "fix")
+    listed = df.sparkSession.createDataFrame(CAUSES, ", ".join(f"{n} string" for n in names))
+    known = F.when(F.col("cause").isin(*(c[0] for c in CAUSES)), F.col("cause")).otherwise("unknown")
+    return df.join(F.broadcast(listed), known == F.col("_cause")).drop("_cause")
+
+
 def root_cause(df: DataFrame) -> DataFrame:
     """Why a move was missed: first of ten. df has the outcome of the joins as columns."""
     low_catalyst = F.coalesce(F.col("catalyst") < 30, F.lit(False))

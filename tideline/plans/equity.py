@@ -8,6 +8,7 @@ from ..operators import aggregates as A
 from ..operators import bars as B
 from ..operators import equity as E
 from ..operators import joins as J
+from ..operators import reports as R
 from ..sources import tape as S
 from ..sources import views as V
 from .catalog import query, r
@@ -108,7 +109,7 @@ def b11_root_cause(s, d):
     x = c.join(near, ["symbol", "d"], "left").join(grouped, ["symbol", "d"], "left").fillna(False, ["near_earnings", "in_cluster"])
     n = F.col("num")
     x = x.withColumns({"classification": F.when(n % 17 == 0, "universe_miss").when(n % 13 == 0, "unscored_mover").otherwise("scored_miss"), "tier": F.when(n % 6 == 0, "Incomplete").otherwise("B"), "subcause": F.when(n % 4 == 0, "missing_cik").otherwise("price_only_scored"), "evidence": n % 7 != 0, "near_threshold": n % 5 == 0})
-    return E.root_cause(x).select("symbol", "d", "cause")
+    return E.explained(E.root_cause(x)).select("symbol", "d", "cause", "group", "confidence", "evidence")
 
 
 @query
@@ -157,6 +158,31 @@ def e24_valuation_features(s, d):
     return valued(s, d).select("symbol", "as_of", *r("vs_high", "ps", "pe", "pb", "high_score", digits=4), "ps_score", "pe_score", "pb_score")
 
 
+def company_days(s, d):
+    """Each company at the ends of the months in which it reports, with a name and a price."""
+    n = F.substring("symbol", 2, 9).cast("int")
+    name = F.when(n % 9 == 0, "First Bancorp").when(n % 10 == 0, "Alpha Reinsurance Co").when(n % 11 == 0, "National Bank Insurance").when(n % 4 != 0, "Acme")
+    x = V.statements(s, d).select("symbol", F.last_day("day").alias("as_of")).distinct().withColumn("name", name)
+    return x.withColumns({"close": (3 + n % 97).cast("double"), "rows": F.lit(250), "high_52w": (3 + n % 97) * 1.25})
+
+
+@query
+def e23_industry_guard(s, d):
+    """Growth and margin of each symbol and month, with the confidence that its industry allows."""
+    n = F.substring("symbol", 2, 2).cast("int")
+    x = E.quality(reported(s, d)).withColumns({"is_bank": n % 3 == 0, "is_insurer": n % 4 == 1})
+    return R.industry_confidence(x).select("symbol", "as_of", *r("growth", "margin", digits=4), "growth_confidence", "margin_confidence", "margin_warning")
+
+
+@query
+def e24_guarded_valuation(s, d):
+    """Ratios from figures chosen by the priority of their concepts, with the guards of industry, filer and currency."""
+    foreign = V.table(s, d, "orders").filter("o_orderkey % 31 = 0")
+    filed = foreign.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("symbol"), F.lit("20-F").alias("form"), F.to_date("o_orderdate").alias("day"))
+    x = R.guarded_valuation(R.prioritised(company_days(s, d), V.statements(s, d), filed))
+    return x.select("symbol", "as_of", *r("ps", "pe", "pb", digits=4), "ps_score", "pe_score", "pb_score", "ps_reason", "pe_reason", "pb_reason", "is_bank", "is_insurer", "is_foreign", "currency")
+
+
 @query
 def e25_momentum_features(s, d):
     return E.momentum(V.bars(s, d)).select("symbol", "d", *r("ret_20", "ret_60", "spike", "drawdown", "spike_score", "drawdown_score", digits=5), "score_20", "score_60")

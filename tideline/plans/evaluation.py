@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import accounts as AC
 from ..operators import aggregates as A
 from ..operators import bars as B
+from ..operators import coverage as CV
 from ..operators import decisions as D
 from ..operators import intervals as IV
 from ..operators import joins as J
@@ -183,6 +185,16 @@ def d25_coverage_ratio(s, d):
     return A.coverage_ratio(V.bars(s, d)).select("d", "n", *r("ratio"), "state")
 
 
+@query
+def d25_covered_day(s, d):
+    """Filings by form and bars by month of the year: the latest day with enough rows, and what that says of the source."""
+    filed = V.filings(s, d).filter("filing_date <= date '2001-07-31'").select(F.concat(F.lit("filings "), "form").alias("source"), F.col("filing_date").alias("day"))
+    sold = V.bars(s, d).filter("d <= date '2000-03-31'").select(F.concat(F.lit("bars of "), F.month("d")).alias("source"), F.col("d").alias("day"))
+    x = CV.covered_day(filed, by="source", day="day", today=F.lit("2001-08-01").cast("date"))
+    y = CV.covered_day(sold, by="source", day="day", today=F.lit("2000-04-03").cast("date"), share=1.0)
+    return x.unionByName(y).select("source", "latest", "n", "gap", "expected", "covered", "state")
+
+
 @query
 def d26_freshness(s, d):
     """Age of the last row by kind, of filings and of bars, each with its own bounds."""
@@ -264,6 +276,15 @@ def d36_config_ranking(s, d):
     return best.select("model", "horizon", "sharpe", place.alias("place"))
 
 
+@query
+def d36_sensitivity(s, d):
+    """The best of all models, horizons and thresholds by Sharpe, and what one other value on each axis makes of it."""
+    grid = F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))
+    p = V.preds(s, d).filter("ret is not null").withColumn("threshold", F.explode(F.filter(grid, lambda t: t <= F.col("prob"))))
+    runs = A.event_day_sharpe(p, ["model", "horizon", "threshold"]).withColumn("sharpe", F.round("sharpe", 6))
+    return AC.sensitivity(runs, ["model", "horizon", "threshold"], "sharpe", ["n_days", "sharpe"])
+
+
 @query
 def d37_recurring_keys(s, d):
     x = V.preds(s, d).groupBy("symbol", "model").agg(F.sort_array(F.collect_set(F.col("d").cast("string"))).alias("days"))

@@ -31,6 +31,46 @@ long as ({' union all '.join(f"select symbol, h, '{n}' as feature, cast({e} as d
 base as (select symbol, h, feature, round(value, 7) as value from long where value is not null)"""
 
 
+CONCEPTS = {
+    "revenue": "us-gaap/Revenues us-gaap/RevenueFromContractWithCustomerExcludingAssessedTax us-gaap/SalesRevenueNet",
+    "world": "ifrs-full/Revenues",
+    "shares": "us-gaap/WeightedAverageNumberOfDilutedSharesOutstanding us-gaap/CommonStockSharesOutstanding us-gaap/CommonStockSharesIssued",
+    "eps": "us-gaap/EarningsPerShareDiluted us-gaap/EarningsPerShareBasic",
+    "world_eps": "ifrs-full/EarningsPerShareDiluted",
+    "equity": "us-gaap/StockholdersEquity us-gaap/LiabilitiesAndStockholdersEquity",
+    "industry": "us-gaap/NetInterestIncome us-gaap/PremiumsEarnedNet",
+}
+ORDERED = [c for g in ("revenue", "world", "shares", "eps", "world_eps", "equity", "industry") for c in CONCEPTS[g].split()]
+
+
+def _chosen(group: str) -> str:
+    names = CONCEPTS[group].split()
+    usd = " and (unit = 'USD' or unit like 'USD/%')" if group.startswith("world") else ""
+    return f"arg_min(value, (list_position({names}, concept), date_diff('day', day, date '2100-01-01'), -id)) filter (value is not null and concept in {tuple(names + [""])}{usd}) as {group}"
+
+
+STATEMENTS = f"""st0 as (select concat('C', o_custkey) as symbol, {ORDERED}[o_orderkey % {len(ORDERED)} + 1] as concept, o_orderkey as id, cast(o_orderdate as date) as day,
+        cast(o_totalprice as double) as price, case when o_orderkey % 9 = 0 then 'EUR' when o_orderkey % 7 <> 0 then 'USD' end as unit from orders),
+st as (select symbol, concept, id, day, case when concept like '%PerShare%' then unit || '/shares' else unit end as unit, case when id % 13 <> 0 then
+        case when concept like '%PerShare%' then (price - 100000) / 10000 when concept like '%Equity%' then (price - 80000) * 500 when concept like '%Shares%' then price * 20 else price * 1000 end end as value from st0),
+cd as (select distinct symbol, last_day(day) as as_of, cast(substr(symbol, 2) as int) as n from st),
+ff as (select concat('C', o_custkey) as symbol, min(cast(o_orderdate as date)) as since from orders where o_orderkey % 31 = 0 group by 1),
+pr as (select cd.symbol, cd.as_of, n, coalesce(since <= as_of, false) as is_foreign, {', '.join(_chosen(g) for g in CONCEPTS if g != 'industry')},
+        arg_max(unit, (day, id)) filter (concept in {tuple(CONCEPTS['revenue'].split())} and value is not null and unit is not null) as currency,
+        count(*) filter (concept = 'us-gaap/NetInterestIncome') as banks, count(*) filter (concept = 'us-gaap/PremiumsEarnedNet') as insurers,
+        count(*) filter (concept = 'us-gaap/Revenues' and value is not null) as totals
+    from cd join st on st.symbol = cd.symbol and st.day <= cd.as_of left join ff on ff.symbol = cd.symbol group by 1, 2, 3, 4),
+gv as (select *, 3.0::double + n % 97 as price, case when revenue <> 0 then revenue else world end as rev, coalesce(eps, world_eps) as e,
+        insurers > 0 or (banks = 0 and n % 9 <> 0 and (n % 10 = 0 or n % 11 = 0)) as is_insurer,
+        insurers = 0 and (banks > 0 or n % 9 = 0) as is_bank,
+        case when is_foreign and currency is null then 'foreign_filer_currency_unknown' when is_foreign and currency <> 'USD' then 'foreign_currency_not_normalized' end as abroad from pr),
+gr as (select *, case when rev > 0 and shares >= 1000000 then price * shares / rev end as s0, case when e > 0 then price / e end as e0, case when equity > 0 and shares >= 1000000 then price / (equity / shares) end as b0 from gv),
+gx as (select *, coalesce(abroad, case when is_bank and totals = 0 then 'bank_revenue_concept_missing' when s0 not between 0.05 and 100 or shares < 1000000 then 'valuation_denominator_invalid' end) as ps_reason,
+        coalesce(abroad, case when e0 not between 0 and 150 then 'valuation_denominator_invalid' end) as pe_reason,
+        coalesce(abroad, case when b0 not between 0 and 50 or shares < 1000000 then 'valuation_denominator_invalid' end) as pb_reason from gr),
+gw as (select *, case when ps_reason is null then s0 end as ps, case when pe_reason is null then e0 end as pe, case when pb_reason is null then b0 end as pb from gx)"""
+
+
 def all_sql() -> dict[str, str]:
     s: dict[str, str] = {}
     s["a6_snapshot_read"] = "select event_id, user_id, cast(floor(epoch(ts)) as bigint) as at from events where ts >= timestamp '2024-01-08 00:00:00' and event_type <> 'view'"
@@ -42,7 +82,14 @@ def all_sql() -> dict[str, str]:
         select k as s_suppkey, case when k % 11 = 0 then 'missing_cik' when k % 3 <> 0 and k % 5 = 0 then 'missing_sec_companyfacts' when s_nationkey % 6 = 0 then 'foreign_filer_or_adr' when filed and age > 180 then 'stale_fundamentals' when not filed and not capped then 'recent_ipo_or_short_history' when sector in ('Financials', 'Real Estate', 'Utilities') then 'sector_specific_model_gap' when filed and not capped then 'polygon_fundamentals_missing' when k % 3 <> 0 and k % 5 <> 0 and filed then 'ifrs_mapping_gap' else 'price_only_scored' end as subcause from q"""
     s["b11_root_cause"] = f"""with {CANDS}, {FILINGS}, {MOVES}, x as (select c.*, exists (select 1 from filings f where f.symbol = c.symbol and f.form = '10-Q' and f.filing_date between c.d - 2 and c.d + 2) as due,
         (select count(*) from moves o where o.symbol <> c.symbol and cast(substr(o.symbol, 2) as int) % 3 = cast(substr(c.symbol, 2) as int) % 3 and o.d between c.d - 1 and c.d + 1) >= 3 as grouped from cands c join moves m on m.symbol = c.symbol and m.d = c.d)
-        select symbol, d, case when num % 17 = 0 then 'universe_not_seeded' when num % 13 = 0 then 'pre_score_history' when num % 6 = 0 then case when num % 4 = 0 then 'missing_cik' else 'price_only_scored' end when due then 'missing_earnings_context' when grouped then 'sector_cluster_move' when num % 7 = 0 then 'no_evidence_no_filing' when num % 5 = 0 and catalyst < 30 then 'near_threshold_no_catalyst' when num % 5 = 0 then 'near_threshold_scored' when catalyst < 30 then 'low_catalyst_score' when quality < 40 then 'low_quality_score' else 'unknown' end as cause from x"""
+        , causes as (select symbol, d, case when num % 17 = 0 then 'universe_not_seeded' when num % 13 = 0 then 'pre_score_history' when num % 6 = 0 then case when num % 4 = 0 then 'missing_cik' else 'price_only_scored' end when due then 'missing_earnings_context' when grouped then 'sector_cluster_move' when num % 7 = 0 then 'no_evidence_no_filing' when num % 5 = 0 and catalyst < 30 then 'near_threshold_no_catalyst' when num % 5 = 0 then 'near_threshold_scored' when catalyst < 30 then 'low_catalyst_score' when quality < 40 then 'low_quality_score' else 'unknown' end as cause from x)
+        select symbol, d, cause, case cause when 'universe_not_seeded' then 'universe_gap' when 'sector_specific_model_gap' then 'scoring_gap' when 'low_catalyst_score' then 'scoring_gap' when 'low_quality_score' then 'scoring_gap'
+                when 'missing_earnings_context' then 'feature_gap' when 'sector_cluster_move' then 'feature_gap' when 'near_threshold_no_catalyst' then 'near_miss' when 'near_threshold_scored' then 'near_miss' when 'unknown' then 'unknown' else 'data_gap' end as "group",
+            case when cause in ('universe_not_seeded', 'pre_score_history', 'missing_cik') then 'high' when cause in ('price_only_scored', 'low_quality_score', 'unknown') then 'low' else 'medium' end as confidence,
+            case cause when 'universe_not_seeded' then 'was_in_universe,classification' when 'pre_score_history' then 'classification,score_join_method' when 'missing_cik' then 'tier_before_event,companies.cik' when 'price_only_scored' then 'tier_before_event'
+                when 'missing_earnings_context' then 'event_date,events.event_date,events.event_type' when 'sector_cluster_move' then 'companies.sector,window_days,event_date' when 'no_evidence_no_filing' then 'had_catalyst_evidence'
+                when 'low_catalyst_score' then 'scores.catalyst_score' when 'low_quality_score' then 'scores.quality_score' when 'unknown' then '' else 'score_before_event,scores.catalyst_score' end as evidence
+        from causes"""
     s["b22_lifecycle"] = f"""with {BARS}, {MOVES}, l as (select symbol, arg_max(close, d) as latest, max(d) as latest_day from bars group by 1),
         g as (select symbol, d, close, lead(d, 4) over {W} as until, lead(close, 4) over {W} / close - 1 as gain from bars),
         q as (select m.symbol, m.d, m.close, l.latest, l.latest_day,
@@ -78,6 +125,15 @@ def all_sql() -> dict[str, str]:
         from bars b join f on f.symbol = b.symbol and f.d = b.d left join hit on hit.symbol = b.symbol and hit.d = b.d"""
     s["e21_running_equity"] = f"with {PREDS}, q as (select model, d, sum(ret) as step from preds where ret is not null group by 1, 2) select model, d, round(step, 6) as step, round(sum(step) over (partition by model order by d), 6) as total from q"
     s["e23_quality_features"] = f"with {REPORTED}, {QUALITY.format(src='rep')} select symbol, as_of, round(income, 4) as income, round(growth, 4) as growth, round(margin, 4) as margin, round(dilution, 4) as dilution, income_score, growth_score, margin_score, dilution_score, cast(age as int) as age, case when age > 180 then 'low' else 'medium' end as confidence from qual"
+    s["e23_industry_guard"] = f"""with {REPORTED}, {QUALITY.format(src='rep')}, z as (select *, cast(substr(symbol, 2) as int) % 3 = 0 as bank, cast(substr(symbol, 2) as int) % 4 = 1 as insurer from qual)
+        select symbol, as_of, round(growth, 4) as growth, round(margin, 4) as margin, case when growth is null or bank then 'low' else 'medium' end as growth_confidence,
+            case when margin is null or bank or insurer then 'low' else 'medium' end as margin_confidence,
+            case when margin is null then null when bank then 'bank_specific_quality_required' when insurer then 'insurance_specific_quality_required' end as margin_warning from z"""
+    s["e24_guarded_valuation"] = f"""with {STATEMENTS} select symbol, as_of, round(ps, 4) as ps, round(pe, 4) as pe, round(pb, 4) as pb,
+        case when ps < 1 then 90.0 when ps < 3 then 70.0 when ps < 10 then 50.0 when ps is not null then 20.0 end as ps_score,
+        case when pe < 10 then 90.0 when pe < 20 then 75.0 when pe < 30 then 55.0 when pe < 50 then 35.0 when pe is not null then 15.0 end as pe_score,
+        case when pb < 1 then 80.0 when pb < 2 then 65.0 when pb < 5 then 45.0 when pb is not null then 20.0 end as pb_score,
+        ps_reason, pe_reason, pb_reason, is_bank, is_insurer, is_foreign, case when currency = 'USD' or currency = 'EUR' then currency end as currency from gw"""
     s["e24_valuation_features"] = f"with {VALUED} select symbol, as_of, round(vs_high, 4) as vs_high, round(ps, 4) as ps, round(pe, 4) as pe, round(pb, 4) as pb, round(case when vs_high is not null then hs end, 4) as high_score, ps_score, pe_score, pb_score from valued"
     s["e25_momentum_features"] = f"""with {BARS}, n as (select *, row_number() over {W} as k, first_value(close) over {W} as f, lag(close, 20) over {W} as c20, lag(close, 60) over {W} as c60, avg(volume) over {w('20 preceding', '1 preceding')} as av, max(close) over {w('19 preceding', 'current row')} as hi from bars),
         q as (select symbol, d, case when k >= 20 then close / coalesce(c20, f) * 100 - 100 end as a, case when k >= 20 then close / coalesce(c60, f) * 100 - 100 end as b, case when k >= 20 then volume / nullif(av, 0) end as s, case when k >= 20 then close / hi * 100 - 100 end as g from n)

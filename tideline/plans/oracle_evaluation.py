@@ -53,6 +53,28 @@ def all_sql() -> dict[str, str]:
     s["d33_monthly_regime"] = f"with {SCORED}, m as (select date_trunc('month', d) as mo, arg_max(close, d) / arg_min(close, d) - 1 as ch from bars where symbol = 'S0' group by 1) select case when ch > 0.05 then 'bull' when ch < -0.05 then 'bear' else 'neutral' end as regime, count(*) as n, round(avg(cast(hit as double)), 6) as rate, round(avg(ret), 5) as mean_ret from sc join m on m.mo = date_trunc('month', d) group by 1"
     s["d34_friction_sweep"] = f"with {SCORED}, p as (select cast(c as double) as cost, d, ret - c as ret from rt, (select unnest([0.0, 0.25, 0.5, 1.0]::double[]) as c)), b as (select cost, {SHARPE} as sharpe from (select cost, d, sum(ret) as pnl from p group by 1, 2) group by 1), a as (select cost, {STATS} from p group by 1) select a.cost, n, round(win_rate, 5) as win_rate, round(mean_ret, 5) as mean_ret, round(sharpe, 5) as sharpe from a join b on b.cost = a.cost"
     s["d35_leave_one_out"] = f"with {SCORED}, q as (select d, cast(date_trunc('month', d) as date) as mo, sum(ln(1 + ret)) as pnl from rt group by 1, 2), t as (select {SHARPE} as whole from q), o as (select m.mo as month, {SHARPE} as sharpe from (select distinct mo from q) m join q on q.mo <> m.mo group by 1) select month, round(sharpe, 5) as sharpe, round(sharpe / whole, 5) as ratio from o, t"
+    others = {"model": "horizon threshold", "horizon": "model threshold", "threshold": "model horizon"}
+    near = " union all ".join(
+        f"select '{a}' as axis, cast(q.{a} as varchar) as value, q.{a} = b.{a} as base, q.n_days, q.sharpe from q, b where " + " and ".join(f"q.{o} = b.{o}" for o in rest.split()) for a, rest in others.items()
+    )
+    every = " union ".join(f"select '{a}' as axis, cast({a} as varchar) as value from q" for a in others)
+    s["d36_sensitivity"] = f"""with {SCORED}, x as (select model, horizon, threshold, d, sum(ret) as pnl from rt, (values (0.2::double), (0.4), (0.6), (0.8)) v(threshold) where prob >= threshold group by all),
+        q as (select model, horizon, threshold, count(*) as n_days, round({SHARPE}, 6) as sharpe from x group by 1, 2, 3),
+        b as (select * from q order by sharpe desc nulls last, model, horizon, threshold limit 1), near as ({near}), every as ({every})
+        select axis, value, coalesce(base, false) as base, n_days, sharpe from every left join near using (axis, value)"""
+    covered = lambda table, today, share: f"""
+        select source, latest, n, gap, expected,
+            case when gap <= 2 then covered end as covered,
+            case when gap > 2 then 'stale' when covered is null then 'uncovered' when covered = latest then 'fresh' else 'degraded' end as state
+        from (select source, latest, own as n, (select count(*) from range(latest + 1, date '{today}' + 1, interval 1 day) t(x) where isodow(x) < 6) as gap, expected, max(day) filter (c >= expected and day >= latest - 11
+                and (select count(*) from range(day + 1, latest + 1, interval 1 day) t(x) where isodow(x) < 6) <= 1) as covered
+            from (select *, coalesce(cast(round_even({share} * (select avg(h.c) from (select c from {table} o where o.source = f.source and o.day < f.latest order by o.day desc limit 30) h), 0) as bigint), own) as expected
+                from (select *, max(day) over (partition by source) as latest, arg_max(c, day) over (partition by source) as own from {table}) f)
+            group by all)"""
+    s["d25_covered_day"] = f"""with {BARS}, {FILINGS},
+        a as (select concat('filings ', form) as source, filing_date as day, count(*) as c from filings where filing_date <= date '2001-07-31' group by 1, 2),
+        z as (select concat('bars of ', month(d)) as source, d as day, count(*) as c from bars where d <= date '2000-03-31' group by 1, 2)
+        {covered('a', '2001-08-01', 0.5)} union all {covered('z', '2000-04-03', 1.0)}"""
     s["d36_config_ranking"] = f"with {SCORED}, q as (select model, horizon, round({SHARPE}, 6) as sharpe from (select model, horizon, d, sum(ret) as pnl from rt group by 1, 2, 3) group by 1, 2) select model, horizon, sharpe, cast(row_number() over (order by sharpe desc nulls last, model, horizon) as int) as place from q qualify place <= 10"
     s["d37_recurring_keys"] = f"with {PREDS} select symbol, model, cast(count(distinct d) as int) as n, string_agg(cast(d as varchar), ',' order by d) as days from preds group by 1, 2 having count(distinct d) > 1"
     tier = lambda v: f"case when {v} >= 75 then 'A' when {v} >= 60 then 'B' when {v} >= 45 then 'C' else 'Reject' end"

@@ -23,6 +23,20 @@ def all_sql() -> dict[str, str]:
     s["d30_order_vwap"] = "with q as (select l_orderkey, cast(sum(l_quantity) as double) as qty, round(cast(sum(l_extendedprice) as double) / cast(sum(l_quantity) as double), 9) as vwap from lineitem group by 1) select l_orderkey, qty, vwap, vwap * (1 - 0.0009::double) > 2000 as won from q"
     s["d31_settled_label_hit"] = f"with {PREDS} select horizon, model, count(*) as n, count(*) filter (hit) as hits, round(avg(cast(hit as double)), 6) as rate from preds where hit is not null and d + case when horizon = '5d' then 7 else 14 end <= date '2000-06-30' group by 1, 2"
     s["d42_daily_balance"] = f"with {PREDS}, q as (select horizon, d, sum(ln(1 + ret)) as pnl, count(*) as n from preds where ret is not null group by 1, 2) select horizon, d, n, round(pnl - lag(pnl) over (partition by horizon order by d), 6) as delta, round(sum(pnl) over (partition by horizon order by d), 5) as running from q"
+    s["d42_preliminary"] = f"""with {PREDS}, p as (
+            select symbol, d as entry_day, date_diff('day', date '1995-01-01', d) as n, close as entry, prob from preds
+            where prob >= 0.9 and d between date '1997-01-01' and date '1999-06-30'),
+        pos as (select symbol, entry_day, case when n % 10 <> 0 then entry_day + cast(5 + n % 7 as int) end as exit_day, entry, 1 + n % 3 as qty, (prob - 0.94::double) * entry as realized from p),
+        days as (select d, cast(sum(volume) as double) as equity, false as preliminary from bars where d >= date '1997-01-01' and d < date '1999-06-30' and isodow(d) <> 3 group by d),
+        rel as (select exit_day as d, sum(realized) as realized from pos where exit_day is not null group by 1),
+        every as (select * from days union all
+            select date '1999-06-30', (select arg_max(equity, d) from days) + coalesce((select realized from rel where d = date '1999-06-30'), 0), true),
+        held as (select e.d, pos.symbol, sum(pos.qty) as qty, sum(pos.qty * pos.entry) as cost from every e join pos on pos.entry_day <= e.d and (pos.exit_day is null or pos.exit_day > e.d) group by 1, 2),
+        old as (select symbol, d, close from bars where d < date '1999-06-30'),
+        gain as (select h.d, sum(h.qty * o.close - h.cost) as unrealized from held h asof join old o on o.symbol = h.symbol and o.d <= h.d group by 1)
+        select e.d, preliminary, round(equity, 7) as equity, round(coalesce(realized, 0), 7) as realized, round(coalesce(unrealized, 0), 7) as unrealized,
+            round(equity - lag(equity) over (order by e.d), 7) as delta, round(sum(coalesce(realized, 0)) over (order by e.d), 7) as cumulative
+        from every e left join rel using (d) left join gain using (d)"""
     s["e34_universe_hysteresis"] = f"""with {BARS}, a as (select symbol, d, avg(volume) over {w('29 preceding', 'current row')} as m from bars), l as (select d, row_number() over (order by d desc) as back from (select distinct d from bars) qualify back <= 7),
         k as (select symbol, back, row_number() over (partition by d order by m desc, symbol) as rank from a join l using (d)), q as (select symbol, count(*) as n, count(*) filter (rank <= 5) as inside, cast(coalesce(min(back) filter (rank > 5), 8) - 1 as int) as streak, cast(min(rank) filter (back = 1) as int) as rank, cast(substr(symbol, 2) as int) as i from k group by symbol),
         z as (select symbol, n, inside, streak, rank, i % 2 = 0 as active, i, case when n < 7 then 'insufficient_history' when i % 2 = 1 and inside = 7 then case when i = 9 then 'no_listing' when i % 3 = 0 then 'pending' else 'add' end when i % 2 = 0 and inside = 0 then 'remove' else 'keep' end as change from q)

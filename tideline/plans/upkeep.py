@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import accounts as AC
 from ..operators import aggregates as A
 from ..operators import bars as B
 from ..operators import discovery as X
@@ -80,6 +81,19 @@ def d42_daily_balance(s, d):
     return day.select("horizon", "d", "n", F.round(F.col("pnl") - F.lag("pnl").over(w), 6).alias("delta"), F.round(F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, 0)), 5).alias("running"))
 
 
+@query
+def d42_preliminary(s, d):
+    """Accounts by day with a preliminary row of today. Positions are entries of likely days, held for five to eleven days, every tenth still open;
+    reconciled days are those with bars, but for Wednesdays, up to yesterday."""
+    since, today = (F.lit(x).cast("date") for x in ("1997-01-01", "1999-06-30"))
+    n = F.datediff("d", F.lit("1995-01-01").cast("date"))
+    entries = V.trades(s, d).filter(F.col("d") <= today).select("symbol", F.col("d").alias("entry_day"), F.when(n % 10 != 0, F.date_add("d", 5 + n % 7)).alias("exit_day"), "entry", (1 + n % 3).cast("double").alias("qty"), ((F.col("prob") - 0.94) * F.col("entry")).alias("realized"))
+    b = V.bars(s, d).filter(F.col("d") < today)
+    days = b.filter(F.weekday("d") != 2).groupBy("d").agg(F.sum("volume").alias("equity"))
+    x = AC.daily_balance(days, entries, b.select("symbol", "d", F.col("close").alias("price")), since=since, today=today)
+    return x.select("d", "preliminary", *r("equity", "realized", "unrealized", "delta", "cumulative", digits=7))
+
+
 @query
 def e34_universe_hysteresis(s, d):
     """Over the last seven ranking days by trailing mean volume: in the top five on all adds a symbol that isn't held (if listed for 60 days,

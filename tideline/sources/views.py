@@ -40,6 +40,25 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
     return o.select(F.concat(F.lit("S"), (F.col("o_custkey") % 10).cast("string")).alias("symbol"), F.col("o_orderstatus").alias("concept"), F.col("o_totalprice").cast("double").alias("value"), F.to_date("o_orderdate").alias("as_of_date"), F.col("o_orderkey").alias("fact_id"))
 
 
+STATED = (
+    "us-gaap/Revenues", "us-gaap/RevenueFromContractWithCustomerExcludingAssessedTax", "us-gaap/SalesRevenueNet", "ifrs-full/Revenues",
+    "us-gaap/WeightedAverageNumberOfDilutedSharesOutstanding", "us-gaap/CommonStockSharesOutstanding", "us-gaap/CommonStockSharesIssued",
+    "us-gaap/EarningsPerShareDiluted", "us-gaap/EarningsPerShareBasic", "ifrs-full/EarningsPerShareDiluted", "us-gaap/StockholdersEquity",
+    "us-gaap/LiabilitiesAndStockholdersEquity", "us-gaap/NetInterestIncome", "us-gaap/PremiumsEarnedNet",
+)
+
+
+def statements(spark: SparkSession, d: str) -> DataFrame:
+    """Each order as one figure of a company: concept, value of the concept's size, unit; some values and units are missing."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    concept = F.element_at(F.array(*map(F.lit, STATED)), (k % len(STATED)).cast("int") + 1)
+    price = F.col("o_totalprice").cast("double")
+    o = o.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("symbol"), concept.alias("concept"), k.alias("id"), F.to_date("o_orderdate").alias("day"), price.alias("price"), F.when(k % 9 == 0, "EUR").when(k % 7 != 0, "USD").alias("unit"))
+    a_share, equity, shares = (F.col("concept").contains(x) for x in ("PerShare", "Equity", "Shares"))
+    value = F.when(a_share, (F.col("price") - 100_000) / 10_000).when(equity, (F.col("price") - 80_000) * 500).when(shares, F.col("price") * 20).otherwise(F.col("price") * 1000)
+    return o.select("symbol", "concept", "id", "day", F.when(F.col("id") % 13 != 0, value).alias("value"), F.when(a_share, F.concat("unit", F.lit("/shares"))).otherwise(F.col("unit")).alias("unit"))
+
+
 def preds(spark: SparkSession, d: str) -> DataFrame:
     """A prediction for each bar: probability from the day and symbol numbers, horizons alternating, outcome from the bars."""
     b = bars(spark, d)

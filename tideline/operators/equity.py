@@ -215,11 +215,11 @@ CAUSES = (
 
 
 def explained(df: DataFrame) -> DataFrame:
-    """Adds group, confidence, evidence, meaning and fix of the cause; a cause that isn't listed counts as unknown. The list has twenty rows."""
-    names = ("_cause", "group", "confidence", "evidence", "meaning", "fix")
+    """Adds group, confidence, fields, meaning and fix of the cause (columns of these names are replaced); a cause that isn't listed counts as unknown. The list has twenty rows."""
+    names = ("_cause", "group", "confidence", "fields", "meaning", "fix")
     listed = df.sparkSession.createDataFrame(CAUSES, ", ".join(f"{n} string" for n in names))
     known = F.when(F.col("cause").isin(*(c[0] for c in CAUSES)), F.col("cause")).otherwise("unknown")
-    return df.join(F.broadcast(listed), known == F.col("_cause")).drop("_cause")
+    return df.drop(*names).join(F.broadcast(listed), known == F.col("_cause")).drop("_cause")
 
 
 def root_cause(df: DataFrame) -> DataFrame:

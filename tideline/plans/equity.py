@@ -109,7 +109,7 @@ def b11_root_cause(s, d):
     x = c.join(near, ["symbol", "d"], "left").join(grouped, ["symbol", "d"], "left").fillna(False, ["near_earnings", "in_cluster"])
     n = F.col("num")
     x = x.withColumns({"classification": F.when(n % 17 == 0, "universe_miss").when(n % 13 == 0, "unscored_mover").otherwise("scored_miss"), "tier": F.when(n % 6 == 0, "Incomplete").otherwise("B"), "subcause": F.when(n % 4 == 0, "missing_cik").otherwise("price_only_scored"), "evidence": n % 7 != 0, "near_threshold": n % 5 == 0})
-    return E.explained(E.root_cause(x)).select("symbol", "d", "cause", "group", "confidence", "evidence")
+    return E.explained(E.root_cause(x)).select("symbol", "d", "cause", "group", "confidence", "fields")
 
 
 @query

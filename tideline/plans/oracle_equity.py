@@ -88,7 +88,7 @@ def all_sql() -> dict[str, str]:
             case when cause in ('universe_not_seeded', 'pre_score_history', 'missing_cik') then 'high' when cause in ('price_only_scored', 'low_quality_score', 'unknown') then 'low' else 'medium' end as confidence,
             case cause when 'universe_not_seeded' then 'was_in_universe,classification' when 'pre_score_history' then 'classification,score_join_method' when 'missing_cik' then 'tier_before_event,companies.cik' when 'price_only_scored' then 'tier_before_event'
                 when 'missing_earnings_context' then 'event_date,events.event_date,events.event_type' when 'sector_cluster_move' then 'companies.sector,window_days,event_date' when 'no_evidence_no_filing' then 'had_catalyst_evidence'
-                when 'low_catalyst_score' then 'scores.catalyst_score' when 'low_quality_score' then 'scores.quality_score' when 'unknown' then '' else 'score_before_event,scores.catalyst_score' end as evidence
+                when 'low_catalyst_score' then 'scores.catalyst_score' when 'low_quality_score' then 'scores.quality_score' when 'unknown' then '' else 'score_before_event,scores.catalyst_score' end as fields
         from causes"""
     s["b22_lifecycle"] = f"""with {BARS}, {MOVES}, l as (select symbol, arg_max(close, d) as latest, max(d) as latest_day from bars group by 1),
         g as (select symbol, d, close, lead(d, 4) over {W} as until, lead(close, 4) over {W} / close - 1 as gain from bars),

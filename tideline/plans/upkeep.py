@@ -138,7 +138,7 @@ def f10_book_imbalance(s, d):
     levels = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct((F.col("bid") - 0.05 * i).alias("bid"), (F.col("ask") + 0.05 * i).alias("ask"), (F.col("bid_qty") + i).alias("bq"), (F.col("ask_qty") + i).alias("aq")))
     near = lambda side, qty: F.aggregate("levels", F.lit(0.0), lambda acc, x: acc + F.when(F.abs(x[side] - F.col("mid")) <= F.col("mid") * 0.005 + 1e-9, x[qty]).otherwise(0.0))
     x = q.withColumns({"levels": levels, "mid": mid}).withColumns({"b": near("bid", "bq"), "a": near("ask", "aq")})
-    return x.select("event_id", F.round(C.safe_ratio(F.col("b") - F.col("a"), F.col("b") + F.col("a")), 6).alias("imbalance"), F.round((F.col("ask") - F.col("bid")) / F.col("mid") * 10000, 5).alias("spread_bps"))
+    return x.select("event_id", F.round(C.safe_ratio(F.col("b") - F.col("a"), F.col("b") + F.col("a")), 6).alias("imbalance"), C.float_round(C.float_ratio(F.col("ask") - F.col("bid"), F.col("mid")) * 10000, 5).alias("spread_bps"))
 
 
 @query

@@ -105,7 +105,7 @@ def e44_walk_forward_folds(s, d):
 
 def hourly(*cols, before, source=V.hours):
     """Columns over dealt hours that reach `before` rows back."""
-    make = lambda x: x.withColumns({n: F.round(c, digits) for n, c, digits in cols})
+    make = lambda x: x.withColumns({n: C.float_round(c, digits) for n, c, digits in cols})
     return lambda s, d: framed(source(s, d), make, t="h", before=before).select("symbol", "h", *(n for n, _, _ in cols))
 
 

@@ -249,7 +249,7 @@ def i9_window_dedup(s, d):
 def i11_path_labels(s, d):
     h = V.hours(s, d)
     gaps = h.filter("symbol = 'U3' and hour(h) = 5").select(F.unix_timestamp("h").alias("gap_start"), (F.unix_timestamp("h") + 1800).alias("gap_end"))
-    return I.path_labels(h, [1, 4, 12], gaps).select("symbol", "h", "horizon", *r("fwd_return", "mfe", "mae"), "valid")
+    return I.path_labels(h, [1, 4, 12], gaps).select("symbol", "h", "horizon", *(C.float_round(F.col(c), 6).alias(c) for c in ("fwd_return", "mfe", "mae")), "valid")
 
 
 @query

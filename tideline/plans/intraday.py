@@ -165,7 +165,7 @@ def f9_oi_change(s, d):
 @query
 def f11_cross_section(s, d):
     x = framed(V.hours(s, d), lambda x: x.withColumn("roc", I.roc(1)), t="h", before=1)
-    return I.cross_section(x, "roc", "U0").select("symbol", "h", *r("vs_bench", "vs_median", "below"))
+    return I.cross_section(x, "roc", "U0").select("symbol", "h", *(C.float_round(F.col(c), 6).alias(c) for c in ("vs_bench", "vs_median", "below")))
 
 
 @query

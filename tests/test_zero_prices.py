@@ -54,3 +54,7 @@ def test_i11_a_close_of_zero(spark, free_ticks):
 def test_f11_a_close_of_zero(spark, free_ticks):
     got = check(spark, free_ticks, "f11_cross_section")
     assert got.filter("vs_median = double('inf')").count() > 3
+
+
+def test_j13_a_close_of_zero(spark, free_ticks):
+    check(spark, free_ticks, "j13_coin_vol")

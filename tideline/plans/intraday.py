@@ -289,7 +289,7 @@ def j6_lifts(s, d):
 
 @query
 def j13_coin_vol(s, d):
-    return framed(V.hours(s, d), lambda x: x.withColumn("ret", I.roc(1)), t="h", before=1).groupBy("symbol").agg(F.round(F.stddev_pop("ret"), 5).alias("vol"), F.count("ret").alias("n"))
+    return framed(V.hours(s, d), lambda x: x.withColumn("ret", I.roc(1)), t="h", before=1).groupBy("symbol").agg(C.float_round(F.stddev_pop("ret"), 5).alias("vol"), F.count("ret").alias("n"))
 
 
 @query

@@ -215,3 +215,19 @@ def test_quotes_in_a_long_text_take_time_by_its_words(spark):
     q = spark.createDataFrame([(1, "mot77é mot78é mot79é"), (2, "mot29998é mot29999é"), (3, "mot1é mot3é mot4é")], "quote_id int, quote string")
     began = time.time()
     assert sorted(r.quote_id for r in QT.find(q, d).collect()) == [1, 2] and time.time() - began < 40
+
+
+def test_rounds_of_a_gate_shrink(spark, write):
+    """On a tape that never pauses only the entries of ever longer blocks go on to the next round."""
+    sizes = []
+
+    def counted(df):
+        out = write(df)
+        if out.columns == ["_who", "_when", "_next"]:
+            sizes.append(out.count())
+        return out
+
+    rows = [("a", DAY + dt.timedelta(seconds=10 * i)) for i in range(4000)]
+    got = sorted(r.ts for r in G.spaced(spark.createDataFrame(rows, "k string, ts timestamp"), ["k"], 900, counted).collect())
+    assert got == [DAY + dt.timedelta(seconds=900 * i) for i in range(45)]
+    assert sizes[0] > 3800 and sum(sizes) < 3 * sizes[0]

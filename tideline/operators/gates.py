@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +17,9 @@ def spaced(df: DataFrame, keys: list[str], gap_seconds: int, write: Write) -> Da
     """(keys, ts): of each key's times the first, then each that lies the gap or more after the last one chosen.
 
     A time that far after its predecessor is always chosen. From any time the next choice is the first one the gap or more later, found by
-    a forward as-of join. Steps of 1, 2, 4, ... choices come from joining the steps with themselves, and each doubles what is chosen, so
-    that a tape which never pauses takes as many rounds as the logarithm of its choices; no key or run is whole in one task. `write`
-    stores a table and reads it back."""
+    a forward as-of join. Steps out of blocks of 1, 2, 4, ... gaps come from joining the steps with themselves, for entries of the blocks alone;
+    then, from the longest blocks down, each choice takes its step. Rounds grow with the logarithm of the time, and no key or run is whole
+    in one task. `write` stores a table and reads it back."""
     x = write(df.select(F.struct(*keys).alias("_who"), F.col("ts").cast("timestamp").alias("_when")).filter("_when is not null").distinct())
     later = F.timestamp_micros(F.unix_micros("_when") + gap_seconds * 1_000_000)
     x = J.running_last(x, {"_before": F.col("_when")}, by="_who", t="_when", strict=True)
@@ -29,12 +28,24 @@ def spaced(df: DataFrame, keys: list[str], gap_seconds: int, write: Write) -> Da
     step = J.asof_join(x.select("_who", "_when", later.alias("_to")), times, by="_who", left_t="_to", right_t="_next", values=["_first"], forward=True)
     # what is chosen anyway ends a walk
     step = write(step.filter("not _first").select("_who", "_when", F.col("match_t").alias("_next")))
-    chosen = [x.filter("_first").select("_who", "_when")]
+    # A walk enters a block of time at a choice whose predecessor lies before the block. Blocks of twice the length have about half as many
+    # entries, so that all rounds together take about twice the rows of the first
+    top = x.filter("_first").select("_who", "_when")
+    levels, length = [], gap_seconds * 1_000_000
+    block = lambda c, n: F.floor(F.unix_micros(c) / n)
     while not step.isEmpty():
-        so_far = reduce(DataFrame.unionByName, chosen)
-        chosen.append(write(so_far.join(step, ["_who", "_when"]).select("_who", F.col("_next").alias("_when"))))
-        step = write(step.join(step.select("_who", F.col("_when").alias("_next"), F.col("_next").alias("_after")), ["_who", "_next"]).select("_who", "_when", F.col("_after").alias("_next")))
-    return reduce(DataFrame.unionByName, chosen).distinct().select("_who.*", F.col("_when").alias("ts"))
+        levels.append(step)
+        length *= 2
+        inside = block("_when", length) == block("_next", length)
+        onward = step.select("_who", F.col("_when").alias("_next"), F.col("_next").alias("_after"))
+        # a step that stays in the longer block goes on with the next one, if the walk has one; then it has left the block
+        far = step.join(onward, ["_who", "_next"], "left").select("_who", "_when", F.when(inside, F.col("_after")).otherwise(F.col("_next")).alias("_next"))
+        entered = step.filter(~inside).select("_who", F.col("_next").alias("_when")).unionByName(top).distinct()
+        step = write(far.filter("_next is not null").join(entered, ["_who", "_when"], "left_semi"))
+    chosen = top
+    for one in reversed(levels):
+        chosen = write(chosen.unionByName(chosen.join(one, ["_who", "_when"]).select("_who", F.col("_next").alias("_when"))).distinct())
+    return chosen.select("_who.*", F.col("_when").alias("ts"))
 
 
 def throttled(alerts: DataFrame, heartbeat_seconds: int, write: Write) -> DataFrame:

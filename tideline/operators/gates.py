@@ -11,6 +11,7 @@ from tideline.operators import intervals as IV
 from tideline.operators import joins as J
 
 Write = Callable[[DataFrame], DataFrame]
+DAY = 86_400_000_000  # microseconds
 
 
 def spaced(df: DataFrame, keys: list[str], gap_seconds: int, write: Write) -> DataFrame:
@@ -65,6 +66,6 @@ def cooled(signals: DataFrame, held: DataFrame, gap_seconds: int, write: Write)
     (symbol, side, a, b in microseconds): from a up to b the side can't be, as the position is held already; such signals aren't sent and
     don't count as sent."""
     key = F.concat_ws("|", "symbol", "side")
-    at = signals.select("symbol", "side", "ts", key.alias("_key"), F.unix_micros("ts").alias("a"), F.unix_micros("ts").alias("b"))
-    free = IV.overlapping(at, held.select(key.alias("_key"), "a", "b"), by="_key", flag="_held", open_end=True).filter("not _held")
+    at = signals.select("symbol", "side", "ts").distinct().select("*", key.alias("_key"), F.unix_micros("ts").alias("a"), F.unix_micros("ts").alias("b"))
+    free = IV.overlapping(at, held.select(key.alias("_key"), "a", "b"), by="_key", flag="_held", open_end=True, width=DAY).filter("not _held")
     return spaced(free, ["symbol", "side"], gap_seconds, write)
